@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, toxicity
+from . import embed_dedup, fingerprint, line_dedup, minhash_dedup, mixing, packing, secrets, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -26,17 +26,44 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of `pages`, without the boilerplate of their hosts."""
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
     return line_dedup.drop_boilerplate(pages, "host", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op4_packing, op6_line_frequency)}
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("doc", "doc_id")
+
+
+def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_toxicity, op3_secrets, op4_packing, op5_fingerprint, op6_line_frequency, op7_embeddings, op8_minhash, op9_recompression, op10_radix_suffixes)
+}
 
 ORACLES = {
     "op6_line_frequency": r"""
