@@ -1 +1,60 @@
-STAGES = []
+"""From documents to packed training sequences: toxic documents go, boilerplate lines go, one document of each group of near duplicates
+stays, sources are mixed to their weights, and what is left is packed.
+
+Each stage reads all that the one before it kept and returns the columns of documents; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradus.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
+from gradus.llm.common import broadcast_if_small, saved, table
+from gradus.llm.queries import learnable
+
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.3
+#: Ids up to which the documents to be dropped are broadcast.
+DROP_IDS = 300_000
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose whole text scores below TOXIC."""
+    model = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, out="_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+
+
+def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that more than a fifth of their source's documents hold; n_chars follows the text."""
+    out = line_dedup.drop_boilerplate(docs, "source", "text")
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates."""
+    gone = saved(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "pipeline-near")
+    return docs.join(broadcast_if_small(gone, DROP_IDS), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxic_out), ("line_dedup", lines_out), ("minhash_near_dedup", near_duplicates_out), ("mixing", mixed), ("packing", packed)]
+
+#: No SQL: a trained model, a random draw and a tokenizer stand in the way. Tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
