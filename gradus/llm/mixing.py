@@ -134,12 +134,13 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
     """The rows that the mix takes, as often as it takes them; rows equal in id, source and size change places freely."""
-    reserved(df, "_id", "_source", "_size", "_row", "_copies", "_n")
-    same = Window.partitionBy("_id", "_source", "_size").orderBy("_id")
+    reserved(df, "_id", "_source", "_size", "_key", "_row", "_copies", "_n")
+    key = F.xxhash64("_id", "_source", "_size").alias("_key")
+    same = Window.partitionBy("_key").orderBy("_id", "_source", "_size")
     picked = mix(df, doc_id, text, source, **kw).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    picked = picked.withColumn("_row", F.row_number().over(same))
+    picked = picked.withColumn("_key", key).withColumn("_row", F.row_number().over(same)).where("_copies > 0").select("_key", "_row", "_copies")
     size = F.coalesce(F.regexp_count(df[text], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.withColumns({"_id": df[doc_id], "_source": df[source].cast("string"), "_size": size}).withColumn("_row", F.row_number().over(same))
-    on = [rows[c].eqNullSafe(picked[c]) for c in ("_id", "_source", "_size", "_row")]
-    out = rows.join(picked.where("_copies > 0"), on).withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies")))
-    return out.select(*[rows[c] for c in df.columns])
+    rows = df.withColumns({"_id": df[doc_id], "_source": df[source].cast("string"), "_size": size}).withColumn("_key", key).withColumn("_row", F.row_number().over(same))
+    # the key alone deals the texts out, once for the numbers and the join
+    out = rows.join(picked.withColumnRenamed("_row", "_pick"), "_key").where("_row = _pick").withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies")))
+    return out.select(*df.columns)
