@@ -16,6 +16,7 @@ Every step is a join or an aggregation on a hash; nothing is sampled or capped,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,26 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import broadcast_if_small, saved
 
-#: Anchors of one slice: row, anchor place in the row, key, first window, last window (all in units), context start and end (in bytes of the slice).
-Anchors = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+class Anchors(NamedTuple):
+    """The anchor occurrences of one slice of rows, each with a run of neighbouring windows; places are in units of the row."""
+
+    row: np.ndarray
+    place: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    context: np.ndarray  # a hash of all that the windows cover
+    payload: Callable[[np.ndarray], list[bytes]]  # of the occurrences with these indexes: what `Windows` reads
+
+    @staticmethod
+    def none() -> Anchors:
+        z, u = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Anchors(z, z, u, z, z, u, lambda keep: [])
+
+
 Finder = Callable[[np.ndarray, np.ndarray], Anchors]
-#: Window hashes of contexts, given as bytes and offsets: (context, number of the window in it, hash).
+#: Window hashes of payloads, given as bytes and offsets: (payload, number of the window in it, hash).
 Windows = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 FEW_CLASSES = 256
@@ -52,8 +69,8 @@ def _keys(find: Finder):
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in tb.slices(batch.column(1)):
-                row, _, key, first, *_ = find(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[i + row]), pa.array(first.astype(np.int32))], names=["key", "doc", "first"])
+                x = find(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(docs[i + x.row]), pa.array(x.first.astype(np.int32))], names=["key", "doc", "first"])
 
     return keys
 
@@ -65,35 +82,35 @@ def _contexts(find: Finder):
         for batch in batches:
             docs, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for i, j, data, offsets in tb.slices(batch.column(1)):
-                row, place, key, first, last, begin, end = find(data, offsets)
+                x = find(data, offsets)
                 lists = wanted[i:j]
                 counts = np.diff(lists.offsets.to_numpy())
                 mine = np.repeat(np.arange(j - i), counts) << 40 | lists.flatten().to_numpy().astype(np.int64)
-                keep = np.isin(row << 40 | first, mine)
-                row, place, key, first, last, begin, end = (x[keep] for x in (row, place, key, first, last, begin, end))
-                sums = [tb.prefix(data, w) for w in (0, 1)]
-                gap = (place - first).astype(np.uint64)
-                ctx = [tb.mix(tb.span(s, begin, end, w) + gap) for w, s in enumerate(sums)]
-                raw = data.tobytes()
-                text = [raw[b:e] for b, e in zip(begin, end, strict=True)]
+                keep = np.flatnonzero(np.isin(x.row << 40 | x.first, mine))
+                first, gap = x.first[keep], (x.place - x.first)[keep]
+                context = tb.mix(x.context[keep] + gap.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(ctx[0].view(np.int64)), pa.array(ctx[1].view(np.int64)), pa.array(docs[i + row]), pa.array(first), pa.array(last - first + 1), pa.array(place - first), pa.array(text, pa.binary())],
-                    names=["key", "c1", "c2", "doc", "first", "n", "gap", "context"],
+                    [pa.array(x.key[keep].view(np.int64)), pa.array(context.view(np.int64)), pa.array(docs[i + x.row[keep]]), pa.array(first.astype(np.int32)), pa.array((x.last[keep] - first + 1).astype(np.int32)), pa.array(gap.astype(np.int32)), pa.array(x.payload(keep), pa.binary())],
+                    names=["key", "context", "doc", "first", "n", "gap", "payload"],
                 )
 
     return contexts
 
 
+def _payloads(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    return tb.slices(column.cast(pa.large_binary()).view(pa.large_string()), 4 << 20)
+
+
 def _class_windows(windows: Windows):
-    """(key, c1, c2, doc, first, gap, context) to a row for each window: its distance from the anchor and its hash."""
+    """(key, context, doc, first, gap, payload) to a row for each window: its number, its distance from the anchor and its hash."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, data, offsets in tb.slices(batch.column(6).cast(pa.large_binary()).view(pa.large_string())):
+            for i, _, data, offsets in _payloads(batch.column(5)):
                 at, number, value = windows(data, offsets)
                 take = pa.array(i + at)
-                same = [batch.column(k).take(take) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(number), pa.array(value.view(np.int64))], names=["key", "c1", "c2", "doc", "first", "gap", "number", "window"])
+                same = [batch.column(k).take(take) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(number.astype(np.int32)), pa.array(value.view(np.int64))], names=["key", "context", "doc", "first", "gap", "number", "window"])
 
     return spread
 
@@ -101,14 +118,12 @@ def _class_windows(windows: Windows):
 def _compare(windows: Windows, within: bool):
     """Over a partition sorted by key: the windows of each class that another class of its key holds earlier."""
 
-    def done(batch: pa.Table) -> pa.RecordBatch:
-        batch = batch.combine_chunks()
-        key, c1, c2, doc, first, gap = (batch.column(k).to_numpy() for k in range(6))
-        context = batch.column(6).combine_chunks() if batch.num_rows else pa.array([], pa.binary())
-        if isinstance(context, pa.ChunkedArray):
-            context = context.combine_chunks()
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        key, context, doc, first, gap = (rows.column(k).to_numpy() for k in range(5))
+        payload = rows.column(5).chunk(0)
         ats, numbers, values = [], [], []
-        for i, _, data, offsets in tb.slices(context.cast(pa.large_binary()).view(pa.large_string()), 4 << 20):
+        for i, _, data, offsets in _payloads(payload):
             at, number, value = windows(data, offsets)
             ats.append(at + i), numbers.append(number), values.append(value)
         at, number, value = np.concatenate(ats), np.concatenate(numbers), np.concatenate(values)
@@ -120,7 +135,7 @@ def _compare(windows: Windows, within: bool):
         lead = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         later = ~new if within else doc[at] > doc[at[lead]]
         at, number = at[later], number[later]
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(c1[at]), pa.array(c2[at]), pa.array(doc[at]), pa.array(number.astype(np.int64))], names=["key", "c1", "c2", "doc", "number"])
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(context[at]), pa.array(doc[at]), pa.array(number.astype(np.int32))], names=["key", "context", "doc", "number"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -131,12 +146,13 @@ def _compare(windows: Windows, within: bool):
             key = rows.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
             held = rows.slice(cut)
-            for i in range(0, cut, 4000):  # whole keys, some thousand classes at a time
-                lo = int(np.searchsorted(key, key[i])) if i else 0
-                hi = int(np.searchsorted(key, key[i + 4000])) if i + 4000 < cut else cut
-                if hi > lo:
-                    yield done(rows.slice(lo, hi - lo))
-        if held is not None and held.num_rows:
+            lo = 0
+            while lo < cut:  # whole keys, some thousand classes at a time
+                hi = int(np.searchsorted(key, key[lo + 4000])) if lo + 4000 < cut else cut
+                hi = hi if hi > lo else min(cut, int(np.searchsorted(key, key[lo], "right")))
+                yield done(rows.slice(lo, hi - lo))
+                lo = hi
+        if held is not None:
             yield done(held)
 
     return compare
@@ -156,27 +172,27 @@ def repeated(docs: DataFrame, find: Finder, windows: Windows, within: bool) -> D
     keys = docs.mapInArrow(_keys(find), "key long, doc long, first int")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     places = saved(keys.join(shared, "key").groupBy("doc").agg(F.collect_list("first").alias("firsts")), "repeat-places")
-    shape = "key long, c1 long, c2 long, doc long, first long, n long, gap long, context binary"
+    shape = "key long, context long, doc long, first int, n int, gap int, payload binary"
     occurrences = saved(docs.join(places, "doc").select("doc", "text", "firsts").mapInArrow(_contexts(find), shape), "repeat-contexts")
 
-    lead = F.min(F.struct("doc", "first", "gap", "context")).alias("lead")
-    classes = saved(occurrences.groupBy("key", "c1", "c2").agg(lead, F.count("*").alias("n")).select("key", "c1", "c2", "lead.*", "n"), "repeat-classes")
-    several = classes.where("n > 1").select("key", "c1", "c2", F.col("doc").alias("lead_doc"), F.col("first").alias("lead_first"))
-    narrow = occurrences.select("key", "c1", "c2", "doc", "first", "n")
+    same = ["key", "context"]
+    lead = F.min(F.struct("doc", "first", "gap", "payload")).alias("lead")
+    classes = saved(occurrences.groupBy(*same).agg(lead, F.count("*").alias("n")).select(*same, "lead.*", "n"), "repeat-classes")
+    several = classes.where("n > 1").select(*same, F.col("doc").alias("lead_doc"), F.col("first").alias("lead_first"))
+    narrow = occurrences.select(*same, "doc", "first", "n")
     later = (F.col("doc") > F.col("lead_doc")) | ((F.col("doc") == F.col("lead_doc")) & (F.col("first") > F.col("lead_first")) & F.lit(within))
-    whole = narrow.join(several, ["key", "c1", "c2"]).where(later).select("doc", F.col("first").alias("start"), "n")
+    whole = narrow.join(several, same).where(later).select("doc", F.col("first").alias("start"), "n")
 
     per_key = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
-    multi = classes.join(per_key, "key").select("key", "c1", "c2", "doc", "first", "gap", "context", "classes")
+    multi = classes.join(per_key, "key").select(*same, "doc", "first", "gap", "payload", "classes")
     few = multi.where(f"classes <= {FEW_CLASSES}").drop("classes").repartition("key").sortWithinPartitions("key")
-    found = few.mapInArrow(_compare(windows, within), "key long, c1 long, c2 long, doc long, number long")
-    spread = multi.where(f"classes > {FEW_CLASSES}").drop("classes").mapInArrow(_class_windows(windows), "key long, c1 long, c2 long, doc long, first long, gap long, number long, window long").withColumn("distance", F.col("number") - F.col("gap"))
+    found = few.mapInArrow(_compare(windows, within), "key long, context long, doc long, number int")
+    spread = multi.where(f"classes > {FEW_CLASSES}").drop("classes").mapInArrow(_class_windows(windows), "key long, context long, doc long, first int, gap int, number int, window long").withColumn("distance", F.col("number") - F.col("gap"))
     least = spread.groupBy("key", "distance", "window").agg(F.min(F.struct("doc", "first")).alias("l"))
     behind = (F.col("doc") > F.col("l.doc")) | (F.lit(within) & (F.col("doc") == F.col("l.doc")) & (F.col("first") > F.col("l.first")))
-    many = spread.join(least, ["key", "distance", "window"]).where(behind).select("key", "c1", "c2", "doc", "number")
-    single = found.unionByName(many)
-    single = narrow.join(single.groupBy("key", "c1", "c2", "doc").agg(F.collect_set("number").alias("numbers")), ["key", "c1", "c2", "doc"])
-    single = single.select("doc", F.explode("numbers").alias("number"), "first").select("doc", (F.col("first") + F.col("number")).alias("start"), F.lit(1).cast("long").alias("n"))
+    many = spread.join(least, ["key", "distance", "window"]).where(behind).select(*same, "doc", "number")
+    single = saved(found.unionByName(many).groupBy(*same, "doc").agg(F.collect_set("number").alias("numbers")), "repeat-single")
+    single = narrow.join(single, [*same, "doc"]).select("doc", F.explode("numbers").alias("number"), "first").select("doc", (F.col("first") + F.col("number")).alias("start"), F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 

@@ -1,13 +1,13 @@
 """Substring dedup by recompression.
 
-Rounds rename a document's words: first each maximal run of one symbol becomes a symbol (named after the symbol and the run's
-length), then each pair of a left and a right symbol becomes one; a bit of a symbol's name and the round's number says which side it is on. A name is a hash of
+Rounds rename a document's words: first each maximal run of one word becomes a symbol (named after the word and the run's
+length), then, round after round, each pair of a left and a right symbol becomes one; a bit of a symbol's name and the round's number says which side it is on. A name is a hash of
 what it stands for, so it is the same in every document and on every worker without a dictionary. Equal substrings get equal symbols but for the
 few at their ends that something outside may have paired with. Those are known from the substring alone: a first symbol on the right side, a last
 one on the left side, and runs that touch an end.
 
-So each 50-word window has a zone of symbols that depend on its words only. Its anchor is the symbol with the least name in the zone of
-the highest round in which the zone isn't empty. Windows that are equal meet under their anchor's name and are verified by their words (see
+So each 50-word window has a zone of symbols that depend on its words only. Its anchor is the longest symbol (of those the one with the
+least name) in the zone of the highest round in which the zone isn't empty. Windows that are equal meet under their anchor's name and are verified by their words (see
 `repeats`).
 
 Defined results: a null, empty or blank text has no words; a text of fewer words than a window stays; words are runs of anything but the six blanks,
@@ -30,7 +30,7 @@ from .repeats import Anchors, covered, first_copies, grouped, repeated
 from .suffix_dedup import with_runs
 
 WINDOW = 50
-ROUNDS = 5
+ROUNDS = 4
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -45,9 +45,10 @@ def _left(names: np.ndarray, round_: int) -> np.ndarray:
     return (tb.mix(names ^ np.uint64(0xA5A5 + round_)) & np.uint64(1)).astype(bool)
 
 
-def _least(names: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Index of the least name in [begin, end), the first of equals; end > begin."""
-    table = [(tb.mix(names) & ~_LOW) | np.arange(len(names), dtype=np.uint64)]
+def _longest(names: np.ndarray, length: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Index of the longest symbol in [begin, end), of those the least name, of those the first; end > begin."""
+    rank = (np.uint64(63) - np.minimum(length, 63).astype(np.uint64)) << np.uint64(58)
+    table = [rank | (tb.mix(names) >> np.uint64(6) & ~_LOW) | np.arange(len(names), dtype=np.uint64)]
     widest = int((end - begin).max())
     while 2 << len(table) - 1 <= widest:
         have = 1 << (len(table) - 1)
@@ -60,78 +61,82 @@ def _least(names: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (out & _LOW).astype(np.int64)
 
 
+def _round(names: np.ndarray, row: np.ndarray, left: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pair each left symbol with a right one behind it: (first index of each new symbol, its name)."""
+    pair = np.zeros(len(names), bool)
+    pair[:-1] = left[:-1] & ~left[1:] & (row[:-1] == row[1:])
+    second = np.zeros(len(names), bool)
+    second[1:] = pair[:-1]
+    starts = np.flatnonzero(~second)
+    out, two = names[starts].copy(), pair[starts]
+    with np.errstate(over="ignore"):
+        out[two] = tb.mix(out[two] * np.uint64(0xD6E8FEB86659FD93) + tb.mix(names[starts[two] + 1]) + np.uint64(r))
+    return starts, out
+
+
 def find(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> Anchors:
-    none = np.zeros(0, np.int64)
     start, end, row = tb.words(data, offsets)
-    if len(start) < window:
-        return none, none, none.astype(np.uint64), none, none, none, none
-    names = tb.word_hashes(data, start, end)
-    at = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])  # first word of each window
+    at = np.flatnonzero(row[: max(0, len(row) - window + 1)] == row[window - 1 :])  # first word of each window
     if not len(at):
-        return none, none, none.astype(np.uint64), none, none, none, none
-    begin, stop = at.copy(), at + window  # the zone of each window, in symbols of the round
-    place = np.arange(len(names))  # first word of each symbol
-    symbol_row = row
-    live = np.arange(len(at))
+        return Anchors.none()
+    words = names = tb.word_hashes(data, start, end)
+    begin, stop, live = at.copy(), at + window, np.arange(len(at))  # the zone of each window that has one, in symbols of the round
+    place, symbol_row = np.arange(len(names)), row  # first word and row of each symbol
     anchor, key = np.empty(len(at), np.int64), np.empty(len(at), np.uint64)
 
     def settle(which: np.ndarray) -> None:
+        """These windows have no zone in the next round."""
         if len(which):
-            found = _least(names, begin[which], stop[which])
+            found = _longest(names, np.diff(np.append(place, len(row))), begin[which], stop[which])
             anchor[live[which]], key[live[which]] = place[found], names[found]
 
-    for r in range(rounds):
-        before = (begin, stop, live, names, place)
-        # runs: one that touches an end of the zone may go on outside it
-        first = _join_runs(names, symbol_row)
-        of = np.cumsum(np.bincount(first, minlength=len(names))) - 1  # run of each symbol
-        length = np.diff(np.append(first, len(names)))
-        inner_begin, inner_stop = of[begin] + 1, of[stop - 1]
-        joined = names[first].copy()
-        long = length > 1
-        with np.errstate(over="ignore"):
-            joined[long] = tb.mix(joined[long] + length[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * r + 1))
-        # a run of one symbol at an end is whole only if its neighbour is inside, so the end symbols of the zone always go
-        run_place, run_row = place[first], symbol_row[first]
-        # pairs
-        left = _left(joined, r)
-        pair = np.zeros(len(joined), bool)
-        pair[:-1] = left[:-1] & ~left[1:] & (run_row[:-1] == run_row[1:])
-        second = np.zeros(len(joined), bool)
-        second[1:] = pair[:-1]
-        starts = np.flatnonzero(~second)
-        new_of = np.cumsum(~second) - 1
-        paired = joined[starts]
-        two = pair[starts]
-        with np.errstate(over="ignore"):
-            paired = paired.copy()
-            paired[two] = tb.mix(joined[starts[two]] * np.uint64(0xD6E8FEB86659FD93) + tb.mix(joined[starts[two] + 1]) + np.uint64(2 * r + 2))
-        # a first symbol on the right side or a last one on the left side may pair outside
-        empty = inner_begin >= inner_stop
-        lo = np.minimum(inner_begin, len(joined) - 1)
-        hi = np.maximum(inner_stop - 1, 0)
-        inner_begin = inner_begin + (~left[lo] & ~empty)
-        inner_stop = inner_stop - (left[hi] & ~empty)
-        empty |= inner_begin >= inner_stop
-        begin, stop, live, names, place = before
-        settle(np.flatnonzero(empty))  # the round before is the last in which these have a zone
-        on = np.flatnonzero(~empty)
-        begin, stop, live = new_of[inner_begin[on]], new_of[inner_stop[on] - 1] + 1, live[on]
-        names, place, symbol_row = paired, run_place[starts], run_row[starts]
+    for r in range(rounds + 1):
+        if r == 0:  # runs: one that touches an end of the zone may go on outside it
+            firsts = _join_runs(names, symbol_row)
+            of = np.zeros(len(names), np.int64)
+            of[firsts] = 1
+            of = np.cumsum(of) - 1
+            size = np.diff(np.append(firsts, len(names)))
+            renamed, long = names[firsts].copy(), size > 1
+            with np.errstate(over="ignore"):
+                renamed[long] = tb.mix(renamed[long] + size[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            next_begin, next_stop = of[begin] + 1, of[stop - 1]
+        else:  # pairs: a first symbol on the right side, or a last one on the left side, may pair with one outside
+            left = _left(names, r)
+            firsts, renamed = _round(names, symbol_row, left, r)
+            of = np.zeros(len(names), np.int64)
+            of[firsts] = 1
+            of = np.cumsum(of) - 1
+            inner, outer = begin + ~left[begin], stop - left[stop - 1]
+            empty = inner >= outer
+            next_begin = of[np.where(empty, begin, inner)]
+            next_stop = np.where(empty, next_begin, of[np.where(empty, begin, outer - 1)] + 1)
+        gone = next_begin >= next_stop
+        settle(np.flatnonzero(gone))
+        on = ~gone
+        begin, stop, live = next_begin[on], next_stop[on], live[on]
+        names, place, symbol_row = renamed, place[firsts], symbol_row[firsts]
         if not len(live):
             break
     settle(np.arange(len(live)))
     a, b = grouped(anchor, row[at])
     first, last = at[a], at[b]
     base = np.searchsorted(row, np.arange(len(offsets) - 1))[row[first]]
-    return row[first], anchor[a] - base, key[a], first - base, last - base, start[first], end[last + window - 1]
+    context = tb.span(tb.prefix(words, 1), first, last + window, 1)
 
+    def payload(keep: np.ndarray) -> list[bytes]:
+        """The hash of each window of an occurrence."""
+        value = tb.span(tb.prefix(words), at, at + window)
+        return [value[i : j + 1].tobytes() for i, j in zip(a[keep], b[keep], strict=True)]
 
-def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, end, row = tb.words(data, offsets)
-    at, value = tb.runs(tb.word_hashes(data, start, end), row, window)
-    base = np.searchsorted(row, np.arange(len(offsets) - 1))
-    return row[at], at - base[row[at]], value
+    return Anchors(row[first], anchor[a] - base, key[a], first - base, last - base, context, payload)
+
+
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, number of the window in it, hash) from payloads."""
+    counts = np.diff(offsets) // 8
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts), np.frombuffer(data.tobytes(), np.uint64)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

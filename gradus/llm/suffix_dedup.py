@@ -44,8 +44,7 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 def find(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, digit: int = DIGIT) -> Anchors:
     n = len(data)
     if n < length:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z, z, z, z
+        return Anchors.none()
     sums = tb.prefix(data)
     at = np.arange(n - digit + 1)
     digits = tb.span(sums, at, at + digit)
@@ -56,7 +55,13 @@ def find(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, digit: int
     a, b = grouped(anchor, row)
     first, last, row, anchor = inside[a], inside[b], row[a], anchor[a]
     base = offsets[row]
-    return row, anchor - base, digits[anchor], first - base, last - base, first, last + length
+
+    def payload(keep: np.ndarray) -> list[bytes]:
+        """The bytes that an occurrence's windows cover."""
+        raw = data.tobytes()
+        return [raw[i:j] for i, j in zip(first[keep], last[keep] + length, strict=True)]
+
+    return Anchors(row, anchor - base, digits[anchor], first - base, last - base, tb.span(tb.prefix(data, 1), first, last + length, 1), payload)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
