@@ -1 +1 @@
-
+"""Operators: functions of DataFrames and Columns."""

@@ -1 +1 @@
-
+"""Tables and what is derived from them."""
