@@ -3,7 +3,7 @@
 The five-word shingles of a text are hashed once. A hash falls into one of `bins` bins by its upper bits, and the smallest of each bin
 stays. An empty bin copies the first filled bin on its own chain of hashed bins (optimal densification); a text with so few filled
 bins that the chain of `PROBES` steps finds none takes the filled bin that hashes lowest with it, which is where the endless chain
-ends. Of each bin's minimum the lowest 4 bits are kept, a hex digit each. Likeness is the share of equal digits, corrected for
+ends. Of each bin's minimum, hashed with the bin, the lowest 4 bits are kept, a hex digit each. Likeness is the share of equal digits, corrected for
 the 1 in 16 that are equal by chance.
 
 Minima come from one sort of the hashes together with a sentinel at each bin's upper end: the first of each bin is its minimum, or
@@ -49,14 +49,15 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(m, first)
     # a sentinel is all ones below its bin: that minimum is "empty"
     full = F.lit((1 << _SHIFT) - 1)
-    df = df.withColumn(v, F.transform(F.col(m), lambda x: F.when(x.bitwiseAND(full) != full, x.bitwiseAND(F.lit((1 << BITS) - 1)))))
+    df = df.withColumn(v, F.transform(F.col(m), lambda x: F.when(x.bitwiseAND(full) != full, x)))
     some = F.filter(F.transform(F.col(v), lambda x, b: F.struct(b.alias("b"), x.alias("x"))), lambda y: y["x"].isNotNull())
     lowest = lambda j: F.array_min(F.transform(some, lambda y: F.struct(F.xxhash64(F.lit(-1), j, y["b"]).alias("h"), y["x"].alias("x"))))["x"]
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(BINS - 1)),
         lambda j: F.coalesce(F.get(F.col(v), j), *[F.get(F.col(v), F.pmod(F.xxhash64(F.lit(t), j), F.lit(BINS)).cast("int")) for t in range(PROBES)], lowest(j)),
     )
-    digits = F.array_join(F.transform(dense, lambda x: F.lower(F.hex(x))), "")
+    # hashed with the bin, so that a minimum which fills many bins gives each its own bits
+    digits = F.array_join(F.transform(dense, lambda x, j: F.lower(F.hex(F.xxhash64(x, j).bitwiseAND(F.lit((1 << BITS) - 1))))), "")
     return df.withColumn(out, F.when(F.size(w) == 0, F.lit(EMPTY)).otherwise(digits)).drop(w, s, m, v)
 
 
