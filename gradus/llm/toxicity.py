@@ -9,8 +9,8 @@ Fitting reads a bounded sample: at most `sample` rows of each label (default 1,5
 id, one for each distinct text, each cut at `FIT_CHARS`. Scoring reads every whole text, and labels, language, source and id never
 enter a score. The fitted model is two dictionaries of a few KB and some numbers.
 
-Defined results: a null or empty text has no window and gets the score of the curve at no savings; labels that are null are not
-learnt from; without labels of both kinds every score is the share of toxic labels (0 without any); repeated rows get equal
+Defined results: a null, empty or blank text has no window and gets the share of toxic labels as its score; labels that are null are not
+learnt from; without labels of both kinds every score is that share (0 without any); repeated rows get equal
 scores; further columns are not carried.
 """
 
@@ -172,7 +172,13 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
             return pa.array([model.prior] * len(texts), pa.float64())
         two = model.compressors()
         w = np.array(model.weights)
-        z = (float(np.dot(w, [1.0, *savings(t.as_py() or "", *two)])) for t in texts)
-        return pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())
+
+        def one(text: str) -> float:
+            if not _SPLIT.sub("", text):
+                return model.prior
+            z = float(np.dot(w, [1.0, *savings(text, *two)]))
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+        return pa.array([one(t.as_py() or "") for t in texts], pa.float64())
 
     return df.withColumn(out, of(df[text]))
