@@ -48,7 +48,8 @@ Finder = Callable[[np.ndarray, np.ndarray], Anchors]
 #: Window hashes of payloads, given as bytes and offsets: (payload, number of the window in it, hash).
 Windows = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-FEW_CLASSES = 256
+#: Classes of one key that one task compares: some 35 MB with all their windows. Keys with more are dealt out window by window.
+FEW_CLASSES = 20_000
 #: Ids up to which the documents to be changed are found by a broadcast (16 bytes each).
 BROADCAST_IDS = 300_000
 
@@ -166,11 +167,12 @@ def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.join(broadcast_if_small(copies, BROADCAST_IDS), "doc", "left_anti"), copies
 
 
-def repeated(docs: DataFrame, find: Finder, windows: Windows, within: bool) -> DataFrame:
+def repeated(docs: DataFrame, find: Finder, windows: Windows, within: bool, few: int = FEW_CLASSES) -> DataFrame:
     """docs (doc, text), doc unique: (doc, runs), runs an array of (first, n) runs of windows that occur earlier, in a lower doc or, if
     `within`, further up in the same one; documents without any are left out."""
     keys = docs.mapInArrow(_keys(find), "key long, doc long, first int")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # saved, so that both sides of the join are plain shuffles, of which Spark splits what is skewed
+    shared = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeat-keys")
     places = saved(keys.join(shared, "key").groupBy("doc").agg(F.collect_list("first").alias("firsts")), "repeat-places")
     shape = "key long, context long, doc long, first int, n int, gap int, payload binary"
     occurrences = saved(docs.join(places, "doc").select("doc", "text", "firsts").mapInArrow(_contexts(find), shape), "repeat-contexts")
@@ -183,11 +185,11 @@ def repeated(docs: DataFrame, find: Finder, windows: Windows, within: bool) -> D
     later = (F.col("doc") > F.col("lead_doc")) | ((F.col("doc") == F.col("lead_doc")) & (F.col("first") > F.col("lead_first")) & F.lit(within))
     whole = narrow.join(several, same).where(later).select("doc", F.col("first").alias("start"), "n")
 
-    per_key = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
+    per_key = saved(classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1"), "repeat-several")
     multi = classes.join(per_key, "key").select(*same, "doc", "first", "gap", "payload", "classes")
-    few = multi.where(f"classes <= {FEW_CLASSES}").drop("classes").repartition("key").sortWithinPartitions("key")
-    found = few.mapInArrow(_compare(windows, within), "key long, context long, doc long, number int")
-    spread = multi.where(f"classes > {FEW_CLASSES}").drop("classes").mapInArrow(_class_windows(windows), "key long, context long, doc long, first int, gap int, number int, window long").withColumn("distance", F.col("number") - F.col("gap"))
+    tasks = multi.where(f"classes <= {few}").drop("classes").repartition("key").sortWithinPartitions("key")
+    found = tasks.mapInArrow(_compare(windows, within), "key long, context long, doc long, number int")
+    spread = multi.where(f"classes > {few}").drop("classes").mapInArrow(_class_windows(windows), "key long, context long, doc long, first int, gap int, number int, window long").withColumn("distance", F.col("number") - F.col("gap"))
     least = spread.groupBy("key", "distance", "window").agg(F.min(F.struct("doc", "first")).alias("l"))
     behind = (F.col("doc") > F.col("l.doc")) | (F.lit(within) & (F.col("doc") == F.col("l.doc")) & (F.col("first") > F.col("l.first")))
     many = spread.join(least, ["key", "distance", "window"]).where(behind).select(*same, "doc", "number")
