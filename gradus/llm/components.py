@@ -34,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = saved(small, "cc")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

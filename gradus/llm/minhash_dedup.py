@@ -38,7 +38,7 @@ K = 64
 MATCH = 32
 SHINGLE = 5
 SMALL = 12
-CHUNK = 512
+CHUNK = 1024
 SET_CHUNK = 64
 _rng = np.random.default_rng(20_260_101)
 _MULTIPLY = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,7 +189,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     reps = saved(full.join(groups.select(F.col("rep").alias("doc"), F.col("n").alias("gn"), F.col("a").alias("ga"), F.col("b").alias("gb")), "doc").where("n = gn AND a = ga AND b = gb").select("doc", "sig").dropDuplicates(["doc"]), "minhash-reps")
 
     posts = reps.select("doc", F.posexplode("sig").alias("k", "v")).select("doc", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # saved, so that both sides of the join are plain shuffles, of which Spark splits what is skewed
+    shared = saved(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minhash-shared")
     posts = posts.join(shared, "key")
     by_doc = Window.partitionBy("doc")
     prefix = posts.withColumn("rank", F.row_number().over(by_doc.orderBy("n", "key"))).withColumn("have", F.count("*").over(by_doc))
@@ -199,7 +200,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     first = saved(candidate_edges(prefix.where("rank <= 2").select("key", "doc"), reps, match), "minhash-candidates")
     group = saved(components(first), "minhash-groups")
     known = prefix.join(group, prefix["doc"] == group["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("g"))
-    mixed = known.groupBy("key").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("key")
+    mixed = saved(known.groupBy("key").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("key"), "minhash-mixed")
     rest = known.join(mixed, "key").select("key", "doc")
     edges = saved(first.unionByName(candidate_edges(rest, reps, match)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "minhash-candidates")
 
