@@ -85,7 +85,7 @@ def lint_question(fx):
     return L.lint(fx.questions).withColumn("flags", F.concat_ws(",", "flags"))
 
 
-@query("A2_lint_report", f"SELECT round(avg(score), 1) AS average_score, sum(errors) AS errors, sum(warnings) AS warnings, count(*) AS n FROM {LINTED}")
+@query("A2_lint_report", f"SELECT round(avg(score), 1) AS average_score, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, count(*) AS n FROM {LINTED}")
 def lint_report(fx):
     return L.lint(fx.questions).agg(F.round(F.avg("score"), 1).alias("average_score"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.count("*").alias("n"))
 

@@ -301,7 +301,7 @@ def dedup_request(fx):
     return v.select("user_id", F.array_join(F.array_distinct(F.transform("v", lambda x: x["item"])), ",").alias("items"))
 
 
-@query("A1_entity_counts", """SELECT course_id, count(*) AS lessons, sum(p) AS pages, sum(s) AS sections FROM (SELECT course_id, l.lesson_id, (SELECT count(*) FROM lesson_pages x WHERE x.lesson_id = l.lesson_id) AS p, (SELECT count(*) FROM sections x WHERE x.lesson_id = l.lesson_id) AS s FROM lessons l) GROUP BY course_id""")
+@query("A1_entity_counts", """SELECT course_id, count(*) AS lessons, sum(p)::BIGINT AS pages, sum(s)::BIGINT AS sections FROM (SELECT course_id, l.lesson_id, (SELECT count(*) FROM lesson_pages x WHERE x.lesson_id = l.lesson_id) AS p, (SELECT count(*) FROM sections x WHERE x.lesson_id = l.lesson_id) AS s FROM lessons l) GROUP BY course_id""")
 def entity_counts(fx):
     p = fx.lesson_pages.groupBy("lesson_id").agg(F.count("*").alias("p"), F.count_if(F.col("page") % 5 == 1).alias("s"))
     return fx.lessons.select("lesson_id", "course_id").join(p, "lesson_id", "left").groupBy("course_id").agg(F.count("*").alias("lessons"), F.sum("p").alias("pages"), F.sum("s").alias("sections"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gradus.functions.text import slide_heading, tokens
+from gradus.functions.text import slide_heading
 from gradus.operators import structure as S
-from gradus.operators.lint import options as clean_options
-from gradus.sources.fixture_sql import TOK
+from gradus.sources import io
 
 from .registry import query
 from .text import HEAD
@@ -58,11 +57,24 @@ def translations_long(fx):
 TABLES = ("documents", "conversations", "labels", "benchmark", "pages", "embeddings")
 
 
-@query("S8_snapshot_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
-def snapshot_counts(fx):
-    from functools import reduce
+@query("S8_write_snapshot", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
+def write_snapshot(fx):
+    return io.write_snapshot({t: fx.table(t) for t in TABLES}, io.fresh(fx.spark, "snapshot"), "now")
 
-    return reduce(lambda a, b: a.unionByName(b), [fx.table(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])
+
+@query("S9_read_snapshot", "SELECT doc_id, quality, toxic FROM labels")
+def read_snapshot(fx):
+    root = io.fresh(fx.spark, "snapshot")
+    io.write_snapshot({"labels": fx.labels}, root, "now")
+    return io.read_snapshot(fx.spark, root, "now", "labels").select("doc_id", "quality", "toxic")
+
+
+@query("S12_export_csv", "SELECT question_id::VARCHAR AS question_id, question_text FROM questions")
+def export_csv(fx):
+    """Written as CSV and read again: quotes, commas and line ends survive."""
+    path = io.fresh(fx.spark, "csv")
+    io.write_csv(fx.questions.select("question_id", "question_text"), path)
+    return fx.spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 @query("S10_hydrate_metrics", """SELECT metric_key, l.lesson_id AS scope_id, v FROM (SELECT metric_key, round(max(value), 4) AS v FROM metric_payloads GROUP BY 1) CROSS JOIN lessons l WHERE (metric_key <> 'click' OR l.lesson_id NOT IN (SELECT scope_id FROM metric_payloads WHERE metric_key = 'click' AND event_id % 2 = 0))""")
