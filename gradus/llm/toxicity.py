@@ -20,7 +20,6 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 6
-LEVEL = 1
-GRAM = 5
+LEVEL = 3
+GRAM = 4
 BASE_BYTES = 7_000
 FIT_CHARS = 8_000
 TOP = 4
@@ -77,10 +76,11 @@ def _log_likelihood(a: int, n: int, b: int, m: int) -> float:
 
 
 def distinctive(toxic: list[str], plain: list[str]) -> list[bytes]:
-    """Stretches of toxic texts made of character runs that many toxic texts have and hardly any ordinary one, most frequent first."""
+    """Words of toxic texts that hold a run of GRAM letters which many toxic texts have and hardly any ordinary one does; the most
+    frequent words first, each for a run that no word before it holds."""
 
     def grams(t: str) -> set[str]:
-        return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
+        return {g for i in range(len(t) - GRAM + 1) if " " not in (g := t[i : i + GRAM])}
 
     ours, theirs = Counter(), Counter()
     for t in toxic:
@@ -88,23 +88,14 @@ def distinctive(toxic: list[str], plain: list[str]) -> list[bytes]:
     for t in plain:
         theirs.update(grams(t))
     n, m = len(toxic), len(plain)
-    good = {g for g, a in ours.items() if a >= max(3, 0.01 * n) and a / n > 12 * (theirs[g] + 0.5) / m and _log_likelihood(a, n, theirs[g], m) > 20}
+    good = {g for g, a in ours.items() if a >= max(3, 0.006 * n) and a / n > 30 * (theirs[g] + 0.5) / m and _log_likelihood(a, n, theirs[g], m) > 20}
     found: Counter = Counter()
     for t in toxic:
-        i, stop = 0, len(t) - GRAM + 1
-        while i < stop:
-            if t[i : i + GRAM] in good:
-                j = i
-                while j + 1 < stop and t[j + 1 : j + 1 + GRAM] in good:
-                    j += 1
-                found[t[i : j + GRAM]] += 1
-                i = j
-            i += 1
+        found.update(w for w in {x.strip(".,!?;:") for x in t.split()} if grams(w) & good)
     picked, seen = [], set()
-    for stretch, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        own = {g for g in grams(stretch)}
-        if own - seen:
-            picked.append(stretch.encode())
+    for word, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+        if own := (grams(word) & good) - seen:
+            picked.append(f" {word} ".encode())
             seen |= own
     return picked[:200]
 
