@@ -15,6 +15,9 @@ from gradus.llm.queries import learnable
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.3
+#: Share of a source's different texts from which a line is boilerplate. A source is far larger than a web host, and its commonest lines stand
+#: in a few hundredths of it: 0.2, as for hosts, drops nothing at size.
+LINE_RATIO = 0.02
 #: Ids up to which the documents to be dropped are broadcast.
 DROP_IDS = 300_000
 
@@ -26,8 +29,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that more than a fifth of their source's documents hold; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs, "source", "text")
+    """All documents, without the lines that more than LINE_RATIO of their source's different texts hold; n_chars follows the text."""
+    out = line_dedup.drop_boilerplate(docs, "source", "text", max_ratio=LINE_RATIO, distinct=True)
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

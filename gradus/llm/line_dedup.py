@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line that stands on more than `max_ratio` of a host's pages, and on `min_pages` of them at least, is boilerplate of
-that host and is dropped from all its pages. Every page and every line counts; a line counts once a page.
+that host and is dropped from all its pages. Every page and every line counts; a line counts once a page. With `distinct`,
+pages of a host whose texts are equal count as one, so that many copies of one page don't make its body boilerplate.
 
 How many lines of a host can be boilerplate is bounded by (mean lines a page) / max_ratio, so the set that is sent
 back to a page is small for any number of pages. Counting is one aggregation with map-side sums, so neither a hot host
@@ -40,19 +41,22 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*>", "\n")
 
 
-def boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, min_pages: int = 5, distinct: bool = False) -> DataFrame:
     """(_host, _line, pages, host_pages): the lines that exceed the ratio."""
     pages = df.select(df[host].alias("_host"), df[text].alias("_text")).where(F.col("_host").isNotNull())
+    pages = pages.select("_host", "_text", F.array_distinct(F.transform(F.split("_text", LINE_END), lambda x: _key(F.btrim(x, F.lit(BLANKS))))).alias("_keys"))
+    if distinct:
+        pages = pages.groupBy("_host", _key(F.col("_text")).alias("_whole")).agg(F.first("_keys").alias("_keys"))
     totals = pages.groupBy("_host").agg(F.count("*").alias("host_pages"))
-    lines = pages.select("_host", F.explode(F.array_distinct(F.transform(F.split("_text", LINE_END), lambda x: _key(F.btrim(x, F.lit(BLANKS)))))).alias("_line"))
+    lines = pages.select("_host", F.explode("_keys").alias("_line"))
     counts = lines.groupBy("_host", "_line").agg(F.count("*").alias("pages")).where((F.col("pages") >= min_pages) & (F.col("_line") != _key(F.lit(""))))
     return counts.join(totals, "_host").where(F.col("pages") > max_ratio * F.col("host_pages"))
 
 
-def drop_boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, min_pages: int = 5, distinct: bool = False) -> DataFrame:
     """df with boilerplate lines taken out of `text`, and n_lines and n_dropped (longs) for each row."""
     reserved(df, "_host", "_line", "_lines", "_bad", "n_lines", "n_dropped")
-    bad = boilerplate(df, host, text, max_ratio, min_pages).groupBy("_host").agg(F.collect_list("_line").alias("_bad"))
+    bad = boilerplate(df, host, text, max_ratio, min_pages, distinct).groupBy("_host").agg(F.collect_list("_line").alias("_bad"))
     bad = broadcast_if_small(saved(bad, "boilerplate"), 2_000)
     lines = F.filter(
         F.col("_lines"),

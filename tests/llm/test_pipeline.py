@@ -27,6 +27,14 @@ def test_line_stage_follows_the_text(spark):
     assert {(r["text"], r["n_chars"]) for r in out} == {(f"own {i}", 5) for i in range(8)}
 
 
+def test_line_stage_finds_planted_lines_and_keeps_bodies(spark):
+    """In a source of 400 documents lines on 5 and 10 % go; a body line on 1.5 % and the body of 30 exact copies stay."""
+    rows = [(i, f"own {i}" + "\nten" * (i % 10 == 0) + "\nfive" * (i % 20 == 3) + "\nbody" * (i % 67 == 5)) for i in range(400)] + [(1000 + i, "copied whole\nbody of copies") for i in range(30)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines_out(spark, df, "").collect()}
+    assert got == {i: t.replace("\nten", "").replace("\nfive", "") for i, t in rows}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_run(spark):
     out = corpus_pipeline.run(spark, DIR)
