@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled rows: one on ordinary text, one on what sets toxic text apart. A window of
-`WINDOW` words is compressed once with the ordinary dictionary and once with the toxic dictionary behind it; how many bytes the toxic
+Two zstandard dictionaries come from labelled rows: one is trained on ordinary text, the other is a list of the words that set toxic
+text apart. A window of `WINDOW` words is compressed once with the ordinary dictionary and once with the toxic dictionary behind it; how many bytes the toxic
 one saves is the window's distance. A logistic curve, fitted on labelled rows that trained neither dictionary, turns the largest
 savings of a document into its score.
 
-Fitting reads a bounded sample: at most `sample` rows of each label (default 1,500), taken in the order of a hash of the
-id, one for each distinct text, each cut at `FIT_CHARS`. Scoring reads every whole text, and labels, language, source and id never
-enter a score. The fitted model is two dictionaries of a few KB and some numbers.
+Fitting reads a bounded sample of rows: at most `sample` of each label, taken in the order of a hash of the id, one for each distinct
+text, each read whole. Texts stay in Spark tasks; the driver gets at most `stretches` pieces of ordinary text from anywhere in them,
+counts of letter runs and words, and the features of the rows for the curve. Scoring reads every whole text, and labels, language,
+source and id never enter a score. The fitted model is two dictionaries of a few KB and some numbers.
 
 Defined results: a null, empty or blank text has no window and gets the share of toxic labels as its score; labels that are null are not
 learnt from; without labels of both kinds every score is that share (0 without any); repeated rows get equal
@@ -18,8 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 WINDOW = 6
 LEVEL = 3
 GRAM = 4
 BASE_BYTES = 7_000
-FIT_CHARS = 8_000
+STRETCH = 256
 TOP = 4
 _SPLIT = re.compile("[\x20\x09-\x0d]+")
 
@@ -75,29 +76,24 @@ def _log_likelihood(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
 
 
-def distinctive(toxic: list[str], plain: list[str]) -> list[bytes]:
-    """Words of toxic texts that hold a run of GRAM letters which many toxic texts have and hardly any ordinary one does; the most
-    frequent words first, each for a run that no word before it holds."""
+def grams(text: str) -> set[str]:
+    """Runs of GRAM letters of a text in lower case."""
+    return {g for i in range(len(text) - GRAM + 1) if " " not in (g := text[i : i + GRAM])}
+
+
+def distinctive(counts: list[tuple[str, int, int]], n: int, m: int) -> set[str]:
+    """Of (gram, toxic texts, ordinary texts), the runs that many of n toxic texts have and hardly any of m ordinary ones does."""
+    return {g for g, a, b in counts if a >= max(3, 0.006 * n) and a / n > 30 * (b + 0.5) / m and _log_likelihood(a, n, b, m) > 20}
 
-    def grams(t: str) -> set[str]:
-        return {g for i in range(len(t) - GRAM + 1) if " " not in (g := t[i : i + GRAM])}
 
-    ours, theirs = Counter(), Counter()
-    for t in toxic:
-        ours.update(grams(t))
-    for t in plain:
-        theirs.update(grams(t))
-    n, m = len(toxic), len(plain)
-    good = {g for g, a in ours.items() if a >= max(3, 0.006 * n) and a / n > 30 * (theirs[g] + 0.5) / m and _log_likelihood(a, n, theirs[g], m) > 20}
-    found: Counter = Counter()
-    for t in toxic:
-        found.update(w for w in {x.strip(".,!?;:") for x in t.split()} if grams(w) & good)
+def pick(words: list[tuple[str, int]], good: set[str]) -> list[bytes]:
+    """Of (word, toxic texts) the most frequent words first, each for a run of `good` that no word before it holds."""
     picked, seen = [], set()
-    for word, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+    for word, _ in sorted(words, key=lambda x: (-x[1], x[0])):
         if own := (grams(word) & good) - seen:
             picked.append(f" {word} ".encode())
             seen |= own
-    return picked[:200]
+    return picked
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -120,37 +116,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_rows(rows: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) rows; every third row is kept from the dictionaries, for the curve."""
-    prior = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    by = {y: [t.lower() for t, label in rows if label == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
-        return Model(b"", b"", [], prior)
-    learn = {y: [t for i, t in enumerate(ts) if i % 3 or len(ts) < 3] for y, ts in by.items()}
-    curve = [(t, y) for y, ts in by.items() for i, t in enumerate(ts) if not i % 3 or len(ts) < 3]
-    flat = [b" ".join(windows(t)) for t in learn[0][:1000]]
-    base = _train([b[i : i + 256] for b in flat for i in range(0, len(b), 256)][:20_000], BASE_BYTES)
-    toxic = b"".join(reversed(distinctive(learn[1], learn[0])))
-    model = Model(base, toxic or b" ", [], prior)
-    two = model.compressors()
-    x = np.array([[1.0, *savings(t, *two)] for t, _ in curve])
-    y = np.array([y for _, y in curve], float)
-    model.weights = [float(w) for w in _logistic(x, y)]
-    return model
-
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 1_500, stretches: int = 20_000, tasks: int = 12) -> Model:
+    """Fit on the whole texts of at most `sample` labelled ids of each label, in the order of a hash of the id; equal texts count once.
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 1_500) -> Model:
-    """Fit on the texts of at most `sample` labelled ids of each label, in the order of a hash of the id; equal texts count once."""
+    Every third text is kept from the dictionaries, for the curve. The ordinary dictionary is trained on at most `stretches` stretches of
+    STRETCH bytes, in the order of a hash, of all that the other ordinary texts hold."""
     known = labels.select(labels[doc_id].alias("_id"), labels[label].cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").distinct()
     share = known.agg(F.avg(F.col("_y").cast("double"))).first()[0] or 0.0
     taken = known.where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample).unionByName(known.where("_y = 0").orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(docs[doc_id].alias("_id"), F.substring(docs[text], 1, FIT_CHARS).alias("_t")).join(F.broadcast(taken), "_id").where("_t <> ''").collect()
-    kept = list({r["_t"]: r["_y"] for r in sorted(rows, key=lambda r: (r["_id"], r["_t"]), reverse=True)}.items())
-    model = fit_rows(sorted(kept, key=lambda r: zlib.crc32(r[0].encode())))
-    if model.weights:  # the sample holds more toxic rows than the labels do: shift the curve to their share
-        had = sum(y for _, y in kept) / len(kept)
-        model.weights[0] += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(had / (1 - had))
-    model.prior = share
+    found = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_t")).join(F.broadcast(taken), "_id").where("_t <> ''")
+    found = found.groupBy("_t").agg(F.min_by("_y", F.struct("_id", "_y")).alias("_y")).withColumn("_k", F.struct(F.crc32(F.col("_t").cast("binary")).alias("c"), F.xxhash64("_t").alias("h")))
+    rows = saved(found.repartition(tasks, "_k"), "toxicity-rows")
+    keys: dict[int, list[tuple]] = {0: [], 1: []}
+    for r in rows.select("_y", "_k").collect():
+        keys[r["_y"]].append(tuple(r["_k"]))
+    if not keys[0] or not keys[1]:
+        return Model(b"", b"", [], share)
+    curve = {k for ks in keys.values() for i, k in enumerate(sorted(ks)) if not i % 3 or len(ks) < 3}
+    learn = {k for ks in keys.values() for i, k in enumerate(sorted(ks)) if i % 3 or len(ks) < 3}
+    n, m = (len(learn.intersection(keys[y])) for y in (1, 0))
+    some = lambda kept: rows.where(F.udf(lambda k: tuple(k) in kept, "boolean")("_k"))
+
+    @F.udf("array<binary>")
+    def cut(t):
+        b = b" ".join(windows(t))
+        return [b[i : i + STRETCH] for i in range(0, len(b), STRETCH)]
+
+    pieces = some(learn).where("_y = 0").select("_k", F.posexplode(cut("_t")).alias("i", "b"))
+    taken = pieces.orderBy(F.xxhash64("b", "_k", "i"), "_k", "i").limit(stretches).collect()
+    # in the order of the texts: the trainer sets its own parameters on the last samples, which are then other texts
+    base = _train([bytes(r["b"]) for r in sorted(taken, key=lambda r: (*r["_k"], r["i"]))], BASE_BYTES)
+
+    runs = some(learn).select("_y", F.explode(F.udf(lambda t: list(grams(t.lower())), "array<string>")("_t")).alias("g"))
+    counts = runs.groupBy("g").agg(F.sum("_y").alias("a"), F.sum(1 - F.col("_y")).alias("b")).where(F.col("a") >= max(3, 0.006 * n)).where(F.col("a") / n > 30 * (F.col("b") + 0.5) / m)
+    good = distinctive([tuple(r) for r in counts.collect()], n, m)
+    held = F.udf(lambda t: [w for w in {x.strip(".,!?;:") for x in t.lower().split()} if grams(w) & good], "array<string>")
+    words = some(learn).where("_y = 1").select(F.explode(held("_t")).alias("w")).groupBy("w").count()
+    model = Model(base, b"".join(reversed(pick([tuple(r) for r in words.collect()], good))) or b" ", [], share)
+
+    @F.udf("array<double>")
+    def features(t):
+        return [1.0, *savings(t, *model.compressors())]
+
+    shown = sorted((r["_y"], r["x"]) for r in some(curve).select("_y", features("_t").alias("x")).collect())
+    model.weights = [float(w) for w in _logistic(np.array([x for _, x in shown]), np.array([y for y, _ in shown], float))]
+    # the sample holds more toxic rows than the labels do: shift the curve to their share
+    had = len(keys[1]) / (len(keys[0]) + len(keys[1]))
+    model.weights[0] += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(had / (1 - had))
     return model
 
 

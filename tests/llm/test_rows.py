@@ -162,3 +162,17 @@ def test_toxicity(spark):
     assert np.mean(held) > 0.95
     none = toxicity.fit(df, labels.limit(0))
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.0}
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    """Toxic words that stand only after 9,000 characters of each toxic text train the dictionary and the curve."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["an", "the", "ou", "ti", "er", "st"]) for _ in range(rng.randint(1, 3)))
+    long = lambda: " ".join(word() for _ in range(2_500))
+    rows = [(i, long() + (" halunke grobian nitwit" * 2 if i % 3 == 0 else ""), "s") for i in range(90)]
+    assert min(len(t) for _, t, _ in rows) > 9_000
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows if i < 60], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    assert b"halunke" in model.toxic and b"grobian" in model.toxic
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert min(got[i] for i in range(60, 90, 3)) > 0.9 > max(got[i] for i in range(60, 90) if i % 3)
