@@ -75,20 +75,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == EMPTY) | (b == EMPTY), F.lit(0.0)).otherwise(estimate)
 
 
+def ranges(ids: DataFrame, parts: int) -> DataFrame:
+    """ids with a column `range`: what a sample says makes ranges of about equal size, whatever the values; -1 where the id is null."""
+    dealt = ids.repartitionByRange(max(1, parts), F.col("doc_id").asc_nulls_first())
+    return dealt.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.spark_partition_id()))
+
+
 def next_ids(ids: DataFrame, parts: int = 32) -> DataFrame:
     """(doc_id, next_id, n_chars) from (doc_id, n_chars): the next higher id, after the last the first.
 
-    Ids are cut by value into ranges, each ordered in a task of its own; the first id of each range, one row a range, links them."""
-    ends = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = (ends["low"] or 0), (ends["high"] or 0)
-    per_range = max(1, -(-(high - low + 1) // max(1, parts)))
-    ids = ids.withColumn("range", F.floor((F.col("doc_id") - F.lit(low)) / F.lit(per_range)).cast("long"))
-    ids = ids.withColumn("range", F.coalesce("range", F.lit(-1)))
+    Each range is written down, then ordered in a task of its own; the first id of each, one row a range, links them. A null id is followed by the
+    first id, and follows none."""
+    ids = saved(ranges(ids, parts), "fingerprint-ranges")
     inner = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
     firsts = ids.groupBy("range").agg(F.min("doc_id").alias("first_id"))
     order = Window.orderBy("range")
+    real = F.when(F.col("range") >= 0, F.col("first_id"))
     every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    links = firsts.select("range", F.coalesce(F.lead("first_id").over(order), F.first("first_id").over(every)).alias("after"))
+    links = firsts.select("range", F.coalesce(F.lead("first_id").over(order), F.first(real, ignorenulls=True).over(every)).alias("after"))
     return inner.join(F.broadcast(links), "range").select("doc_id", "n_chars", F.coalesce("next_id", "after").alias("next_id"))
 
 

@@ -176,3 +176,15 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
     assert b"halunke" in model.toxic and b"grobian" in model.toxic
     got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, rows), model).collect()}
     assert min(got[i] for i in range(60, 90, 3)) > 0.9 > max(got[i] for i in range(60, 90) if i % 3)
+
+
+def test_next_ids_with_outliers(spark):
+    """Ids over all of a long's span, and ids that all but one lie close together, link in order from ranges of about equal size."""
+    for ids in ([-(2**63), -5, 0, 7, 2**62, 2**63 - 1], [*range(2_000), 2**60]):
+        df = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, n_chars long")
+        got = {r["doc_id"]: r["next_id"] for r in fingerprint.next_ids(df, 8).collect()}
+        assert got == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    sizes = [r["count"] for r in fingerprint.ranges(df, 8).groupBy("range").count().collect()]
+    assert max(sizes) < 600 and sum(sizes) == 2_001
+    null = fingerprint.next_ids(spark.createDataFrame([(None, 1), (3, 1), (4, 1)], "doc_id long, n_chars long"), 2).collect()
+    assert {r["doc_id"]: r["next_id"] for r in null} == {None: 3, 3: 4, 4: 3}
