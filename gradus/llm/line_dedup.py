@@ -1,16 +1,19 @@
 """Line dedup by site-relative frequency.
 
-A line that stands on more than `max_ratio` of a host's pages, and on `min_pages` of them at least, is boilerplate of
-that host and is dropped from all its pages. Every page and every line counts; a line counts once a page. With `distinct`,
-pages of a host whose texts are equal count as one, so that many copies of one page don't make its body boilerplate.
+A line that stands on more than `max_ratio` of a host's pages is boilerplate of that host and is dropped from all its pages. Every page and every
+line counts; a line counts once a page. A line on one page alone is repeated nowhere and stays, else a host of a single page would lose all of it. With
+`distinct`, pages of a host whose texts are equal count as one, so that many copies of one page don't make its body boilerplate. With `deviations`, the count
+must exceed the ratio by so many standard deviations of a count at that ratio (a score test), so that a small group's chance repeats stay; 0
+takes the ratio as it is.
 
 How many lines of a host can be boilerplate is bounded by (mean lines a page) / max_ratio, so the set that is sent
 back to a page is small for any number of pages. Counting is one aggregation with map-side sums, so neither a hot host
-nor a hot line meets in one task; the set joins back by broadcast when it was counted small, else by a shuffled join that
+nor a hot line meets in one task; the set joins back by broadcast when its lines were counted few, else by a shuffled join that
 adaptive execution splits where a host is skewed.
 
 Defined results: a null text stays null; a blank line is never dropped; equal lines differ by nothing but blanks, tabs and
-carriage returns at their ends; pages without a host are left as they are; repeated rows are pages of their own.
+carriage returns at their ends; pages without a host are left as they are; repeated rows are pages of their own; an empty table gives no rows; further
+columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, reserved, saved
+from .common import packed, saved
 
 LINE_END = "\n"
 BLANKS = " \t\r"
+#: Boilerplate lines of all hosts (16 bytes each) up to which they are broadcast.
+BROADCAST_LINES = 100_000
 
 
 def _key(line: Column) -> Column:
@@ -41,31 +46,32 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*>", "\n")
 
 
-def boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, min_pages: int = 5, distinct: bool = False) -> DataFrame:
-    """(_host, _line, pages, host_pages): the lines that exceed the ratio."""
-    pages = df.select(df[host].alias("_host"), df[text].alias("_text")).where(F.col("_host").isNotNull())
-    pages = pages.select("_host", "_text", F.array_distinct(F.transform(F.split("_text", LINE_END), lambda x: _key(F.btrim(x, F.lit(BLANKS))))).alias("_keys"))
+def boilerplate(df: DataFrame, max_ratio: float, distinct: bool, deviations: float) -> DataFrame:
+    """df (host, text): (host, line, pages, host_pages), the lines that exceed the ratio."""
+    pages = df.where("host IS NOT NULL").select("host", "text", F.array_distinct(F.transform(F.split("text", LINE_END), lambda x: _key(F.btrim(x, F.lit(BLANKS))))).alias("keys"))
     if distinct:
-        pages = pages.groupBy("_host", _key(F.col("_text")).alias("_whole")).agg(F.first("_keys").alias("_keys"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("host_pages"))
-    lines = pages.select("_host", F.explode("_keys").alias("_line"))
-    counts = lines.groupBy("_host", "_line").agg(F.count("*").alias("pages")).where((F.col("pages") >= min_pages) & (F.col("_line") != _key(F.lit(""))))
-    return counts.join(totals, "_host").where(F.col("pages") > max_ratio * F.col("host_pages"))
-
-
-def drop_boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, min_pages: int = 5, distinct: bool = False) -> DataFrame:
-    """df with boilerplate lines taken out of `text`, and n_lines and n_dropped (longs) for each row."""
-    reserved(df, "_host", "_line", "_lines", "_bad", "n_lines", "n_dropped")
-    bad = boilerplate(df, host, text, max_ratio, min_pages, distinct).groupBy("_host").agg(F.collect_list("_line").alias("_bad"))
-    bad = broadcast_if_small(saved(bad, "boilerplate"), 2_000)
-    lines = F.filter(
-        F.col("_lines"),
-        lambda x: ~F.array_contains(F.col("_bad"), _key(F.btrim(x, F.lit(BLANKS)))),
-    )
-    out = df.withColumn("_lines", F.split(df[text], LINE_END)).join(bad, df[host] == bad["_host"], "left")
-    out = out.withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(lines))
-    return out.select(
-        *[F.array_join("_kept", LINE_END).alias(c) if c == text else df[c] for c in df.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        pages = pages.groupBy("host", _key(F.col("text")).alias("whole")).agg(F.first("keys").alias("keys"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    lines = pages.select("host", F.explode("keys").alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("pages")).where((F.col("pages") > 1) & (F.col("line") != _key(F.lit(""))))
+    least = max_ratio * F.col("host_pages")
+    if deviations:
+        least = least + deviations * F.sqrt(F.col("host_pages") * (max_ratio * (1 - max_ratio)))
+    return counts.join(totals, "host").where(F.col("pages") > least)
+
+
+def drop_boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2, distinct: bool = False, deviations: float = 0.0) -> DataFrame:
+    """df with boilerplate lines taken out of `text`, and n_lines and n_dropped (longs) for each row; columns of df with these names are replaced."""
+    bad = boilerplate(df.select(df[host].alias("host"), df[text].alias("text")), max_ratio, distinct, deviations)
+    bad = saved(bad.groupBy("host").agg(F.collect_list("line").alias("bad")).withColumnRenamed("host", "_host"), "boilerplate")
+    if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_LINES:
+        bad = F.broadcast(bad)
+    rows = packed(df).withColumn("lines", F.split(F.col("_row")[text], LINE_END)).join(bad, F.col("_row")[host] == F.col("_host"), "left")
+    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), _key(F.btrim(x, F.lit(BLANKS)))))
+    rows = rows.withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept))
+    own = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return rows.select(
+        *[F.array_join("kept", LINE_END).alias(c) if c == text else F.col("_row")[c].alias(c) for c in own],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -12,11 +12,11 @@ representative posts itself under its K coordinate-value pairs. Two documents ar
 With similarity 0.75 and K = 64 a pair has 48 equal coordinates on average (standard deviation 3.5); `match` = 32 loses about 2 in a million.
 
 What leaves a list is no set of all pairs but a spanning forest of its candidates, so a group of n near copies makes n edges. Edges are confirmed on
-the full sets. Where a candidate group is not yet one component, its documents outside its largest component are compared, on full sets, with
-all of the group that they aren't linked to, in blocks. So no link between different texts is lost, and nothing is sampled or capped.
+the full sets. Where a candidate group is not one component then, its documents are joined once more on their full sets, by a prefix join in which only
+documents of different components meet (`regrouped`). So no link between different texts is lost, and nothing is sampled or capped.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than five are one shingle; rows that share an id
-are one node; a null id is no node: component null, kept.
+are one node, each linked by its own text; a null id is no node: component null, kept; an empty table gives no rows; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ MATCH = 32
 SHINGLE = 5
 SMALL = 12
 CHUNK = 1024
-SET_CHUNK = 64
 _rng = np.random.default_rng(20_260_101)
 _MULTIPLY = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -50,14 +49,14 @@ def _sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.n
     data = tb.lower_ascii(data)
     start, end, row = tb.words(data, offsets)
     hashes = tb.word_hashes(data, start, end)
-    at, whole = tb.runs(hashes, row, n)
-    rows, values = row[at], whole
+    at = np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
+    rows, values = [row[at]], [tb.sequences(hashes, at, n)]
     counts = np.bincount(row, minlength=len(offsets) - 1)
-    few = np.flatnonzero((counts > 0) & (counts < n))
-    if len(few):
-        last = np.cumsum(counts)
-        rows = np.concatenate([rows, few])
-        values = np.concatenate([values, tb.span(tb.prefix(hashes), last[few] - counts[few], last[few])])
+    for size in range(1, n):
+        few = np.flatnonzero(counts == size)
+        rows.append(few)
+        values.append(tb.sequences(hashes, np.searchsorted(row, few), size))
+    rows, values = np.concatenate(rows), np.concatenate(values)
     order = np.lexsort((values, rows))
     rows, values = rows[order], values[order]
     new = np.ones(len(rows), bool)
@@ -65,37 +64,51 @@ def _sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.n
     return rows[new], values[new]
 
 
-def signatures(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set size, first and second hash of the set, K 32-bit coordinates) of each row."""
+def named(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, first and second hash) of each row's set: 128 bits and the size stand for the set."""
     size = np.bincount(rows, minlength=n_rows)
     sums = [np.zeros(n_rows, np.uint64) for _ in range(2)]
-    out = np.zeros((n_rows, K), np.uint32)
     has = np.flatnonzero(size)
     if len(has):
         first = np.concatenate([[0], np.cumsum(size[has])[:-1]])
         with np.errstate(over="ignore"):
             for i, salt in enumerate((0x51ED270B7A4F3C15, 0x2545F4914F6CDD1D)):
                 sums[i][has] = np.add.reduceat(tb.mix(values ^ np.uint64(salt)), first)
+    return size, *sums
+
+
+def signatures(rows: np.ndarray, values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """K 32-bit coordinates of each row."""
+    out = np.zeros((len(size), K), np.uint32)
+    has = np.flatnonzero(size)
+    if len(has):
+        first = np.concatenate([[0], np.cumsum(size[has])[:-1]])
+        with np.errstate(over="ignore"):
             for k in range(K):
                 out[has, k] = tb.mix(np.minimum.reduceat(values * _MULTIPLY[k] + _ADD[k], first)) >> np.uint64(32)
-    return size, sums[0], sums[1], out
+    return out
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in tb.slices(batch.column(1)):
-            size, a, b, sig = signatures(*_sets(data, offsets), j - i)
+            rows, values = _sets(data, offsets)
+            size, a, b = named(rows, values, j - i)
+            sig = signatures(rows, values, size)
             flat = pa.array(sig.view(np.int32).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * K + 1, K, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc", "n", "a", "b", "sig"])
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (n, a, b, set): the name of a set as `_sign` gives it, and the set."""
     for batch in batches:
-        for i, j, data, offsets in tb.slices(batch.column(1)):
+        for i, j, data, offsets in tb.slices(batch.column(0)):
             rows, values = _sets(data, offsets)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=j - i))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["doc", "set"])
+            size, a, b = named(rows, values, j - i)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), sets], names=["n", "a", "b", "set"])
 
 
 def _forest(docs: np.ndarray, sig: np.ndarray, chunk: np.ndarray, cross: bool, match: int) -> list[tuple[int, int]]:
@@ -139,54 +152,41 @@ def candidate_edges(lists: DataFrame, signed: DataFrame, match: int) -> DataFram
     return one.unionByName(many.groupBy("key", "lo", "hi").applyInPandas(_list_edges(match), "a long, b long"))
 
 
-def _links_in(sets: list[np.ndarray], other: np.ndarray, ask: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (i, j) of `ask` rows i and any rows j, of different `other`, whose sets are alike enough."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    name = np.cumsum(new) - 1
-    shared = np.bincount(name) > 1
-    keep = shared[name]
-    name, owner = (np.cumsum(shared) - 1)[name[keep]], owner[keep]
-    both = np.zeros((n, n), np.float32)
-    for first in range(0, int(shared.sum()), 8192):
-        here = (name >= first) & (name < first + 8192)
-        grid = np.zeros((n, 8192), np.float32)
-        grid[owner[here], name[here] - first] = 1
-        both += grid @ grid.T
-    union = size[:, None] + size[None, :] - both
-    good = (100 * both >= percent * union) & (other[:, None] != other[None, :]) & ask[:, None]
-    return np.argwhere(good)
-
-
-def _block_links(percent: int):
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc")
-        docs = rows["doc"].to_numpy()
-        found = _links_in([np.asarray(s) for s in rows["set"]], rows["comp"].to_numpy(), ~rows["main"].to_numpy(bool), percent)
-        return pd.DataFrame({"a": docs[found[:, 0]], "b": docs[found[:, 1]]}, dtype="int64").drop_duplicates()
-
-    return links
-
-
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = edges.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def regrouped(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """groups (doc, key, comp), candidate groups `key` of several components: (a, b), all links in a group between documents of two components.
+
+    A prefix join on the sets: a document posts its rarest shingles in the group, as many as it can lack in common with another and still be linked. The
+    smaller set of a pair posts fewer (no more than the pair can differ by, were both as small). So what a whole group shares is posted by hardly any document."""
+    held = groups.join(sets, "doc")
+    counts = saved(held.select("key", F.explode("set").alias("s")).groupBy("key", "s").agg(F.count("*").alias("n")).where("n > 1"), "minhash-shingles")
+    each = held.select("doc", "key", "comp", F.size("set").alias("size"), F.explode("set").alias("s")).join(counts, ["key", "s"])
+    # shingles that nobody shares come first in the order, whichever they are
+    some = each.groupBy("doc", "key", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    t = percent / 100
+    probe, index = (F.greatest(F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)).cast("int") + 1 - alone, F.lit(0)) for share in (t, 2 * t / (1 + t)))
+    some = saved(some.select("doc", "key", "comp", "size", F.slice("shared", F.lit(1), probe).alias("probe"), F.slice("shared", F.lit(1), index).alias("index")), "minhash-prefixes")
+    left = some.select(F.col("doc").alias("a"), "key", F.col("comp").alias("ca"), F.col("size").alias("na"), F.explode("probe.s").alias("s"))
+    right = some.select(F.col("doc").alias("b"), "key", F.col("comp").alias("cb"), F.col("size").alias("nb"), F.explode("index.s").alias("s"))
+    met = left.join(right, ["key", "s"]).where((F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")) & (100 * F.col("nb") >= percent * F.col("na")))
+    return _confirmed(saved(met.select("a", "b").distinct(), "minhash-met"), sets, percent)
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, match: int = MATCH) -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id (the smallest id that it reaches), kept."""
     docs = df.select(df[doc_id].cast("long").alias("doc"), df[text].alias("text"))
     signed = saved(docs.mapInArrow(_sign, "doc long, n long, a long, b long, sig array<int>"), "minhash-signatures")
     full = signed.where("n > 0 AND doc IS NOT NULL")
-    # equal sets: one representative, the smallest id
-    groups = saved(full.groupBy("n", "a", "b").agg(F.min("doc").alias("rep")), "minhash-groups")
-    reps = saved(full.join(groups.select(F.col("rep").alias("doc"), F.col("n").alias("gn"), F.col("a").alias("ga"), F.col("b").alias("gb")), "doc").where("n = gn AND a = ga AND b = gb").select("doc", "sig").dropDuplicates(["doc"]), "minhash-reps")
+    # equal sets have one representative, with a number of its own: an id may stand on several rows
+    groups = full.groupBy("n", "a", "b").agg(F.min("doc").alias("least"), F.first("sig").alias("sig"))
+    groups = saved(groups.withColumn("rep", F.monotonically_increasing_id()), "minhash-groups")
+    reps = groups.select(F.col("rep").alias("doc"), "sig")
 
     posts = reps.select("doc", F.posexplode("sig").alias("k", "v")).select("doc", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     # saved, so that both sides of the join are plain shuffles, of which Spark splits what is skewed
@@ -198,36 +198,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     # the rarest coordinates first; lists that their groups already span need no second look
     first = saved(candidate_edges(prefix.where("rank <= 2").select("key", "doc"), reps, match), "minhash-candidates")
-    group = saved(components(first), "minhash-groups")
+    group = saved(components(first), "minhash-known")
     known = prefix.join(group, prefix["doc"] == group["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("g"))
     mixed = saved(known.groupBy("key").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("key"), "minhash-mixed")
     rest = known.join(mixed, "key").select("key", "doc")
     edges = saved(first.unionByName(candidate_edges(rest, reps, match)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "minhash-candidates")
 
-    # confirm on full sets
-    wanted = saved(edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "minhash-wanted")
-    texts = docs.join(broadcast_if_small(wanted), "doc")
-    sets = saved(texts.mapInArrow(_full, "doc long, set array<bigint>").join(groups.select(F.col("rep").alias("doc"), "n"), "doc").where("size(set) = n").select("doc", "set").dropDuplicates(["doc"]), "minhash-sets")
+    # confirm on full sets, which are cut from one text of each set
+    name = ["n", "a", "b"]
+    wanted = saved(edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(groups.select("rep", "least", *name), "rep"), "minhash-wanted")
+    texts = docs.join(broadcast_if_small(wanted.select(F.col("least").alias("doc")).distinct()), "doc").select("text")
+    sets = texts.mapInArrow(_full, "n long, a long, b long, set array<bigint>").join(wanted.select("rep", *name), name)
+    sets = saved(sets.select(F.col("rep").alias("doc"), "set").dropDuplicates(["doc"]), "minhash-sets")
     links = saved(_confirmed(edges, sets, percent), "minhash-links")
-    comp, group = saved(components(links), "minhash-components"), saved(components(edges), "minhash-groups")
+    comp, group = saved(components(links), "minhash-components"), saved(components(edges), "minhash-candidate-groups")
 
-    # groups in which confirmed links leave more than one component
+    # groups that fall apart when only confirmed links hold them
     member = group.join(comp.withColumnRenamed("component", "comp"), "node", "left").select(F.col("node").alias("doc"), F.col("component").alias("key"), F.coalesce("comp", "node").alias("comp"))
-    sizes = saved(member.groupBy("key", "comp").agg(F.count("*").alias("n")), "minhash-sizes")
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    work = member.join(main, "key").withColumn("main", F.col("comp") == F.col("top"))
-    side = F.ceil((F.col("all") - F.col("most")) / F.lit(SET_CHUNK)).cast("int")
-    core = F.ceil(F.col("most") / F.lit(SET_CHUNK)).cast("int")
-    work = work.withColumn("own", F.when(F.col("main"), -1 - F.pmod(F.xxhash64("doc"), core)).otherwise(F.pmod(F.xxhash64("doc"), side)).cast("int"))
-    # a row of the main component meets every side chunk; a row outside it meets all chunks
-    meets = F.when(F.col("main"), F.sequence(F.lit(0), side - 1)).otherwise(F.sequence(-core, side - 1))
-    work = work.withColumn("with", F.explode(meets)).select("doc", "comp", "main", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
-    more = work.join(sets, "doc").groupBy("key", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
-    every = saved(links.unionByName(more), "minhash-links")
-    final = components(every)
-
-    out = signed.join(groups, ["n", "a", "b"], "left").join(final, F.col("rep") == F.col("node"), "left")
-    # an id that stands on several rows is one node
-    reach = out.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.coalesce("component", "rep", "doc")).alias("component_id"))
-    out = signed.select("doc", "n").join(reach, "doc", "left")
+    apart = saved(member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "minhash-apart")
+    more = regrouped(member.join(apart, "key").select("doc", "key", "comp"), sets, percent)
+
+    # an id that stands on several rows is one node, whatever its sets
+    owner = full.select("doc", *name).join(groups.select("rep", *name), name).select("doc", "rep").distinct()
+    several = saved(owner.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("doc", "b"), "minhash-shared-ids")
+    every = links.unionByName(more).unionByName(owner.join(several, "doc").select(F.col("rep").alias("a"), "b"))
+    final = saved(components(every), "minhash-components")
+    reach = groups.select("rep", "least", *name).join(final, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
+    reach = reach.join(reach.groupBy("c").agg(F.min("least").alias("component_id")), "c").select(*name, "component_id")
+    # a row without a set goes with the other rows of its id
+    out = signed.where("doc IS NOT NULL").select("doc", *name).join(saved(reach, "minhash-reach"), name, "left")
+    per_id = saved(out.groupBy("doc").agg(F.min(F.coalesce("component_id", "doc")).alias("component_id")), "minhash-ids")
+    out = signed.select("doc", "n").join(per_id, "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -12,17 +12,20 @@ hash within a source, so one source with a third of all rows is many blocks. Eve
 document and its block: reruns agree.
 
 Defined results: a null or blank text has size 0 and is never more than 0 words; a null source is a source of its own, last in
-order; repeated rows are documents of their own; an empty table gives an empty result.
+order; repeated rows are documents of their own; an empty table gives an empty result; further columns, whatever their names, are carried by
+`mixed_documents` and left out by `mix`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, reserved, saved
+from .common import WORD, broadcast_if_small, packed, saved
 
 NEAR = 1e-9
 
@@ -118,12 +121,30 @@ def balanced(units: DataFrame, block: int = 1024, seed: int = 1) -> DataFrame:
     return out
 
 
+def ranked(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows with a column rank that numbers rows of equal key, 0 where a key stands once. rows is a saved table with a column unit that holds a
+    row's partition in its upper bits: equal rows are numbered a partition at a time, so no task gets all of them."""
+    same = lambda other: reduce(lambda x, y: x & y, (rows[c].eqNullSafe(other[c]) for c in key))
+    again = saved(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), f"{name}-again")
+    if again.isEmpty():
+        return rows.withColumn("rank", F.lit(0).cast("long"))
+    many = rows.join(again, same(again), "left_semi").withColumn("part", F.shiftright("unit", 33))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = saved(many.groupBy(*key, "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), f"{name}-parts")
+    many = many.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "part").orderBy("unit")) - 1)
+    both = reduce(lambda x, y: x & y, (many[c].eqNullSafe(parts[c]) for c in [*key, "part"]))
+    many = many.join(parts, both).select(*[many[c] for c in rows.columns], (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+    return rows.join(again, same(again), "left_anti").withColumn("rank", F.lit(0).cast("long")).unionByName(many)
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: int = 1) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken), a row for each row of df."""
     rows = df.select(df[doc_id].alias("doc_id"), df[source].cast("string").alias("source"), F.coalesce(F.regexp_count(df[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    # the place of a row in the saved table tells repeated rows apart; the table is written once, so it stays
-    rows = saved(rows.withColumn("unit", F.monotonically_increasing_id()).withColumn("draw", F.xxhash64("doc_id", "size")), "mix-sizes")
+    # the place of a row in the saved table is its name; the table is written once, so it stays
+    rows = saved(rows.withColumn("unit", F.monotonically_increasing_id()), "mix-sizes")
     targets = saved(source_targets(rows, weights, share, cap), "mix-targets")
+    # what is drawn for equal rows differs by their number, so that they are dealt out over the blocks
+    rows = ranked(rows, ["doc_id", "source", "size"], "mix").withColumn("draw", F.xxhash64("doc_id", "size", "rank")).drop("rank")
     every = rows.join(broadcast_if_small(targets), rows["source"].eqNullSafe(targets["source"])).select(rows["*"], "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     every = every.withColumn("whole", F.floor(ratio + F.lit(NEAR)).cast("int")).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("whole")))
@@ -134,13 +155,20 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
     """The rows that the mix takes, as often as it takes them; rows equal in id, source and size change places freely."""
-    reserved(df, "_id", "_source", "_size", "_key", "_row", "_copies", "_n")
-    key = F.xxhash64("_id", "_source", "_size").alias("_key")
-    same = Window.partitionBy("_key").orderBy("_id", "_source", "_size")
-    picked = mix(df, doc_id, text, source, **kw).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    picked = picked.withColumn("_key", key).withColumn("_row", F.row_number().over(same)).where("_copies > 0").select("_key", "_row", "_copies")
-    size = F.coalesce(F.regexp_count(df[text], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.withColumns({"_id": df[doc_id], "_source": df[source].cast("string"), "_size": size}).withColumn("_key", key).withColumn("_row", F.row_number().over(same))
-    # the key alone deals the texts out, once for the numbers and the join
-    out = rows.join(picked.withColumnRenamed("_row", "_pick"), "_key").where("_row = _pick").withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies")))
-    return out.select(*df.columns)
+    key = ["id", "owner", "size"]
+    picked = mix(df, doc_id, text, source, **kw).select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), "size", "copies")
+    picked = saved(picked.withColumn("unit", F.monotonically_increasing_id()), "mix-picked")
+    size = F.coalesce(F.regexp_count(F.col("_row")[text], F.lit(WORD)), F.lit(0)).cast("long")
+    rows = packed(df).select("_row", F.col("_row")[doc_id].alias("id"), F.col("_row")[source].cast("string").alias("owner"), size.alias("size"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in key))
+    again = saved(picked.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mix-equal")
+    taken = picked.where("copies > 0")
+    if again.isEmpty():
+        out = rows.join(taken, same(rows, taken)).select("_row", "copies")
+    else:
+        once, few = rows.join(again, same(rows, again), "left_anti"), taken.join(again, same(taken, again), "left_anti")
+        out = once.join(few, same(once, few)).select("_row", "copies")
+        many = ranked(saved(rows.join(again, same(rows, again), "left_semi").withColumn("unit", F.monotonically_increasing_id()), "mix-equal-rows"), key, "mix-rows")
+        several = ranked(saved(picked.join(again, same(picked, again), "left_semi"), "mix-equal-picked"), key, "mix-picks")
+        out = out.unionByName(many.join(several, same(many, several) & (many["rank"] == several["rank"])).where("copies > 0").select("_row", "copies"))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col("_row")[c].alias(c) for c in df.columns])

@@ -76,7 +76,7 @@ l AS (SELECT page_id, host, pos, lines[pos] AS line, trim(lines[pos], chr(32) ||
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM p)),
 t AS (SELECT host, count(*) AS n FROM p GROUP BY host),
 bad AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT page_id) AS c FROM l WHERE host IS NOT NULL AND k <> '' GROUP BY ALL) JOIN t USING (host)
-  WHERE c >= 5 AND c > 0.2 * n),
+  WHERE c > 1 AND c > 0.2 * n),
 m AS (SELECT l.*, bad.k IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.host = bad.host AND l.k = bad.k)
 SELECT page_id, any_value(host) AS host, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
   count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM m GROUP BY page_id""",

@@ -1,57 +1,71 @@
-"""Windows of a fixed length that occur more than once in a corpus, found through anchors.
+"""Windows of a fixed number of units (bytes or words) that occur more than once in a corpus, by passes from the most significant digit on.
 
-An anchor finder assigns to every window a place inside it, as a function of the window's content alone; equal windows therefore have the
-same anchor at the same distance. Neighbouring windows mostly share their anchor, so a document has far fewer anchors than windows:
+Sorting every window by its first digit would move the whole text once for each unit. So a window's first digit is not taken at its start but
+at its anchor: a place inside it that a finder derives from the window's content alone. Equal windows have equal anchors at equal distances, and
+neighbouring windows mostly share one, so an occurrence is one anchor with the run of windows that have it.
 
-1. Each anchor's key is counted over the corpus; keys that occur once hold no repeated window.
-2. Occurrences of the others carry their context, the text that their windows cover. Occurrences with equal contexts are one class, of which
-   the first (lowest document, then place) stands for all: the others repeat every window of it. The minimum is summed on the map side, so a passage
-   that a third of all documents hold is one row a task.
-3. Where a key has several classes, the windows of their first occurrences are compared with each other. Keys with few classes are
-   compared in tasks, many at a time; keys with many are dealt out window by window.
+1. First digit: occurrences are counted by their anchor's key, and those whose key nobody else has go no further. The others carry the units that
+   their windows cover.
+2. Each pass settles and splits. Settle: occurrences whose windows cover the same units are one class, of which the first (lowest document, then
+   place) leads; all windows of the others have occurred. Split: a class's windows fall into families by their distance from the anchor, some
+   5 a pass, and the units that all windows of a family share, wider from pass to pass, are its next digit. Families whose digit
+   stands in one class alone go no further.
+3. After the last pass a family is one window, its digit the window itself.
 
-Every step is a join or an aggregation on a hash; nothing is sampled or capped, and no pair of documents is ever written down.
+Classes are told apart by the SHA-256 of their units (its first 16 bytes); other hashes only choose candidates. Every step is an aggregation with
+map-side sums or a join of two plain shuffles, which Spark splits where a key is hot: no group is gathered in a task, no pair of documents written down,
+nothing sampled or capped.
+
+A document is a row (doc, alt, text): doc its id, alt tells texts apart that share an id. None of those is earlier than another.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textbytes as tb
-from .common import broadcast_if_small, saved
+from .common import broadcast_if_small, digest, saved
+
+#: Ids up to which the documents to be changed are found by a broadcast (16 bytes each).
+BROADCAST_IDS = 300_000
+#: Bytes of text that a finder takes at once; it needs some 220 for each.
+PIECE = 1 << 17
 
 
 class Anchors(NamedTuple):
-    """The anchor occurrences of one slice of rows, each with a run of neighbouring windows; places are in units of the row."""
+    """The occurrences of one piece of text: anchors with runs of neighbouring windows; places are in units of the piece's rows."""
 
     row: np.ndarray
-    place: np.ndarray
     key: np.ndarray
+    place: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    context: np.ndarray  # a hash of all that the windows cover
-    payload: Callable[[np.ndarray], list[bytes]]  # of the occurrences with these indexes: what `Windows` reads
+    covered: Callable[[int], bytes]  # the units that the windows of the occurrence with this index cover
 
     @staticmethod
     def none() -> Anchors:
-        z, u = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return Anchors(z, z, u, z, z, u, lambda keep: [])
+        z = np.zeros(0, np.int64)
+        return Anchors(z, np.zeros(0, np.uint64), z, z, z, lambda _: b"")
 
 
-Finder = Callable[[np.ndarray, np.ndarray], Anchors]
-#: Window hashes of payloads, given as bytes and offsets: (payload, number of the window in it, hash).
-Windows = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+class Kind(NamedTuple):
+    """What a unit is."""
 
-#: Classes of one key that one task compares: some 35 MB with all their windows. Keys with more are dealt out window by window.
-FEW_CLASSES = 20_000
-#: Ids up to which the documents to be changed are found by a broadcast (16 bytes each).
-BROADCAST_IDS = 300_000
+    #: Of a column of texts: (number of the first row, anchors), each window once.
+    find: Callable[[pa.Array], Iterator[tuple[int, Anchors]]]
+    #: (covered units as bytes, first unit from 0, number of units) to those units as bytes.
+    cut: Callable[[Column, Column, Column], Column]
+    window: int
+    #: Numbers of neighbouring distances in a family, from pass to pass; each divides the one before, the last is 1.
+    widths: tuple[int, ...]
+    #: Whether a window that occurs further up in its own document is a repeat.
+    within: bool
 
 
 def grouped(anchor: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,137 +79,160 @@ def grouped(anchor: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.append(first[1:], len(anchor)) - 1
 
 
-def _keys(find: Finder):
+def _keys(kind: Kind):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, offsets in tb.slices(batch.column(1)):
-                x = find(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(docs[i + x.row]), pa.array(x.first.astype(np.int32))], names=["key", "doc", "first"])
+            docs, alts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, x in kind.find(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(docs[i + x.row]), pa.array(alts[i + x.row]), pa.array(x.first.astype(np.int32))], names=["key", "doc", "alt", "first"])
 
     return keys
 
 
-def _contexts(find: Finder):
-    """Occurrences of shared anchors, from (doc, text, firsts): firsts lists the first windows of a document's shared anchors."""
+def _occurrences(kind: Kind):
+    """(doc, alt, text, firsts) to the occurrences at `firsts`, the first windows of a document's shared anchors: (key, class, doc, alt, anchor, a, b, units);
+    a to b are the distances of the windows from the anchor. A class that the piece holds already comes without units. Where repeats within a
+    document count, one that the document holds already comes as a run of repeats, without a class: (null, null, doc, alt, start, null, windows, null)."""
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, j, data, offsets in tb.slices(batch.column(1)):
-                x = find(data, offsets)
-                lists = wanted[i:j]
-                counts = np.diff(lists.offsets.to_numpy())
-                mine = np.repeat(np.arange(j - i), counts) << 40 | lists.flatten().to_numpy().astype(np.int64)
-                keep = np.flatnonzero(np.isin(x.row << 40 | x.first, mine))
-                first, gap = x.first[keep], (x.place - x.first)[keep]
-                context = tb.mix(x.context[keep] + gap.astype(np.uint64))
+            docs, alts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            wanted = batch.column(3)
+            starts, flat = wanted.offsets.to_numpy(), wanted.values.to_numpy()
+            mine: set[bytes] = set()
+            of = -1
+            for i, x in kind.find(batch.column(2)):
+                seen: set[bytes] = set()
+                out: list[list] = []
+                order = np.flatnonzero(_wanted(i + x.row, x.first, starts, flat))
+                for k, row, first, last, place in zip(order.tolist(), *(v[order].tolist() for v in (x.row, x.first, x.last, x.place)), strict=True):
+                    if of != i + row:
+                        of, mine = i + row, set()
+                    units, a, b = x.covered(k), place - last, place - first
+                    name = hashlib.sha256(b"%d %d " % (a, b) + units).digest()[:16]
+                    if kind.within and name in mine:
+                        if out and out[-1][1] is None and out[-1][2] == of and out[-1][4] + out[-1][6] == first:
+                            out[-1][6] += last - first + 1
+                        else:
+                            out.append([None, None, of, None, first, None, last - first + 1, None])
+                        continue
+                    out.append([int(x.key[k].view(np.int64)), name, of, None, place, a, b, None if name in seen else units])
+                    seen.add(name)
+                    mine.add(name)
+                columns = list(zip(*out, strict=True)) or [()] * 8
+                at = np.array(columns[2], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.key[keep].view(np.int64)), pa.array(context.view(np.int64)), pa.array(docs[i + x.row[keep]]), pa.array(first.astype(np.int32)), pa.array((x.last[keep] - first + 1).astype(np.int32)), pa.array(gap.astype(np.int32)), pa.array(x.payload(keep), pa.binary())],
-                    names=["key", "context", "doc", "first", "n", "gap", "payload"],
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(docs[at]), pa.array(alts[at]), *[pa.array(columns[c], pa.int32()) for c in (4, 5, 6)], pa.array(columns[7], pa.binary())],
+                    names=["key", "class", "doc", "alt", "anchor", "a", "b", "units"],
                 )
 
-    return contexts
-
-
-def _payloads(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    return tb.slices(column.cast(pa.large_binary()).view(pa.large_string()), 4 << 20)
-
-
-def _class_windows(windows: Windows):
-    """(key, context, doc, first, gap, payload) to a row for each window: its number, its distance from the anchor and its hash."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, _, data, offsets in _payloads(batch.column(5)):
-                at, number, value = windows(data, offsets)
-                take = pa.array(i + at)
-                same = [batch.column(k).take(take) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(number.astype(np.int32)), pa.array(value.view(np.int64))], names=["key", "context", "doc", "first", "gap", "number", "window"])
-
-    return spread
-
-
-def _compare(windows: Windows, within: bool):
-    """Over a partition sorted by key: the windows of each class that another class of its key holds earlier."""
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        key, context, doc, first, gap = (rows.column(k).to_numpy() for k in range(5))
-        payload = rows.column(5).chunk(0)
-        ats, numbers, values = [], [], []
-        for i, _, data, offsets in _payloads(payload):
-            at, number, value = windows(data, offsets)
-            ats.append(at + i), numbers.append(number), values.append(value)
-        at, number, value = np.concatenate(ats), np.concatenate(numbers), np.concatenate(values)
-        distance = number - gap[at]
-        order = np.lexsort((first[at], doc[at], value, distance, key[at]))
-        at, number, value, distance = at[order], number[order], value[order], distance[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (key[at[1:]] != key[at[:-1]]) | (value[1:] != value[:-1]) | (distance[1:] != distance[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        later = ~new if within else doc[at] > doc[at[lead]]
-        at, number = at[later], number[later]
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(context[at]), pa.array(doc[at]), pa.array(number.astype(np.int32))], names=["key", "context", "doc", "number"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = rows.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            held = rows.slice(cut)
-            lo = 0
-            while lo < cut:  # whole keys, some thousand classes at a time
-                hi = int(np.searchsorted(key, key[lo + 4000])) if lo + 4000 < cut else cut
-                hi = hi if hi > lo else min(cut, int(np.searchsorted(key, key[lo], "right")))
-                yield done(rows.slice(lo, hi - lo))
-                lo = hi
-        if held is not None:
-            yield done(held)
-
-    return compare
-
-
-def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (doc, text) split in two: documents, and (doc) of those whose text a lower doc has."""
-    hashed = docs.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("h3"))
-    groups = hashed.groupBy("h1", "h2", "h3").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = saved(hashed.join(groups, ["h1", "h2", "h3"]).where("doc > least").select("doc").distinct(), "repeat-copies")
-    return docs.join(broadcast_if_small(copies, BROADCAST_IDS), "doc", "left_anti"), copies
-
-
-def repeated(docs: DataFrame, find: Finder, windows: Windows, within: bool, few: int = FEW_CLASSES) -> DataFrame:
-    """docs (doc, text), doc unique: (doc, runs), runs an array of (first, n) runs of windows that occur earlier, in a lower doc or, if
-    `within`, further up in the same one; documents without any are left out."""
-    keys = docs.mapInArrow(_keys(find), "key long, doc long, first int")
-    # saved, so that both sides of the join are plain shuffles, of which Spark splits what is skewed
-    shared = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeat-keys")
-    places = saved(keys.join(shared, "key").groupBy("doc").agg(F.collect_list("first").alias("firsts")), "repeat-places")
-    shape = "key long, context long, doc long, first int, n int, gap int, payload binary"
-    occurrences = saved(docs.join(places, "doc").select("doc", "text", "firsts").mapInArrow(_contexts(find), shape), "repeat-contexts")
-
-    same = ["key", "context"]
-    lead = F.min(F.struct("doc", "first", "gap", "payload")).alias("lead")
-    classes = saved(occurrences.groupBy(*same).agg(lead, F.count("*").alias("n")).select(*same, "lead.*", "n"), "repeat-classes")
-    several = classes.where("n > 1").select(*same, F.col("doc").alias("lead_doc"), F.col("first").alias("lead_first"))
-    narrow = occurrences.select(*same, "doc", "first", "n")
-    later = (F.col("doc") > F.col("lead_doc")) | ((F.col("doc") == F.col("lead_doc")) & (F.col("first") > F.col("lead_first")) & F.lit(within))
-    whole = narrow.join(several, same).where(later).select("doc", F.col("first").alias("start"), "n")
-
-    per_key = saved(classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1"), "repeat-several")
-    multi = classes.join(per_key, "key").select(*same, "doc", "first", "gap", "payload", "classes")
-    tasks = multi.where(f"classes <= {few}").drop("classes").repartition("key").sortWithinPartitions("key")
-    found = tasks.mapInArrow(_compare(windows, within), "key long, context long, doc long, number int")
-    spread = multi.where(f"classes > {few}").drop("classes").mapInArrow(_class_windows(windows), "key long, context long, doc long, first int, gap int, number int, window long").withColumn("distance", F.col("number") - F.col("gap"))
-    least = spread.groupBy("key", "distance", "window").agg(F.min(F.struct("doc", "first")).alias("l"))
-    behind = (F.col("doc") > F.col("l.doc")) | (F.lit(within) & (F.col("doc") == F.col("l.doc")) & (F.col("first") > F.col("l.first")))
-    many = spread.join(least, ["key", "distance", "window"]).where(behind).select(*same, "doc", "number")
-    single = saved(found.unionByName(many).groupBy(*same, "doc").agg(F.collect_set("number").alias("numbers")), "repeat-single")
-    single = narrow.join(single, [*same, "doc"]).select("doc", F.explode("numbers").alias("number"), "first").select("doc", (F.col("first") + F.col("number")).alias("start"), F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return occurrences
+
+
+def _wanted(rows: np.ndarray, first: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Which (row, first) the lists hold: row r's list is flat[starts[r]:starts[r + 1]]."""
+    if not len(rows):
+        return np.zeros(0, bool)
+    low, high = int(rows.min()), int(rows.max()) + 1
+    counts = np.diff(starts[low : high + 1])
+    lists = np.repeat(np.arange(low, high), counts) << 40 | flat[starts[low] : starts[high]].astype(np.int64)
+    return np.isin(rows << 40 | first, lists)
+
+
+STATE = ["class", "doc", "alt", "anchor", "a", "b", "units", "name"]
+
+
+def _settled(rows: DataFrame, within: bool, shared_ids: bool, step: str) -> tuple[DataFrame, DataFrame]:
+    """rows of STATE: (leading rows of each class, (doc, alt, start, n) runs of windows that have occurred)."""
+    lead = F.min(F.struct("doc", "alt", "anchor")).alias("l")
+    leads = saved(rows.groupBy("class").agg(lead, F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("a", "b", "units", "name")]), f"{step}-leads")
+    copied = leads.where("copies > 1").select("class", F.col("l.doc").alias("ldoc"), F.col("l.alt").alias("lalt"), F.col("l.anchor").alias("lanchor"))
+    pairs = rows.select("class", "doc", "alt", "anchor", "a", "b").join(copied, "class")
+    tied = (F.col("doc") == F.col("ldoc")) & ~((F.col("alt") == F.col("lalt")) & (F.col("anchor") == F.col("lanchor")))
+    run = [F.col("doc"), F.col("alt"), (F.col("anchor") - F.col("b")).alias("start"), (F.col("b") - F.col("a") + 1).alias("n")]
+    found = pairs.where("doc > ldoc").select(run)
+    out = leads.select("class", "l.*", "a", "b", "units", "name")
+    if within:
+        found = found.unionByName(pairs.where(tied & (F.col("alt") == F.col("lalt"))).select(run))
+    if not within or shared_ids:
+        # occurrences that are no later than the leading one go on beside it
+        also = pairs.where(tied & (F.lit(not within) | (F.col("alt") != F.col("lalt"))))
+        if within:
+            least = also.withColumn("least", F.min("anchor").over(Window.partitionBy("class", "alt")))
+            found = found.unionByName(least.where("anchor > least").select(run))
+            also = least.where("anchor = least")
+        out = out.unionByName(also.select("class", "doc", "alt", "anchor").join(leads.select("class", "a", "b", "units", "name"), "class"))
+    return out.select(STATE), found
+
+
+def _shared(rows: DataFrame, kind: Kind, settled: bool, step: str) -> DataFrame:
+    """rows of STATE without those whose name stands in one row alone or, where classes are settled, in one class alone."""
+    counts = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), F.min("doc").alias("p"), F.max("doc").alias("q"))
+    several = counts.where(("x < y" if settled else "n > 1") + ("" if kind.within else " AND p < q"))
+    return rows.join(saved(several.select("name"), f"{step}-names"), "name").select(STATE)
+
+
+def _families(rows: DataFrame, kind: Kind, width: int) -> DataFrame:
+    """rows of STATE split by distance into families of `width` neighbouring distances, named by the units that all windows of a family share."""
+    w = F.lit(width)
+    out = rows.withColumn("lo", F.explode(F.transform(F.sequence(F.floor(F.col("a") / w).cast("int"), F.floor(F.col("b") / w).cast("int")), lambda f: f * w)))
+    out = out.withColumn("a2", F.greatest("a", "lo")).withColumn("b2", F.least(F.col("b"), F.col("lo") + w - 1))
+    shared = kind.cut(F.col("units"), F.col("b") - F.col("lo"), F.lit(kind.window + 1 - width))
+    units = kind.cut(F.col("units"), F.col("b") - F.col("b2"), F.col("b2") - F.col("a2") + F.lit(kind.window))
+    out = out.select("doc", "alt", "anchor", F.col("a2").alias("a"), F.col("b2").alias("b"), units.alias("units"), F.xxhash64("lo", shared).alias("name"))
+    return out.withColumn("class", digest(F.concat_ws(" ", "a", "b", F.lit("")), F.col("units"))).select(STATE)
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """docs (doc, text): (documents (doc, alt, text), each once, without those whose text a lower doc has; odd (doc, hash, alt, copy), the texts that are
+    such copies or whose id stands on several rows; whether an id has several texts)."""
+    hashed = docs.select("doc", digest(F.col("text")).alias("hash"))
+    twice = saved(hashed.groupBy("hash").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeat-texts")
+    ids = saved(docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeat-ids")
+    odd = hashed.join(twice, "hash").where("doc > least").select("doc", "hash", F.lit(True).alias("copy")).unionByName(hashed.join(ids, "doc").select("doc", "hash", F.lit(False).alias("copy")))
+    odd = odd.groupBy("doc", "hash").agg(F.max("copy").alias("copy"))
+    odd = saved(odd.withColumn("alt", F.row_number().over(Window.partitionBy("doc").orderBy("hash")) - 1), "repeat-odd")
+    some = broadcast_if_small(odd.select("doc").distinct(), BROADCAST_IDS)
+    again = docs.join(ids, "doc", "left_semi").withColumn("hash", digest(F.col("text"))).join(odd.where("NOT copy"), ["doc", "hash"])
+    again = again.groupBy("doc", "alt").agg(F.first("text").alias("text"))
+    return docs.join(some, "doc", "left_anti").select("doc", F.lit(0).alias("alt"), "text").unionByName(again), odd, not odd.where("alt > 0").isEmpty()
+
+
+def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
+    """docs (doc, text), neither null: ((doc, alt, runs), runs an array of (start, n) runs of windows that occur earlier; documents without any and copies
+    are left out; odd as distinct_texts gives it)."""
+    each, odd, shared_ids = distinct_texts(docs)
+    keys = each.mapInArrow(_keys(kind), "key long, doc long, alt int, first int")
+    several = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("p"), F.max("doc").alias("q"))
+    # written down, so that both sides of the join are plain shuffles, of which Spark splits what is hot
+    several = saved(several.where("n > 1" if kind.within else "p < q").select("key"), "repeat-keys")
+    places = saved(keys.join(several, "key").groupBy("doc", "alt").agg(F.collect_list("first").alias("firsts")), "repeat-places")
+    shape = "key long, class binary, doc long, alt int, anchor int, a int, b int, units binary"
+    met = saved(each.join(places, ["doc", "alt"]).select("doc", "alt", "text", "firsts").mapInArrow(_occurrences(kind), shape), "repeat-occurrences")
+    found = [met.where("class IS NULL").select("doc", "alt", F.col("anchor").alias("start"), F.col("b").alias("n"))]
+    rows = met.where("class IS NOT NULL").withColumnRenamed("key", "name").select(STATE)
+    for step, width in enumerate((0, *kind.widths)):
+        if width:
+            rows = _families(_shared(rows, kind, True, f"repeat-{step}"), kind, width)
+            rows = saved(_shared(rows, kind, False, f"repeat-{step}"), f"repeat-{step}-rows")
+        rows, more = _settled(rows, kind.within, shared_ids, f"repeat-{step}")
+        found.append(more)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return saved(every.groupBy("doc", "alt").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "repeat-runs"), odd
+
+
+def with_runs(docs: DataFrame, runs: DataFrame, odd: DataFrame) -> DataFrame:
+    """(doc, text, runs, copy) for every row of docs; rows without either join nothing when their ids are few enough to broadcast."""
+    none = F.lit(None)
+    plain = runs.join(odd.select("doc").distinct(), "doc", "left_anti").select("doc", none.cast("binary").alias("hash"), "runs", F.lit(False).alias("copy"))
+    touched = saved(plain.unionByName(odd.join(runs, ["doc", "alt"], "left").select("doc", "hash", "runs", "copy")), "repeat-touched")
+    ids = broadcast_if_small(saved(touched.select(F.col("doc").alias("id")).distinct(), "repeat-touched-ids"), BROADCAST_IDS)
+    changed = docs.join(ids, F.col("doc") == F.col("id"), "left_semi").withColumn("own", digest(F.col("text")))
+    changed = changed.join(touched.withColumnRenamed("doc", "id"), (F.col("doc") == F.col("id")) & (F.col("hash").isNull() | (F.col("hash") == F.col("own")))).select("doc", "text", "runs", "copy")
+    same = docs.join(ids, F.col("doc") == F.col("id"), "left_anti").select("doc", "text", none.cast(runs.schema["runs"].dataType).alias("runs"), F.lit(False).alias("copy"))
+    return changed.unionByName(same)
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, units: int, window: int) -> np.ndarray:

@@ -1,17 +1,19 @@
 """Substring dedup by recompression.
 
-Rounds rename a document's words: first each maximal run of one word becomes a symbol (named after the word and the run's
-length), then, round after round, each pair of a left and a right symbol becomes one; a bit of a symbol's name and the round's number says which side it is on. A name is a hash of
-what it stands for, so it is the same in every document and on every worker without a dictionary. Equal substrings get equal symbols but for the
-few at their ends that something outside may have paired with. Those are known from the substring alone: a first symbol on the right side, a last
-one on the left side, and runs that touch an end.
+Rounds rename a document's words: each maximal run of one symbol becomes a symbol (in the first round), then, round after round, each pair of a left and
+a right symbol becomes one; a bit of a symbol's name and the round's number says which side it is on. A name is a hash of what it stands for, so it is the
+same in every document and on every worker. Equal substrings get equal symbols but for the few at their ends that something outside may have paired with.
+Those are known from the substring alone: a first symbol on the right side, a last one on the left side, and runs that touch an end.
 
-So each 50-word window has a zone of symbols that depend on its words only. Its anchor is the longest symbol (of those the one with the
-least name) in the zone of the highest round in which the zone isn't empty. Windows that are equal meet under their anchor's name and are verified by their words (see
-`repeats`).
+So each 50-word window has a zone of symbols that depend on its words only. Its anchor is the longest symbol (of those the one with the least name) in
+the zone of the highest round in which the zone isn't empty. These rounds run where a text is read, since a name needs nothing from elsewhere; the
+rounds behind them are Spark's: the symbols that stand in one place alone are dropped over the whole corpus, and what is left is named again, globally,
+by the symbol with its neighbours, in three rounds: 41 words that 10 neighbouring windows share, 49 that 2 share, then the window's own 50 (see
+`repeats`). Those names are made of the words themselves, so equal windows are verified by them.
 
 Defined results: a null, empty or blank text has no words; a text of fewer words than a window stays; words are runs of anything but the six blanks,
-unchanged; rows that share an id are judged each as that document; a null id is kept as it is.
+unchanged; rows that share an id are documents of their own, none earlier than another; a null id is kept as it is and is no document that others
+repeat; an empty table gives no rows; further columns are not carried. Texts of any length are read in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -21,13 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import saved
-from .repeats import Anchors, covered, first_copies, grouped, repeated
-from .suffix_dedup import with_runs
+from .repeats import PIECE, Anchors, Kind, covered, grouped, repeated, with_runs
 
 WINDOW = 50
 ROUNDS = 4
@@ -74,12 +74,12 @@ def _round(names: np.ndarray, row: np.ndarray, left: np.ndarray, r: int) -> tupl
     return starts, out
 
 
-def find(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> Anchors:
-    start, end, row = tb.words(data, offsets)
+def _anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, base: int, window: int = WINDOW, rounds: int = ROUNDS) -> Anchors:
+    """The occurrences of a piece of which these are the words; its first word is word `base` of its row."""
     at = np.flatnonzero(row[: max(0, len(row) - window + 1)] == row[window - 1 :])  # first word of each window
     if not len(at):
         return Anchors.none()
-    words = names = tb.word_hashes(data, start, end)
+    names = tb.word_hashes(data, start, end)
     begin, stop, live = at.copy(), at + window, np.arange(len(at))  # the zone of each window that has one, in symbols of the round
     place, symbol_row = np.arange(len(names)), row  # first word and row of each symbol
     anchor, key = np.empty(len(at), np.int64), np.empty(len(at), np.uint64)
@@ -121,22 +121,41 @@ def find(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, rounds: in
     settle(np.arange(len(live)))
     a, b = grouped(anchor, row[at])
     first, last = at[a], at[b]
-    base = np.searchsorted(row, np.arange(len(offsets) - 1))[row[first]]
-    context = tb.span(tb.prefix(words, 1), first, last + window, 1)
+    move = base - np.searchsorted(row, row[first])
+    raw = data.tobytes()
+    return Anchors(row[first], key[a], anchor[a] + move, first + move, last + move, lambda k: b" ".join(raw[start[first[k]] : end[last[k] + window - 1]].split()))
 
-    def payload(keep: np.ndarray) -> list[bytes]:
-        """The hash of each window of an occurrence."""
-        value = tb.span(tb.prefix(words), at, at + window)
-        return [value[i : j + 1].tobytes() for i, j in zip(a[keep], b[keep], strict=True)]
 
-    return Anchors(row[first], anchor[a] - base, key[a], first - base, last - base, context, payload)
+def _parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """A long text in pieces cut at blanks, each with the WINDOW - 1 words before it: (bytes, start, end and row of its words, number of the first)."""
+    at, base, carried = 0, 0, data[:0]
+    while at < len(data):
+        stop = at + PIECE
+        while stop < len(data) and not (gap := np.flatnonzero(tb.blanks(data[stop : stop + PIECE]))).size:
+            stop += PIECE
+        stop = stop + int(gap[0]) if stop < len(data) else len(data)
+        piece = np.concatenate([carried, data[at:stop]])
+        start, end, row = tb.words(piece, np.array([0, len(piece)]))
+        yield piece, start, end, row, base
+        keep = min(len(start), WINDOW - 1)
+        carried, base, at = piece[start[len(start) - keep] :] if keep else data[:0], base + len(start) - keep, stop
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrence, number of the window in it, hash) from payloads."""
-    counts = np.diff(offsets) // 8
-    at = np.repeat(np.arange(len(counts)), counts)
-    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts), np.frombuffer(data.tobytes(), np.uint64)
+def find(column: pa.Array) -> Iterator[tuple[int, Anchors]]:
+    """Pieces of bounded size; a longer text comes in several."""
+    for i, _, data, offsets in tb.slices(column, PIECE):
+        if len(data) <= PIECE:
+            yield i, _anchors(data, *tb.words(data, offsets), 0)
+            continue
+        for part in _parts(data):
+            yield i, _anchors(*part)
+
+
+def cut(units: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(F.split(units.cast("string"), " ", -1), start + 1, n), " ").cast("binary")
+
+
+WORDS = Kind(find, cut, WINDOW, (10, 2, 1), within=False)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +186,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """A row for each row of df: doc, n_words, n_removed, and the remaining words (kept), or their SHA-256 if digest."""
     docs = df.select(df[doc_id].cast("long").alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
-    distinct, copies = first_copies(docs.where("doc IS NOT NULL"))
-    runs = saved(repeated(distinct, find, windows, within=False), "substring-runs")
-    rows = with_runs(docs, runs, copies)
+    rows = with_runs(docs, *repeated(docs.where("doc IS NOT NULL"), WORDS))
     if digest:
         return rows.mapInArrow(_digest, "doc long, n_words long, n_removed long, kept_sha256 string")
     return rows.mapInArrow(_cleaned, "doc long, n_words long, n_removed long, kept string")

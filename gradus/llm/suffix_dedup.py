@@ -1,13 +1,15 @@
-"""Suffix-array dedup by a depth-limited radix sort of suffixes.
+"""Suffix dedup by a depth-limited radix sort.
 
-Suffixes are ordered only through the first `LENGTH` bytes, most significant digit first, and a group that has one member goes no further:
-what is equal after the last digit is exactly the repeated windows. The first digit is not taken at the suffix's start but at the place of its least
-`DIGIT`-byte string, which equal suffixes have in common; some 35 neighbouring suffixes share it, so the first pass moves one row for all of
-them. The second digit is all that they cover together, the last the suffix's own `LENGTH` bytes (see `repeats`).
+A suffix counts as far as its first `LENGTH` bytes. Passes sort by the most significant digit first, and what has no equal after a pass goes no
+further; what is equal after the last is exactly the repeated windows (see `repeats`). A suffix's first digit is its least `DIGIT`-byte string
+(by hash) rather than its first bytes: equal suffixes have it in common at the same place, and some 31 neighbouring suffixes share one, so the first pass
+moves one row for all of them. The next digits grow from there to both sides: 86 bytes that 15 neighbouring suffixes share, 98 that 3 share, then the
+suffix's own 100 bytes.
 
 Defined results: a null text is empty; a text shorter than LENGTH has no window and stays; equal texts of LENGTH bytes or more go wholly but for the
-lowest id; rows that share an id and a text are one document each with the same result, rows that share an id but not a text raise no error and are
-judged each as that document; a null id is kept as it is.
+lowest id; rows that share an id are documents of their own, none earlier than another; rows that share an id and a text get the same result; a null id
+is kept as it is and is no document that others repeat; an empty table gives no rows; further columns are not carried. Texts of any length are read
+in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -17,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import saved
-from .repeats import Anchors, covered, first_copies, grouped, repeated
+from .repeats import PIECE, Anchors, Kind, covered, grouped, repeated, with_runs
 
 LENGTH = 100
 DIGIT = 32
@@ -41,7 +42,8 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return (m & _LOW).astype(np.int64)
 
 
-def find(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, digit: int = DIGIT) -> Anchors:
+def _anchors(data: np.ndarray, offsets: np.ndarray, base: int, length: int = LENGTH, digit: int = DIGIT) -> Anchors:
+    """The occurrences of a piece whose first byte is byte `base` of its row."""
     n = len(data)
     if n < length:
         return Anchors.none()
@@ -54,20 +56,27 @@ def find(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, digit: int
     anchor, row = anchor[inside], row[inside]
     a, b = grouped(anchor, row)
     first, last, row, anchor = inside[a], inside[b], row[a], anchor[a]
-    base = offsets[row]
+    move = base - offsets[row]
+    raw = data.tobytes()
+    return Anchors(row, digits[anchor], anchor + move, first + move, last + move, lambda k: raw[first[k] : last[k] + length])
 
-    def payload(keep: np.ndarray) -> list[bytes]:
-        """The bytes that an occurrence's windows cover."""
-        raw = data.tobytes()
-        return [raw[i:j] for i, j in zip(first[keep], last[keep] + length, strict=True)]
 
-    return Anchors(row, anchor - base, digits[anchor], first - base, last - base, tb.span(tb.prefix(data, 1), first, last + length, 1), payload)
+def find(column: pa.Array) -> Iterator[tuple[int, Anchors]]:
+    """Pieces of bounded size; a longer text comes in several, each with the bytes that its last windows need of the next."""
+    for i, _, data, offsets in tb.slices(column, PIECE):
+        if len(data) <= PIECE:
+            yield i, _anchors(data, offsets, 0)
+            continue
+        for base in range(0, len(data) - LENGTH + 1, PIECE):
+            part = data[base : base + PIECE + LENGTH - 1]
+            yield i, _anchors(part, np.array([0, len(part)]), base)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at, value = tb.runs(data, row, length)
-    return row[at], at - offsets[row[at]], value
+def cut(units: Column, start: Column, n: Column) -> Column:
+    return F.substring(units, start + 1, n)
+
+
+BYTES = Kind(find, cut, LENGTH, (15, 3, 1), within=True)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,24 +108,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """A row for each row of df: doc, n_bytes, n_removed, n_spans, and the remaining bytes (kept), or their SHA-256 if digest."""
     docs = df.select(df[doc_id].cast("long").alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
-    distinct, copies = first_copies(docs.where("doc IS NOT NULL"))
-    runs = saved(repeated(distinct, find, windows, within=True), "suffix-runs")
-    rows = with_runs(docs, runs, copies)
+    rows = with_runs(docs, *repeated(docs.where("doc IS NOT NULL"), BYTES))
     if digest:
         return rows.mapInArrow(_digest, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return rows.mapInArrow(_cleaned, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def with_runs(docs: DataFrame, runs: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc, text, runs, copy) for every row of docs; rows without either join nothing, when their ids are few enough to broadcast."""
-    from .common import broadcast_if_small
-    from .repeats import BROADCAST_IDS
-
-    touched = runs.select("doc", "runs", F.lit(False).alias("copy")).unionByName(copies.select("doc", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(True).alias("copy")))
-    touched = saved(touched.groupBy("doc").agg(F.first("runs", ignorenulls=True).alias("runs"), F.max("copy").alias("copy")), "repeat-touched")
-    if (ids := touched.select("doc")).count() > BROADCAST_IDS:
-        return docs.join(touched, "doc", "left").select("doc", "text", "runs", F.coalesce("copy", F.lit(False)).alias("copy"))
-    ids = broadcast_if_small(ids, BROADCAST_IDS)
-    changed = docs.join(ids, "doc", "left_semi").join(touched, "doc").select("doc", "text", "runs", "copy")
-    same = docs.join(ids, "doc", "left_anti").select("doc", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(False).alias("copy"))
-    return changed.unionByName(same)
