@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
-from gradus.llm.common import broadcast_if_small, saved, table
+from gradus.llm.common import broadcast_if_small, packed, saved, table
 from gradus.llm.queries import learnable
 
 #: Score from which a document is rejected as toxic.
@@ -18,6 +18,8 @@ TOXIC = 0.3
 #: Share of a source's different texts from which a line is boilerplate. A source is far larger than a web host, and its commonest lines stand
 #: in a few hundredths of it: 0.2, as for hosts, drops nothing at size.
 LINE_RATIO = 0.02
+#: Standard deviations by which a line's count must exceed that ratio: in a source of 50 documents a line on 2 of them is chance, one on 5 is not.
+LINE_DEVIATIONS = 3.0
 #: Ids up to which the documents to be dropped are broadcast.
 DROP_IDS = 300_000
 
@@ -25,12 +27,13 @@ DROP_IDS = 300_000
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below TOXIC."""
     model = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(packed(docs), model, F.col("_row")["text"], out="score")
+    return scored.where(F.col("score") < TOXIC).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that more than LINE_RATIO of their source's different texts hold; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs, "source", "text", max_ratio=LINE_RATIO, distinct=True)
+    out = line_dedup.drop_boilerplate(docs, "source", "text", max_ratio=LINE_RATIO, distinct=True, deviations=LINE_DEVIATIONS)
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
