@@ -24,6 +24,8 @@ BINS = 128
 BITS = 4
 SHINGLE = 5
 PROBES = 24
+#: Ranges of ids at most, each a row of the table that links them.
+RANGES = 4_096
 _SHIFT = 63 - (BINS.bit_length() - 1)
 EMPTY = "-" * BINS
 
@@ -77,15 +79,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def ranges(ids: DataFrame, parts: int) -> DataFrame:
     """ids with a column `range`: what a sample says makes ranges of about equal size, whatever the values; -1 where the id is null."""
-    dealt = ids.repartitionByRange(max(1, parts), F.col("doc_id").asc_nulls_first())
+    dealt = ids.repartitionByRange(max(1, min(parts, RANGES)), F.col("doc_id").asc_nulls_first())
     return dealt.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.spark_partition_id()))
 
 
 def next_ids(ids: DataFrame, parts: int = 32) -> DataFrame:
-    """(doc_id, next_id, n_chars) from (doc_id, n_chars): the next higher id, after the last the first.
+    """(doc_id, next_id, n_chars) from (doc_id, n_chars), ids distinct: the next higher id, after the last the first.
 
-    Each range is written down, then ordered in a task of its own; the first id of each, one row a range, links them. A null id is followed by the
-    first id, and follows none."""
+    Each range is written down, then ordered in a task of its own; the first id of each, one row a range and RANGES at most, links them. A null id is
+    followed by the first id, and follows none."""
     ids = saved(ranges(ids, parts), "fingerprint-ranges")
     inner = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
     firsts = ids.groupBy("range").agg(F.min("doc_id").alias("first_id"))
@@ -99,27 +101,33 @@ def next_ids(ids: DataFrame, parts: int = 32) -> DataFrame:
 def with_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of df: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text has its last half replaced by as much of the next document's start. Of rows that share an id the smallest text
-    is the one that neighbours see, and each of them is edited; a null id is a document after which the first follows, and none precedes."""
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("t"))
-    rows = docs.select("doc_id", F.length("t").cast("long").alias("n_chars"))
-    sizes = rows.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    parts = max(1, -(-rows.count() // 2_000))
-    links = saved(next_ids(sizes, parts), "fingerprint-links")
-    # what each document hands on: its start, as long as the document before it needs, and its fingerprint
-    given = add_fingerprint(docs, "t", "fingerprint")
-    heads = given.join(links.select(F.col("next_id").alias("_to"), F.col("doc_id").alias("prev_id"), F.expr("n_chars div 2").alias("need")), F.col("doc_id") == F.col("_to"))
-    heads = heads.select(F.coalesce("prev_id", F.lit(-1)).alias("prev"), F.col("prev_id").isNull().alias("prev_null"), F.expr("substring(t, 1, int(need))").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    heads = heads.groupBy("prev", "prev_null").agg(F.min_by(F.struct("head", "next_fingerprint"), F.struct("head", "next_fingerprint")).alias("n")).select("prev", "prev_null", "n.*")
-    out = given.join(heads, (F.coalesce("doc_id", F.lit(-1)) == F.col("prev")) & (F.col("doc_id").isNull() == F.col("prev_null")), "left")
+    The edited text has its last half replaced by as much of the next document's start. Of rows that share an id, the one whose text has the least hash
+    is what neighbours see, and each of them is edited; a null id is a document after which the first follows, and none precedes."""
+    # an id is two columns, neither ever null, so that all joins deal the texts out alike and Spark shuffles them once for both
+    number, none = F.coalesce(df[doc_id].cast("long"), F.lit(0)).alias("k"), df[doc_id].isNull().alias("z")
+    docs = df.select(number, none, F.coalesce(df[text], F.lit("")).alias("t"))
+    own = F.xxhash64("t").alias("h")
+    # every text is fingerprinted once, where it is read
+    prints = saved(add_fingerprint(docs, "t", "fingerprint").select("k", "z", own, F.length("t").cast("long").alias("n_chars"), "fingerprint"), "fingerprint-prints")
+    prints_of = prints.groupBy("k", "z", "h").agg(F.first("fingerprint").alias("fingerprint"))
+    sizes = prints.select(F.when(~F.col("z"), F.col("k")).alias("doc_id"), "n_chars").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    links = next_ids(sizes, -(-prints.count() // 2_000)).where("next_id IS NOT NULL")
+    links = links.select(F.coalesce("doc_id", F.lit(0)).alias("pk"), F.col("doc_id").isNull().alias("pz"), F.col("next_id").alias("k"), F.lit(False).alias("z"), F.expr("int(n_chars div 2)").alias("need"))
+    seen = prints.groupBy("k", "z").agg(F.min(F.struct("h", "fingerprint")).alias("s")).select("k", "z", F.col("s.h").alias("seen_h"), F.col("s.fingerprint").alias("next_fingerprint"))
+    links = saved(links.join(seen, ["k", "z"]), "fingerprint-links")
+    # what each document hands on: its start, cut to what the one before it needs
+    heads = docs.join(links, ["k", "z"]).where(own == F.col("seen_h")).select("pk", "pz", F.substring("t", F.lit(1), F.col("need")).alias("head"), "next_fingerprint")
+    heads = heads.groupBy("pk", "pz").agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint")).withColumnsRenamed({"pk": "k", "pz": "z"})
+    out = docs.join(heads, ["k", "z"], "left")
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
     out = add_fingerprint(out.withColumn("edited", edited), "edited", "edited_fingerprint")
+    out = out.select("k", "z", own, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited_fingerprint", "next_fingerprint").join(prints_of, ["k", "z", "h"])
     return out.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        F.when(~F.col("z"), F.col("k")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
