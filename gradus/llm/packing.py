@@ -1,15 +1,19 @@
 """Harmonic packing of token ids into sequences of a fixed capacity.
 
-A piece of length in (capacity / (k + 1), capacity / k] is of class k, and each sequence of class k takes k pieces. Documents
-may be cut, so each is cut into whole capacities and then into the powers of two of what is left: such a piece is capacity / k long
-for its class k, so k of them fill a sequence with no padding. Every task fills its classes alone, in one pass over its rows
-and without a shuffle; what is open at its end (fewer than k pieces in each class) goes into sequences of 1, 2, 4, ... pieces,
-whose lengths are powers of two and need no padding either. A task holds fewer than 2 * capacity open pieces at any time.
+A document whose length lies in (capacity / (k + 1), capacity / k] is of class k, and each sequence of class k takes k whole documents; the
+documents of `CLASSES` or more to a sequence are one class, which takes them as long as the next fits. What a full sequence lacks to its capacity is
+filled by cutting: one document at a time gives its ids away, piece by piece, and when it is used up the next that arrives takes its place. So most
+documents stay whole, and no sequence of a class needs padding. A document longer than the capacity is cut into whole capacities first, and what is left of it is packed
+as a document.
+
+Every task fills its classes alone, in one pass over its rows and without a shuffle; what is open at its end (fewer than k documents in each of the classes) is put
+one behind the other and cut into sequences of the capacity and, for the last, powers of two, which need no padding either. A task holds the ids of
+CLASSES + 2 sequences and of one document at any time.
 
 sequence_id holds the task's partition in its upper bits, so a task that is run again gives the same rows.
 
 Defined results: a null or empty text is its closing id alone; repeated rows are packed as documents of their own; an
-empty table gives no rows. Further columns of the input are not carried.
+empty table gives no rows. Further columns of the input are not carried. class_k is a sequence's class, 0 for what was open at a task's end.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ PIECE = T.StructType([
     T.StructField("doc_id", T.LongType()),
     *[T.StructField(n, T.LongType(), False) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class_k")],
 ])
+#: Classes of a fixed number of documents, and one for all shorter documents.
+CLASSES = 32
 _loaded: dict[str, object] = {}
 _SPACES = re.compile(r"\s\s")
 
@@ -73,44 +80,89 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def cut(tokens: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: whole capacities, then falling powers of two."""
-    pieces = [(s, capacity) for s in range(0, tokens - capacity + 1, capacity)]
-    at = len(pieces) * capacity
-    while at < tokens:
-        step = 1 << ((tokens - at).bit_length() - 1)
-        pieces.append((at, step))
-        at += step
-    return pieces
+class Piece(NamedTuple):
+    name: int | None
+    start: int
+    length: int
+    raw: memoryview  # the document's ids, 4 bytes each
+    tokens: int
+
+    def part(self, at: int, n: int) -> Piece:
+        return self._replace(start=self.start + at, length=n)
+
+    def row(self, sequence: int, offset: int, k: int) -> tuple:
+        return (self.name, self.start, self.length, zlib.crc32(self.raw[4 * self.start : 4 * (self.start + self.length)]), self.tokens, sequence, offset, k)
 
 
 class Bins:
-    """The open sequence of each class."""
+    """The open sequence of each class, the document that fills up closed ones, and closed ones that wait for such a document."""
 
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open = capacity, first, {}
+    def __init__(self, capacity: int, first: int, classes: int = CLASSES):
+        self.capacity, self.next, self.classes = capacity, first, classes
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: list[tuple[int, list[Piece]]] = []
+        self.filler: Piece | None = None
 
-    def _close(self, pieces: list[tuple], k: int) -> Iterator[tuple]:
+    def _rows(self, pieces: list[Piece], k: int) -> Iterator[tuple]:
         at = 0
-        for piece in pieces:
-            yield (*piece, self.next, at, k)
-            at += piece[2]
+        for p in pieces:
+            yield p.row(self.next, at, k)
+            at += p.length
         self.next += 1
 
-    def add(self, piece: tuple) -> Iterator[tuple]:
-        k = self.capacity // piece[2]
-        held = self.open.setdefault(k, [])
-        held.append(piece)
-        if len(held) == k:
-            yield from self._close(self.open.pop(k), k)
+    def _fill(self) -> Iterator[tuple]:
+        """Give the closed sequences what they lack from the filling document, as far as it goes."""
+        while self.waiting:
+            k, pieces = self.waiting[0]
+            lack = self.capacity - sum(p.length for p in pieces)
+            if lack and self.filler is None:
+                return
+            if lack:
+                n = min(lack, self.filler.length)
+                pieces.append(self.filler.part(0, n))
+                self.filler = self.filler.part(n, self.filler.length - n) if n < self.filler.length else None
+            if lack == 0 or n == lack:
+                self.waiting.pop(0)
+                yield from self._rows(pieces, k)
+
+    def _close(self, k: int) -> Iterator[tuple]:
+        self.waiting.append((k, self.open.pop(k)))
+        yield from self._fill()
+
+    def add(self, document: Piece) -> Iterator[tuple]:
+        while document.length >= self.capacity:
+            yield from self._rows([document.part(0, self.capacity)], 1)
+            document = document.part(self.capacity, document.length - self.capacity)
+        if not document.length:
+            return
+        if self.filler is None:
+            self.filler = document
+            yield from self._fill()
+            return
+        k = min(self.capacity // document.length, self.classes)
+        if k == self.classes and sum(p.length for p in self.open.get(k, [])) + document.length > self.capacity:
+            yield from self._close(k)
+        self.open.setdefault(k, []).append(document)
+        if k < self.classes and len(self.open[k]) == k:
+            yield from self._close(k)
 
     def rest(self) -> Iterator[tuple]:
-        for k, held in sorted(self.open.items()):
-            while held:
-                n = 1 << (len(held).bit_length() - 1)
-                yield from self._close(held[:n], k)
-                held = held[n:]
-        self.open = {}
+        """What is open at the end, one behind the other: whole sequences, then falling powers of two."""
+        left = [p for _, pieces in [*self.waiting, *sorted(self.open.items())] for p in pieces] + ([self.filler] if self.filler else [])
+        self.open, self.waiting, self.filler = {}, [], None
+        total = sum(p.length for p in left)
+        while total:
+            room = self.capacity if total >= self.capacity else 1 << (total.bit_length() - 1)
+            total -= room
+            pieces = []
+            while room:
+                n = min(room, left[0].length)
+                pieces.append(left[0].part(0, n))
+                left[0] = left[0].part(n, left[0].length - n)
+                if not left[0].length:
+                    left.pop(0)
+                room -= n
+            yield from self._rows(pieces, 0)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -136,8 +188,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: in
             for i in range(batch.num_rows):
                 tokens = np.array([*encode(texts[i].as_py() or ""), end_id], dtype="<u4")
                 raw, n, name = memoryview(tokens.tobytes()), len(tokens), ids[i].as_py()
-                for start, length in cut(n, capacity):
-                    out.extend(bins.add((name, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n)))
+                out.extend(bins.add(Piece(name, 0, n, raw, n)))
                 if len(out) >= 10_000:
                     yield _batch(out)
                     out = []

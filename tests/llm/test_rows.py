@@ -92,6 +92,29 @@ def test_pack_round_trip(spark):
             at += length
         assert at <= 1024 and at & (at - 1) == 0  # a power of two: no padding
     assert packing.pack(frame(spark, [])).count() == 0
+    whole = [p for p in pieces if p["class_k"] > 0 and p["length"] == p["doc_tokens"] < 1024]
+    assert whole and all(min(1024 // p["length"], packing.CLASSES) == p["class_k"] for p in whole if p["offset"] == 0)
+
+
+def test_bins_take_a_fixed_number_of_documents():
+    """Classes hold k whole documents each, sequences are full, and every id lies in one piece."""
+    rng = random.Random(9)
+    bins, rows, sizes = packing.Bins(1024, 0), [], [rng.choice([1, 5, 40, 300, 340, 341, 512, 513, 1023, 1024, 5000]) for _ in range(3000)]
+    for i, n in enumerate(sizes):
+        rows += bins.add(packing.Piece(i, 0, n, memoryview(bytes(4 * n)), n))
+    rows += bins.rest()
+    by, at = {}, {}
+    for name, start, length, _, n, sequence, offset, k in rows:
+        by.setdefault(sequence, []).append((offset, length, n, k))
+        at.setdefault(name, []).append((start, length))
+    assert all(sum(x[1] for x in s) == 1024 for s in list(by.values())[:-12])
+    for s in by.values():
+        k = s[0][3]
+        if 1 < k < packing.CLASSES:
+            assert sum(x[1] == x[2] and 1024 // x[1] == k for x in s) in (k, k + 1)
+    for i, n in enumerate(sizes):
+        assert sorted(at[i])[0][0] == 0 and sum(x[1] for x in at[i]) == n and all(a[0] + a[1] == b[0] for a, b in zip(sorted(at[i]), sorted(at[i])[1:], strict=False))
+    assert len(rows) < 1.6 * sum(-(-n // 1024) for n in sizes)
 
 
 def test_secrets(spark):
@@ -100,7 +123,8 @@ def test_secrets(spark):
         (0, None, "s0"), (1, "", "s0"), (2, 'é password = "abc", PASSWD:abcdefgh1 token=token:abcdefghi', "s0"), (3, "AKIA123 AKIAABCDEFGH1234 " + "0a" * 16 + " " + "f" * 31, "s1"), (4, "secret" * 3 + "=secret=abcdefgh1", "s1"),
         (5, f"key {k} and {k}", "s2"), (5, f"key {k} and {k}", "s2"), (6, "api_key: 'zzzzzzzz' apikey=yyyyyyyy", None), (7, "x" * 5000 + " api_key=" + "q1" * 40, "s3"), (None, "token=abcdefgh", "s3"),
     ]
-    rows += [(10 + i, "shared " + "Zz9" * 10, f"o{i}") for i in range(4)]
+    rows += [(10 + i, "shared " + "Zz9aQ7rT" * 3, f"o{i}") for i in range(4)]
+    rows += [(100 + i, "copied q8Wm2Lx9Rt5Kz0Vb7Nc4", "s9") for i in range(21)]
     got = secrets.scan(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     text = {i: t for i, t, _ in rows}
@@ -111,6 +135,7 @@ def test_secrets(spark):
     spans = {r["doc_id"]: r["spans"] for r in got}
     assert spans[5] == "owned:4:28,owned:33:57"  # one owner alone
     assert spans[10] == ""  # four owners share it
+    assert spans[100] == "" and spans[7].startswith("assign") and "owned" not in spans[7]  # one owner has it in more repositories than a secret stands in
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
