@@ -103,7 +103,7 @@ def with_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     The edited text has its last half replaced by as much of the next document's start. Of rows that share an id, the one whose text has the least hash
     is what neighbours see, and each of them is edited; a null id is a document after which the first follows, and none precedes."""
-    # an id is two columns, neither ever null, so that all joins deal the texts out alike and Spark shuffles them once for both
+    # an id is two columns, neither ever null
     number, none = F.coalesce(df[doc_id].cast("long"), F.lit(0)).alias("k"), df[doc_id].isNull().alias("z")
     docs = df.select(number, none, F.coalesce(df[text], F.lit("")).alias("t"))
     own = F.xxhash64("t").alias("h")
@@ -117,13 +117,14 @@ def with_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     links = saved(links.join(seen, ["k", "z"]), "fingerprint-links")
     # what each document hands on: its start, cut to what the one before it needs
     heads = docs.join(links, ["k", "z"]).where(own == F.col("seen_h")).select("pk", "pz", F.substring("t", F.lit(1), F.col("need")).alias("head"), "next_fingerprint")
-    heads = heads.groupBy("pk", "pz").agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint")).withColumnsRenamed({"pk": "k", "pz": "z"})
-    out = docs.join(heads, ["k", "z"], "left")
+    heads = saved(heads, "fingerprint-heads").groupBy(F.col("pk").alias("k"), F.col("pz").alias("z")).agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
+    # and what stays of each document
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
-    out = add_fingerprint(out.withColumn("edited", edited), "edited", "edited_fingerprint")
-    out = out.select("k", "z", own, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited_fingerprint", "next_fingerprint").join(prints_of, ["k", "z", "h"])
+    fronts = docs.select("k", "z", own, n.alias("n"), half.alias("half"), F.substring("t", F.lit(1), n - half).alias("front"))
+    out = fronts.join(heads, ["k", "z"], "left")
+    out = add_fingerprint(out.withColumn("edited", F.concat("front", F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.col("half")))), "edited", "edited_fingerprint")
+    out = out.select("k", "z", "h", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited_fingerprint", "next_fingerprint").join(prints_of, ["k", "z", "h"])
     return out.select(
         F.when(~F.col("z"), F.col("k")).alias("doc_id"),
         "n_chars",
