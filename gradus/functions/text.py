@@ -135,3 +135,16 @@ def offsets_of(c: Column, needle: Column, most: int = 200) -> Column:
     ends = F.transform(F.slice(pieces, 1, most), lambda p: F.length(p))
     run = F.transform(ends, lambda x, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda s, v: s + v) + i * F.length(needle))
     return F.when(F.size(pieces) > 1, F.slice(run, F.lit(1), F.least(F.size(pieces) - 1, F.lit(most)))).otherwise(F.array().cast("array<int>"))
+
+
+def exact_mean(c: Column, digits: int) -> Column:
+    """Mean of a double column rounded half up to `digits`, from a sum of millionths: the same in whatever order rows are added."""
+    unit = F.lit(10 ** (6 - digits))
+    total, n = F.sum(F.round(c * 1e6).cast("long")), F.count(c)
+    return F.call_function("div", total * 2 + n * unit, n * unit * 2) / F.lit(10.0**digits)
+
+
+def exact_mean_sql(x: str, digits: int, where: str = "") -> str:
+    """The same in DuckDB."""
+    unit = 10 ** (6 - digits)
+    return f"((sum(round(({x}) * 1e6)::BIGINT){where}::BIGINT * 2 + count({x}){where} * {unit}) // (count({x}){where} * {2 * unit}))::DOUBLE / {10.0**digits}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +57,68 @@ def keep_first_greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         state = saved(state.join(seen, "id", "left").select("id", decided.alias("kept")), "greedy-state")
         if state.where("kept IS NULL").isEmpty():
             return state
+
+
+def section_pairs(sections: DataFrame) -> DataFrame:
+    """sections (section_id, lesson_id, title, key_topics): (a, b, title_overlap, topic_overlap), pairs of a lesson that are one section told twice."""
+    s = sections.select("section_id", "lesson_id", F.array_distinct(F.split(F.lower("title"), " ")).alias("t"), F.array_distinct(F.transform("key_topics", F.lower)).alias("k"))
+    other = s.select("lesson_id", F.col("section_id").alias("b"), F.col("t").alias("t2"), F.col("k").alias("k2"))
+    j = s.withColumnRenamed("section_id", "a").join(other, "lesson_id").where("a < b")
+    tt = F.size(F.array_intersect("t", "t2")) / F.greatest(F.size("t"), F.size("t2"), F.lit(1))
+    low = F.least(F.size("k"), F.size("k2"))
+    kk = F.when(low == 0, 0.0).otherwise(F.size(F.array_intersect("k", "k2")) / F.greatest(low, F.lit(1)))
+    j = j.select("a", "b", tt.alias("title_overlap"), kk.alias("topic_overlap"))
+    return j.where("0.7 * title_overlap + 0.3 * topic_overlap > 0.5 OR title_overlap > 0.7 OR topic_overlap > 0.6")
+
+
+def merge_sections(sections: DataFrame, most: int = 10) -> DataFrame:
+    """(section_id, absorbed, key_topics): in order of ids a section that is like an earlier one that stayed goes into the first such; of its own topics and those of what it
+    absorbed, in order, the first `most` different ones stay."""
+    pairs = section_pairs(sections).select("a", "b")
+    kept = keep_first_greedy(sections.select(F.col("section_id").alias("id")), pairs)
+    seeds = kept.where("kept").select(F.col("id").alias("a"))
+    into = pairs.join(seeds, "a").join(kept.where("NOT kept").select(F.col("id").alias("b")), "b").groupBy("b").agg(F.min("a").alias("seed"))
+    of = sections.join(into, sections["section_id"] == into["b"], "left").select(F.coalesce("seed", "section_id").alias("seed"), "section_id", "key_topics")
+    all_ = of.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("section_id", "key_topics"))).alias("r"))
+    topics = F.slice(F.array_distinct(F.flatten(F.transform("r", lambda x: x["key_topics"]))), 1, most)
+    return all_.select(F.col("seed").alias("section_id"), (F.size("r") - 1).alias("absorbed"), topics.alias("key_topics"))
+
+
+def overlap_pairs(sections: DataFrame, pages: float = 0.5, objects: float = 0.6) -> DataFrame:
+    """sections (section_id, lesson_id, start_page, end_page, los): (a, b, shared), pairs of a lesson that share enough pages and object titles of the smaller one."""
+    s = sections.select("section_id", "lesson_id", "start_page", "end_page", "los")
+    b = s.select("lesson_id", F.col("section_id").alias("b"), F.col("start_page").alias("s2"), F.col("end_page").alias("e2"), F.col("los").alias("l2"))
+    j = s.withColumnRenamed("section_id", "a").join(b, "lesson_id").where("a < b")
+    shared = F.least("end_page", "e2") - F.greatest("start_page", "s2") + 1
+    low = F.least(F.size("los"), F.size("l2"))
+    enough = (shared >= pages * (F.least(F.col("end_page") - F.col("start_page"), F.col("e2") - F.col("s2")) + 1)) & (low > 0) & (F.size(F.array_intersect("los", "l2")) >= objects * low)
+    return j.where(enough).select("a", "b", shared.alias("shared"))
+
+
+def dedup_overlapping(sections: DataFrame, pages: float = 0.5, objects: float = 0.6) -> DataFrame:
+    """sections (section_id, lesson_id, start_page, end_page, title, los): (section_id, lesson_id, los) of those that stay. In order of ids, of two that overlap the one with
+    more objects stays, then the one with the shorter title, then the first, and absorbs the other's objects. An ordered fold in each lesson, over its
+    sections alone; lessons without an overlapping pair skip it."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("section_id")
+        ids, title, start, end = (rows[c].tolist() for c in ("section_id", "title", "start_page", "end_page"))
+        los, gone = [list(x) for x in rows["los"]], set()
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                if i in gone:
+                    break
+                small = min(end[i] - start[i], end[j] - start[j]) + 1
+                if j in gone or min(end[i], end[j]) - max(start[i], start[j]) + 1 < pages * small or not los[i] or not los[j]:
+                    continue
+                if len(set(los[i]) & set(los[j])) < objects * min(len(set(los[i])), len(set(los[j]))):
+                    continue
+                loser, winner = (i, j) if (len(los[j]), -len(title[j])) > (len(los[i]), -len(title[i])) else (j, i)
+                los[winner] += [x for x in dict.fromkeys(los[loser]) if x not in los[winner]]
+                gone.add(loser)
+        stay = [i for i in range(len(ids)) if i not in gone]
+        return pd.DataFrame({"section_id": [ids[i] for i in stay], "lesson_id": rows["lesson_id"].iloc[0], "los": [los[i] for i in stay]})
+
+    some = saved(overlap_pairs(sections, pages, objects).join(sections.select(F.col("section_id").alias("a"), "lesson_id"), "a").select("lesson_id").distinct(), "overlapping-lessons")
+    rest = sections.join(some, "lesson_id", "left_anti").select("section_id", "lesson_id", "los")
+    return rest.unionByName(sections.join(some, "lesson_id", "left_semi").groupBy("lesson_id").applyInPandas(fold, "section_id long, lesson_id long, los array<string>"))

@@ -168,3 +168,14 @@ def option_pairs(vectors: DataFrame) -> DataFrame:
     a = vectors.select("question_id", F.col("pos").alias("i"), F.col("vector").alias("va"))
     b = vectors.select("question_id", F.col("pos").alias("j"), F.col("vector").alias("vb"))
     return a.join(b, "question_id").where("i < j").select("question_id", "i", "j", cosine(F.col("va"), F.col("vb")).alias("cosine"))
+
+
+def corpus_flags(questions: DataFrame) -> DataFrame:
+    """Linted questions (flags) with judgements (ambiguous, key_outlier, grammar, ioc_rating, cove_verdict; null where a response is missing): corpus_flags,
+    has_length_clue, and flag_count, to which a length clue adds one."""
+    grammar = F.when(F.col("key_outlier"), "GRAMMAR_CLUE").when(F.col("grammar") == "mixed", "GRAMMAR_MIXED")
+    rated = F.when(F.col("ioc_rating") <= 0, F.concat(F.lit("IOC_"), F.col("ioc_rating").cast("string")))
+    cove = F.when(F.col("cove_verdict").isin("UNDERDETERMINED", "CONTRADICTED"), F.concat(F.lit("COVE_"), "cove_verdict"))
+    flags = F.array_compact(F.array(F.when(F.col("ambiguous"), "AMBIGUOUS"), grammar, rated, cove))
+    clue = F.array_contains("flags", "H27_CORRECT_LONGEST")
+    return questions.withColumn("corpus_flags", flags).withColumn("has_length_clue", clue).withColumn("flag_count", F.size("corpus_flags") + clue.cast("int"))

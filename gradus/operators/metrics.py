@@ -56,3 +56,46 @@ def quota(lo: Column, sections: Column) -> list[Column]:
         F.greatest(F.lit(6), F.least(F.lit(30), F.floor(0.75 * sections))).alias("m"),
         F.greatest(F.lit(4), F.least(F.lit(20), F.floor(sections / 2))).alias("r"),
     ]
+
+
+def marked(both: DataFrame, up: Column, digits: int | None = 2) -> DataFrame:
+    """both (..., before, after) with delta and a mark: for the better, for the worse, unchanged, or none where `up` (higher is better) or a side is null."""
+    delta = F.col("after") - F.col("before")
+    same = F.when(F.col("after") == F.col("before"), "~").when((F.col("after") > F.col("before")) == up, "✓").otherwise("✗")
+    mark = F.when(up.isNull() | F.col("after").isNull() | F.col("before").isNull(), "").otherwise(same)
+    return both.withColumn("delta", delta if digits is None else F.round(delta, digits)).withColumn("mark", mark)
+
+
+def headline_delta(payloads: DataFrame, spec: list[tuple]) -> DataFrame:
+    """payloads (snapshot, metric_key, payload): a row for each (metric, JSON path, direction) of spec, with its numbers before and after."""
+    paths = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("path"), F.lit(up).cast("boolean").alias("up")) for k, p, up in spec])
+    wanted = payloads.sparkSession.range(1).select(F.explode(paths).alias("h")).select(F.col("h.k").alias("metric_key"), "h.path", "h.up")
+    number = F.coalesce(*[F.when(F.col("path") == p, F.get_json_object("payload", f"$.{p}")) for p in dict.fromkeys(p for _, p, _ in spec)]).cast("double")
+    v = payloads.join(F.broadcast(wanted), "metric_key").select("metric_key", "path", "snapshot", number.alias("v"))
+    side = lambda s: F.max(F.when(F.col("snapshot") == s, F.col("v"))).alias(s)
+    j = F.broadcast(wanted).join(v.groupBy("metric_key", "path").agg(side("before"), side("after")), ["metric_key", "path"], "left")
+    return marked(j, F.col("up")).drop("up")
+
+
+def headlines(payloads: DataFrame, spec: list[tuple]) -> DataFrame:
+    """payloads (scope, metric_key, payload): (scope, metric, value) by the path of each metric; one without a path is a rate of two counts in percent."""
+    get = lambda path: F.get_json_object("payload", f"$.{path}").cast("double")
+    rate = F.round(100 * get("correct_outlier_count") / get("evaluated_questions"), 1)
+    value = F.coalesce(*[F.when(F.col("metric_key") == k, rate if p is None else get(p)) for _, k, p, _ in spec])
+    metric = F.coalesce(*[F.when(F.col("metric_key") == k, m) for m, k, *_ in spec])
+    return payloads.select("scope", metric.alias("metric"), value.alias("value")).where("metric IS NOT NULL")
+
+
+def overview(values: DataFrame, spec: list[tuple], expert: str = "expert") -> DataFrame:
+    """values (scope, metric, value): (metric, lesson, value, expert), the experts' value only for metrics that can be compared."""
+    comparable = [m for m, *_, c in spec if c]
+    experts = values.where((F.col("scope") == expert) & F.col("metric").isin(comparable)).select("metric", F.col("value").alias("expert"))
+    return values.where(F.col("scope") != expert).join(experts, "metric", "left").select("metric", F.col("scope").alias("lesson"), "value", "expert")
+
+
+def quality_map(payloads: DataFrame, metrics: list[str]) -> DataFrame:
+    """payloads (lesson_id, metric_key, payload) with reports[] in JSON: the verdict of each question by metric. Lint has no place in it, reports without a
+    question are skipped, and of several reports the one of the last lesson stands, in it the last."""
+    parsed = F.from_json("payload", "reports array<struct<at: long, question_id: long, verdict: long>>")["reports"]
+    rows = payloads.where("metric_key <> 'lint'").select("lesson_id", "metric_key", F.posexplode(parsed).alias("i", "r")).where("r.question_id IS NOT NULL")
+    return rows.groupBy(F.col("r.question_id").alias("question_id")).pivot("metric_key", metrics).agg(F.max_by("r.verdict", F.struct("lesson_id", "i")))

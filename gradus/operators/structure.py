@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import offsets_of
+from gradus.operators.vocabulary import CUES
 
 CLUSTER_GAP = 3000
 BUCKET = 4096
@@ -96,3 +97,114 @@ def chapter_ranges(items: DataFrame, toc: DataFrame, totals: DataFrame) -> DataF
     t = toc.select("lesson_id", (F.row_number().over(order) - 1).alias("i"), (F.col("page") + 1).alias("start"), (F.lead("page").over(order) - 1).alias("stop"))
     out = items.join(t, ["lesson_id", "i"]).join(totals, "lesson_id").select("lesson_id", "title", "start", F.coalesce("stop", "pages").alias("end"), "pages")
     return out.where("start <= end AND start <= pages").drop("pages")
+
+
+def outline_sample(pages: DataFrame, most: int = 14_000) -> DataFrame:
+    """(lesson_id, sample): a lesson's marked text where it is short enough; else its first and last page and the first 300 characters of the others, cut at
+    `most`; a lesson of a single page gives 7 parts of its head and 3 of its tail."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    title = lambda x, what: F.concat(F.lit("=== PAGE "), x["page"].cast("string"), F.lit(f" ({what}) ===\n"))
+    rows = pages.select("lesson_id", "page", F.concat(marker(F.col("page")), "page_text").alias("body")).groupBy("lesson_id").agg(F.sort_array(F.collect_list(F.struct("page", "body"))).alias("r"))
+    raw = F.array_join(F.transform("r", lambda x: x["body"]), "")
+    last = F.element_at("r", -1)["page"]
+    part = lambda x: (
+        F.when(x["page"] == 1, F.concat(title(x, "first page, full"), x["body"])).when(x["page"] == last, F.concat(title(x, "last page, full"), x["body"]))
+        .when(trimmed(x["body"]) != "", F.concat(title(x, "top excerpt"), F.substring(trimmed(x["body"]), 1, 300)))
+    )
+    s = F.array_join(F.array_compact(F.transform("r", part)), "\n")
+    rows = rows.select("lesson_id", F.size("r").alias("n"), raw.alias("raw"), s.alias("s"))
+    ends = F.concat(F.substring("raw", 1, most * 7 // 10), F.lit("\n\n[... omitted middle ...]\n\n"), F.expr(f"right(raw, {most * 3 // 10})"))
+    cut = F.when(F.length("s") > most, F.concat(F.substring("s", 1, most), F.lit("\n[... truncated ...]"))).otherwise(F.col("s"))
+    return rows.select("lesson_id", F.when(F.length("raw") <= most, F.col("raw")).when(F.col("n") < 2, ends).otherwise(cut).alias("sample"))
+
+
+def drop_phantoms(sections: DataFrame, most: int = 8) -> DataFrame:
+    """Sections that were located, less those that no title matched and that span more than `most` pages."""
+    return sections.where(F.col("start_page").isNotNull() & (F.col("matched_via_title") | (F.col("end_page") - F.col("start_page") + 1 <= most)))
+
+
+def cue_hits(texts: DataFrame, key: str) -> DataFrame:
+    """texts (key, raw): (key, offset, length, cue, size), the phrases that announce a misconception, leftmost and non-overlapping, ignoring case."""
+    pattern = "(?iuU)" + "|".join(CUES)
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["0"]) + F.coalesce(F.length(x["1"]), F.lit(0))).alias("at"), F.when(x["1"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["0"])).alias("offset"), x["1"].alias("cue"))))).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<offset: int, cue: string>>)").alias("out"))
+    found = F.arrays_zip(F.split("raw", pattern, -1), F.regexp_extract_all("raw", F.lit(pattern), 0))
+    hits = texts.where(F.col("raw").rlike(pattern)).select(key, F.length("raw").alias("size"), F.explode(F.aggregate(found, start, step)["out"]).alias("h"))
+    return hits.select(key, F.col("h.offset").cast("long").alias("offset"), F.length("h.cue").alias("length"), F.col("h.cue").alias("cue"), "size")
+
+
+def located(best: DataFrame, pages: DataFrame, more: int = 600, most: int = 3_000) -> DataFrame:
+    """best clusters (lesson_id, ..., start_offset, end_offset) in marked text, with the pages of their ends and a snippet from the start to `more` characters
+    behind the end, `most` at most."""
+    at = page_offsets(pages)
+    out = offset_to_page(offset_to_page(best, at, "start_offset", "start_page"), at, "end_offset", "end_page").join(joined_pages(pages), "lesson_id")
+    snippet = F.substring(F.substring(F.col("raw"), (F.col("start_offset") + 1).cast("int"), (F.col("end_offset") - F.col("start_offset") + more).cast("int")), 1, most)
+    return out.withColumn("snippet", snippet).drop("raw")
+
+
+def toc_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """(lesson_id, page): pages that hold at least 6 in 10 of the section titles of their lesson, and two at least."""
+    titles = sections.where("length(title) > 0").groupBy("lesson_id").agg(F.collect_list(F.lower("title")).alias("t"))
+    held = pages.join(titles, "lesson_id").withColumn("low", F.lower("page_text"))
+    return held.where(F.size(F.filter("t", lambda x: F.contains(F.col("low"), x))) >= F.greatest(F.lit(2), F.floor(0.6 * F.size("t")))).select("lesson_id", "page")
+
+
+def titled_runs(runs_: DataFrame, headings: DataFrame, sections: DataFrame) -> DataFrame:
+    """runs (lesson_id, start, end) with the first heading of their pages as title; runs without one, or whose title a section or an earlier run has, go."""
+    h = headings.where("heading IS NOT NULL")
+    paged = runs_.withColumn("page", F.explode(F.sequence("start", "end"))).join(h, ["lesson_id", "page"])
+    out = paged.groupBy("lesson_id", "start", "end").agg(F.min_by("heading", "page").alias("title")).withColumn("k", F.lower("title"))
+    out = out.withColumn("r", F.row_number().over(Window.partitionBy("lesson_id", "k").orderBy("start"))).where("r = 1").drop("r")
+    return out.join(sections.select("lesson_id", F.lower("title").alias("k")), ["lesson_id", "k"], "left_anti").drop("k")
+
+
+def anchor_edges(edges: DataFrame, asked: DataFrame, objects: DataFrame) -> DataFrame:
+    """edges (source_id, target_id, ls, lt, ss, st: lessons and sections of their ends), asked (lesson, second_lesson, offset), objects (lesson, section): the
+    edge for each request. The pool is the edges between its two lessons; where there are none, the edges in the lesson that touch its
+    focus section (sections with objects, taken in turn by offset), else all edges in the lesson. Of a pool of n the edge at offset % n is taken."""
+
+    def pool(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("source_id", "target_id")
+        i, n = F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy(*keys))
+        return df.select(*keys, F.struct("source_id", "target_id").alias(name), i.alias(f"{name}_i"), n.alias(f"{name}_n"))
+
+    pair = ["source_id", "target_id"]
+    between, inside = edges.where("ls <> lt"), edges.where("ls = lt")
+    cross = between.select(F.col("ls").alias("lesson"), F.col("lt").alias("second_lesson"), *pair).unionByName(between.select(F.col("lt").alias("lesson"), F.col("ls").alias("second_lesson"), *pair))
+    focus = inside.select(F.col("ls").alias("lesson"), F.explode(F.array_distinct(F.array("ss", "st"))).alias("section"), *pair)
+    sections = objects.groupBy("lesson").agg(F.sort_array(F.collect_set("section")).alias("f"))
+    q = asked.join(sections, "lesson").withColumn("section", F.get("f", F.col("offset") % F.size("f"))).drop("f")
+    for name, rows, keys in (("c", cross, ["lesson", "second_lesson"]), ("f", focus, ["lesson", "section"]), ("w", inside.select(F.col("ls").alias("lesson"), *pair), ["lesson"])):
+        p = pool(rows, keys, name)
+        on = [q[k] == p[k] for k in keys] + [p[f"{name}_i"] == q["offset"] % p[f"{name}_n"]]
+        q = q.join(p, on, "left").select(q["*"], name)
+    taken = F.coalesce("c", "f", "w")
+    return q.select("lesson", "second_lesson", "offset", F.col("c").isNotNull().alias("spans_lessons"), taken["source_id"].alias("source_id"), taken["target_id"].alias("target_id"))
+
+
+def passages(items: DataFrame) -> DataFrame:
+    """items (book, chapter, pos, context): passages of each chapter, a context counted where it was seen first; numbered chapters come before named ones."""
+    first = F.row_number().over(Window.partitionBy("context").orderBy("pos"))
+    c = items.withColumn("r", first).where("r = 1").groupBy("book", "chapter").agg(F.count("*").alias("passages"), F.min("pos").alias("first_item"))
+    number = F.expr("try_cast(chapter AS int)")
+    order = Window.partitionBy("book").orderBy(number.isNull(), number, "chapter")
+    return c.select("book", "chapter", (F.row_number().over(order) - 1).alias("chapter_rank"), "passages", "first_item")
+
+
+def assign_pages(objects: DataFrame, pages: DataFrame, most: int = 5, hits_: int = 30) -> DataFrame:
+    """objects (section_id, lesson_id, start_page, end_page, lo_title, keywords): (section_id, pages), at most `most` pages of the section's range. First
+    choice are pages that hold the title; then pages with two keyword hits or more; then those with most hits, ties in the order in which the keywords
+    find them; then the first page. Of each keyword the first `hits_` hits of the lesson up to the range's end count."""
+    low = pages.select("lesson_id", "page", F.lower("page_text").alias("low"))
+    in_range = (F.col("page") >= F.col("start_page")) & (F.col("page") <= F.col("end_page"))
+    paged = objects.where(F.length("lo_title") >= 3).withColumn("page", F.explode(F.sequence("start_page", "end_page"))).join(low, ["lesson_id", "page"])
+    title = paged.where(F.contains("low", F.lower("lo_title"))).groupBy("section_id").agg(F.slice(F.sort_array(F.collect_set("page")), 1, most).alias("p1"))
+    words = objects.select("section_id", "lesson_id", "start_page", "end_page", F.posexplode("keywords").alias("i", "w")).withColumn("w", F.lower(F.trim("w"))).where(F.length("w") >= 4)
+    c = words.join(low, "lesson_id").where("page <= end_page").withColumn("c", F.expr("(length(low) - length(replace(low, w, ''))) div length(w)"))
+    before = F.sum("c").over(Window.partitionBy("section_id", "i").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    c = c.withColumn("c", F.least(F.col("c"), F.greatest(F.lit(0), hits_ - before))).where(in_range & (F.col("c") > 0))
+    per = c.groupBy("section_id", "page").agg(F.sum("c").alias("n"), F.min("i").alias("i"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "i", "page"))), 1, most)
+    per = per.groupBy("section_id").agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("n") >= 2, F.col("page")))), 1, most).alias("p2"), F.sort_array(F.transform(top, lambda x: x["page"])).alias("p3"))
+    out = objects.select("section_id", "start_page").join(title, "section_id", "left").join(per, "section_id", "left")
+    return out.select("section_id", F.coalesce("p1", F.when(F.size("p2") > 0, F.col("p2")), "p3", F.array("start_page")).alias("pages"))

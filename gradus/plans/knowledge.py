@@ -84,11 +84,14 @@ def clean_edges(fx):
     return kept.unionByName(rest).select("source_id", "target_id", "type")
 
 
-@query("G5_ontology_context", "SELECT lesson, relationship_type, source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY lesson, relationship_type ORDER BY source_id, target_id) AS r FROM (SELECT DISTINCT l.lesson, e.* FROM (SELECT DISTINCT lo_lesson AS lesson FROM learning_objects) l JOIN edges e ON e.source_id % 3 = l.lesson OR e.target_id % 3 = l.lesson)) WHERE r <= 5")
+@query("G5_ontology_context", """SELECT lesson, relationship_type, source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY lesson, relationship_type ORDER BY source_id, target_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY lesson ORDER BY source_id, target_id) AS k FROM
+  (SELECT DISTINCT l.lo_lesson AS lesson, e.* FROM edges e JOIN learning_objects l ON l.lo_id = e.source_id OR l.lo_id = e.target_id)) WHERE k <= 20) WHERE r <= 5""")
 def ontology_context(fx):
     lo = fx.learning_objects
     of = lambda side: fx.edges.join(lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias("lesson")), side).select("lesson", "relationship_type", "source_id", "target_id")
     e = of("source_id").unionByName(of("target_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("lesson").orderBy("source_id", "target_id"))
+    e = e.withColumn("k", first).where("k <= 20").drop("k")
     r = F.row_number().over(Window.partitionBy("lesson", "relationship_type").orderBy("source_id", "target_id"))
     return e.withColumn("r", r).where("r <= 5").drop("r")
 
@@ -159,11 +162,35 @@ def scored_sql(table, kind, key, title, content, boost):
     return f"SELECT '{kind}' AS kind, {key} AS id, {title} AS title, {SCORE.format(c=content)} + CASE WHEN {TITLE.format(t=title)} THEN {boost} ELSE 0 END AS score FROM {table}"
 
 
-@query("T2_search_content", f"""SELECT kind, id, title, score FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS r FROM ({scored_sql('learning_objects', 'lo', 'lo_id', 'title', 'content', 2)} UNION ALL {scored_sql('lessons', 'lesson', 'lesson_id', 'title', 'raw_content', 0)} UNION ALL {scored_sql('sections', 'section', 'section_id', 'title', 'content', 0)}) WHERE score > 0) WHERE r <= 4""")
+ASKS = ["What is the inanin tion", "how does thonst explain la", "tell me about ouwhea an en"]
+STOP = ["what", "is", "a", "an", "the", "whats", "what's", "how", "why", "does", "do", "can", "you", "tell", "me", "about", "explain"]  # fixed values
+ASK_SQL = "(SELECT i - 1 AS ask, [w for w in string_split(lower(trim(q)), ' ') if length(w) > 2 AND NOT list_contains([" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP) + "], w)] AS terms FROM (SELECT unnest(range(1, 4)) AS i, unnest([" + ", ".join(f"'{q}'" for q in ASKS) + "]) AS q))"
+
+
+def hits_sql(kind, n, key, title, text, source, boost="0"):
+    return f"SELECT ask, {n} AS rank, '{kind}' AS kind, {key} AS id, {title} AS title, len([t for t in terms if contains(lower({text}), t)]) + {boost} AS score FROM {source}, {ASK_SQL}"
+
+
+FOUND = " UNION ALL ".join([
+    hits_sql("learning_object", 0, "lo_id", "title", "title || ' ' || content", "learning_objects", "2 * len([t for t in terms if contains(lower(title), t)])"), hits_sql("section", 1, "section_id", "title", "title || ' ' || content", "sections"),
+    hits_sql("lesson", 2, "lesson_id", "title", "title || ' ' || raw_content", "lessons"),
+    hits_sql("ontology", 3, "source_id * 1000000 + target_id", "title", "title || ' ' || relationship_type", "(SELECT e.*, s.title || ' → ' || t.title AS title FROM edges e JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id)"),
+])
+
+
+@query("T2_search_content", f"""WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, rank, id) AS r FROM ({FOUND}) WHERE score > 0) WHERE r <= 4)
+  SELECT ask, kind, id, title, score, array_to_string((SELECT list(o.title ORDER BY o.r) FROM top o WHERE o.ask = top.ask AND o.r > 1 AND o.title <> top.title), ', ') AS related FROM top WHERE r = 1""")
 def search_content(fx):
-    every = scored(fx.learning_objects, "lo", "lo_id", "title", "content", 2).unionByName(scored(fx.lessons, "lesson", "lesson_id", "title", "raw_content", 0)).unionByName(scored(fx.sections, "section", "section_id", "title", "content", 0))
-    r = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id"))
-    return every.withColumn("r", r).where("r <= 4").drop("r")
+    """The best match of each question, and the titles of up to three more."""
+    lo, title = fx.learning_objects, F.concat("st", F.lit(" → "), "tt")
+    e = fx.edges.join(lo.select(F.col("lo_id").alias("source_id"), F.col("title").alias("st")), "source_id").join(lo.select(F.col("lo_id").alias("target_id"), F.col("title").alias("tt")), "target_id").withColumn("title", title)
+    row = lambda df, kind, n, key, text, boost: df.select(F.lit(n).alias("rank"), F.lit(kind).alias("kind"), key.alias("id"), "title", F.lower(text).alias("low"), F.lit(boost).alias("boost"))
+    both = lambda c: F.concat("title", F.lit(" "), c)
+    rows = [
+        row(lo, "learning_object", 0, F.col("lo_id"), both("content"), 2), row(fx.sections, "section", 1, F.col("section_id"), both("content"), 0), row(fx.lessons, "lesson", 2, F.col("lesson_id"), both("raw_content"), 0),
+        row(e, "ontology", 3, F.col("source_id") * 1_000_000 + F.col("target_id"), both("relationship_type"), 0),
+    ]
+    return C.search(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), ASKS, STOP)
 
 
 @query("T3_rag_context", f"""SELECT id, title, score FROM (({scored_sql('learning_objects', 'lo', 'lo_id', 'title', 'content', 3)} ORDER BY score DESC, id LIMIT 5) UNION ALL ({scored_sql('sections', 's', 'section_id', 'title', 'content', 0)} ORDER BY score DESC, id LIMIT 3))""")

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradus.functions import responses as R
+from gradus.functions.text import exact_mean, exact_mean_sql
 from gradus.operators import metrics as M
 
+from .dedup import MATCH, matched
 from .registry import query
 
 OBJ = r"nullif(regexp_extract(response, '(?s)\{.*\}'), '')"
@@ -60,10 +62,10 @@ def solvability_item(fx):
     return M.item_difficulty(fx.trials)
 
 
-@query("A5_solvability_report", f"SELECT round(avg(round(p, 3)), 3) AS mean_p, count(*) FILTER (p IS NOT NULL) AS completed, count(*) AS total, count(*) FILTER (p IS NOT NULL) < count(*) AS partial, count(*) FILTER ({PLABEL} = 'hard') AS hard, count(*) FILTER ({PLABEL} = 'too_hard_or_misframed') AS too_hard FROM {ITEM}")
+@query("A5_solvability_report", f"SELECT {exact_mean_sql('round(p, 3)', 3)} AS mean_p, count(*) FILTER (p IS NOT NULL) AS completed, count(*) AS total, count(*) FILTER (p IS NOT NULL) < count(*) AS partial, count(*) FILTER ({PLABEL} = 'hard') AS hard, count(*) FILTER ({PLABEL} = 'too_hard_or_misframed') AS too_hard FROM {ITEM}")
 def solvability_report(fx):
     done = F.count("p_value")
-    return M.item_difficulty(fx.trials).agg(F.round(F.avg("p_value"), 3).alias("mean_p"), done.alias("completed"), F.count("*").alias("total"), (done < F.count("*")).alias("partial"), F.count_if(F.col("label") == "hard").alias("hard"), F.count_if(F.col("label") == "too_hard_or_misframed").alias("too_hard"))
+    return M.item_difficulty(fx.trials).agg(exact_mean(F.col("p_value"), 3).alias("mean_p"), done.alias("completed"), F.count("*").alias("total"), (done < F.count("*")).alias("partial"), F.count_if(F.col("label") == "hard").alias("hard"), F.count_if(F.col("label") == "too_hard_or_misframed").alias("too_hard"))
 
 
 SIM = "(SELECT question_id, pos, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS s FROM (SELECT o.question_id, o.pos, k.vector AS a, o.vector AS b FROM option_vectors o JOIN option_vectors k ON k.question_id = o.question_id AND k.pos = 0 AND o.pos > 0))"
@@ -82,10 +84,10 @@ def stem_verdict(fx):
     return stem_rows(fx).select("question_id", "pos", "verdict")
 
 
-@query("A6_stem_only_report", f"SELECT round(100.0 * count(*) FILTER (v = 'pass') / count(*) FILTER (v <> 'unable'), 2) AS pass_rate, round(avg(s) FILTER (v <> 'unable'), 4) AS mean_similarity, count(*) FILTER (v = 'pass') AS passed, count(*) FILTER (v = 'partial') AS partly, count(*) FILTER (v = 'fail') AS failed, count(*) FILTER (v = 'unable') AS unable FROM (SELECT s, {VERDICT} AS v FROM {SIM})")
+@query("A6_stem_only_report", f"SELECT round(100.0 * count(*) FILTER (v = 'pass') / count(*) FILTER (v <> 'unable'), 2) AS pass_rate, {exact_mean_sql('s', 4, " FILTER (v <> 'unable')")} AS mean_similarity, count(*) FILTER (v = 'pass') AS passed, count(*) FILTER (v = 'partial') AS partly, count(*) FILTER (v = 'fail') AS failed, count(*) FILTER (v = 'unable') AS unable FROM (SELECT s, {VERDICT} AS v FROM {SIM})")
 def stem_only_report(fx):
     v, is_ = F.col("verdict"), lambda x, n: F.count_if(F.col("verdict") == x).alias(n)
-    return stem_rows(fx).agg(M.rate(v == "pass", v != "unable").alias("pass_rate"), F.round(F.avg(F.when(v != "unable", F.col("s"))), 4).alias("mean_similarity"), is_("pass", "passed"), is_("partial", "partly"), is_("fail", "failed"), is_("unable", "unable"))
+    return stem_rows(fx).agg(M.rate(v == "pass", v != "unable").alias("pass_rate"), exact_mean(F.when(v != "unable", F.col("s")), 4).alias("mean_similarity"), is_("pass", "passed"), is_("partial", "partly"), is_("fail", "failed"), is_("unable", "unable"))
 
 
 # Responses of the ambiguity, verification, grammar and face judges, made from the labels.
@@ -163,6 +165,9 @@ FACE = """(SELECT question_id, pos, 1 + (question_id + pos) % 5 AS plausible, 1
   (SELECT question_id, unnest(range(len(options))) AS pos, correct_option_index AS k FROM questions) WHERE pos <> k AND (question_id + pos) % 11 <> 0)"""
 
 
+RATED = f"(SELECT question_id, round((plausible + clear + relevant + grammatical) / 4, 2) AS m FROM {FACE})"
+
+
 def face_rows(fx):
     q = fx.questions.select("question_id", F.posexplode("options").alias("pos", "o"), F.col("correct_option_index").alias("k"))
     letter = F.chr(F.lit(65) + F.col("pos"))
@@ -177,11 +182,11 @@ def parse_face(fx):
     return face_rows(fx).select("question_id", "pos", "mean")
 
 
-@query("A13_face_report", f"SELECT (SELECT round(avg(m), 3) FROM (SELECT round(avg(round((plausible + clear + relevant + grammatical) / 4, 2)), 2) AS m FROM {FACE} GROUP BY question_id)) AS mean_score, round(avg(plausible), 3) AS plausible, round(avg(clear), 3) AS clear, round(avg(relevant), 3) AS relevant, round(avg(grammatical), 3) AS grammatical FROM {FACE}")
+@query("A13_face_report", f"SELECT (SELECT {exact_mean_sql('m', 3)} FROM (SELECT {exact_mean_sql('round((plausible + clear + relevant + grammatical) / 4, 2)', 2)} AS m FROM {FACE} GROUP BY question_id)) AS mean_score, round(avg(plausible), 3) AS plausible, round(avg(clear), 3) AS clear, round(avg(relevant), 3) AS relevant, round(avg(grammatical), 3) AS grammatical FROM {FACE}")
 def face_report(fx):
     rows = face_rows(fx)
-    per = rows.groupBy("question_id").agg(F.round(F.avg("mean"), 2).alias("m"), *[F.sum(c).alias(c) for c in R.CRITERIA], F.count("*").alias("n"))
-    return per.agg(F.round(F.avg("m"), 3).alias("mean_score"), *[F.round(F.sum(c) / F.sum("n"), 3).alias(c) for c in R.CRITERIA])
+    per = rows.groupBy("question_id").agg(exact_mean(F.col("mean"), 2).alias("m"), *[F.sum(c).alias(c) for c in R.CRITERIA], F.count("*").alias("n"))
+    return per.agg(exact_mean(F.col("m"), 3).alias("mean_score"), *[F.round(F.sum(c) / F.sum("n"), 3).alias(c) for c in R.CRITERIA])
 
 
 CONF = ", ".join(f"count(*) FILTER (classified = '{x}') AS {x}" for x in R.LEVELS)
@@ -316,17 +321,23 @@ def quota_plan(fx):
     return q.select("lesson_id", "u", "m", "r", (F.col("u") + F.col("m") + F.col("r")).alias("target"), F.when(following.isNotNull(), 5).otherwise(0).alias("ea"))
 
 
-@query("A32_question_quality_map", """SELECT scope_id, max(CASE WHEN metric_key = 'click' THEN v END) AS click, max(CASE WHEN metric_key = 'view' THEN v END) AS view, max(CASE WHEN metric_key = 'signup' THEN v END) AS signup FROM (SELECT scope_id, metric_key, round(max(value), 4) AS v FROM metric_payloads WHERE metric_key <> 'error' GROUP BY 1, 2) GROUP BY 1""")
+@query("A32_question_quality_map", """SELECT question_id, max(v) FILTER (event_type = 'click') AS click, max(v) FILTER (event_type = 'view') AS view, max(v) FILTER (event_type = 'signup') AS signup FROM (SELECT event_id % 500 AS question_id, event_type, arg_max(event_id % 7, user_id * 1000000000 + event_id) AS v
+  FROM events WHERE event_type <> 'error' AND event_id % 11 <> 0 GROUP BY 1, 2) GROUP BY 1""")
 def question_quality_map(fx):
-    return fx.metric_payloads.where("metric_key <> 'error'").groupBy("scope_id").pivot("metric_key", ["click", "view", "signup"]).agg(F.round(F.max("value"), 4))
+    """Reports of all stored payloads but lint's, question by metric; the last lesson's report of a question stands."""
+    return M.quality_map(fx.quality_payloads, ["click", "view", "signup"])
 
 
-@query("A23_distractor_recovery", f"""SELECT count(*) AS gold, count(*) FILTER (best >= 0.999999) AS exact, count(*) FILTER (best >= 0.5) AS fuzzy, round(100.0 * count(*) FILTER (best >= 0.5) / count(*), 2) AS fuzzy_rate FROM {SIM.replace('list_dot_product(a, b) /', 'list_dot_product(a, b) /')} JOIN (SELECT question_id AS q, max(s) AS best FROM {SIM} GROUP BY 1) ON q = question_id""")
+@query("A23_distractor_recovery", f"""SELECT count(*) AS gold, sum(exact)::BIGINT AS exact, count(*) FILTER (best >= 0.5) AS fuzzy, round(100.0 * sum(exact) / count(*), 2) AS exact_rate, round(100.0 * count(*) FILTER (best >= 0.5) / count(*), 2) AS fuzzy_rate,
+  {exact_mean_sql('best', 4)} AS mean_best, (SELECT {exact_mean_sql('s', 4)} FROM (SELECT question_id, max(s) AS s FROM {SIM} GROUP BY 1)) AS mean_best_cosine,
+  (SELECT {exact_mean_sql('m', 3)} FROM {RATED} WHERE question_id % 2 = 0) AS face_ours, (SELECT {exact_mean_sql('m', 3)} FROM {RATED} WHERE question_id % 2 = 1) AS face_gold FROM {MATCH}""")
 def distractor_recovery(fx):
-    s = stem_rows(fx)
-    best = s.groupBy("question_id").agg(F.max("s").alias("best"))
-    j = s.join(best, "question_id")
-    return j.agg(F.count("*").alias("gold"), F.count_if(F.col("best") >= 0.999999).alias("exact"), F.count_if(F.col("best") >= 0.5).alias("fuzzy"), F.round(100.0 * F.count_if(F.col("best") >= 0.5) / F.count("*"), 2).alias("fuzzy_rate"))
+    """Exact and fuzzy recovery over all gold options, mean best matches, and face ratings of ours and of gold."""
+    best = matched(fx).agg(F.count("*").alias("gold"), F.sum("exact").alias("exact"), F.count_if(F.col("best") >= 0.5).alias("fuzzy"), F.round(100.0 * F.sum("exact") / F.count("*"), 2).alias("exact_rate"), F.round(100.0 * F.count_if(F.col("best") >= 0.5) / F.count("*"), 2).alias("fuzzy_rate"), exact_mean(F.col("best"), 4).alias("mean_best"))
+    cosine = stem_rows(fx).groupBy("question_id").agg(F.max("s").alias("s")).agg(exact_mean(F.col("s"), 4).alias("mean_best_cosine"))
+    of = lambda k: exact_mean(F.when(F.col("question_id") % 2 == k, F.col("mean")), 3)
+    face = face_rows(fx).agg(of(0).alias("face_ours"), of(1).alias("face_gold"))
+    return best.join(F.broadcast(cosine)).join(F.broadcast(face))  # a row each
 
 
 @query("J15_response_lookup", """SELECT metric_key, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT p.metric_key, r.question_id IS NOT NULL AS hit FROM metric_payloads p LEFT JOIN raw_responses r ON r.question_id = p.scope_id) GROUP BY 1""")

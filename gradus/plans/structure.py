@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from gradus.functions.text import slide_heading
 from gradus.operators import structure as S
+from gradus.operators import vocabulary as V
 from gradus.sources import io
 
 from .registry import query
-from .text import HEAD
+from .text import HEAD, JOINED
 
 
 @query("S1_scan_table", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
@@ -88,10 +89,15 @@ def hydrate_metrics(fx):
     return spread.join(own, ["metric_key", "scope_id"], "left_anti")
 
 
-@query("S13_source_passages", "SELECT book, count(*) AS passages, min(item_id) AS first_item FROM (SELECT *, row_number() OVER (PARTITION BY book, item_id % 100 ORDER BY item_id) AS r FROM bank WHERE evaluated) WHERE r = 1 GROUP BY book")
+BANKROWS = "(SELECT c_mktsegment AS book, CASE WHEN o_custkey % 5 = 0 THEN 'App ' || o_custkey % 3 ELSE (o_custkey % 12)::VARCHAR END AS chapter, o_orderkey AS pos, (o_custkey % 50) || '|' || o_orderpriority AS context FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')"
+
+
+@query("S13_source_passages", f"""SELECT book, chapter, row_number() OVER (PARTITION BY book ORDER BY try_cast(chapter AS INT) IS NULL, try_cast(chapter AS INT), chapter) - 1 AS chapter_rank, count(*) AS passages, min(pos) AS first_item
+  FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY pos) AS r FROM {BANKROWS}) WHERE r = 1 GROUP BY book, chapter""")
 def source_passages(fx):
-    first = F.row_number().over(Window.partitionBy("book", F.col("item_id") % 100).orderBy("item_id"))
-    return fx.bank.where("evaluated").withColumn("r", first).where("r = 1").groupBy("book").agg(F.count("*").alias("passages"), F.min("item_id").alias("first_item"))
+    o = fx.orders.where("o_orderstatus = 'F'").join(fx.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("book")), "o_custkey")
+    chapter = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("App "), (F.col("o_custkey") % 3).cast("string"))).otherwise((F.col("o_custkey") % 12).cast("string"))
+    return S.passages(o.select("book", chapter.alias("chapter"), F.col("o_orderkey").alias("pos"), F.concat_ws("|", F.col("o_custkey") % 50, "o_orderpriority").alias("context")))
 
 
 @query("F1_questions_by_lesson", "SELECT question_id FROM questions WHERE primary_lesson_id = 7 OR secondary_lesson_id = 7")
@@ -150,16 +156,20 @@ def relationship_evidence(fx):
     return e.select("source_id", "target_id", ((F.length("ev") >= 15) & F.contains("c", F.lower("ev"))).alias("grounded"))
 
 
-@query("F11_soft_edge_exempt", "SELECT source_id, target_id, relationship_type IN ('relates_to', 'prerequisite', 'defines') AND abs(source_id % 10 - target_id % 10) <= 1 AS exempt FROM edges")
+@query("F11_soft_edge_exempt", "SELECT source_id, target_id, relationship_type IN ('relates_to', 'prerequisite', 'defines') AND abs(s.lo_section - t.lo_section) <= 1 AS exempt FROM edges JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id")
 def soft_edge_exempt(fx):
     lo = fx.learning_objects.select("lo_id", "lo_section")
     e = fx.edges.join(lo.select(F.col("lo_id").alias("source_id"), F.col("lo_section").alias("a")), "source_id").join(lo.select(F.col("lo_id").alias("target_id"), F.col("lo_section").alias("b")), "target_id")
     return e.select("source_id", "target_id", (F.col("relationship_type").isin("relates_to", "prerequisite", "defines") & (F.abs(F.col("a") - F.col("b")) <= 1)).alias("exempt"))
 
 
-@query("F12_drop_phantom_sections", "SELECT section_id FROM sections WHERE start_page IS NOT NULL AND (length(title) > 12 OR end_page - start_page + 1 <= 4 + lesson_id % 2)")
+LOCATED = "(SELECT section_id, nullif(start_page, 1) AS start_page, start_page + section_id % 12 AS end_page, section_id % 3 = 0 AS matched_via_title FROM sections)"
+
+
+@query("F12_drop_phantom_sections", f"SELECT section_id FROM {LOCATED} WHERE start_page IS NOT NULL AND (matched_via_title OR end_page - start_page + 1 <= 8)")
 def drop_phantom_sections(fx):
-    return fx.sections.where("start_page IS NOT NULL AND (length(title) > 12 OR end_page - start_page + 1 <= 4 + lesson_id % 2)").select("section_id")
+    s = fx.sections.select("section_id", F.nullif("start_page", F.lit(1)).alias("start_page"), (F.col("start_page") + F.col("section_id") % 12).alias("end_page"), (F.col("section_id") % 3 == 0).alias("matched_via_title"))
+    return S.drop_phantoms(s).select("section_id")
 
 
 @query("J1_lesson_tree", "SELECT l.lesson_id, l.title, array_to_string(coalesce(list(s.title ORDER BY s.order_index) FILTER (s.section_id IS NOT NULL), []), '|') AS section_titles, count(s.section_id) AS n FROM lessons l LEFT JOIN sections s ON s.lesson_id = l.lesson_id GROUP BY 1, 2")
@@ -257,11 +267,11 @@ def offset_to_page(fx):
     return S.offset_to_page(points, S.page_offsets(fx.lesson_pages))
 
 
-HITS = "(SELECT lesson_id, section_id, start_page, w, is_title, unnest(o) AS off, len_ FROM (SELECT s.lesson_id, s.section_id, s.start_page, 3.0 AS w, true AS is_title, length(s.title) AS len_, [x for x in [list_sum([length(y) for y in p[1:i]])::BIGINT + (i - 1) * length(s.title) for i in range(1, least(len(p), 201))]] AS o FROM (SELECT s.*, string_split(lower(l.raw_content), lower(s.title)) AS p FROM sections s JOIN lessons l ON l.lesson_id = s.lesson_id WHERE length(s.title) >= 3) s UNION ALL SELECT s.lesson_id, s.section_id, s.start_page, 1.0, false, length(k), [list_sum([length(y) for y in p[1:i]])::BIGINT + (i - 1) * length(k) for i in range(1, least(len(p), 101))] FROM (SELECT s.*, string_split(lower(l.raw_content), lower(k)) AS p FROM (SELECT *, unnest(key_topics) AS k FROM sections) s JOIN lessons l ON l.lesson_id = s.lesson_id WHERE length(k) >= 3) s))"
+HITS = f"(SELECT lesson_id, section_id, start_page, w, is_title, unnest(o) AS off, len_ FROM (SELECT s.lesson_id, s.section_id, s.start_page, 3.0 AS w, true AS is_title, length(s.title) AS len_, [x for x in [list_sum([length(y) for y in p[1:i]])::BIGINT + (i - 1) * length(s.title) for i in range(1, least(len(p), 201))]] AS o FROM (SELECT s.*, string_split(lower(l.raw), lower(s.title)) AS p FROM sections s JOIN ({JOINED}) l ON l.lesson_id = s.lesson_id WHERE length(s.title) >= 3) s UNION ALL SELECT s.lesson_id, s.section_id, s.start_page, 1.0, false, length(k), [list_sum([length(y) for y in p[1:i]])::BIGINT + (i - 1) * length(k) for i in range(1, least(len(p), 101))] FROM (SELECT s.*, string_split(lower(l.raw), lower(k)) AS p FROM (SELECT *, unnest(key_topics) AS k FROM sections) s JOIN ({JOINED}) l ON l.lesson_id = s.lesson_id WHERE length(k) >= 3) s))"
 
 
 def section_hits(fx):
-    raw = fx.lessons.select("lesson_id", F.col("raw_content").alias("raw"))
+    raw = S.joined_pages(fx.lesson_pages)
     t = fx.sections.where("length(title) >= 3").select("lesson_id", "section_id", F.col("title").alias("needle"), F.lit(3.0).alias("weight"), F.lit(True).alias("is_title"))
     k = fx.sections.select("lesson_id", "section_id", F.explode("key_topics").alias("needle"), F.lit(1.0).alias("weight"), F.lit(False).alias("is_title")).where("length(needle) >= 3")
     return S.hits(raw, t, "lesson_id").unionByName(S.hits(raw, k, "lesson_id", 100)).withColumn("length", F.length("needle"))
@@ -275,11 +285,16 @@ def gap_clusters(fx):
     return S.gap_clusters(section_hits(fx), ["section_id"]).groupBy("section_id", "cluster").agg(F.count("*").alias("hits"), F.min("offset").alias("first"), F.max("offset").alias("last"))
 
 
-@query("W2_best_cluster", f"""SELECT section_id, CASE WHEN titles > 0 THEN t_first ELSE f END AS start_offset, CASE WHEN titles > 0 THEN t_last ELSE l END AS end_offset, titles > 0 AS matched_via_title FROM
+BEST = f"""(SELECT section_id, CASE WHEN titles > 0 THEN t_first ELSE f END AS start_offset, CASE WHEN titles > 0 THEN t_last ELSE l END AS end_offset, titles > 0 AS matched_via_title FROM
   (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY titles DESC, weight DESC, f) AS r FROM (SELECT section_id, cluster, count(*) FILTER (is_title) AS titles, sum(w) AS weight, min(off) AS f, max(off * 1000 + len_) // 1000 + max(off * 1000 + len_) % 1000 AS l,
-    min(off) FILTER (is_title) AS t_first, max(off + len_) FILTER (is_title) AS t_last FROM {CLUST} GROUP BY 1, 2)) WHERE r = 1""")
+    min(off) FILTER (is_title) AS t_first, max(off + len_) FILTER (is_title) AS t_last FROM {CLUST} GROUP BY 1, 2)) WHERE r = 1)"""
+PAGE_AT = f"coalesce((SELECT p.page FROM {OFFS} p WHERE p.lesson_id = b.section_id // 1000 AND b.{{o}} >= p.start_offset AND b.{{o}} < p.end_offset), (SELECT max(page) FROM lesson_pages p WHERE p.lesson_id = b.section_id // 1000))"
+
+
+@query("W2_best_cluster", f"""SELECT b.section_id, b.start_offset, b.end_offset, {PAGE_AT.format(o='start_offset')} AS start_page, {PAGE_AT.format(o='end_offset')} AS end_page,
+  md5(substr(substr(l.raw, b.start_offset + 1, b.end_offset + 600 - b.start_offset), 1, 3000)) AS snippet, b.matched_via_title FROM {BEST} b JOIN ({JOINED}) l ON l.lesson_id = b.section_id // 1000""")
 def best_cluster(fx):
-    return S.best_cluster(section_hits(fx), ["section_id"])
+    return S.located(S.best_cluster(section_hits(fx), ["lesson_id", "section_id"]), fx.lesson_pages).select("section_id", "start_offset", "end_offset", "start_page", "end_page", F.md5("snippet").alias("snippet"), "matched_via_title")
 
 
 @query("J7_excluded_ranges", f"SELECT section_id, count(*) AS hits FROM {HITS} h WHERE NOT EXISTS (SELECT 1 FROM {OFFS} p WHERE p.lesson_id = h.lesson_id AND p.page = 1 AND h.off >= p.start_offset AND h.off < p.end_offset) GROUP BY 1")
@@ -311,13 +326,18 @@ def heading_runs(fx):
     return p.groupBy("lesson_id", "heading", "g").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page")).drop("g")
 
 
-UNCP = f"(SELECT * FROM {SOLID} WHERE page > 1 AND (lesson_id, page) NOT IN (SELECT (lesson_id, page) FROM {QP}))"
+UNCP = f"(SELECT * FROM {SOLID} p WHERE page % 5 IN (0, 4) AND NOT EXISTS (SELECT 1 FROM ({{toc}}) t WHERE t.lesson_id = p.lesson_id AND t.page = p.page))"
+TOC = "SELECT p.lesson_id, p.page FROM lesson_pages p JOIN (SELECT lesson_id, list(lower(title)) FILTER (length(title) > 0) AS t FROM sections GROUP BY 1) s ON s.lesson_id = p.lesson_id WHERE len([x for x in s.t if contains(lower(p.page_text), x)]) >= greatest(2, floor(0.6 * len(s.t)))"
+RUNS = ISL.format(src=UNCP.format(toc=TOC))
 
 
-@query("W5_uncovered_runs", f"SELECT lesson_id, \"start\", \"end\" FROM {ISL.format(src=UNCP)}")
+@query("W5_uncovered_runs", f"""SELECT lesson_id, "start", "end", title FROM (SELECT *, row_number() OVER (PARTITION BY lesson_id, lower(title) ORDER BY "start") AS k FROM (SELECT r.lesson_id, r."start", r."end", arg_min(h.heading, h.page) AS title FROM {RUNS} r JOIN {HEADP} h
+  ON h.lesson_id = r.lesson_id AND h.page BETWEEN r."start" AND r."end" AND h.heading IS NOT NULL GROUP BY ALL)) x WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM sections s WHERE s.lesson_id = x.lesson_id AND lower(s.title) = lower(x.title))""")
 def uncovered_runs(fx):
-    p = fx.lesson_pages.where("page > 1").where(F.length(F.trim("page_text")) >= 30).select("lesson_id", "page")
-    return S.runs(p.join(question_pages_df(fx).select("lesson_id", "page").distinct(), ["lesson_id", "page"], "left_anti"), ["lesson_id"])
+    """Sections are taken to cover their first three pages, so that runs are left over."""
+    p = fx.lesson_pages.where("page % 5 IN (0, 4)").where(F.length(F.trim("page_text")) >= 30).select("lesson_id", "page")
+    r = S.runs(p.join(S.toc_pages(fx.lesson_pages, fx.sections), ["lesson_id", "page"], "left_anti"), ["lesson_id"])
+    return S.titled_runs(r, fx.lesson_pages.select("lesson_id", "page", slide_heading(F.col("page_text")).alias("heading")), fx.sections)
 
 
 @query("D12_set_difference_pages", f"SELECT lesson_id, page FROM lesson_pages WHERE page > 1 AND (lesson_id, page) NOT IN (SELECT (lesson_id, page) FROM {QP})")
@@ -325,23 +345,23 @@ def set_difference_pages(fx):
     return fx.lesson_pages.where("page > 1").select("lesson_id", "page").join(question_pages_df(fx).select("lesson_id", "page").distinct(), ["lesson_id", "page"], "left_anti")
 
 
-CUE = "(SELECT lesson_id, n, unnest([list_sum([length(y) for y in p[1:i]])::BIGINT + (i - 1) * 5 for i in range(1, least(len(p), 201))]) AS off FROM (SELECT lesson_id, length(raw_content) AS n, string_split(lower(raw_content), 'which') AS p FROM lessons) WHERE len(p) > 1)"
-CUE = CUE.replace("which", "loser")
+# the word boundary before a letter that isn't ASCII is left out in SQL, whose boundaries are ASCII ones
+CUE_SQL = "(?i)" + "|".join(p.removeprefix(r"\b") if not p.removeprefix(r"\b")[0].isascii() else p for p in V.CUES)
+CUE = f"""(SELECT lesson_id, n, unnest([{{'off': list_sum([length(y) for y in p[1:i]])::BIGINT + coalesce(list_sum([length(y) for y in m[1:i - 1]]), 0)::BIGINT, 'cue': m[i]}} for i in range(1, len(m) + 1)], recursive := true)
+  FROM (SELECT lesson_id, length(raw) AS n, string_split_regex(raw, '{CUE_SQL}') AS p, regexp_extract_all(raw, '{CUE_SQL}') AS m FROM cue_lessons) WHERE len(m) > 0)"""
 
 
 def cue_hits(fx):
-    raw = fx.lessons.select("lesson_id", F.col("raw_content").alias("raw"))
-    n = fx.lessons.select("lesson_id", F.lit("loser").alias("needle"), F.length("raw_content").alias("size"))
-    return S.hits(raw, n, "lesson_id").select("lesson_id", "offset", F.lit(5).alias("length"), F.lit("loser").alias("cue"), "size")
+    return S.cue_hits(fx.cue_lessons, "lesson_id")
 
 
-@query("X12_find_cues", f"SELECT lesson_id, off AS \"offset\" FROM {CUE}")
+@query("X12_find_cues", f"SELECT lesson_id, off AS \"offset\", cue FROM {CUE}")
 def find_cues(fx):
-    return cue_hits(fx).select("lesson_id", "offset")
+    return cue_hits(fx).select("lesson_id", "offset", "cue")
 
 
-@query("W6_merge_windows", f"""SELECT lesson_id, min(s) AS "start", max(e) AS "end", string_agg('loser', ' | ') AS cues FROM (SELECT *, coalesce(sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY lesson_id ORDER BY s, e ROWS UNBOUNDED PRECEDING), 0) AS g FROM
-  (SELECT *, max(e) OVER (PARTITION BY lesson_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT lesson_id, greatest(0, off - 150) AS s, least(n, off + 5 + 250) AS e FROM {CUE}))) GROUP BY lesson_id, g QUALIFY row_number() OVER (PARTITION BY lesson_id ORDER BY min(s)) <= 20""")
+@query("W6_merge_windows", f"""SELECT lesson_id, min(s) AS "start", max(e) AS "end", string_agg(cue, ' | ' ORDER BY s, e, cue) AS cues FROM (SELECT *, coalesce(sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY lesson_id ORDER BY s, e, cue ROWS UNBOUNDED PRECEDING), 0) AS g FROM
+  (SELECT *, max(e) OVER (PARTITION BY lesson_id ORDER BY s, e, cue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT lesson_id, cue, greatest(0, off - 150) AS s, least(n, off + length(cue) + 250) AS e FROM {CUE}))) GROUP BY lesson_id, g QUALIFY row_number() OVER (PARTITION BY lesson_id ORDER BY min(s)) <= 20""")
 def merge_windows(fx):
     return S.merge_windows(cue_hits(fx), ["lesson_id"])
 
@@ -375,13 +395,26 @@ def study_guide(fx):
     return q.groupBy("quiz_id").agg(F.count("*").alias("questions"), F.array_join(F.sort_array(F.collect_set("title")), "|").alias("lessons"))
 
 
-@query("J12_cross_lesson_edges", "SELECT source_id, target_id, source_id % 3 <> target_id % 3 AS spans_lessons, (row_number() OVER (PARTITION BY source_id % 3 <> target_id % 3 ORDER BY source_id, target_id) - 1) % 7 = 2 AS picked FROM edges")
+EL = "(SELECT e.source_id, e.target_id, s.lo_lesson AS ls, t.lo_lesson AS lt, s.lo_section AS ss, t.lo_section AS st FROM edges e JOIN learning_objects s ON s.lo_id = e.source_id JOIN learning_objects t ON t.lo_id = e.target_id)"
+ASKED = "(SELECT a, b, o FROM (SELECT DISTINCT lo_lesson AS a FROM learning_objects) CROSS JOIN (SELECT DISTINCT lo_lesson AS b FROM learning_objects UNION ALL SELECT NULL) CROSS JOIN (SELECT unnest(range(7)) AS o) WHERE b IS NULL OR a <> b)"
+FOCUS = "(SELECT lo_lesson AS a, list_sort(list_distinct(list(lo_section))) AS f FROM learning_objects GROUP BY 1)"
+POOL = "SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a, k) AS n FROM ({x}) WINDOW w AS (PARTITION BY a, k ORDER BY source_id, target_id)"
+
+
+@query("J12_cross_lesson_edges", f"""WITH e AS {EL}, c AS ({POOL.format(x='SELECT ls AS a, lt AS k, source_id, target_id FROM e WHERE ls <> lt UNION ALL SELECT lt, ls, source_id, target_id FROM e WHERE ls <> lt')}),
+  w AS ({POOL.format(x='SELECT ls AS a, 0 AS k, source_id, target_id FROM e WHERE ls = lt')}), f AS ({POOL.format(x='SELECT DISTINCT a, k, source_id, target_id FROM (SELECT ls AS a, ss AS k, source_id, target_id FROM e WHERE ls = lt UNION ALL SELECT ls, st, source_id, target_id FROM e WHERE ls = lt)')}),
+  q AS (SELECT ASKED.*, FOCUS.f[o % len(FOCUS.f) + 1] AS s FROM {ASKED} ASKED JOIN {FOCUS} FOCUS USING (a))
+  SELECT q.a AS lesson, q.b AS second_lesson, q.o AS "offset", c.a IS NOT NULL AS spans_lessons, coalesce(c.source_id, f.source_id, w.source_id) AS source_id, coalesce(c.target_id, f.target_id, w.target_id) AS target_id
+  FROM q LEFT JOIN c ON c.a = q.a AND c.k = q.b AND c.i = q.o % c.n LEFT JOIN f ON f.a = q.a AND f.k = q.s AND f.i = q.o % f.n LEFT JOIN w ON w.a = q.a AND w.i = q.o % w.n""")
 def cross_lesson_edges(fx):
-    lo = fx.learning_objects.select("lo_id", "lo_lesson")
-    e = fx.edges.join(lo.select(F.col("lo_id").alias("source_id"), F.col("lo_lesson").alias("a")), "source_id").join(lo.select(F.col("lo_id").alias("target_id"), F.col("lo_lesson").alias("b")), "target_id")
-    e = e.withColumn("spans_lessons", F.col("a") != F.col("b"))
-    r = F.row_number().over(Window.partitionBy("spans_lessons").orderBy("source_id", "target_id"))
-    return e.select("source_id", "target_id", "spans_lessons", ((r - 1) % 7 == 2).alias("picked"))
+    lo = fx.learning_objects
+    ends = lambda side, x: lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias(f"l{x}"), F.col("lo_section").alias(f"s{x}"))
+    e = fx.edges.join(ends("source_id", "s"), "source_id").join(ends("target_id", "t"), "target_id")
+    lessons = lo.select(F.col("lo_lesson").alias("lesson")).distinct()
+    second = lessons.select(F.col("lesson").alias("second_lesson"))
+    pairs = lessons.join(second, F.col("lesson") != F.col("second_lesson")).unionByName(lessons.withColumn("second_lesson", F.lit(None).cast("long")))
+    asked = pairs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return S.anchor_edges(e, asked, lo.select(F.col("lo_lesson").alias("lesson"), F.col("lo_section").alias("section")))
 
 
 @query("J13_coalesce_live_snapshot", "SELECT coalesce(a.scope_id, b.scope_id) AS scope_id, coalesce(a.v, b.v) AS v FROM (SELECT scope_id, round(max(value), 4) AS v FROM metric_payloads WHERE metric_key = 'click' AND scope_id % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT scope_id, round(min(value), 4) AS v FROM metric_payloads WHERE metric_key = 'view' GROUP BY 1) b ON a.scope_id = b.scope_id")

@@ -9,6 +9,8 @@ from gradus.functions.responses import content_hash
 from gradus.operators import vocabulary as V
 from gradus.sources.fixture_sql import TOK
 
+from gradus.operators import structure as S
+
 from .registry import query
 
 SENT = "CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(text, '[.!?]+'))) END"
@@ -68,13 +70,13 @@ def readability_fit(fx):
     return fitted(fx).select("doc_id", "solo_level", "fit", "bucket")
 
 
-@query("A3_readability_report", f"""SELECT lang, source, round(avg(grade), 2) AS mean_grade, round(avg(ease), 2) AS mean_ease, count(*) AS n, count(*) FILTER ({BUCKET} = 'easy') AS easy, count(*) FILTER ({BUCKET} = 'medium') AS medium,
+@query("A3_readability_report", f"""SELECT lang, source, {T.exact_mean_sql('grade', 2)} AS mean_grade, {T.exact_mean_sql('ease', 2)} AS mean_ease, count(*) AS n, count(*) FILTER ({BUCKET} = 'easy') AS easy, count(*) FILTER ({BUCKET} = 'medium') AS medium,
   count(*) FILTER ({BUCKET} = 'hard') AS hard, count(*) FILTER ({FIT} = 'in_range') AS in_range, count(*) FILTER ({FIT} = 'too_easy') AS too_easy, count(*) FILTER ({FIT} = 'too_hard') AS too_hard FROM {GRADED} GROUP BY 1, 2""")
 def readability_report(fx):
     """Grade, ease, buckets and fit for each language and source, in one pass."""
     is_ = lambda c, v: F.count_if(F.col(c) == v).alias(v)
     return fitted(fx).groupBy("lang", "source").agg(
-        F.round(F.avg("grade"), 2).alias("mean_grade"), F.round(F.avg("ease"), 2).alias("mean_ease"), F.count("*").alias("n"),
+        T.exact_mean(F.col("grade"), 2).alias("mean_grade"), T.exact_mean(F.col("ease"), 2).alias("mean_ease"), F.count("*").alias("n"),
         *[is_("bucket", b) for b in ("easy", "medium", "hard")], *[is_("fit", f) for f in ("in_range", "too_easy", "too_hard")],
     )
 
@@ -179,14 +181,16 @@ def hashed(fx):
     return fx.documents.select("doc_id", content_hash(F.lit("m"), F.col("text")).alias("key"))
 
 
-@query("X15_outline_sample", """SELECT lesson_id, md5(CASE WHEN sum(length(page_text)) <= 2000 THEN string_agg(page_text, chr(10) ORDER BY page)
-  ELSE string_agg(CASE WHEN page = 1 OR page = n THEN page_text ELSE substr(page_text, 1, 300) END, chr(10) ORDER BY page) END) AS sample FROM (SELECT *, count(*) OVER (PARTITION BY lesson_id) AS n FROM lesson_pages) GROUP BY lesson_id""")
+SAMPLE = 14_000
+JOINED = "SELECT lesson_id, string_agg(chr(10) || '--- Page ' || page || ' ---' || chr(10) || page_text, '' ORDER BY page) AS raw, count(*) AS n FROM lesson_pages GROUP BY 1"
+PARTS = r"""string_agg(CASE WHEN page = 1 THEN '=== PAGE 1 (first page, full) ===' || chr(10) || body WHEN page = n THEN '=== PAGE ' || page || ' (last page, full) ===' || chr(10) || body
+  WHEN trim(regexp_replace(body, '^\s+|\s+$', '', 'g')) <> '' THEN '=== PAGE ' || page || ' (top excerpt) ===' || chr(10) || substr(regexp_replace(body, '^\s+|\s+$', '', 'g'), 1, 300) END, chr(10) ORDER BY page)"""
+
+
+@query("X15_outline_sample", f"""SELECT lesson_id, md5(CASE WHEN length(raw) <= {SAMPLE} THEN raw WHEN n < 2 THEN raw[1:{SAMPLE * 7 // 10}] || chr(10) || chr(10) || '[... omitted middle ...]' || chr(10) || chr(10) || right(raw, {SAMPLE * 3 // 10})
+  WHEN length(s) > {SAMPLE} THEN substr(s, 1, {SAMPLE}) || chr(10) || '[... truncated ...]' ELSE s END) AS sample FROM ({JOINED}) JOIN (SELECT lesson_id, {PARTS} AS s FROM (SELECT lesson_id, page, chr(10) || '--- Page ' || page || ' ---' || chr(10) || page_text AS body, count(*) OVER (PARTITION BY lesson_id) AS n FROM lesson_pages) GROUP BY 1) USING (lesson_id)""")
 def outline_sample(fx):
-    rows = F.sort_array(F.collect_list(F.struct("page", "page_text")))
-    p = fx.lesson_pages.groupBy("lesson_id").agg(rows.alias("r"), F.sum(F.length("page_text")).alias("chars"))
-    short = F.transform("r", lambda x: F.when((x["page"] == 1) | (x["page"] == F.size("r")), x["page_text"]).otherwise(F.substring(x["page_text"], 1, 300)))
-    whole = F.transform("r", lambda x: x["page_text"])
-    return p.select("lesson_id", F.md5(F.array_join(F.when(F.col("chars") <= 2000, whole).otherwise(short), "\n")).alias("sample"))
+    return S.outline_sample(fx.lesson_pages, SAMPLE).select("lesson_id", F.md5("sample").alias("sample"))
 
 
 @query("X16_content_for_pages", "SELECT lesson_id, string_agg(page_text, chr(10) ORDER BY page) AS content FROM lesson_pages WHERE page BETWEEN 2 AND 5 AND page <> 3 GROUP BY lesson_id")

@@ -1,5 +1,25 @@
 """The fixtures in DuckDB SQL, over the same tables."""
 
+from gradus.sources.fixtures import CUE_PHRASES, HEADLINES, OVERVIEW
+
+
+def _replaced(text: str) -> str:
+    for word, phrase in CUE_PHRASES:
+        text = f"replace({text}, '{word}', '{phrase}')"
+    return text
+
+
+def _headline(key: str) -> str:
+    of = [(i, path) for i, (k, path, _) in enumerate(HEADLINES) if k == key]
+    return "'{' || " + " || ', ' || ".join(f"""'"{path}": ' || (((c * {i + 1} + q) % 9973) / 100)::DECIMAL(20, 2)""" for i, path in of) + " || '}'"
+
+
+def _overview(i: int, path: str | None) -> str:
+    if path is None:
+        return """'{"evaluated_questions": ' || k || ', "correct_outlier_count": ' || (c % k) || '}'"""
+    return f"""'{{"{path}": ' || (((c * {i + 1}) % 997) / 10)::DECIMAL(20, 1) || '}}'"""
+
+
 LEVEL = "['unistructural', 'multistructural', 'relational', 'extended_abstract']"
 TOK = r"[\p{L}\p{N}_]+"
 
@@ -14,7 +34,7 @@ FIXTURE_SQL = {
         CASE WHEN item_id % 5 = 0 THEN []::INT[] ELSE [(item_id % 7 + 1)::INT, (item_id % 7 + 3)::INT] END AS source_pages
         FROM (SELECT *, regexp_extract_all(text, '{TOK}') AS w FROM benchmark)""",
     "edges": """SELECT source_id, target_id, CASE min(f) WHEN 'A' THEN 'part_of' WHEN 'N' THEN 'prerequisite' ELSE 'relates_to' END AS relationship_type
-        FROM (SELECT l_partkey % 40 AS source_id, l_suppkey % 40 AS target_id, l_returnflag AS f FROM lineitem WHERE l_orderkey % 1000 = 0) WHERE source_id <> target_id GROUP BY 1, 2""",
+        FROM (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS f FROM lineitem) WHERE source_id <> target_id GROUP BY 1, 2""",
     "questions": f"""SELECT question_id, (CASE WHEN question_id % 5 = 0 THEN 'Which is not ' ELSE '' END) || text || (CASE WHEN question_id % 3 <> 0 THEN '?' ELSE '' END) AS question_text, options,
         k AS correct_option_index, options[k + 1] AS correct_answer, {LEVEL}[conv_id % 4 + 1] AS solo_level, conv_id % 40 AS learning_object_id, conv_id AS primary_lesson_id, conv_id + 1 AS secondary_lesson_id,
         conv_id % 10 AS quiz_id, conv_id % 7 AS question_section_id
@@ -34,6 +54,13 @@ FIXTURE_SQL = {
     "attempts": "SELECT event_id, ts, user_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 40 AS item, (event_id % 4)::INT AS answer FROM events",
     "metric_payloads": "SELECT event_type AS metric_key, user_id AS scope_id, props AS payload, ts AS created_at, event_id, value FROM events",
     "translations": "SELECT doc_id % 200 AS question_id, lang AS language_code, (doc_id % 200) % 10 AS quiz_id, substr(text, 1, 60) AS translated, doc_id FROM documents",
+    "cue_lessons": f"SELECT lesson_id, {_replaced('raw_content')} AS raw FROM lessons",
+    "section_objects": """SELECT section_id, lesson_id, start_page, end_page, CASE WHEN section_id % 3 = 0 THEN title ELSE 'qq ' || section_id END AS lo_title,
+        CASE WHEN section_id % 3 < 2 THEN key_topics ELSE []::VARCHAR[] END AS keywords FROM sections""",
+    "validation": " UNION ALL ".join(f"SELECT snapshot, '{k}' AS metric_key, NULL::BIGINT AS lesson, {_headline(k)} AS payload FROM (SELECT snapshot, sum(n_chars)::BIGINT AS c, count(*) FILTER (contains(text, '?')) AS q FROM snapshots GROUP BY 1)" for k in dict.fromkeys(h[0] for h in HEADLINES))
+    + """ UNION ALL SELECT snapshot, 'coverage', lesson, '{"concept_coverage": {"weighted_concept_coverage_pct": ' || ((10000 * hit // w) / 100)::DECIMAL(20, 2) || '}}'
+        FROM (SELECT snapshot, lesson, sum(n_chars)::BIGINT AS w, coalesce(sum(n_chars) FILTER (n_chars > 1000), 0)::BIGINT AS hit FROM snapshots GROUP BY 1, 2)""",
+    "lesson_payloads": " UNION ALL ".join(f"SELECT scope, '{k}' AS metric_key, {_overview(i, path)} AS payload FROM (SELECT source AS scope, sum(length(text))::BIGINT AS c, count(*) AS k FROM documents GROUP BY 1 UNION ALL SELECT 'expert', sum(length(text))::BIGINT, count(*) FROM benchmark)" for i, (_, k, path, _) in enumerate(OVERVIEW)),
     "bank": "SELECT c_mktsegment AS book, o_orderkey AS item_id, o_orderstatus = 'F' AS evaluated FROM orders JOIN customer ON o_custkey = c_custkey",
     "triples": """SELECT 'region_' || r_regionkey AS s, 'type' AS p, 'Region' AS o FROM region UNION ALL SELECT 'region_' || r_regionkey, 'label', r_name FROM region
         UNION ALL SELECT 'nation_' || n_nationkey, 'type', 'Nation' FROM nation UNION ALL SELECT 'nation_' || n_nationkey, 'label', n_name FROM nation UNION ALL SELECT 'region_' || n_regionkey, 'hasNation', 'nation_' || n_nationkey FROM nation

@@ -4,13 +4,29 @@ Each is a lazy DataFrame over whole tables; `fixture_sql` has the same definitio
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.text import tokens
 
+#: Metric, JSON path and direction (None: neutral) of the headline numbers of two snapshots. Fixed values.
+HEADLINES = [
+    ("lint", "average_score", True), ("solo_judge", "cohen_kappa", True), ("solo_judge", "accuracy", True), ("cove", "support_rate", True), ("cove", "needs_review", False), ("solvability", "mean_p_value", None),
+    ("stem_only", "h4_pass_rate", True), ("ioc", "ioc_index", True), ("ambiguity", "ambiguity_rate", False), ("readability", "mean_flesch_kincaid_grade", False), ("grammar_homogeneity", "homogeneous_rate", True),
+    ("grammar_homogeneity", "correct_outlier_count", False), ("face_validity", "mean_face_validity_score", True),
+]
+#: Metric of the overview, payload, JSON path (None: a rate of two counts), whether experts' questions have it. Fixed values.
+OVERVIEW = [
+    ("solo_kappa", "solo_judge", "cohen_kappa", False), ("ioc", "ioc", "ioc_index", False), ("stem_only", "stem_only", "h4_pass_rate", True), ("cove_supported", "cove", "support_rate", True), ("solvability", "solvability", "mean_p_value", True),
+    ("face", "face_validity", "mean_face_validity_score", True), ("ambiguity", "ambiguity", "ambiguity_rate", True), ("grammar_outlier", "grammar_homogeneity", None, True), ("lint", "lint", "average_score", True), ("readability", "readability", "mean_flesch_kincaid_grade", True),
+]
+#: Words of the texts and the phrases that stand for them in `cue_lessons`.
+CUE_PHRASES = [
+    ("loser", "a common misconception"), ("idiot", "česta greška"), ("pathetic", "students often think"), ("scum", "za razliku od drugih"), ("worthless", "not to be confused with"), ("moron", "nije isto što i"),
+    ("trash", "Contrary to intuition"), ("clown", "izgleda kao krug ali je elipsa"), ("disgusting", "some people mistakenly"), ("stupid", "umesto mase, neki misle"),
+]
 LEVELS = ["unistructural", "multistructural", "relational", "extended_abstract"]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -63,7 +79,7 @@ class Fixtures:
     @cached_property
     def edges(self) -> DataFrame:
         kinds = F.when(F.col("f") == "A", "part_of").when(F.col("f") == "N", "prerequisite").otherwise("relates_to")
-        pairs = self.lineitem.where("l_orderkey % 1000 = 0").select((F.col("l_partkey") % 40).alias("source_id"), (F.col("l_suppkey") % 40).alias("target_id"), F.col("l_returnflag").alias("f")).where("source_id <> target_id")
+        pairs = self.lineitem.select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("f")).where("source_id <> target_id")
         return pairs.groupBy("source_id", "target_id").agg(F.min("f").alias("f")).select("source_id", "target_id", kinds.alias("relationship_type"))
 
     @cached_property
@@ -125,6 +141,51 @@ class Fixtures:
     def translations(self) -> DataFrame:
         return self.documents.select((F.col("doc_id") % 200).alias("question_id"), F.col("lang").alias("language_code"), ((F.col("doc_id") % 200) % 10).alias("quiz_id"), F.substring("text", 1, 60).alias("translated"), "doc_id")
 
+    @cached_property
+    def cue_lessons(self) -> DataFrame:
+        """Lessons in which ten words stand for phrases that announce a misconception."""
+        text = F.col("raw_content")
+        for word, phrase in CUE_PHRASES:
+            text = F.replace(text, F.lit(word), F.lit(phrase))
+        return self.lessons.select("lesson_id", text.alias("raw"))
+
+    @cached_property
+    def section_objects(self) -> DataFrame:
+        """A learning object a section: a third with the section's title, a third with a title that is nowhere and keywords, a third with neither."""
+        kind = F.col("section_id") % 3
+        title = F.when(kind == 0, F.col("title")).otherwise(F.concat(F.lit("qq "), F.col("section_id").cast("string")))
+        return self.sections.select("section_id", "lesson_id", "start_page", "end_page", title.alias("lo_title"), F.when(kind < 2, F.col("key_topics")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        """A JSON payload for each snapshot and metric, with numbers of its documents; coverage is nested, a payload a lesson."""
+        n = self.snapshots.groupBy("snapshot").agg(F.sum("n_chars").alias("c"), F.count_if(F.contains("text", F.lit("?"))).alias("q"))
+        number = lambda i: ((F.col("c") * (i + 1) + F.col("q")) % 9973 / 100).cast("decimal(20,2)").cast("string")
+        keys = list(dict.fromkeys(k for k, *_ in HEADLINES))
+        rows = [n.select("snapshot", F.lit(k).alias("metric_key"), F.lit(None).cast("int").alias("lesson"), F.concat(F.lit("{"), *[x for j, i in enumerate([i for i, h in enumerate(HEADLINES) if h[0] == k]) for x in (F.lit((", " if j else "") + f'"{HEADLINES[i][1]}": '), number(i))], F.lit("}")).alias("payload")) for k in keys]
+        per = self.snapshots.groupBy("snapshot", "lesson").agg(F.sum("n_chars").alias("w"), F.sum(F.when(F.col("n_chars") > 1000, F.col("n_chars")).otherwise(0)).alias("hit"))
+        pct = (F.expr("10000 * hit div w") / 100).cast("decimal(20,2)").cast("string")
+        rows.append(per.select("snapshot", F.lit("coverage").alias("metric_key"), "lesson", F.concat(F.lit('{"concept_coverage": {"weighted_concept_coverage_pct": '), pct, F.lit("}}")).alias("payload")))
+        return reduce(DataFrame.unionByName, rows)
+
+    @cached_property
+    def lesson_payloads(self) -> DataFrame:
+        """A JSON payload for each course and metric, and for the experts' benchmark under `expert`."""
+        n = self.documents.groupBy(F.col("source").alias("scope")).agg(F.sum(F.length("text")).alias("c"), F.count("*").alias("k"))
+        n = n.unionByName(self.benchmark.agg(F.lit("expert").alias("scope"), F.sum(F.length("text")).alias("c"), F.count("*").alias("k")))
+        number = lambda i: ((F.col("c") * (i + 1)) % 997 / 10).cast("decimal(20,1)").cast("string")
+        body = lambda i, path: F.concat(F.lit("{" + f'"{path}": '), number(i), F.lit("}"))
+        rows = [n.select("scope", F.lit(k).alias("metric_key"), (F.concat(F.lit('{"evaluated_questions": '), F.col("k").cast("string"), F.lit(', "correct_outlier_count": '), (F.col("c") % F.col("k")).cast("string"), F.lit("}")) if path is None else body(i, path)).alias("payload")) for i, (_, k, path, *_) in enumerate(OVERVIEW)]
+        return reduce(DataFrame.unionByName, rows)
+
+    @cached_property
+    def quality_payloads(self) -> DataFrame:
+        """Stored payloads of a lesson and metric with a report for each question; some reports have no question."""
+        q = F.when(F.col("event_id") % 11 == 0, None).otherwise(F.col("event_id") % 500)
+        key = F.when(F.col("event_type") == "error", "lint").otherwise(F.col("event_type"))
+        reports = F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("at"), q.alias("question_id"), (F.col("event_id") % 7).alias("verdict"))))
+        return self.events.groupBy(F.col("user_id").alias("lesson_id"), key.alias("metric_key")).agg(F.to_json(F.struct(reports.alias("reports"))).alias("payload"))
+
     @cached_property
     def bank(self) -> DataFrame:
         return self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("book"), F.col("o_orderkey").alias("item_id"), (F.col("o_orderstatus") == "F").alias("evaluated"))
