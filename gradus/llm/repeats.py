@@ -7,12 +7,11 @@ neighbouring windows mostly share one, so an occurrence is one anchor with the r
 1. First digit: occurrences are counted by their anchor's key, and those whose key nobody else has go no further. The others carry the units that
    their windows cover.
 2. Each pass settles and splits. Settle: occurrences whose windows cover the same units are one class, of which the first (lowest document, then
-   place) leads; all windows of the others have occurred. Split: a class's windows fall into families by their distance from the anchor, some
-   5 a pass, and the units that all windows of a family share, wider from pass to pass, are its next digit. Families whose digit
-   stands in one class alone go no further.
+   place) leads; all windows of the others have occurred. Split: a class's windows fall into families by their distance from the anchor, and the units
+   that all windows of a family share, wider from pass to pass, are its next digit. Families whose digit stands in one class alone go no further.
 3. After the last pass a family is one window, its digit the window itself.
 
-Classes are told apart by the SHA-256 of their units (its first 16 bytes); other hashes only choose candidates. Every step is an aggregation with
+Classes are told apart by the SHA-256 of their units (its first 16 bytes), which names them from then on; other hashes only choose candidates. Every step is an aggregation with
 map-side sums or a join of two plain shuffles, which Spark splits where a key is hot: no group is gathered in a task, no pair of documents written down,
 nothing sampled or capped.
 
@@ -36,6 +35,8 @@ from .common import broadcast_if_small, digest, saved
 BROADCAST_IDS = 300_000
 #: Bytes of text that a finder takes at once; it needs some 220 for each.
 PIECE = 1 << 17
+#: Names of classes that a task keeps in mind.
+SEEN = 100_000
 
 
 class Anchors(NamedTuple):
@@ -91,10 +92,11 @@ def _keys(kind: Kind):
 
 def _occurrences(kind: Kind):
     """(doc, alt, text, firsts) to the occurrences at `firsts`, the first windows of a document's shared anchors: (key, class, doc, alt, anchor, a, b, units);
-    a to b are the distances of the windows from the anchor. A class that the piece holds already comes without units. Where repeats within a
+    a to b are the distances of the windows from the anchor. A class that the task has sent already comes without units. Where repeats within a
     document count, one that the document holds already comes as a run of repeats, without a class: (null, null, doc, alt, start, null, windows, null)."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             docs, alts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             wanted = batch.column(3)
@@ -102,7 +104,6 @@ def _occurrences(kind: Kind):
             mine: set[bytes] = set()
             of = -1
             for i, x in kind.find(batch.column(2)):
-                seen: set[bytes] = set()
                 out: list[list] = []
                 order = np.flatnonzero(_wanted(i + x.row, x.first, starts, flat))
                 for k, row, first, last, place in zip(order.tolist(), *(v[order].tolist() for v in (x.row, x.first, x.last, x.place)), strict=True):
@@ -117,6 +118,8 @@ def _occurrences(kind: Kind):
                             out.append([None, None, of, None, first, None, last - first + 1, None])
                         continue
                     out.append([int(x.key[k].view(np.int64)), name, of, None, place, a, b, None if name in seen else units])
+                    if len(seen) >= SEEN:  # then their units are sent once more
+                        seen.clear()
                     seen.add(name)
                     mine.add(name)
                 columns = list(zip(*out, strict=True)) or [()] * 8
@@ -139,19 +142,19 @@ def _wanted(rows: np.ndarray, first: np.ndarray, starts: np.ndarray, flat: np.nd
     return np.isin(rows << 40 | first, lists)
 
 
-STATE = ["class", "doc", "alt", "anchor", "a", "b", "units", "name"]
+STATE = ["class", "source", "doc", "alt", "anchor", "a", "b", "name"]
 
 
 def _settled(rows: DataFrame, within: bool, shared_ids: bool, step: str) -> tuple[DataFrame, DataFrame]:
     """rows of STATE: (leading rows of each class, (doc, alt, start, n) runs of windows that have occurred)."""
-    lead = F.min(F.struct("doc", "alt", "anchor")).alias("l")
-    leads = saved(rows.groupBy("class").agg(lead, F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("a", "b", "units", "name")]), f"{step}-leads")
+    lead = F.min(F.struct("doc", "alt", "anchor", "source")).alias("l")
+    leads = saved(rows.groupBy("class").agg(lead, F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("a", "b", "name")]), f"{step}-leads")
     copied = leads.where("copies > 1").select("class", F.col("l.doc").alias("ldoc"), F.col("l.alt").alias("lalt"), F.col("l.anchor").alias("lanchor"))
-    pairs = rows.select("class", "doc", "alt", "anchor", "a", "b").join(copied, "class")
+    pairs = rows.join(copied, "class")
     tied = (F.col("doc") == F.col("ldoc")) & ~((F.col("alt") == F.col("lalt")) & (F.col("anchor") == F.col("lanchor")))
     run = [F.col("doc"), F.col("alt"), (F.col("anchor") - F.col("b")).alias("start"), (F.col("b") - F.col("a") + 1).alias("n")]
     found = pairs.where("doc > ldoc").select(run)
-    out = leads.select("class", "l.*", "a", "b", "units", "name")
+    out = leads.select("class", "l.*", "a", "b", "name").select(STATE)
     if within:
         found = found.unionByName(pairs.where(tied & (F.col("alt") == F.col("lalt"))).select(run))
     if not within or shared_ids:
@@ -161,26 +164,28 @@ def _settled(rows: DataFrame, within: bool, shared_ids: bool, step: str) -> tupl
             least = also.withColumn("least", F.min("anchor").over(Window.partitionBy("class", "alt")))
             found = found.unionByName(least.where("anchor > least").select(run))
             also = least.where("anchor = least")
-        out = out.unionByName(also.select("class", "doc", "alt", "anchor").join(leads.select("class", "a", "b", "units", "name"), "class"))
-    return out.select(STATE), found
+        out = out.unionByName(also.select(STATE))
+    return out, saved(found, f"{step}-found")
 
 
 def _shared(rows: DataFrame, kind: Kind, settled: bool, step: str) -> DataFrame:
     """rows of STATE without those whose name stands in one row alone or, where classes are settled, in one class alone."""
     counts = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), F.min("doc").alias("p"), F.max("doc").alias("q"))
     several = counts.where(("x < y" if settled else "n > 1") + ("" if kind.within else " AND p < q"))
-    return rows.join(saved(several.select("name"), f"{step}-names"), "name").select(STATE)
+    return saved(rows.join(saved(several.select("name"), f"{step}-names"), "name").select(STATE), f"{step}-shared")
 
 
-def _families(rows: DataFrame, kind: Kind, width: int) -> DataFrame:
-    """rows of STATE split by distance into families of `width` neighbouring distances, named by the units that all windows of a family share."""
+def _families(rows: DataFrame, units: DataFrame, kind: Kind, width: int) -> DataFrame:
+    """rows of STATE split by distance into families of `width` neighbouring distances, named by the units that all windows of a family share. units (source,
+    units, top): what the windows of a row's first class cover, from the one farthest from the anchor, at distance top, on."""
     w = F.lit(width)
-    out = rows.withColumn("lo", F.explode(F.transform(F.sequence(F.floor(F.col("a") / w).cast("int"), F.floor(F.col("b") / w).cast("int")), lambda f: f * w)))
+    out = rows.join(units, "source").withColumn("lo", F.explode(F.transform(F.sequence(F.floor(F.col("a") / w).cast("int"), F.floor(F.col("b") / w).cast("int")), lambda f: f * w)))
     out = out.withColumn("a2", F.greatest("a", "lo")).withColumn("b2", F.least(F.col("b"), F.col("lo") + w - 1))
-    shared = kind.cut(F.col("units"), F.col("b") - F.col("lo"), F.lit(kind.window + 1 - width))
-    units = kind.cut(F.col("units"), F.col("b") - F.col("b2"), F.col("b2") - F.col("a2") + F.lit(kind.window))
-    out = out.select("doc", "alt", "anchor", F.col("a2").alias("a"), F.col("b2").alias("b"), units.alias("units"), F.xxhash64("lo", shared).alias("name"))
-    return out.withColumn("class", digest(F.concat_ws(" ", "a", "b", F.lit("")), F.col("units"))).select(STATE)
+    covered_ = kind.cut(F.col("units"), F.col("top") - F.col("b2"), F.col("b2") - F.col("a2") + F.lit(kind.window))
+    shared = kind.cut(F.col("units"), F.col("top") - F.col("lo"), F.lit(kind.window + 1 - width))
+    name = digest(F.concat_ws(" ", "a2", "b2", F.lit("")), covered_)
+    out = out.select(name.alias("class"), "source", "doc", "alt", "anchor", F.col("a2").alias("a"), F.col("b2").alias("b"), (F.xxhash64("lo", shared) if width > 1 else F.lit(0).cast("long")).alias("name"))
+    return out.select(STATE)
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -210,13 +215,19 @@ def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     shape = "key long, class binary, doc long, alt int, anchor int, a int, b int, units binary"
     met = saved(each.join(places, ["doc", "alt"]).select("doc", "alt", "text", "firsts").mapInArrow(_occurrences(kind), shape), "repeat-occurrences")
     found = [met.where("class IS NULL").select("doc", "alt", F.col("anchor").alias("start"), F.col("b").alias("n"))]
-    rows = met.where("class IS NOT NULL").withColumnRenamed("key", "name").select(STATE)
-    for step, width in enumerate((0, *kind.widths)):
-        if width:
-            rows = _families(_shared(rows, kind, True, f"repeat-{step}"), kind, width)
-            rows = saved(_shared(rows, kind, False, f"repeat-{step}"), f"repeat-{step}-rows")
+    rows = met.where("class IS NOT NULL").select("class", F.col("class").alias("source"), "doc", "alt", "anchor", "a", "b", F.col("key").alias("name"))
+    rows, more = _settled(rows, kind.within, shared_ids, "repeat-0")
+    found.append(more)
+    rows = _shared(rows, kind, True, "repeat-0")
+    # from here on rows are names and numbers; what they stand for is looked up in the units of the classes that are still open
+    units = met.where("units IS NOT NULL").join(rows.select("class").distinct(), "class", "left_semi").groupBy(F.col("class").alias("source")).agg(F.max("units").alias("units"), F.max("b").alias("top"))
+    units = saved(units, "repeat-units")
+    for step, width in enumerate(kind.widths, 1):
+        rows = saved(_families(rows, units, kind, width), f"repeat-{step}")
+        rows = _shared(rows, kind, False, f"repeat-{step}") if width > 1 else rows
         rows, more = _settled(rows, kind.within, shared_ids, f"repeat-{step}")
         found.append(more)
+        rows = _shared(rows, kind, True, f"repeat-{step}") if width > 1 else rows
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -8,8 +8,8 @@ Those are known from the substring alone: a first symbol on the right side, a la
 So each 50-word window has a zone of symbols that depend on its words only. Its anchor is the longest symbol (of those the one with the least name) in
 the zone of the highest round in which the zone isn't empty. These rounds run where a text is read, since a name needs nothing from elsewhere; the
 rounds behind them are Spark's: the symbols that stand in one place alone are dropped over the whole corpus, and what is left is named again, globally,
-by the symbol with its neighbours, in three rounds: 41 words that 10 neighbouring windows share, 49 that 2 share, then the window's own 50 (see
-`repeats`). Those names are made of the words themselves, so equal windows are verified by them.
+by the symbol with its neighbours, in rounds: all words that the windows of a symbol cover, 41 words that 10 neighbouring windows share, then the
+window's own 50 (see `repeats`). Those names are made of the words themselves, so equal windows are verified by them.
 
 Defined results: a null, empty or blank text has no words; a text of fewer words than a window stays; words are runs of anything but the six blanks,
 unchanged; rows that share an id are documents of their own, none earlier than another; a null id is kept as it is and is no document that others
@@ -155,7 +155,7 @@ def cut(units: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(units.cast("string"), " ", -1), start + 1, n), " ").cast("binary")
 
 
-WORDS = Kind(find, cut, WINDOW, (10, 2, 1), within=False)
+WORDS = Kind(find, cut, WINDOW, (10, 1), within=False)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,7 @@
 A suffix counts as far as its first `LENGTH` bytes. Passes sort by the most significant digit first, and what has no equal after a pass goes no
 further; what is equal after the last is exactly the repeated windows (see `repeats`). A suffix's first digit is its least `DIGIT`-byte string
 (by hash) rather than its first bytes: equal suffixes have it in common at the same place, and some 31 neighbouring suffixes share one, so the first pass
-moves one row for all of them. The next digits grow from there to both sides: 86 bytes that 15 neighbouring suffixes share, 98 that 3 share, then the
-suffix's own 100 bytes.
+moves one row for all of them. The next digits grow from there to both sides: 86 bytes that 15 neighbouring suffixes share, then the suffix's own 100 bytes.
 
 Defined results: a null text is empty; a text shorter than LENGTH has no window and stays; equal texts of LENGTH bytes or more go wholly but for the
 lowest id; rows that share an id are documents of their own, none earlier than another; rows that share an id and a text get the same result; a null id
@@ -76,7 +75,7 @@ def cut(units: Column, start: Column, n: Column) -> Column:
     return F.substring(units, start + 1, n)
 
 
-BYTES = Kind(find, cut, LENGTH, (15, 3, 1), within=True)
+BYTES = Kind(find, cut, LENGTH, (15, 1), within=True)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
