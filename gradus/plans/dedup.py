@@ -55,12 +55,12 @@ def question_dedup_near(fx):
     return D.keep_first_greedy(fx.questions.select(F.col("question_id").alias("id")), D.similar_pairs(stems(fx), 0.7, 12))
 
 
-LS = f"(SELECT * FROM (SELECT doc_id AS id, list_distinct([w for w in string_split_regex(lower(substr(text, 1, 200)), '\\s+') if length(w) >= 3]) AS t FROM documents) WHERE len(t) >= 1)"
+LS = f"(SELECT * FROM (SELECT section_id AS id, list_distinct([w for w in string_split_regex(lower(title), '\\s+') if length(w) >= 3]) AS t FROM sections) WHERE len(t) >= 1)"
 
 
 def titles(fx):
-    words = F.filter(F.split(F.lower(F.substring("text", 1, 200)), r"\s+"), lambda w: F.length(w) >= 3)
-    return fx.documents.select(F.col("doc_id").alias("id"), words.alias("tokens"))
+    words = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) >= 3)
+    return fx.sections.select(F.col("section_id").alias("id"), words.alias("tokens"))
 
 
 @query("D4_lo_near_pairs", f"SELECT a, b, round(j, 9) AS similarity FROM {pair_sql(LS, 0.6)}")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gradus.functions.text import escape_literal, tokens
+from gradus.functions.text import tokens
 from gradus.operators import concepts as C
 from gradus.operators import graph as G
+from gradus.sources import io
 from gradus.sources.fixture_sql import TOK
 
 from .registry import query
@@ -101,12 +102,40 @@ def triple_counts(fx):
     return fx.triples.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
 
 
-@query("S11_export_triples", """SELECT s, p, o FROM (SELECT 'lesson_' || lesson_id AS s, 'type' AS p, 'Lesson' AS o FROM lessons UNION ALL SELECT 'lesson_' || lesson_id, 'label', replace(replace(substr(title, 1, 100), '\\', '\\\\'), '"', '\\"') FROM lessons UNION ALL SELECT 'lesson_' || lesson_id, 'hasSection', 'section_' || section_id FROM sections UNION ALL SELECT 'section_' || section_id, 'type', 'Section' FROM sections)""")
+ESC = r"""replace(replace(replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+NODE = "'<urn:x:' || {x} || '>'"
+FACTS = {  # predicate: (subject, object, rows, whether the object is a node)
+    "lesson": [("type", "'Lesson'", 0), ("label", "title", 0), ("belongsTo", "'course_' || regexp_extract(course_id, '[0-9]+$')", 1)],
+    "section": [("type", "'Section'", 0), ("label", "title", 0), ("hasContent", "substr(content, 1, 500)", 0), ("startPage", "start_page", 0), ("endPage", "end_page", 0), ("orderIndex", "order_index", 0), ("inLesson", "'lesson_' || lesson_id", 1)],
+    "lo": [("type", "object_type", 0), ("label", "title", 0), ("hasContent", "substr(content, 1, 500)", 0), ("hasKeyword", "unnest(keywords)", 0)],
+    "question": [("type", "'Question'", 0), ("questionText", "question_text", 0), ("soloLevel", "solo_level", 0), ("correctAnswer", "correct_answer", 0), ("assesses", "'lo_' || learning_object_id", 1)],
+}
+TABLE_OF = {"lesson": ("lessons", "lesson_id"), "section": ("sections", "section_id"), "lo": ("learning_objects", "lo_id"), "question": ("questions", "question_id")}
+NT = " UNION ALL ".join(
+    f"SELECT '<urn:x:{kind}_' || id || '> <urn:x:{p}> ' || {NODE.format(x='o') if node else chr(39) + chr(34) + chr(39) + ' || ' + ESC.format(x='o') + ' || ' + chr(39) + chr(34) + chr(39)} || ' .' AS line FROM (SELECT {TABLE_OF[kind][1]} AS id, ({o})::VARCHAR AS o FROM {TABLE_OF[kind][0]}) WHERE o IS NOT NULL"
+    for kind, facts in FACTS.items() for p, o, node in facts
+) + " UNION ALL SELECT DISTINCT '<urn:x:lo_' || source_id || '> <urn:x:' || relationship_type || '> <urn:x:lo_' || target_id || '> .' FROM edges"
+
+
+@query("S11_export_triples", f"SELECT line FROM ({NT})")
 def export_triples(fx):
-    lesson, section = F.concat(F.lit("lesson_"), F.col("lesson_id").cast("string")), F.concat(F.lit("section_"), F.col("section_id").cast("string"))
-    row = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
-    parts = [row(fx.lessons, lesson, "type", F.lit("Lesson")), row(fx.lessons, lesson, "label", escape_literal(F.substring("title", 1, 100))), row(fx.sections, lesson, "hasSection", section), row(fx.sections, section, "type", F.lit("Section"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """Facts of lessons, sections, objects, questions and edges, written as N-Triples and read again."""
+    text = lambda c: F.col(c).cast("string")
+    node = lambda kind, c: F.concat(F.lit(f"{kind}_"), text(c))
+    parts = [
+        G.facts(fx.lessons, node("lesson", "lesson_id"), {"type": F.lit("Lesson"), "label": F.col("title")}, {"belongsTo": F.concat(F.lit("course_"), F.regexp_extract("course_id", "[0-9]+$", 0))}),
+        G.facts(fx.sections, node("section", "section_id"), {"type": F.lit("Section"), "label": F.col("title"), "hasContent": F.substring("content", 1, 500), "startPage": text("start_page"), "endPage": text("end_page"), "orderIndex": text("order_index")}, {"inLesson": node("lesson", "lesson_id")}),
+        G.facts(fx.learning_objects, node("lo", "lo_id"), {"type": F.col("object_type"), "label": F.col("title"), "hasContent": F.substring("content", 1, 500)}, {}),
+        G.facts(fx.learning_objects.withColumn("k", F.explode("keywords")), node("lo", "lo_id"), {"hasKeyword": F.col("k")}, {}),
+        G.facts(fx.questions, node("question", "question_id"), {"type": F.lit("Question"), "questionText": F.col("question_text"), "soloLevel": F.col("solo_level"), "correctAnswer": F.col("correct_answer")}, {"assesses": node("lo", "learning_object_id")}),
+        fx.edges.select(node("lo", "source_id").alias("s"), F.col("relationship_type").alias("p"), node("lo", "target_id").alias("o"), F.lit(True).alias("node")).distinct(),
+    ]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    path = io.fresh(fx.spark, "triples")
+    io.write_ntriples(every, path)
+    return fx.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("G7_bgp", "SELECT r.s AS region, n.o AS nation, l.o AS name FROM triples r JOIN triples n ON n.s = r.s AND n.p = 'hasNation' JOIN triples l ON l.s = n.o AND l.p = 'label' WHERE r.p = 'label' AND r.o = 'ASIA'")

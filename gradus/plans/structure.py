@@ -25,14 +25,20 @@ def load_questions(fx):
     return fx.questions.join(title, "primary_lesson_id", "left").select("question_id", "question_text", "title", F.coalesce(F.size("options"), F.lit(0)).alias("n_options"))
 
 
-@query("S3_load_nested_bank", "SELECT quiz_id, question_id, options[correct_option_index + 1] AS correct_answer, array_to_string([options[i] for i in range(1, len(options) + 1) if i <> correct_option_index + 1], '|') AS distractors, len(options) AS n_options FROM questions WHERE correct_option_index IS NOT NULL")
+@query("S3_load_nested_bank", """SELECT CASE WHEN primary_lesson_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, 'book ' || quiz_id AS book, primary_lesson_id::VARCHAR AS chapter, question_id, question_text, options[correct_option_index + 1] AS correct_answer,
+  array_to_string([options[i] for i in range(1, len(options) + 1) if i <> correct_option_index + 1], '|') AS distractors, len(options) AS n_options, ['Remember', 'Understand', 'Apply', 'Analyze'][question_id % 5] AS bloom_name,
+  trim(regexp_replace(' ' || question_text || ' ', '\\s+', ' ', 'g')) AS context FROM questions WHERE correct_option_index IS NOT NULL""")
 def load_nested_bank(fx):
-    nested = fx.questions.groupBy("quiz_id", F.col("question_section_id").alias("chapter")).agg(F.collect_list(F.struct("question_id", "options", "correct_option_index")).alias("qs"))
-    nested = nested.groupBy("quiz_id").agg(F.collect_list(F.struct("chapter", "qs")).alias("chapters"))
-    q = nested.select("quiz_id", F.explode("chapters").alias("c")).select("quiz_id", F.explode("c.qs").alias("q")).select("quiz_id", "q.*")
-    q = q.where(F.col("correct_option_index").between(0, F.size("options") - 1))
-    wrong = F.filter("options", lambda o, i: i != F.col("correct_option_index"))
-    return q.select("quiz_id", "question_id", F.get("options", F.col("correct_option_index")).alias("correct_answer"), F.array_join(wrong, "|").alias("distractors"), F.size("options").alias("n_options"))
+    """Questions nested under chapters (lessons), written as two JSON splits and loaded from them."""
+    n = F.col("question_id")
+    question = F.struct("question_id", F.when(n % 2 == 0, F.col("question_text")).alias("normal_format"), F.when(n % 2 != 0, F.col("question_text")).otherwise("cloze").alias("question_text"), F.col("options").alias("question_choices"))
+    q = F.struct(question.alias("question"), F.struct(F.col("correct_option_index").alias("ans_choice")).alias("answer"), (n % 5).cast("string").alias("bloom"), F.concat(F.lit("<hl> "), "question_text", F.lit(" <hl>")).alias("hl_context"))
+    chapters = fx.questions.groupBy(F.concat(F.lit("book "), F.col("quiz_id").cast("string")).alias("bname"), F.col("primary_lesson_id").alias("lesson")).agg(F.collect_list(q).alias("questions"))
+    chapters, root = chapters.withColumn("chapter", F.col("lesson").cast("string")), io.fresh(fx.spark, "bank")
+    splits = {"train": f"{root}/train", "valid": f"{root}/valid"}
+    for split, path in splits.items():
+        io.write_nested_bank(chapters.where(F.col("lesson") % 5 == 0 if split == "valid" else F.col("lesson") % 5 != 0).drop("lesson"), path)
+    return io.load_nested_bank(fx.spark, splits).withColumn("distractors", F.array_join("distractors", "|"))
 
 
 OFFS = "(SELECT lesson_id, page, length(trim(page_text)) AS char_count, sum(sz) OVER w - sz AS start_offset, sum(sz) OVER w AS end_offset, page_text FROM (SELECT *, length(page_text) + length(page::VARCHAR) + 15 AS sz FROM lesson_pages) WINDOW w AS (PARTITION BY lesson_id ORDER BY page))"
@@ -48,10 +54,10 @@ def pages_from_markers(fx):
     return S.page_offsets(S.pages_from_markers(S.joined_pages(fx.lesson_pages)))
 
 
-@query("S7_translations_long", "SELECT 'lesson' AS entity_type, doc_id AS entity_id, lang AS language_code, substr(text, 1, 40) AS title, NULL::VARCHAR AS role FROM documents UNION ALL SELECT 'question', conv_id * 1000 + turn, 'en', substr(text, 1, 40), role FROM conversations")
+@query("S7_translations_long", "SELECT 'lesson' AS entity_type, doc_id AS entity_id, lang AS language_code, text AS title, NULL::VARCHAR AS role FROM documents UNION ALL SELECT 'question', conv_id * 1000 + turn, 'en', text, role FROM conversations")
 def translations_long(fx):
-    a = fx.documents.select(F.lit("lesson").alias("entity_type"), F.col("doc_id").alias("entity_id"), F.col("lang").alias("language_code"), F.substring("text", 1, 40).alias("title"))
-    b = fx.conversations.select(F.lit("question").alias("entity_type"), (F.col("conv_id") * 1000 + F.col("turn")).alias("entity_id"), F.lit("en").alias("language_code"), F.substring("text", 1, 40).alias("title"), "role")
+    a = fx.documents.select(F.lit("lesson").alias("entity_type"), F.col("doc_id").alias("entity_id"), F.col("lang").alias("language_code"), F.col("text").alias("title"))
+    b = fx.conversations.select(F.lit("question").alias("entity_type"), (F.col("conv_id") * 1000 + F.col("turn")).alias("entity_id"), F.lit("en").alias("language_code"), F.col("text").alias("title"), "role")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -258,12 +264,12 @@ def uncovered_targets(fx):
     return uncovered(fx).join(lo, "page").groupBy("lesson_id").agg(F.countDistinct("lo_id").alias("los"), F.countDistinct("page").alias("pages"))
 
 
-EVERY = "(SELECT lesson_id, section_id, unnest(range(0, 40)) * 700 AS o FROM (SELECT lesson_id, min(section_id) AS section_id FROM sections GROUP BY 1))"
+EVERY = "(SELECT lesson_id, unnest(range(0, length(raw_content) // 700 + 1)) * 700 AS o FROM lessons)"
 
 
 @query("J6_offset_to_page", f"SELECT x.lesson_id, x.o AS \"offset\", coalesce(p.page, (SELECT max(page) FROM lesson_pages l WHERE l.lesson_id = x.lesson_id)) AS page FROM {EVERY} x LEFT JOIN {OFFS} p ON p.lesson_id = x.lesson_id AND x.o >= p.start_offset AND x.o < p.end_offset")
 def offset_to_page(fx):
-    points = fx.lessons.select("lesson_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("lesson_id", (F.col("k") * 700).alias("offset"))
+    points = fx.lessons.select("lesson_id", F.explode(F.sequence(F.lit(0), F.expr("int(length(raw_content) div 700)"))).alias("k")).select("lesson_id", (F.col("k") * 700).alias("offset"))
     return S.offset_to_page(points, S.page_offsets(fx.lesson_pages))
 
 

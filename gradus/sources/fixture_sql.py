@@ -53,7 +53,7 @@ FIXTURE_SQL = {
     "call_log": "SELECT event_id, ts, event_type AS provider, floor(value * 10)::BIGINT AS input_tokens, event_id % 100 AS output_tokens FROM events",
     "attempts": "SELECT event_id, ts, user_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 40 AS item, (event_id % 4)::INT AS answer FROM events",
     "metric_payloads": "SELECT event_type AS metric_key, user_id AS scope_id, props AS payload, ts AS created_at, event_id, value FROM events",
-    "translations": "SELECT doc_id % 200 AS question_id, lang AS language_code, (doc_id % 200) % 10 AS quiz_id, substr(text, 1, 60) AS translated, doc_id FROM documents",
+    "translations": "SELECT doc_id % 200 AS question_id, lang AS language_code, (doc_id % 200) % 10 AS quiz_id, text AS translated, doc_id FROM documents",
     "cue_lessons": f"SELECT lesson_id, {_replaced('raw_content')} AS raw FROM lessons",
     "section_objects": """SELECT section_id, lesson_id, start_page, end_page, CASE WHEN section_id % 3 = 0 THEN title ELSE 'qq ' || section_id END AS lo_title,
         CASE WHEN section_id % 3 < 2 THEN key_topics ELSE []::VARCHAR[] END AS keywords FROM sections""",

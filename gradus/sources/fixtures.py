@@ -139,7 +139,7 @@ class Fixtures:
 
     @cached_property
     def translations(self) -> DataFrame:
-        return self.documents.select((F.col("doc_id") % 200).alias("question_id"), F.col("lang").alias("language_code"), ((F.col("doc_id") % 200) % 10).alias("quiz_id"), F.substring("text", 1, 60).alias("translated"), "doc_id")
+        return self.documents.select((F.col("doc_id") % 200).alias("question_id"), F.col("lang").alias("language_code"), ((F.col("doc_id") % 200) % 10).alias("quiz_id"), F.col("text").alias("translated"), "doc_id")
 
     @cached_property
     def cue_lessons(self) -> DataFrame:
