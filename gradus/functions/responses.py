@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ["unistructural", "multistructural", "relational", "extended_abstract"]
@@ -105,3 +105,41 @@ def face(rows):
         good = good & F.coalesce(F.col(f"r.{c}").between(1, 5), F.lit(False))
     total = sum((F.col(f"r.{c}") for c in CRITERIA), F.lit(0))
     return parsed.where(good).select("question_id", "pos", "r.*", F.round(total / 4, 2).alias("mean"))
+
+
+def json_array(c: Column) -> Column:
+    """The JSON array that a response holds, from its first [ to its last ]; null without one."""
+    return F.nullif(F.regexp_extract(c, r"(?s)\[.*\]", 0), F.lit(""))
+
+
+def _items(df: DataFrame, key: str, shape: str) -> DataFrame:
+    return df.select(key, F.posexplode(F.from_json(json_array(F.col("response")), f"array<struct<{shape}>>")).alias("i", "x")).select(key, "i", "x.*")
+
+
+def _first_of_title(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in order, each title (ignoring case) once for each key."""
+    d = F.row_number().over(Window.partitionBy(key, F.lower("title")).orderBy("i"))
+    return rows.where("title <> ''").withColumn("d", d).where("d = 1").drop("d")
+
+
+def section_rows(df: DataFrame, key: str, topics: int = 8) -> DataFrame:
+    """df (key, response): (key, title, key_topics, r) of the sections in list responses."""
+    rows = _first_of_title(_items(df, key, "title: string, key_topics: array<string>").withColumn("title", F.trim("title")), key)
+    r = F.row_number().over(Window.partitionBy(key).orderBy("i"))
+    return rows.select(key, "title", F.slice(F.coalesce("key_topics", F.array().cast("array<string>")), 1, topics).alias("key_topics"), r.alias("r"))
+
+
+def object_rows(df: DataFrame, key: str, most: int = 12, title: int = 150, description: int = 600, keywords: int = 6) -> DataFrame:
+    """df (key, response): (key, title, lo_type, description, keywords, r) of the learning objects in list responses, `most` for each key."""
+    from gradus.operators.vocabulary import lo_type
+
+    rows = _first_of_title(_items(df, key, "title: string, type: string, description: string, keywords: array<string>"), key)
+    rows = rows.where((F.length(F.trim("title")) <= 80) & (F.size(F.split(F.trim("title"), r"\s+")) <= 10))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("i"))).where(F.col("r") <= most)
+    return rows.select(key, F.substring("title", 1, title).alias("title"), lo_type(F.col("type")).alias("lo_type"), F.substring("description", 1, description).alias("description"), F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, keywords).alias("keywords"), "r")
+
+
+def relation_rows(df: DataFrame, key: str) -> DataFrame:
+    """df (key, response): (key, source, target, type, target_id) of the relations in list responses; blank ends and a title with itself go."""
+    rows = _items(df, key, "source: string, target: string, type: string, target_id: long")
+    return rows.where((F.trim("source") != "") & (F.trim("target") != "") & (F.lower(F.trim("source")) != F.lower(F.trim("target")))).drop("i")

@@ -17,7 +17,7 @@ from gradus.sources.fixtures import HEADLINES, OVERVIEW
 from .lint import LINTED
 from .registry import query
 from .structure import OFFS
-from .text import STEM
+from .text import ALIASES, STEM
 
 NT = r"trim(regexp_replace(lower(trim(question_text)), '[^\p{L}\p{N}_\s]', '', 'g'))"
 NA = r"nullif(trim(regexp_replace(lower(trim(correct_answer)), '^[a-z]\)\s*', '')), '')"
@@ -260,12 +260,32 @@ def parse_pairs(fx):
     return fx.labels.select("doc_id", F.explode(parsed["pairs"]).alias("p")).select("doc_id", "p.*").where("trim(misconception) <> '' AND trim(correction) <> ''")
 
 
-@query("R11_parse_sections", "SELECT lesson_id, title, r FROM (SELECT lesson_id, substr(title, 1, 150) AS title, row_number() OVER (PARTITION BY lesson_id ORDER BY start_page) AS r FROM sections WHERE length(trim(title)) BETWEEN 1 AND 80) WHERE r <= 12")
+@query("R11_parse_sections", """SELECT lesson_id, title, array_to_string(k[1:8], '|') AS key_topics, row_number() OVER (PARTITION BY lesson_id ORDER BY i) AS r FROM (SELECT lesson_id, trim(title) AS title, key_topics AS k, start_page AS i, row_number() OVER (PARTITION BY lesson_id, lower(trim(title)) ORDER BY start_page) AS d
+  FROM sections WHERE trim(title) <> '') WHERE d = 1""")
 def parse_sections(fx):
-    raw = fx.sections.groupBy("lesson_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("start_page", "title"))), lambda x: F.struct(x["title"].alias("title"), x["start_page"].alias("page")))).alias("response"))
-    rows = raw.select("lesson_id", F.explode(F.from_json("response", "array<struct<title: string, page: int>>")).alias("s")).select("lesson_id", "s.*").where(F.length(F.trim("title")).between(1, 80))
-    r = F.row_number().over(Window.partitionBy("lesson_id").orderBy("page"))
-    return rows.withColumn("r", r).where("r <= 12").select("lesson_id", F.substring("title", 1, 150).alias("title"), "r")
+    """Sections of list responses: blank and repeated titles go, eight topics stay."""
+    answer = F.transform(F.sort_array(F.collect_list(F.struct("start_page", "title", "key_topics"))), lambda x: F.struct(x["title"].alias("title"), x["key_topics"].alias("key_topics")))
+    return R.section_rows(fx.sections.groupBy("lesson_id").agg(F.concat(F.lit("Here: "), F.to_json(answer)).alias("response")), "lesson_id").withColumn("key_topics", F.array_join("key_topics", "|"))
+
+
+ALIASED = f"coalesce((SELECT c FROM (VALUES {ALIASES}) v(a, c) WHERE a = lower(trim(object_type))), 'concept')"
+
+
+@query("R11_parse_objects", f"""SELECT lo_section, substr(title, 1, 150) AS title, {ALIASED} AS lo_type, substr(content, 1, 600) AS description, array_to_string(keywords[1:6], '|') AS keywords, r FROM (SELECT *, row_number() OVER (PARTITION BY lo_section ORDER BY lo_id) AS r FROM
+  (SELECT *, row_number() OVER (PARTITION BY lo_section, lower(title) ORDER BY lo_id) AS d FROM learning_objects WHERE title <> '') WHERE d = 1 AND length(trim(title)) <= 80 AND len(string_split_regex(trim(title), '\\s+')) <= 10) WHERE r <= 12""")
+def parse_objects(fx):
+    """Learning objects of list responses: repeated and sentence-shaped titles go, twelve a section stay, cut to their limits."""
+    answer = F.transform(F.sort_array(F.collect_list(F.struct("lo_id", "title", "object_type", "content", "keywords"))), lambda x: F.struct(x["title"].alias("title"), x["object_type"].alias("type"), x["content"].alias("description"), x["keywords"].alias("keywords")))
+    return R.object_rows(fx.learning_objects.groupBy("lo_section").agg(F.to_json(answer).alias("response")), "lo_section").withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query("R11_parse_relations", """SELECT e.source_id, e.target_id, relationship_type AS type FROM edges e JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id WHERE lower(trim(s.title)) <> lower(trim(t.title))""")
+def parse_relations(fx):
+    """Relations of list responses, a response for each source; ends are titles, and one that names itself goes."""
+    lo = fx.learning_objects
+    e = fx.edges.join(lo.select(F.col("lo_id").alias("source_id"), F.col("title").alias("source")), "source_id").join(lo.select(F.col("lo_id").alias("target_id"), F.col("title").alias("target")), "target_id")
+    raw = e.groupBy("source_id").agg(F.to_json(F.collect_list(F.struct("source", "target", F.col("relationship_type").alias("type"), "target_id"))).alias("response"))
+    return R.relation_rows(raw, "source_id").select("source_id", "target_id", "type")
 
 
 @query("R12_enrich_by_title", "SELECT l.lo_id, s.section_id FROM learning_objects l LEFT JOIN (SELECT lower(title) AS k, min(section_id) AS section_id FROM sections GROUP BY 1) s ON s.k = lower(l.title)")
