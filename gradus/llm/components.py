@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+#: Edges (16 bytes each) up to which the minima of a round are broadcast.
+BROADCAST_EDGES = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -26,12 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
+        # there are no more minima than edge ends, so their number is known
+        near = F.broadcast if now[0] <= BROADCAST_EDGES else lambda df: df
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every neighbour above a node goes to the least of its neighbourhood
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, F.col("u") == F.col("a")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = near(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, F.col("u") == F.col("a")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node and its neighbours below go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        least = near(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
         small = large.join(least, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = saved(small, "cc")
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")

@@ -12,8 +12,8 @@ representative posts itself under its K coordinate-value pairs. Two documents ar
 With similarity 0.75 and K = 64 a pair has 48 equal coordinates on average (standard deviation 3.5); `match` = 32 loses about 2 in a million.
 
 What leaves a list is no set of all pairs but a spanning forest of its candidates, so a group of n near copies makes n edges. Edges are confirmed on
-the full sets. Where a candidate group is not one component then, its documents are joined once more on their full sets, by a prefix join in which only
-documents of different components meet (`regrouped`). So no link between different texts is lost, and nothing is sampled or capped.
+the full sets. Where a candidate group is not one component then, its documents outside its largest component are compared with all of the group on full sets, in
+blocks (`regrouped`); that is the one step whose work grows with the square of a group, and no pair that isn't linked leaves it. So no link between different texts is lost, and nothing is sampled or capped.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than five are one shingle; rows that share an id
 are one node, each linked by its own text; a null id is no node: component null, kept; an empty table gives no rows; further columns are not carried.
@@ -39,6 +39,7 @@ MATCH = 32
 SHINGLE = 5
 SMALL = 12
 CHUNK = 1024
+SET_CHUNK = 64
 _rng = np.random.default_rng(20_260_101)
 _MULTIPLY = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -152,6 +153,40 @@ def candidate_edges(lists: DataFrame, signed: DataFrame, match: int) -> DataFram
     return one.unionByName(many.groupBy("key", "lo", "hi").applyInPandas(_list_edges(match), "a long, b long"))
 
 
+def _links_in(sets: list[np.ndarray], other: np.ndarray, ask: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (i, j) of `ask` rows i and any rows j, of different `other`, whose sets are alike enough."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    name = np.cumsum(new) - 1
+    shared = np.bincount(name) > 1
+    keep = shared[name]
+    name, owner = (np.cumsum(shared) - 1)[name[keep]], owner[keep]
+    both = np.zeros((n, n), np.float32)
+    for first in range(0, int(shared.sum()), 8192):
+        here = (name >= first) & (name < first + 8192)
+        grid = np.zeros((n, 8192), np.float32)
+        grid[owner[here], name[here] - first] = 1
+        both += grid @ grid.T
+    union = size[:, None] + size[None, :] - both
+    good = (100 * both >= percent * union) & (other[:, None] != other[None, :]) & ask[:, None]
+    return np.argwhere(good)
+
+
+def _block_links(percent: int):
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc")
+        docs = rows["doc"].to_numpy()
+        found = _links_in([np.asarray(s) for s in rows["set"]], rows["comp"].to_numpy(), ~rows["main"].to_numpy(bool), percent)
+        return pd.DataFrame({"a": docs[found[:, 0]], "b": docs[found[:, 1]]}, dtype="int64").drop_duplicates()
+
+    return links
+
+
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = edges.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -161,21 +196,18 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def regrouped(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """groups (doc, key, comp), candidate groups `key` of several components: (a, b), all links in a group between documents of two components.
 
-    A prefix join on the sets: a document posts its rarest shingles in the group, as many as it can lack in common with another and still be linked. The
-    smaller set of a pair posts fewer (no more than the pair can differ by, were both as small). So what a whole group shares is posted by hardly any document."""
-    held = groups.join(sets, "doc")
-    counts = saved(held.select("key", F.explode("set").alias("s")).groupBy("key", "s").agg(F.count("*").alias("n")).where("n > 1"), "minhash-shingles")
-    each = held.select("doc", "key", "comp", F.size("set").alias("size"), F.explode("set").alias("s")).join(counts, ["key", "s"])
-    # shingles that nobody shares come first in the order, whichever they are
-    some = each.groupBy("doc", "key", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
-    alone = F.col("size") - F.size("shared")
-    t = percent / 100
-    probe, index = (F.greatest(F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)).cast("int") + 1 - alone, F.lit(0)) for share in (t, 2 * t / (1 + t)))
-    some = saved(some.select("doc", "key", "comp", "size", F.slice("shared", F.lit(1), probe).alias("probe"), F.slice("shared", F.lit(1), index).alias("index")), "minhash-prefixes")
-    left = some.select(F.col("doc").alias("a"), "key", F.col("comp").alias("ca"), F.col("size").alias("na"), F.explode("probe.s").alias("s"))
-    right = some.select(F.col("doc").alias("b"), "key", F.col("comp").alias("cb"), F.col("size").alias("nb"), F.explode("index.s").alias("s"))
-    met = left.join(right, ["key", "s"]).where((F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")) & (100 * F.col("nb") >= percent * F.col("na")))
-    return _confirmed(saved(met.select("a", "b").distinct(), "minhash-met"), sets, percent)
+    What is in the largest component of a group is linked already, so the others are compared with all of the group, on full sets, a block of SET_CHUNK documents
+    against a block: a task holds two blocks, and what leaves it are links. The copies of a set number the blocks that its document meets."""
+    sizes = saved(groups.groupBy("key", "comp").agg(F.count("*").alias("n")), "minhash-sizes")
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    work = groups.join(main, "key").withColumn("main", F.col("comp") == F.col("top"))
+    side = F.ceil((F.col("all") - F.col("most")) / F.lit(SET_CHUNK)).cast("int")
+    core = F.ceil(F.col("most") / F.lit(SET_CHUNK)).cast("int")
+    work = work.withColumn("own", F.when(F.col("main"), -1 - F.pmod(F.xxhash64("doc"), core)).otherwise(F.pmod(F.xxhash64("doc"), side)).cast("int"))
+    # a row of the main component meets every side block; a row outside it meets all blocks
+    meets = F.when(F.col("main"), F.sequence(F.lit(0), side - 1)).otherwise(F.sequence(-core, side - 1))
+    work = work.withColumn("with", F.explode(meets)).select("doc", "comp", "main", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    return work.join(sets, "doc").groupBy("key", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, match: int = MATCH) -> DataFrame:
@@ -211,18 +243,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     sets = texts.mapInArrow(_full, "n long, a long, b long, set array<bigint>").join(wanted.select("rep", *name), name)
     sets = saved(sets.select(F.col("rep").alias("doc"), "set").dropDuplicates(["doc"]), "minhash-sets")
     links = saved(_confirmed(edges, sets, percent), "minhash-links")
-    comp, group = saved(components(links), "minhash-components"), saved(components(edges), "minhash-candidate-groups")
+    comp = saved(components(links), "minhash-components")
 
-    # groups that fall apart when only confirmed links hold them
-    member = group.join(comp.withColumnRenamed("component", "comp"), "node", "left").select(F.col("node").alias("doc"), F.col("component").alias("key"), F.coalesce("comp", "node").alias("comp"))
-    apart = saved(member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "minhash-apart")
-    more = regrouped(member.join(apart, "key").select("doc", "key", "comp"), sets, percent)
+    # groups of candidates that confirmed links don't hold together: components joined by edges that were not confirmed
+    ends = [comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    across = edges.join(links, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    group = saved(components(across), "minhash-candidate-groups")
+    member = comp.join(group.select(F.col("node").alias("component"), F.col("component").alias("key")), "component").select(F.col("node").alias("doc"), "key", F.col("component").alias("comp"))
+    alone = group.join(comp, "node", "left_anti").select(F.col("node").alias("doc"), F.col("component").alias("key"), F.col("node").alias("comp"))
+    more = saved(regrouped(saved(member.unionByName(alone), "minhash-apart"), sets, percent), "minhash-more")
 
     # an id that stands on several rows is one node, whatever its sets
     owner = full.select("doc", *name).join(groups.select("rep", *name), name).select("doc", "rep").distinct()
     several = saved(owner.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("doc", "b"), "minhash-shared-ids")
-    every = links.unionByName(more).unionByName(owner.join(several, "doc").select(F.col("rep").alias("a"), "b"))
-    final = saved(components(every), "minhash-components")
+    beside = more.unionByName(owner.join(several, "doc").select(F.col("rep").alias("a"), "b")).join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = saved(components(beside), "minhash-joined").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    lone = top.select(F.col("component").alias("node"), F.col("component")).join(comp.select("node"), "node", "left_anti")
+    final = comp.unionByName(lone).join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     reach = groups.select("rep", "least", *name).join(final, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
     reach = reach.join(reach.groupBy("c").agg(F.min("least").alias("component_id")), "c").select(*name, "component_id")
     # a row without a set goes with the other rows of its id
