@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from gradus.functions import text as T
 from gradus.operators import dedup as D
 from gradus.operators import lint as L
+from gradus.operators import metrics as M
 from gradus.operators import sequences as Q
 from gradus.operators import structure as S
 from gradus.sources import io
@@ -101,3 +104,59 @@ def test_snapshot_round_trip(spark, tmp_path):
     t = spark.createDataFrame([("a_1", "label", 'x"y'), ("a_1", "has", "b_2")], "s string, p string, o string")
     io.write_ntriples(t, str(tmp_path / "n"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "n")).collect()) == ['<urn:x:a_1> <urn:x:has> <urn:x:b_2> .', '<urn:x:a_1> <urn:x:label> "x\\"y" .']
+
+
+def test_merged_sections_are_the_loop(spark):
+    rng = random.Random(3)
+    rows = [(i, i // 12, " ".join(rng.choice("abcd") for _ in range(3)), rng.sample("uvwxyz", 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "section_id long, lesson_id long, title string, key_topics array<string>")
+    pairs = {(r["a"], r["b"]) for r in D.section_pairs(df).collect()}
+    want, used = {}, set()
+    for i, lesson, _, topics in rows:
+        if i in used:
+            continue
+        all_, n = list(topics), 0
+        for j, other, _, more in rows[i + 1 :]:
+            if other == lesson and j not in used and (i, j) in pairs:
+                used.add(j)
+                all_ += more
+                n += 1
+        want[i] = (n, list(dict.fromkeys(all_))[:10])
+    assert {r["section_id"]: (r["absorbed"], r["key_topics"]) for r in D.merge_sections(df).collect()} == want and used
+
+
+def test_overlapping_sections_fold_in_order(spark):
+    shape = "section_id long, lesson_id long, start_page int, end_page int, title string, los array<string>"
+    rows = [
+        (1, 1, 1, 4, "long title", ["a", "b", "c"]), (2, 1, 1, 4, "short", ["a", "b", "d"]), (3, 1, 2, 3, "more", ["a", "b", "c", "d", "e"]),  # 2 beats 1 by its title, 3 beats 2 by its objects
+        (4, 1, 9, 9, "far", ["a", "b", "c"]), (5, 2, 1, 4, "other lesson", ["a", "b", "c"]), (6, 2, 1, 4, "no objects", []),
+    ]
+    got = {r["section_id"]: r["los"] for r in D.dedup_overlapping(spark.createDataFrame(rows, shape)).collect()}
+    assert got == {3: ["a", "b", "c", "d", "e"], 4: ["a", "b", "c"], 5: ["a", "b", "c"], 6: []}
+
+
+def test_cues_have_their_places(spark):
+    text = "X. Česta greška je to; students often think. Umesto sile, neki misle so. Precesta greška"
+    got = [(r["offset"], r["cue"]) for r in S.cue_hits(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "k long, raw string"), "k").orderBy("offset").collect()]
+    assert got == [(3, "Česta greška"), (23, "students often think"), (45, "Umesto sile, neki misle")] and all(text[o : o + len(c)] == c for o, c in got)
+
+
+def test_title_variants_and_normal_forms(spark):
+    df = spark.createDataFrame([(1, " Ｆｏｏ Bar. "), (2, "ab"), (3, "A  b c"), (4, None)], "k long, t string")
+    got = {r["k"]: r["v"] for r in df.select("k", Q.title_variants(F.col("t")).alias("v")).collect()}
+    assert got[1] == ["ｆｏｏ bar.", "ｆｏｏ bar", "foo bar.", "foo bar"] and not got[2] and "a b c" in got[3] and not got[4]
+    assert [r["v"] for r in df.select("k", Q.nfkc(F.col("t")).alias("v")).orderBy("k").collect()] == [" Foo Bar. ", "ab", "A  b c", None]
+
+
+def test_headlines_mark_what_is_better(spark):
+    rows = [("before", "m", '{"x": 1, "y": 5, "z": 2}'), ("after", "m", '{"x": 2, "y": 7, "z": 2}'), ("after", "n", '{"w": 1}')]
+    spec = [("m", "x", True), ("m", "y", False), ("m", "z", True), ("n", "w", True), ("m", "y", None), ("q", "none", True)]
+    got = {(r["metric_key"], r["path"]): (r["before"], r["after"], r["mark"]) for r in M.headline_delta(spark.createDataFrame(rows, "snapshot string, metric_key string, payload string"), spec[:4]).collect()}
+    assert got == {("m", "x"): (1, 2, "✓"), ("m", "y"): (5, 7, "✗"), ("m", "z"): (2, 2, "~"), ("n", "w"): (None, 1, "")}
+
+
+def test_means_do_not_depend_on_the_order(spark):
+    values = [0.1 * i for i in range(1, 400)]
+    one = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(T.exact_mean(F.col("x"), 2)).first()[0]
+    assert one(values) == one(values[::-1]) == round(sum(values) / len(values), 2)
+    assert one([]) is None
