@@ -1,29 +1,13 @@
-"""Pairs inside groups of any size, without a row for each pair.
-
-A group's members are cut into chunks; each pair of chunks is a task group of its own, so a member of a group of n rows is sent n / chunk
-times and no task ever holds more than two chunks of a group.
-"""
+"""Sizes of groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, saved
 
 
-def chunk_pairs(df: DataFrame, key: str, spread: Column, chunk: int) -> DataFrame:
-    """df with columns lo, hi (chunk numbers, lo <= hi), a row for each chunk pair that its row takes part in; groups of one row go.
-
-    spread: a hash of the row that deals it to a chunk."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    sized = df.join(counts, key)
-    chunks = F.ceil(F.col("_n") / F.lit(chunk)).cast("int")
-    sized = sized.withColumn("_chunks", chunks).withColumn("_c", F.pmod(spread, F.col("_chunks")).cast("int"))
-    sized = sized.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    return sized.select(*df.columns, F.col("_c").alias("chunk"), F.least("_c", "_o").alias("lo"), F.greatest("_c", "_o").alias("hi"))
-
-
 def large_groups(df: DataFrame, key: str, most: int) -> DataFrame:
     """Keys with more than `most` rows, counted and broadcast only if few."""
     return broadcast_if_small(saved(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "large-groups"))

@@ -10,6 +10,7 @@ from .common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it; see `mixing`."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
@@ -19,6 +20,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score of its whole text, learnt from labelled rows that aren't held out; see `toxicity`. A null id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -27,14 +29,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of secrets, the base kinds counted, and what the corpus says of their values; see `secrets`."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; see `packing`."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its edited text's, and their likeness; see `fingerprint`."""
     return fingerprint.with_neighbours(table(spark, sf_dir, "documents"))
 
 
@@ -45,18 +50,22 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component; see `embed_dedup`."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set and its component; see `minhash_dedup`."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that windows of earlier documents cover; see `substring_dedup`."""
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("doc", "doc_id")
 
 
 def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the bytes that earlier 100-byte strings cover; see `suffix_dedup`."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("doc", "doc_id")
 
 
