@@ -116,10 +116,10 @@ def questions_by_level(fx):
     return fx.questions.where("solo_level = 'relational' AND (primary_lesson_id % 5 = 2 OR secondary_lesson_id % 5 = 2)").select("question_id")
 
 
-@query("F3_questions_by_course", "SELECT question_id FROM questions WHERE primary_lesson_id IN (SELECT lesson_id FROM lessons WHERE course_id = 'src3') OR secondary_lesson_id IN (SELECT lesson_id FROM lessons WHERE course_id = 'src3')")
+@query("F3_questions_by_course", "SELECT question_id FROM questions WHERE primary_lesson_id IN (SELECT lesson_id FROM lessons WHERE course_id = 'src3/0') OR secondary_lesson_id IN (SELECT lesson_id FROM lessons WHERE course_id = 'src3/0')")
 def questions_by_course(fx):
     """Two equi semi-joins and a distinct, as an OR would keep the join from hashing."""
-    own = fx.lessons.where("course_id = 'src3'").select("lesson_id")
+    own = fx.lessons.where("course_id = 'src3/0'").select("lesson_id")
     sides = [fx.questions.select("question_id", F.col(c).alias("lesson_id")).join(own, "lesson_id", "left_semi").select("question_id") for c in ("primary_lesson_id", "secondary_lesson_id")]
     return sides[0].unionByName(sides[1]).distinct()
 

@@ -24,7 +24,7 @@ LEVEL = "['unistructural', 'multistructural', 'relational', 'extended_abstract']
 TOK = r"[\p{L}\p{N}_]+"
 
 FIXTURE_SQL = {
-    "lessons": rf"SELECT doc_id AS lesson_id, source AS course_id, array_to_string(regexp_extract_all(text, '{TOK}')[1:3], ' ') AS title, text AS raw_content, lang FROM documents",
+    "lessons": rf"SELECT doc_id AS lesson_id, source || '/' || doc_id // 200 AS course_id, array_to_string(regexp_extract_all(text, '{TOK}')[1:3], ' ') AS title, text AS raw_content, lang FROM documents",
     "lesson_pages": "SELECT lesson_id, unnest(range(1, len(x) + 1)) AS page, unnest(x) AS page_text FROM (SELECT lesson_id, string_split(raw_content, chr(10)) AS x FROM lessons)",
     "sections": """SELECT lesson_id * 1000 + page AS section_id, lesson_id, array_to_string(string_split(page_text, ' ')[1:3], ' ') AS title, string_split(page_text, ' ')[4:5] AS key_topics,
         page AS start_page, page + 4 AS end_page, page // 5 AS order_index, page_text AS content FROM lesson_pages WHERE page % 5 = 1""",
@@ -37,7 +37,7 @@ FIXTURE_SQL = {
         FROM (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS f FROM lineitem) WHERE source_id <> target_id GROUP BY 1, 2""",
     "questions": f"""SELECT question_id, (CASE WHEN question_id % 5 = 0 THEN 'Which is not ' ELSE '' END) || text || (CASE WHEN question_id % 3 <> 0 THEN '?' ELSE '' END) AS question_text, options,
         k AS correct_option_index, options[k + 1] AS correct_answer, {LEVEL}[conv_id % 4 + 1] AS solo_level, conv_id % 40 AS learning_object_id, conv_id AS primary_lesson_id, conv_id + 1 AS secondary_lesson_id,
-        conv_id % 10 AS quiz_id, conv_id % 7 AS question_section_id
+        conv_id // 10 AS quiz_id, conv_id % 7 AS question_section_id
         FROM (SELECT *, CASE WHEN conv_id % 17 = 0 OR len(options) = 0 THEN NULL ELSE (conv_id % greatest(len(options), 1))::INT END AS k
           FROM (SELECT u.conv_id, u.conv_id * 1000 + u.turn AS question_id, u.text, [y for y in [trim(x) for x in string_split_regex(a.text, '[.\\n]+')] if y <> ''][1:(u.conv_id % 5 + 2)] AS options
             FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'))""",

@@ -50,7 +50,7 @@ class Fixtures:
     @cached_property
     def lessons(self) -> DataFrame:
         return self.documents.select(
-            F.col("doc_id").alias("lesson_id"), F.col("source").alias("course_id"), F.concat_ws(" ", F.slice(tokens(F.col("text"), lower=False), 1, 3)).alias("title"), F.col("text").alias("raw_content"), F.col("lang")
+            F.col("doc_id").alias("lesson_id"), F.concat("source", F.lit("/"), F.expr("doc_id div 200").cast("string")).alias("course_id"), F.concat_ws(" ", F.slice(tokens(F.col("text"), lower=False), 1, 3)).alias("title"), F.col("text").alias("raw_content"), F.col("lang")
         )
 
     @cached_property
@@ -94,7 +94,7 @@ class Fixtures:
         q = q.withColumn("key", F.when((F.col("conv_id") % 17 == 0) | (F.col("n") == 0), None).otherwise((F.col("conv_id") % F.greatest("n", F.lit(1))).cast("int")))
         return q.select(
             "question_id", stem.alias("question_text"), "options", F.col("key").alias("correct_option_index"), F.get("options", F.col("key")).alias("correct_answer"), level_at((F.col("conv_id") % 4).cast("int")).alias("solo_level"),
-            (F.col("conv_id") % 40).alias("learning_object_id"), F.col("conv_id").alias("primary_lesson_id"), (F.col("conv_id") + 1).alias("secondary_lesson_id"), (F.col("conv_id") % 10).alias("quiz_id"), (F.col("conv_id") % 7).alias("question_section_id"),
+            (F.col("conv_id") % 40).alias("learning_object_id"), F.col("conv_id").alias("primary_lesson_id"), (F.col("conv_id") + 1).alias("secondary_lesson_id"), F.expr("conv_id div 10").alias("quiz_id"), (F.col("conv_id") % 7).alias("question_section_id"),
         )
 
     @cached_property

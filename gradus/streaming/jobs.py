@@ -11,10 +11,10 @@ from gradus.functions.responses import solvability_label
 from gradus.sources.io import shared_dir
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, one file or a folder of files, as a stream, a file at a time."""
+def read(spark: SparkSession, path: str, files: int = 1_000) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream of at most `files` new files a batch."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
         return stream.parquet(path)
     return stream.option("pathGlobFilter", where.getName()).option("recursiveFileLookup", True).parquet(where.getParent().toString())
