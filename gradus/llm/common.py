@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(df: DataFrame, out: str = "_row") -> DataFrame:
+def whole_rows(df: DataFrame, out: str = "_row") -> DataFrame:
     """df with all its columns in one struct `out`, so that an operator's own columns never clash with them."""
     return df.select(F.struct(*[df[c] for c in df.columns]).alias(out)) if df.columns else df.select(F.struct(F.lit(0)).alias(out))
 

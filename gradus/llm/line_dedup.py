@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, saved
+from .common import saved, whole_rows
 
 LINE_END = "\n"
 BLANKS = " \t\r"
@@ -66,7 +66,7 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, max_ratio: float = 0.2
     bad = saved(bad.groupBy("host").agg(F.collect_list("line").alias("bad")).withColumnRenamed("host", "_host"), "boilerplate")
     if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_LINES:
         bad = F.broadcast(bad)
-    rows = packed(df).withColumn("lines", F.split(F.col("_row")[text], LINE_END)).join(bad, F.col("_row")[host] == F.col("_host"), "left")
+    rows = whole_rows(df).withColumn("lines", F.split(F.col("_row")[text], LINE_END)).join(bad, F.col("_row")[host] == F.col("_host"), "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), _key(F.btrim(x, F.lit(BLANKS)))))
     rows = rows.withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept))
     own = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, packed, saved
+from .common import WORD, broadcast_if_small, saved, whole_rows
 
 NEAR = 1e-9
 
@@ -159,7 +159,7 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     picked = mix(df, doc_id, text, source, **kw).select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), "size", "copies")
     picked = saved(picked.withColumn("unit", F.monotonically_increasing_id()), "mix-picked")
     size = F.coalesce(F.regexp_count(F.col("_row")[text], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = packed(df).select("_row", F.col("_row")[doc_id].alias("id"), F.col("_row")[source].cast("string").alias("owner"), size.alias("size"))
+    rows = whole_rows(df).select("_row", F.col("_row")[doc_id].alias("id"), F.col("_row")[source].cast("string").alias("owner"), size.alias("size"))
     same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in key))
     again = saved(picked.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mix-equal")
     taken = picked.where("copies > 0")

@@ -14,8 +14,8 @@ distinct text once, read whole. Texts stay in Spark tasks; the driver gets at mo
 letter runs, and the features of the rows for the curve. Scoring reads every whole text, and labels, language, source and id never enter a score. The fitted model is
 two dictionaries of a few KB and some numbers.
 
-Defined results: a null, empty or blank text has no window and gets the score of a text that saves nothing; labels that are null are not
-learnt from; without labels of both kinds every score is the share of toxic labels (0 without any); repeated rows get equal
+Defined results: a null, empty or blank text has no window and scores 0; labels that are null are not
+learnt from; without labels of both kinds every score is the share of toxic labels (0 without any labels); repeated rows get equal
 scores; an empty table gives no rows; further columns are carried, one named like the score is replaced.
 """
 
@@ -180,7 +180,10 @@ def score(df: DataFrame, model: Model, text: str | Column = "text", out: str = "
         w = np.array(model.weights)
 
         def one(text: str) -> float:
-            z = float(np.dot(w, [1.0, *savings(text, *two)]))
+            x = savings(text, *two)
+            if not x[-1]:  # no window
+                return 0.0
+            z = float(np.dot(w, [1.0, *x]))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
         return pa.array([one(t.as_py() or "") for t in texts], pa.float64())

@@ -1,5 +1,6 @@
 """Mixing, toxicity, secrets, packing, fingerprints and lines against plain versions and exact round trips."""
 
+import os
 import random
 import zlib
 
@@ -213,3 +214,47 @@ def test_next_ids_with_outliers(spark):
     assert max(sizes) < 600 and sum(sizes) == 2_001
     null = fingerprint.next_ids(spark.createDataFrame([(None, 1), (3, 1), (4, 1)], "doc_id long, n_chars long"), 2).collect()
     assert {r["doc_id"]: r["next_id"] for r in null} == {None: 3, 3: 4, 4: 3}
+
+
+def test_extra_columns_may_have_any_name(spark):
+    shape = "doc_id long, text string, source string, n_lines long, n_dropped long, _host string, _bad string, _lines string, lines string, bad string, _row string, copies long, unit long, id long, size long, owner string, score double, t string, h long, k long, z boolean"
+    rows = [(i, f"Menu\nown {i}", "h", 5, 6, "a", "b", "c", "d", "e", "f", 7, 8, 9, 10, "g", 0.5, "i", 11, 12, True) for i in range(8)]
+    df = spark.createDataFrame(rows, shape)
+    out = line_dedup.drop_boilerplate(df, "source", "text")
+    assert sorted(out.columns) == sorted(df.columns) and {(r["text"], r["n_lines"], r["n_dropped"], r["_bad"], r["bad"]) for r in out.collect()} == {(f"own {i}", 2, 1, "b", "e") for i in range(8)}
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and {tuple(r)[3:] for r in mixed.collect()} == {r[3:] for r in rows}
+    assert fingerprint.with_neighbours(df).count() == packing.pack(df).select("doc_id").distinct().count() == secrets.scan(df).count() == 8
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Rows of one id and size are numbered without gaps, so that no block gets them all; the totals hold."""
+    df = frame(spark, [(7, "a b c", "s")] * 500 + [(i, "a b", "s") for i in range(1000, 1200)]).repartition(6)
+    rows = spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[0]["doc_id"], x[1] % 4 * (1 << 33) + x[1] // 4)), "doc_id long, unit long")
+    ranks = mixing.ranked(rows, ["doc_id"], "test").collect()
+    assert sorted(r["rank"] for r in ranks if r["doc_id"] == 7) == list(range(500)) and {r["rank"] for r in ranks if r["doc_id"] != 7} == {0}
+    got = mixing.mix(df, block=64).collect()
+    assert len(got) == 700 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 6
+    assert 700 < mixing.mixed_documents(df, block=64).count() < 1400
+
+
+def test_lines_of_small_hosts(spark):
+    """A line on one page alone stays, whatever the ratio; one on both pages of a host goes; deviations spare what may be chance."""
+    rows = [(1, "a\nb", "one"), (2, "a\nc", "two"), (3, "a\nd", "two"), *[(10 + i, f"x{i}" + "\nrare" * (i < 2), "many") for i in range(40)]]
+    text = lambda **kw: {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(frame(spark, rows), "source", "text", **kw).collect()}
+    assert [text()[i] for i in (1, 2, 3)] == ["a\nb", "c", "d"]
+    assert text(max_ratio=0.02)[10] == "x0" and text(max_ratio=0.02, deviations=3.0)[10] == "x0\nrare"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_toxicity_query(spark):
+    """The registered query: a row a document, held out by its id, predicted by its score; held-out labels are found."""
+    from gradus.llm import queries
+
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    mean = lambda y: np.mean([got[i]["score"] for i, t in labels.items() if t == y and got[i]["held_out"]])
+    assert mean(1) > 2 * mean(0)
