@@ -3,7 +3,7 @@ stays, sources are mixed to their weights, and what is left is packed.
 
 Each stage reads all that the one before it kept and returns the columns of documents, further ones included whatever their names; the last returns
 packed pieces. Defined results, for every stage: an empty table gives an empty one; repeated rows are documents of their own, which the near-duplicate stage
-keeps together where they share an id; a null or empty text scores as one that saves nothing (it stays), keeps its text, has no near duplicates, has size 0
+keeps together where they share an id; a null or empty text scores 0 (it stays), keeps its text, has no near duplicates, has size 0
 for the mix and packs to its closing id; a null source keeps its lines and is mixed as a source of its own; a null id is never a near duplicate.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
-from gradus.llm.common import broadcast_if_small, packed, saved, table
+from gradus.llm.common import broadcast_if_small, saved, table, whole_rows
 from gradus.llm.queries import learnable
 
 #: Score from which a document is rejected as toxic.
@@ -28,9 +28,9 @@ DROP_IDS = 300_000
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text scores below TOXIC; a blank one scores as a text without a toxic window."""
+    """Documents whose whole text scores below TOXIC; a blank one scores 0."""
     model = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels")))
-    scored = toxicity.score(packed(docs), model, F.col("_row")["text"], out="score")
+    scored = toxicity.score(whole_rows(docs), model, F.col("_row")["text"], out="score")
     return scored.where(F.col("score") < TOXIC).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
