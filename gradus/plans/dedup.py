@@ -137,9 +137,9 @@ def sections_overlap_dedup(fx):
     return D.dedup_overlapping(overlapping(fx), objects=0.1).withColumn("los", F.array_join("los", "|"))
 
 
-@query("D9_inject_missing_outline", "SELECT p.lesson_id, p.page FROM lesson_pages p WHERE p.page % 5 = 3 AND length(p.page_text) > 3 AND NOT EXISTS (SELECT 1 FROM sections s WHERE s.lesson_id = p.lesson_id AND length(s.title) > 0 AND (contains(lower(p.page_text), lower(s.title)) OR contains(lower(s.title), lower(p.page_text))))")
+@query("D9_inject_missing_outline", "SELECT p.lesson_id, p.page FROM lesson_pages p WHERE length(p.page_text) > 3 AND NOT EXISTS (SELECT 1 FROM sections s WHERE s.lesson_id = p.lesson_id AND length(s.title) > 0 AND (contains(lower(p.page_text), lower(s.title)) OR contains(lower(s.title), lower(p.page_text))))")
 def inject_missing_outline(fx):
-    p = fx.lesson_pages.where("page % 5 = 3 AND length(page_text) > 3")
+    p = fx.lesson_pages.where("length(page_text) > 3")
     s = fx.sections.where("length(title) > 0").select(F.col("lesson_id").alias("l"), F.lower("title").alias("t"))
     on = (p["lesson_id"] == s["l"]) & (F.contains(F.lower(p["page_text"]), s["t"]) | F.contains(s["t"], F.lower(p["page_text"])))
     return p.join(s, on, "left_anti").select("lesson_id", "page")

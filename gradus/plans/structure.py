@@ -89,8 +89,11 @@ def hydrate_metrics(fx):
     """Corpus-wide payloads, one a metric, for every lesson; keys that a lesson has already stay as they are."""
     m = fx.metric_payloads
     corpus = m.groupBy("metric_key").agg(F.round(F.max("value"), 4).alias("v"))
-    keyed = corpus.agg(F.collect_list(F.struct("metric_key", "v")).alias("ms"))  # as many as there are metrics, not rows
-    spread = fx.lessons.select(F.col("lesson_id").alias("scope_id")).join(F.broadcast(keyed)).select("scope_id", F.explode("ms").alias("m")).select("m.metric_key", "scope_id", "m.v")
+    values = corpus.limit(io.MOST_METRICS + 1).collect()  # a row a metric, and their number is checked
+    if len(values) > io.MOST_METRICS:
+        raise ValueError(f"more than {io.MOST_METRICS} metrics")
+    listed = F.array(*[F.struct(F.lit(r["metric_key"]).alias("metric_key"), F.lit(r["v"]).alias("v")) for r in values])
+    spread = fx.lessons.select(F.col("lesson_id").alias("scope_id"), F.explode(listed).alias("m")).select("m.metric_key", "scope_id", "m.v")
     own = m.where("metric_key = 'click' AND event_id % 2 = 0").select("metric_key", "scope_id").distinct()
     return spread.join(own, ["metric_key", "scope_id"], "left_anti")
 

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Metrics of a corpus, each a number that is spread over all lessons.
+MOST_METRICS = 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where the setting is missing and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
