@@ -8,7 +8,6 @@ import pyarrow as pa
 import pytest
 
 from gradus.llm import components, embed_dedup, minhash_dedup, substring_dedup, suffix_dedup
-from gradus.llm import textbytes as tb
 
 DOC = "doc_id long, text string, source string, n long, clash string"
 
