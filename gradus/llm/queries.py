@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprint, line_dedup, minhash_dedup, mixing, packing, secrets, substring_dedup, suffix_dedup, toxicity
+from . import bpe, embed_dedup, fingerprint, line_dedup, minhash_dedup, mixing, packing, periodic_runs, secrets, spelling, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -69,10 +69,29 @@ def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("doc", "doc_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words counted, the form that it stands for and the last of the forms; see `spelling`."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs, a tenth of the documents looped; see `periodic_runs`."""
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.collapse(docs.select("doc_id", periodic_runs.looped(docs["doc_id"], docs["text"]).alias("text"))))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the text that they decode to, as digests; see `bpe`."""
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_toxicity, op3_secrets, op4_packing, op5_fingerprint, op6_line_frequency, op7_embeddings, op8_minhash, op9_recompression, op10_radix_suffixes)
-}
+    for f in (
+        op1_mixing, op2_toxicity, op3_secrets, op4_packing, op5_fingerprint, op6_line_frequency, op7_embeddings, op8_minhash, op9_recompression, op10_radix_suffixes,
+        op11_spelling, op12_periodic_runs, op13_bpe,
+    )
+}
 
 ORACLES = {
     "op6_line_frequency": r"""

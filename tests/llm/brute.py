@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 
@@ -126,3 +127,76 @@ def jaccard(a: str, b: str) -> float:
     cut = lambda t: {tuple(w[k : k + 5]) for w in [WORD.findall(t)] for k in range(max(1, len(w) - 4))} if WORD.search(t) else set()
     x, y = cut(a), cut(b)
     return len(x & y) / len(x | y) if x | y else float(a == b)
+
+
+def looped(i, text: str | None) -> list[bytes]:
+    """Words of op12 before runs are sought."""
+    w = (text or "").encode().split()
+    h, n = (zlib.crc32(str(i).encode()) if i is not None else 1), len(w)
+    g = h // 10
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[j] if j < a else w[a + (j - a) % p] for j in range(n)]
+
+
+def all_runs(w: list) -> list[tuple]:
+    """(start, length, period) of every run of four periods and six words, by trying each period at each place."""
+    out, n = [], len(w)
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            part = w[i : j + q]
+            if len(part) >= max(6, 4 * q) and not any(all(part[x] == part[x + s] for x in range(len(part) - s)) for s in range(1, q)):
+                out.append((i, j + q - i, q))
+            i = j
+    return sorted(out)
+
+
+def op12_row(i, text) -> tuple:
+    w = looped(i, text)
+    runs = all_runs(w)
+    gone = {x for s, n, q in runs for x in range(s + q, s + n)}
+    s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+    kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+    return len(runs), s, n, q, 1000 * n // q if runs else None, sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)), sha(kept)
+
+
+def variants(docs) -> dict:
+    """word -> (form, root, n, n_near, form_n), each word against each."""
+    n: dict[str, int] = {}
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{i}:{low}".encode()) if i is not None else 1
+            if h % 97 == 0:
+                low = low[: h % len(low)] + low[h % len(low) + 1 :]
+            n[low] = n.get(low, 0) + 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    form, count = {}, {}
+    for w in n:
+        others = [x for x in n if x != w and near(w, x)]
+        count[w] = len(others)
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], count[w], n[form[w]] if form[w] is not None else None)
+    return out
