@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.operators import lint as L
+from gradus.operators import nearest as N
 from gradus.sources.fixture_sql import TOK
 
 from .registry import query
@@ -142,6 +143,19 @@ def best_match(fx):
     return both.groupBy("question_id", F.col("j").alias("target")).agg(F.round(F.max("cosine"), 9).alias("best"))
 
 
+OPTIONS = "(SELECT question_id * 4 + pos AS id, pos, vector, sqrt(list_dot_product(vector, vector)) AS norm FROM option_vectors)"
+
+
+@query("E2_best_match_all", f"""SELECT t.id AS target, round(max(list_dot_product(t.vector, c.vector) / (t.norm * c.norm)) FILTER (list_dot_product(t.vector, c.vector) / (t.norm * c.norm) >= 0.75), 9) AS best
+  FROM {OPTIONS} t JOIN {OPTIONS} c ON t.pos % 2 = 0 AND c.pos % 2 = 1 GROUP BY t.id""")
+def best_match_all(fx):
+    """Keys and second distractors as targets, first and third distractors of all questions as candidates; no match below 0.75."""
+    v = fx.option_vectors.select((F.col("question_id") * 4 + F.col("pos")).alias("id"), "pos", "vector")
+    targets = v.where("pos IN (0, 2)").select("id", "vector")
+    best = N.best_matches(targets, v.where("pos IN (1, 3)").select("id", "vector"), 0.75, 1e-9)
+    return targets.select(F.col("id").alias("target")).join(best, "target", "left").select("target", F.round("cosine", 9).alias("best"))
+
+
 @query("F13_option_count_4", "SELECT question_id FROM questions WHERE len(options) = 4")
 def option_count_4(fx):
     return fx.questions.where("size(options) = 4").select("question_id")
