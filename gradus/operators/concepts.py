@@ -36,23 +36,20 @@ def weights(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return lo.join(degrees(edges), "lo_id", "left").groupBy("norm").agg((1 + F.coalesce(F.sum("degree"), F.lit(0))).alias("weight"))
 
 
-def _start(word: Column) -> Column:
-    return F.substring(word, 1, 3)
-
-
 def mentions(concepts: DataFrame, questions: DataFrame) -> DataFrame:
     """(norm, question_id): a phrase stands in the question's text as it is, a single word starts one of its words.
 
-    Both mean that the concept's last word starts a word of the text, so concepts and questions meet on the first three letters of it."""
+    Both mean that the concept's last word starts a word of the text. So words give away their beginnings of every length that a last word has, and concepts are
+    met by their whole last word; phrases are then looked up in the text."""
     text = F.concat_ws(" ", "question_text", "correct_answer", F.array_join("options", " "))
     q = questions.select("question_id", normalize_concept(text).alias("blob"))
-    q = q.withColumn("words", F.array_distinct(tokens(F.col("blob"))))
-    starts = F.array_distinct(F.flatten(F.transform("words", lambda w: F.array(F.substring(w, 1, 1), F.substring(w, 1, 2), _start(w)))))
-    c = concepts.select("norm", _start(F.element_at(F.split("norm", " "), -1)).alias("start"))
-    met = q.select("question_id", F.explode(starts).alias("start")).join(c, "start").select("question_id", "norm").distinct()
-    met = met.join(q, "question_id")
-    phrase = F.contains("norm", F.lit(" "))
-    return met.where(F.when(phrase, F.contains("blob", F.col("norm"))).otherwise(F.exists("words", lambda w: w.startswith(F.col("norm"))))).select("norm", "question_id")
+    c = concepts.select("norm", F.element_at(F.split("norm", " "), -1).alias("last")).withColumn("phrase", F.contains("norm", F.lit(" ")))
+    lengths = c.agg(F.sort_array(F.collect_set(F.length("last"))).alias("lengths"))
+    words = q.select("question_id", F.explode(F.array_distinct(tokens(F.col("blob")))).alias("w")).crossJoin(F.broadcast(lengths))
+    starts = words.select("question_id", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("w")), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("last"))
+    met = starts.join(c, "last").select("norm", "question_id", "phrase").distinct()
+    whole = met.where("phrase").join(q, "question_id").where(F.contains("blob", F.col("norm")))
+    return met.where("NOT phrase").select("norm", "question_id").unionByName(whole.select("norm", "question_id"))
 
 
 def search(rows: DataFrame, asks: list[str], stop: list[str], more: int = 3) -> DataFrame:

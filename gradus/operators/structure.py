@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.functions.text import offsets_of
+from gradus.operators.dedup import keep_first_greedy
+from gradus.operators.needles import occurrences
+from gradus.operators.sequences import title_variants
 from gradus.operators.vocabulary import CUES
+from gradus.sources.io import saved
 
 CLUSTER_GAP = 3000
 BUCKET = 4096
@@ -42,10 +45,11 @@ def runs(pages: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
     return pages.select(*keys, page, island.alias("island")).groupBy(*keys, "island").agg(F.min(page).alias("start"), F.max(page).alias("end")).drop("island")
 
 
-def hits(texts: DataFrame, needles: DataFrame, key: str, most: int = 200) -> DataFrame:
-    """(needles' columns, offset): places of each needle in the text of its key, ignoring case."""
-    j = needles.join(texts, key)
-    return j.select(*needles.columns, F.explode(offsets_of(F.lower("raw"), F.lower("needle"), most)).alias("offset"))
+def hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needles' columns, offset): places of each needle (lesson_id, needle, most, ...) in the text (lesson_id, raw) of its lesson, ignoring case, the first `most`."""
+    sought = needles.withColumn("phrase", F.lower("needle"))
+    found = occurrences(texts.select("lesson_id", F.lit(0).alias("part"), F.lower("raw").alias("raw")), sought.select("lesson_id", "phrase"))
+    return sought.join(found, ["lesson_id", "phrase"]).where(F.col("nth") < F.col("most")).select(*needles.columns, "offset")
 
 
 def gap_clusters(found: DataFrame, keys: list[str], gap: int = CLUSTER_GAP) -> DataFrame:
@@ -144,9 +148,54 @@ def located(best: DataFrame, pages: DataFrame, more: int = 600, most: int = 3_00
 
 def toc_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """(lesson_id, page): pages that hold at least 6 in 10 of the section titles of their lesson, and two at least."""
-    titles = sections.where("length(title) > 0").groupBy("lesson_id").agg(F.collect_list(F.lower("title")).alias("t"))
-    held = pages.join(titles, "lesson_id").withColumn("low", F.lower("page_text"))
-    return held.where(F.size(F.filter("t", lambda x: F.contains(F.col("low"), x))) >= F.greatest(F.lit(2), F.floor(0.6 * F.size("t")))).select("lesson_id", "page")
+    titles = sections.where("length(title) > 0").groupBy("lesson_id", F.lower("title").alias("phrase")).agg(F.count("*").alias("n"))
+    found = occurrences(pages.select("lesson_id", F.col("page").alias("part"), F.lower("page_text").alias("raw")), titles, most=1)
+    held = found.join(titles, ["lesson_id", "phrase"]).groupBy("lesson_id", F.col("part").cast("int").alias("page")).agg(F.sum("n").alias("held"))
+    total = titles.groupBy("lesson_id").agg(F.sum("n").alias("total"))
+    return held.join(total, "lesson_id").where(F.col("held") >= F.greatest(F.lit(2), F.floor(0.6 * F.col("total")))).select("lesson_id", "page")
+
+
+def outline(pages: DataFrame, items: Column, least: int = 1, first: int = 8) -> DataFrame:
+    """(lesson_id, page, items, hits, listed): the contents page of each lesson that has one. Of the first pages, those of 30 to 800 characters are tried; `items` is the array of what a page
+    lists (null: no list), `least` entries at least; three of them and 6 in 10 come again behind the page. The page with the greatest share wins, then most hits, then the earliest."""
+    at = page_offsets(pages).where(F.col("page").between(1, first) & F.col("char_count").between(30, 800)).select("lesson_id", "page", "end_offset")
+    tried = pages.where(F.col("page") <= first).select("lesson_id", "page", items.alias("listed")).where(F.size("listed") >= least).join(at, ["lesson_id", "page"])
+    rows = tried.select("lesson_id", "page", "end_offset", F.explode(F.transform("listed", F.lower)).alias("phrase"))
+    last = occurrences(joined_pages(pages).select("lesson_id", F.lit(0).alias("part"), F.lower("raw").alias("raw")), rows.select("lesson_id", "phrase"), most=None)
+    scored = rows.join(last, ["lesson_id", "phrase"], "left").groupBy("lesson_id", "page").agg(F.count("*").alias("items"), F.count_if(F.col("offset") >= F.col("end_offset")).alias("hits"))
+    best = scored.where("hits >= 3 AND hits / items >= 0.6").groupBy("lesson_id").agg(F.max(F.struct((F.col("hits") / F.col("items")).alias("share"), "hits", (-F.col("page")).alias("p"), "items")).alias("b"))
+    best = best.select("lesson_id", (-F.col("b.p")).alias("page"), "b.items", "b.hits")
+    return best.join(tried.select("lesson_id", "page", "listed"), ["lesson_id", "page"])
+
+
+def outline_lines(text: Column, most: int = 80) -> Column:
+    """What a page lists below its first line: its other lines, three at least and none above `most` characters; else null."""
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    return F.when((F.size(lines) >= 4) & ~F.exists(listed, lambda x: F.length(x) > most), listed)
+
+
+def missing_outline(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """(lesson_id, i, title, start_page, end_page, snippet): entries of a lesson's contents page, in their order, that no section's title (lesson_id, title) holds or lies in, that are
+    located in the text outside of contents pages, and that repeat no entry injected before them. An entry is sought in its forms, the most specific first,
+    and the first form with hits counts."""
+    found = outline(pages, outline_lines(F.col("page_text")), 3)
+    items = found.select("lesson_id", F.posexplode("listed").alias("i", "title")).withColumn("low", F.lower("title"))
+    s = sections.where("length(title) > 0").select(F.col("lesson_id").alias("l"), F.lower("title").alias("t"))
+    either = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    items = items.join(s, (F.col("lesson_id") == F.col("l")) & either(F.col("low"), F.col("t")), "left_anti")
+    forms = items.select("lesson_id", "i", F.posexplode(title_variants(F.col("title"))).alias("v", "needle"), F.lit(200).alias("most"))
+    h = hits(joined_pages(pages), forms)
+    at = page_offsets(pages)
+    toc = toc_pages(pages, sections.select("lesson_id", "title").unionByName(items.select("lesson_id", "title"))).unionByName(found.select("lesson_id", "page"))
+    barred = at.join(toc, ["lesson_id", "page"], "left_semi").select(F.col("lesson_id").alias("l"), "start_offset", "end_offset")
+    h = h.join(barred, (F.col("lesson_id") == F.col("l")) & (F.col("offset") >= F.col("start_offset")) & (F.col("offset") < F.col("end_offset")), "left_anti")
+    h = h.withColumn("first_form", F.min("v").over(Window.partitionBy("lesson_id", "i"))).where("v = first_form")
+    placed = located(best_cluster(h.withColumns({"weight": F.lit(3.0), "is_title": F.lit(True), "length": F.length("needle")}), ["lesson_id", "i"]), pages)
+    new = saved(placed.join(items, ["lesson_id", "i"]).select("lesson_id", "i", F.struct("lesson_id", "i").alias("id"), "title", "low", "start_page", "end_page", "snippet"), "outline")
+    a, b = new.select("lesson_id", F.col("id").alias("a"), F.col("low").alias("x")), new.select("lesson_id", F.col("id").alias("b"), F.col("low").alias("y"))
+    again = a.join(b, "lesson_id").where((F.col("a") < F.col("b")) & either(F.col("x"), F.col("y"))).select("a", "b")
+    return new.join(keep_first_greedy(new.select("id"), again).where("kept"), "id", "left_semi").select("lesson_id", "i", "title", "start_page", "end_page", "snippet")
 
 
 def titled_runs(runs_: DataFrame, headings: DataFrame, sections: DataFrame) -> DataFrame:

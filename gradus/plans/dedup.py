@@ -145,6 +145,16 @@ def inject_missing_outline(fx):
     return p.join(s, on, "left_anti").select("lesson_id", "page")
 
 
+@query("D9_inject_located")
+def inject_located(fx):
+    """Lessons behind a page of contents that lists their sections; those with long texts were planned, the others are located and injected. Held against a loop by tests."""
+    titles = fx.sections.where("title <> ''").groupBy("lesson_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "title"))), lambda x: x["title"]).alias("t"))
+    first = titles.select("lesson_id", F.lit(1).alias("page"), F.concat(F.lit("Contents\n"), F.array_join("t", "\n")).alias("page_text"))
+    pages = fx.lesson_pages.withColumn("page", F.col("page") + 1).unionByName(first)
+    out = S.missing_outline(pages, fx.sections.where("length(content) >= 100"))
+    return out.withColumn("snippet", F.md5("snippet"))
+
+
 @query("D10_title_dedup", "SELECT min(section_id) AS section_id FROM sections GROUP BY lesson_id, lower(title)")
 def title_dedup(fx):
     return D.keep_first(fx.sections, [F.col("lesson_id"), F.lower("title")], "section_id").select("section_id")
@@ -297,15 +307,9 @@ def enrich_by_title(fx):
 @query("X13_detect_outline", """SELECT lesson_id, page, items, hits FROM (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY hits / items DESC, hits DESC, page) AS r FROM (SELECT p.lesson_id, p.page, count(*) AS items, count(*) FILTER (contains(substr(l.raw, p.e + 1), p.w)) AS hits FROM
   (SELECT lesson_id, page, e, unnest(w) AS w FROM (SELECT lesson_id, page, end_offset::BIGINT AS e, [x for x in string_split(lower(page_text), ' ') if length(x) BETWEEN 4 AND 80] AS w FROM %s WHERE page <= 8 AND char_count BETWEEN 30 AND 800)) p JOIN (SELECT lesson_id, lower(string_agg(chr(10) || '--- Page ' || page || ' ---' || chr(10) || page_text, '' ORDER BY page)) AS raw FROM lesson_pages GROUP BY 1) l ON l.lesson_id = p.lesson_id GROUP BY 1, 2) WHERE hits >= 3 AND hits / items >= 0.6) WHERE r = 1""" % OFFS)
 def detect_outline(fx):
-    o = S.page_offsets(fx.lesson_pages).where("page <= 8 AND char_count BETWEEN 30 AND 800").select("lesson_id", "page", "end_offset")
-    raw = S.joined_pages(fx.lesson_pages).select("lesson_id", F.lower("raw").alias("raw"))
-    p = fx.lesson_pages.join(o, ["lesson_id", "page"]).join(raw, "lesson_id")
+    """Pages are single lines here, so their words stand for what they list; `D9_inject_located` has pages of lines."""
     words = F.filter(F.split(F.lower("page_text"), " "), lambda x: F.length(x).between(4, 80))
-    rest = F.substring("raw", F.col("end_offset").cast("int") + 1, F.length("raw"))
-    p = p.withColumn("rest", rest).select("lesson_id", "page", F.size(words).cast("long").alias("items"), F.size(F.filter(words, lambda w: F.contains(F.col("rest"), w))).cast("long").alias("hits"))
-    p = p.where("hits >= 3 AND hits / items >= 0.6")
-    r = F.row_number().over(Window.partitionBy("lesson_id").orderBy(F.desc(F.col("hits") / F.col("items")), F.desc("hits"), "page"))
-    return p.withColumn("r", r).where("r = 1").drop("r")
+    return S.outline(fx.lesson_pages, words).select("lesson_id", "page", "items", "hits")
 
 
 @query("X14_find_toc_pages", "SELECT p.lesson_id, p.page FROM lesson_pages p JOIN (SELECT lesson_id, list(lower(title)) FILTER (length(title) > 0) AS t FROM sections GROUP BY 1) s ON s.lesson_id = p.lesson_id WHERE len([x for x in s.t if contains(lower(p.page_text), x)]) >= greatest(2, floor(0.6 * len(s.t)))")

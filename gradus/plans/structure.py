@@ -281,10 +281,11 @@ HITS = f"(SELECT lesson_id, section_id, start_page, w, is_title, unnest(o) AS of
 
 
 def section_hits(fx):
-    raw = S.joined_pages(fx.lesson_pages)
-    t = fx.sections.where("length(title) >= 3").select("lesson_id", "section_id", F.col("title").alias("needle"), F.lit(3.0).alias("weight"), F.lit(True).alias("is_title"))
-    k = fx.sections.select("lesson_id", "section_id", F.explode("key_topics").alias("needle"), F.lit(1.0).alias("weight"), F.lit(False).alias("is_title")).where("length(needle) >= 3")
-    return S.hits(raw, t, "lesson_id").unionByName(S.hits(raw, k, "lesson_id", 100)).withColumn("length", F.length("needle"))
+    row = lambda needle, weight, title, most: [
+        "lesson_id", "section_id", needle.alias("needle"), F.lit(weight).alias("weight"), F.lit(title).alias("is_title"), F.lit(most).alias("most")
+    ]
+    needles = fx.sections.select(*row(F.col("title"), 3.0, True, 200)).unionByName(fx.sections.select(*row(F.explode("key_topics"), 1.0, False, 100)))
+    return S.hits(S.joined_pages(fx.lesson_pages), needles.where("length(needle) >= 3")).withColumn("length", F.length("needle"))
 
 
 CLUST = f"(SELECT *, sum(new) OVER (PARTITION BY section_id ORDER BY off, w ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN off - lag(off) OVER (PARTITION BY section_id ORDER BY off, w) > 3000 THEN 1 ELSE 0 END AS new FROM {HITS}))"
