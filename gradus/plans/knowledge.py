@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gradus.functions.text import tokens
 from gradus.operators import concepts as C
 from gradus.operators import graph as G
+from gradus.operators import ontology as K
+from gradus.operators import vocabulary as V
 from gradus.sources import io
 from gradus.sources.fixture_sql import TOK
 
@@ -138,6 +140,64 @@ def export_triples(fx):
     return fx.spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def kb_tables(fx):
+    """The tables of a course: an object lies in the first section of the lesson of its number."""
+    lessons = fx.lessons.select("lesson_id", "course_id", "title")
+    objects = fx.learning_objects.select("lo_id", (F.col("lo_id") * 1000 + 1).alias("section_id"), "title", "object_type", "content", "keywords")
+    edges = fx.edges.select("source_id", "target_id", "relationship_type")
+    bloom = F.element_at(F.array(*[F.lit(b) for b in BLOOM_LEVELS]), (F.col("question_id") % len(BLOOM_LEVELS) + 1).cast("int"))
+    questions = fx.questions.select("question_id", "question_text", F.when(F.size("options") > 1, "MCQ").otherwise("essay").alias("question_type"), "solo_level", bloom.alias("bloom_level"), "learning_object_id")
+    quizzes = fx.questions.groupBy("quiz_id").agg(F.min("primary_lesson_id").alias("lesson_id")).join(lessons.select("lesson_id", "course_id"), "lesson_id", "left")
+    quizzes = quizzes.select("quiz_id", F.concat(F.lit("Quiz "), F.col("quiz_id").cast("string")).alias("title"), "course_id")
+    return lessons.select("course_id", F.col("course_id").alias("name")).distinct(), lessons, fx.sections, objects, edges, questions, quizzes
+
+
+BLOOM_LEVELS = ["remember", "Understand", "apply", "analyse", "evaluate", "create", "guess"]
+
+
+def _fact(table: str, kind: str, id_: str, **named: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}_' || {id_} AS s, '{p}' AS p, ({o})::VARCHAR AS o, {str(o.startswith('(node)')).lower()} AS node FROM {table}".replace("(node)", "") for p, o in named.items())
+
+
+QUIZZES = "(SELECT quiz_id, course_id FROM (SELECT quiz_id, min(primary_lesson_id) AS lesson_id FROM questions GROUP BY 1) LEFT JOIN lessons USING (lesson_id))"
+KB = f"""(SELECT DISTINCT s, p, o, node FROM (
+  {_fact("(SELECT DISTINCT course_id FROM lessons)", "course", "course_id", type="'Course'", label="course_id")}
+  UNION ALL {_fact("lessons", "lesson", "lesson_id", type="'Lesson'", label="title")}
+  UNION ALL SELECT 'course_' || course_id, 'hasLesson', 'lesson_' || lesson_id, true FROM lessons
+  UNION ALL {_fact("sections", "section", "section_id", type="'Section'", label="title", hasContent="substr(content, 1, 500)", startPage="start_page", endPage="end_page", orderIndex="order_index")}
+  UNION ALL SELECT 'lesson_' || lesson_id, 'hasSection', 'section_' || section_id, true FROM sections
+  UNION ALL {_fact("learning_objects", "lo", "lo_id", type="CASE object_type WHEN 'concept' THEN 'Concept' WHEN 'procedure' THEN 'Procedure' WHEN 'example' THEN 'Example' ELSE 'Principle' END", label="title", hasContent="substr(content, 1, 500)", hasKeyword="unnest(keywords)")}
+  UNION ALL SELECT 'section_' || (lo_id * 1000 + 1), 'containsLearningObject', 'lo_' || lo_id, true FROM learning_objects WHERE lo_id * 1000 + 1 IN (SELECT section_id FROM sections)
+  UNION ALL SELECT 'lo_' || source_id, unnest([CASE relationship_type WHEN 'part_of' THEN 'isPartOf' WHEN 'prerequisite' THEN 'isPrerequisiteFor' ELSE 'relatedTo' END, 'comment']), unnest(['lo_' || target_id, 'Relationship: ' || relationship_type]), unnest([true, false])
+    FROM edges WHERE source_id IN (SELECT lo_id FROM learning_objects) AND target_id IN (SELECT lo_id FROM learning_objects)
+  UNION ALL {_fact("questions", "question", "question_id", type="CASE WHEN len(options) > 1 THEN 'MultipleChoiceQuestion' ELSE 'EssayQuestion' END", label="CASE WHEN length(question_text) > 100 THEN substr(question_text, 1, 100) || '...' ELSE question_text END",
+      questionText="question_text", hasSOLOLevel="(node)CASE solo_level WHEN 'extended_abstract' THEN 'ExtendedAbstract' ELSE upper(solo_level[1]) || solo_level[2:] END", hasBloomLevel="(node)['Remember', 'Understand', 'Apply', 'Analyze', 'Evaluate', 'Create', NULL][question_id % 7 + 1]")}
+  UNION ALL SELECT 'question_' || question_id, 'assessesLearningObject', 'lo_' || learning_object_id, true FROM questions WHERE learning_object_id IN (SELECT lo_id FROM learning_objects)
+  UNION ALL {_fact(QUIZZES, "quiz", "quiz_id", type="'Quiz'", label="'Quiz ' || quiz_id")} UNION ALL SELECT 'quiz_' || quiz_id, 'assessesCourse', 'course_' || course_id, true FROM {QUIZZES} WHERE course_id IS NOT NULL) WHERE o <> '')"""
+
+
+def kb(fx):
+    return K.store(K.knowledge_base(*kb_tables(fx)), io.fresh(fx.spark, "kb"))
+
+
+@query("G6_knowledge_base", f"SELECT p, node, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects, sum(length(o))::BIGINT AS chars FROM {KB} GROUP BY 1, 2")
+def knowledge_base(fx):
+    return kb(fx).groupBy("p", "node").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects"), F.sum(F.length("o")).alias("chars"))
+
+
+@query("G11_kb_sections", f"WITH kb AS {KB} SELECT cl.o AS course, ll.o AS lesson, count(*) AS sections FROM kb cl JOIN kb h ON h.s = cl.s AND h.p = 'hasLesson' JOIN kb ll ON ll.s = h.o AND ll.p = 'label' JOIN kb x ON x.s = h.o AND x.p = 'hasSection' JOIN kb t ON t.s = x.o AND t.p = 'type' AND t.o = 'Section' WHERE cl.p = 'label' GROUP BY h.s, h.o, cl.o, ll.o")
+def kb_sections(fx):
+    """Sections of each lesson of each course, over the folders of four predicates."""
+    g = G.bgp(kb(fx), [("?c", "label", "?course"), ("?c", "hasLesson", "?l"), ("?l", "label", "?lesson"), ("?l", "hasSection", "?s"), ("?s", "type", "Section")])
+    return g.groupBy("c", "l", "course", "lesson").agg(F.count("*").alias("sections")).select("course", "lesson", "sections")
+
+
+@query("G12_kb_objects", f"WITH kb AS {KB} SELECT sl.o AS section, ol.o AS object, k.o AS keyword FROM kb c JOIN kb sl ON sl.s = c.s AND sl.p = 'label' JOIN kb ol ON ol.s = c.o AND ol.p = 'label' JOIN kb k ON k.s = c.o AND k.p = 'hasKeyword' WHERE c.p = 'containsLearningObject'")
+def kb_objects(fx):
+    """Objects of sections with their keywords."""
+    return G.bgp(kb(fx), [("?s", "containsLearningObject", "?o"), ("?s", "label", "?section"), ("?o", "label", "?object"), ("?o", "hasKeyword", "?keyword")]).select("section", "object", "keyword")
+
+
 @query("G7_bgp", "SELECT r.s AS region, n.o AS nation, l.o AS name FROM triples r JOIN triples n ON n.s = r.s AND n.p = 'hasNation' JOIN triples l ON l.s = n.o AND l.p = 'label' WHERE r.p = 'label' AND r.o = 'ASIA'")
 def bgp(fx):
     return G.bgp(fx.triples, [("?region", "label", "ASIA"), ("?region", "hasNation", "?nation"), ("?nation", "label", "?name")])
@@ -173,7 +233,23 @@ def los_by_section(fx):
   SELECT DISTINCT * FROM (SELECT a AS source_id, b AS target_id, 'part_of' AS relationship_type FROM part UNION ALL SELECT b, a, 'has_part' FROM part UNION ALL SELECT source_id, target_id, relationship_type FROM edges WHERE relationship_type = 'relates_to' UNION ALL SELECT target_id, source_id, relationship_type FROM edges WHERE relationship_type = 'relates_to'
   UNION ALL SELECT source_id, target_id, relationship_type FROM edges WHERE relationship_type = 'prerequisite' UNION ALL SELECT target_id, source_id, 'has_prerequisite' FROM edges WHERE relationship_type = 'prerequisite')""")
 def infer_edges(fx):
-    return G.infer(fx.edges)
+    return G.infer(fx.edges, ["part_of"], ["relates_to"], {"part_of": "has_part", "prerequisite": "has_prerequisite"})
+
+
+KINDS = ["part_of", "type_of", "example", "prerequisite_for", "related", "contrasts", "has_example"]
+NAMED = ["isPartOf", "isTypeOf", "isExampleOf", "isPrerequisiteFor", "relatedTo", "contrastsWith", "hasExample"]
+
+
+@query("G13_infer_all", f"""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b, {NAMED}[l_linenumber] AS r FROM lineitem WHERE l_partkey <> l_suppkey AND l_linenumber <= {len(NAMED)}),
+  base AS (SELECT a, b, r FROM e WHERE r <> 'hasExample' UNION SELECT b, a, 'isExampleOf' FROM e WHERE r = 'hasExample'),
+  path(a, b, r) AS (SELECT a, b, r FROM base WHERE r IN ('isPartOf', 'isTypeOf') UNION SELECT p.a, n.b, p.r FROM path p JOIN base n ON n.a = p.b AND n.r = p.r),
+  every AS (SELECT a, b, r FROM base WHERE r IN ('isExampleOf', 'isPrerequisiteFor', 'relatedTo', 'contrastsWith') UNION SELECT b, a, r FROM base WHERE r IN ('relatedTo', 'contrastsWith') UNION SELECT a, b, r FROM path)
+  SELECT a AS source_id, b AS target_id, r AS relationship_type FROM every UNION ALL SELECT b, a, CASE r WHEN 'isPartOf' THEN 'hasPart' WHEN 'isExampleOf' THEN 'hasExample' ELSE 'hasPrerequisite' END FROM every WHERE r IN ('isPartOf', 'isExampleOf', 'isPrerequisiteFor')""")
+def infer_all(fx):
+    """Edges of seven kinds by their line numbers, two transitive, two symmetric, three with inverses."""
+    line = fx.lineitem.where((F.col("l_partkey") != F.col("l_suppkey")) & (F.col("l_linenumber") <= len(KINDS)))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("l_linenumber"))
+    return G.infer(line.select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), V.relation(kind).alias("relationship_type")).distinct())
 
 
 TERMS = ["inanin", "thonst", "ouwhea", "tion"]

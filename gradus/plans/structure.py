@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gradus.functions.text import slide_heading
 from gradus.operators import structure as S
 from gradus.operators import vocabulary as V
-from gradus.sources import io
+from gradus.sources import io, snapshots
+from gradus.streaming.keyed import MetricStore
 
 from .registry import query
 from .text import HEAD, JOINED
@@ -66,14 +67,31 @@ TABLES = ("documents", "conversations", "labels", "benchmark", "pages", "embeddi
 
 @query("S8_write_snapshot", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def write_snapshot(fx):
-    return io.write_snapshot({t: fx.table(t) for t in TABLES}, io.fresh(fx.spark, "snapshot"), "now")
+    return snapshots.write(fx.spark, io.fresh(fx.spark, "snapshot"), "now", {t: fx.table(t) for t in TABLES}).counts()
 
 
 @query("S9_read_snapshot", "SELECT doc_id, quality, toxic FROM labels")
 def read_snapshot(fx):
     root = io.fresh(fx.spark, "snapshot")
-    io.write_snapshot({"labels": fx.labels}, root, "now")
-    return io.read_snapshot(fx.spark, root, "now", "labels").select("doc_id", "quality", "toxic")
+    snapshots.write(fx.spark, root, "now", {"labels": fx.labels})
+    return snapshots.read(fx.spark, root, "now").table("labels").select("doc_id", "quality", "toxic")
+
+
+@query("S9_read_metrics", """SELECT metric_key, md5(payload) AS payload FROM validation WHERE snapshot = 'after' AND lesson IS NULL
+  UNION ALL SELECT 'coverage', md5('{' || string_agg('"' || lesson || '": ' || payload, ', ' ORDER BY lesson) || '}') FROM validation WHERE snapshot = 'after' AND lesson IS NOT NULL""")
+def read_metrics(fx):
+    """Reports written with a snapshot and read again, a text a metric."""
+    snap = snapshots.write(fx.spark, io.fresh(fx.spark, "snapshot"), "after", {}, reports_of(fx, "after"))
+    return snap.metrics().select("metric_key", F.md5("payload").alias("payload"))
+
+
+def reports_of(fx, label):
+    """(metric_key, payload) of a snapshot: coverage has an entry for each lesson."""
+    v = fx.validation.where(F.col("snapshot") == label)
+    entry = F.concat(F.lit('"'), F.col("lesson").cast("string"), F.lit('": '), "payload")
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("lesson", entry.alias("e")))), lambda x: x["e"])
+    nested = v.where("lesson IS NOT NULL").groupBy("metric_key").agg(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")).alias("payload"))
+    return v.where("lesson IS NULL").select("metric_key", "payload").unionByName(nested)
 
 
 @query("S12_export_csv", "SELECT question_id::VARCHAR AS question_id, question_text FROM questions")
@@ -88,14 +106,23 @@ def export_csv(fx):
 def hydrate_metrics(fx):
     """Corpus-wide payloads, one a metric, for every lesson; keys that a lesson has already stay as they are."""
     m = fx.metric_payloads
-    corpus = m.groupBy("metric_key").agg(F.round(F.max("value"), 4).alias("v"))
-    values = corpus.limit(io.MOST_METRICS + 1).collect()  # a row a metric, and their number is checked
-    if len(values) > io.MOST_METRICS:
-        raise ValueError(f"more than {io.MOST_METRICS} metrics")
-    listed = F.array(*[F.struct(F.lit(r["metric_key"]).alias("metric_key"), F.lit(r["v"]).alias("v")) for r in values])
-    spread = fx.lessons.select(F.col("lesson_id").alias("scope_id"), F.explode(listed).alias("m")).select("m.metric_key", "scope_id", "m.v")
+    corpus = m.groupBy("metric_key").agg(F.round(F.max("value"), 4).cast("string").alias("payload"))
+    spread = snapshots.lesson_reports(corpus, fx.lessons, corpus_wide=["click", "error", "purchase", "signup", "view"])
     own = m.where("metric_key = 'click' AND event_id % 2 = 0").select("metric_key", "scope_id").distinct()
-    return spread.join(own, ["metric_key", "scope_id"], "left_anti")
+    return spread.join(own, ["metric_key", "scope_id"], "left_anti").select("metric_key", "scope_id", F.col("payload").cast("double").alias("v"))
+
+
+@query("S10_hydrate_store", """SELECT metric_key, lesson AS scope_id, md5(payload) AS payload FROM validation WHERE snapshot = 'before' AND metric_key = 'coverage'
+  UNION ALL SELECT metric_key, l.lesson, md5(payload) FROM validation v CROSS JOIN (SELECT DISTINCT lesson FROM snapshots WHERE snapshot = 'after') l WHERE v.snapshot = 'after' AND v.lesson IS NULL
+  UNION ALL SELECT metric_key, lesson, md5(payload) FROM validation WHERE snapshot = 'after' AND metric_key = 'coverage' AND lesson NOT IN (SELECT lesson FROM validation WHERE snapshot = 'before' AND lesson IS NOT NULL)""")
+def hydrate_store(fx):
+    """A store that holds the coverage of one snapshot takes up the other one: what is there stays."""
+    snap = snapshots.write(fx.spark, io.fresh(fx.spark, "snapshot"), "after", {"lessons": fx.snapshots.where("snapshot = 'after'").select(F.col("lesson").alias("lesson_id")).distinct()}, reports_of(fx, "after"))
+    store = MetricStore(fx.spark, io.fresh(fx.spark, "store"))
+    at = F.to_timestamp(F.lit("2026-01-01"))
+    store.put(fx.validation.where("snapshot = 'before' AND lesson IS NOT NULL").select("metric_key", F.col("lesson").alias("scope_id"), "payload").withColumn("created_at", at))
+    snapshots.hydrate(store, snapshots.lesson_reports(snap.metrics(), snap.table("lessons")), at)
+    return store.current().select("metric_key", "scope_id", F.md5("payload").alias("payload"))
 
 
 BANKROWS = "(SELECT c_mktsegment AS book, CASE WHEN o_custkey % 5 = 0 THEN 'App ' || o_custkey % 3 ELSE (o_custkey % 12)::VARCHAR END AS chapter, o_orderkey AS pos, (o_custkey % 50) || '|' || o_orderpriority AS context FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')"

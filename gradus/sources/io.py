@@ -1,4 +1,4 @@
-"""Reading and writing tables: snapshots, triples, and steps of iterative jobs."""
+"""Reading and writing tables: triples, banks, CSV, and steps of iterative jobs."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Metrics of a corpus, each a number that is spread over all lessons.
-MOST_METRICS = 1_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where the setting is missing and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,22 +32,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str, label: str) -> DataFrame:
-    """Each table under root/snapshot=<label>/table=<name>; returns (name, n), the counts of what was written."""
-    counts = None
-    for name, df in tables.items():
-        path = f"{root}/snapshot={label}/table={name}"
-        df.write.mode("overwrite").parquet(path)
-        one = df.sparkSession.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
-
-
-def read_snapshot(spark: SparkSession, root: str, label: str, name: str) -> DataFrame:
-    """A table of a snapshot; a missing snapshot is an error."""
-    return spark.read.parquet(f"{root}/snapshot={label}/table={name}")
-
-
 def write_ntriples(triples: DataFrame, path: str) -> None:
     """(s, p, o) as N-Triples; o is an IRI where the column `node`, if there is one, says so or else where it names a subject (kind_number), and a literal elsewhere."""
     from gradus.functions.text import escape_literal

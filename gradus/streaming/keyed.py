@@ -64,6 +64,10 @@ class KeyedTable:
                 hit = hit.join(keys.select(*by).distinct(), by, "left_semi")
         source = source or f"delete-{uuid.uuid4().hex}"
         self.write(hit, source, batch, deleted=True)
+        return self.written(source, batch)
+
+    def written(self, source: str, batch: int = 0) -> int:
+        """How many rows a write has left."""
         return self.spark.read.schema(self.stored).parquet(self._path(self._generation(), source, batch)).count()
 
     def compact(self, needed: Column | None = None) -> None:

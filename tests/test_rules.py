@@ -94,11 +94,8 @@ def test_batches_overlap_by_one_section(spark):
     assert {k: sorted(v) for k, v in out.items()} == {0: [0, 1], 1: [1, 2], 2: [2, 3], 3: [3, 4]}
 
 
-def test_snapshot_round_trip(spark, tmp_path):
+def test_csv_and_triples_round_trip(spark, tmp_path):
     df = spark.range(7).withColumnRenamed("id", "k")
-    counts = io.write_snapshot({"t": df}, str(tmp_path), "one")
-    assert [tuple(r) for r in counts.collect()] == [("t", 7)]
-    assert io.read_snapshot(spark, str(tmp_path), "one", "t").count() == 7
     io.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 7
     t = spark.createDataFrame([("a_1", "label", 'x"y'), ("a_1", "has", "b_2")], "s string, p string, o string")
