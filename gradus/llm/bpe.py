@@ -202,7 +202,7 @@ def _path(tokenizer_path: str | None) -> str:
     return tokenizer_path
 
 
-def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, chars: int = 1 << 20) -> DataFrame:
+def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, chars: int = 1 << 21) -> DataFrame:
     """(doc_id, ids): the ids of each text as unsigned 32-bit integers, lowest byte first, in one binary value. Texts of some `chars` characters are encoded together."""
     path = _path(tokenizer_path)
 
