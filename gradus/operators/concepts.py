@@ -17,11 +17,12 @@ def acceptable(c: Column) -> Column:
     return (F.length(c) >= 3) & ~c.isin(STOPWORDS) & c.rlike(LETTER)
 
 
-def extract(objects: DataFrame) -> DataFrame:
-    """(norm, display, lo_ids) from titles and keywords; the first display form stays."""
+def extract(objects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, norm, display, lo_ids) from titles and keywords; the first display form stays."""
+    keys = keys or []
     names = F.array_distinct(F.concat(F.array("title"), F.coalesce("keywords", F.array().cast("array<string>"))))
-    rows = objects.select("lo_id", F.posexplode(names).alias("pos", "display")).withColumn("norm", normalize_concept(F.col("display"))).where(acceptable(F.col("norm")))
-    return rows.groupBy("norm").agg(F.min_by("display", F.struct("lo_id", "pos")).alias("display"), F.sort_array(F.collect_set("lo_id")).alias("lo_ids"))
+    rows = objects.select(*keys, "lo_id", F.posexplode(names).alias("pos", "display")).withColumn("norm", normalize_concept(F.col("display"))).where(acceptable(F.col("norm")))
+    return rows.groupBy(*keys, "norm").agg(F.min_by("display", F.struct("lo_id", "pos")).alias("display"), F.sort_array(F.collect_set("lo_id")).alias("lo_ids"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -30,26 +31,42 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("lo_id").agg(F.count("*").alias("degree"))
 
 
-def weights(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(norm, weight): 1 and the degrees of the concept's objects."""
-    lo = concepts.select("norm", F.explode("lo_ids").alias("lo_id"))
-    return lo.join(degrees(edges), "lo_id", "left").groupBy("norm").agg((1 + F.coalesce(F.sum("degree"), F.lit(0))).alias("weight"))
+def weights(concepts: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, norm, weight): 1 and the degrees of the concept's objects."""
+    of = [*(keys or []), "norm"]
+    lo = concepts.select(*of, F.explode("lo_ids").alias("lo_id"))
+    return lo.join(degrees(edges), "lo_id", "left").groupBy(*of).agg((1 + F.coalesce(F.sum("degree"), F.lit(0))).alias("weight"))
 
 
-def mentions(concepts: DataFrame, questions: DataFrame) -> DataFrame:
-    """(norm, question_id): a phrase stands in the question's text as it is, a single word starts one of its words.
+def mentions(concepts: DataFrame, questions: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, norm, question_id), of concepts and questions with equal keys: a phrase stands in the question's text as it is, a single word starts one of its words.
 
     Both mean that the concept's last word starts a word of the text. So words give away their beginnings of every length that a last word has, and concepts are
     met by their whole last word; phrases are then looked up in the text."""
+    keys = keys or []
     text = F.concat_ws(" ", "question_text", "correct_answer", F.array_join("options", " "))
-    q = questions.select("question_id", normalize_concept(text).alias("blob"))
-    c = concepts.select("norm", F.element_at(F.split("norm", " "), -1).alias("last")).withColumn("phrase", F.contains("norm", F.lit(" ")))
+    q = questions.select(*keys, "question_id", normalize_concept(text).alias("blob"))
+    c = concepts.select(*keys, "norm", F.element_at(F.split("norm", " "), -1).alias("last")).withColumn("phrase", F.contains("norm", F.lit(" ")))
     lengths = c.agg(F.sort_array(F.collect_set(F.length("last"))).alias("lengths"))
-    words = q.select("question_id", F.explode(F.array_distinct(tokens(F.col("blob")))).alias("w")).crossJoin(F.broadcast(lengths))
-    starts = words.select("question_id", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("w")), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("last"))
-    met = starts.join(c, "last").select("norm", "question_id", "phrase").distinct()
-    whole = met.where("phrase").join(q, "question_id").where(F.contains("blob", F.col("norm")))
-    return met.where("NOT phrase").select("norm", "question_id").unionByName(whole.select("norm", "question_id"))
+    words = q.select(*keys, "question_id", F.explode(F.array_distinct(tokens(F.col("blob")))).alias("w")).crossJoin(F.broadcast(lengths))
+    starts = words.select(*keys, "question_id", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("w")), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("last"))
+    met = starts.join(c, [*keys, "last"]).select(*keys, "norm", "question_id", "phrase").distinct()
+    whole = met.where("phrase").join(q, [*keys, "question_id"]).where(F.contains("blob", F.col("norm")))
+    return met.where("NOT phrase").select(*keys, "norm", "question_id").unionByName(whole.select(*keys, "norm", "question_id"))
+
+
+def coverage(objects: DataFrame, edges: DataFrame, questions: DataFrame, lessons: DataFrame) -> DataFrame:
+    """(level, course_id, lesson_id, total, covered, weighted_pct) for each lesson, each course and the corpus: concepts of a lesson's objects, and those that one of its questions mentions, by
+    number and by weight. objects and questions have a lesson_id, lessons (lesson_id, course_id). Lessons are judged once; their sums give all three levels."""
+    key = ["lesson_id"]
+    c = extract(objects, key)
+    seen = mentions(c, questions, key).select("lesson_id", "norm").distinct().withColumn("seen", F.lit(True))
+    r = weights(c, edges, key).join(seen, ["lesson_id", "norm"], "left").join(lessons, "lesson_id")
+    hit = F.coalesce("seen", F.lit(False))
+    per = r.groupBy("course_id", "lesson_id").agg(F.count("*").alias("total"), F.count_if(hit).alias("covered"), F.sum("weight").alias("w"), F.coalesce(F.sum(F.when(hit, F.col("weight"))), F.lit(0)).alias("h"))
+    level = F.when(F.grouping("course_id") == 1, "corpus").when(F.grouping("lesson_id") == 1, "course").otherwise("lesson")
+    out = per.groupingSets([["course_id", "lesson_id"], ["course_id"], []], "course_id", "lesson_id").agg(level.alias("level"), F.sum("total").alias("total"), F.sum("covered").alias("covered"), F.round(100.0 * F.sum("h") / F.sum("w"), 2).alias("weighted_pct"))
+    return out.select("level", "course_id", "lesson_id", "total", "covered", "weighted_pct")
 
 
 def search(rows: DataFrame, asks: list[str], stop: list[str], more: int = 3) -> DataFrame:

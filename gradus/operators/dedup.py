@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,41 +83,47 @@ def merge_sections(sections: DataFrame, most: int = 10) -> DataFrame:
     return all_.select(F.col("seed").alias("section_id"), (F.size("r") - 1).alias("absorbed"), topics.alias("key_topics"))
 
 
-def overlap_pairs(sections: DataFrame, pages: float = 0.5, objects: float = 0.6) -> DataFrame:
-    """sections (section_id, lesson_id, start_page, end_page, los): (a, b, shared), pairs of a lesson that share enough pages and object titles of the smaller one."""
-    s = sections.select("section_id", "lesson_id", "start_page", "end_page", "los")
-    b = s.select("lesson_id", F.col("section_id").alias("b"), F.col("start_page").alias("s2"), F.col("end_page").alias("e2"), F.col("los").alias("l2"))
-    j = s.withColumnRenamed("section_id", "a").join(b, "lesson_id").where("a < b")
+def _share_pages(s: DataFrame, pages: float) -> DataFrame:
+    """(lesson_id, a, b, shared) of sections a < b of a lesson that share enough pages of the shorter one."""
+    a = s.select("lesson_id", F.col("section_id").alias("a"), "start_page", "end_page")
+    b = s.select("lesson_id", F.col("section_id").alias("b"), F.col("start_page").alias("s2"), F.col("end_page").alias("e2"))
     shared = F.least("end_page", "e2") - F.greatest("start_page", "s2") + 1
-    low = F.least(F.size("los"), F.size("l2"))
-    enough = (shared >= pages * (F.least(F.col("end_page") - F.col("start_page"), F.col("e2") - F.col("s2")) + 1)) & (low > 0) & (F.size(F.array_intersect("los", "l2")) >= objects * low)
-    return j.where(enough).select("a", "b", shared.alias("shared"))
+    short = F.least(F.col("end_page") - F.col("start_page"), F.col("e2") - F.col("s2")) + 1
+    return a.join(b, "lesson_id").where((F.col("a") < F.col("b")) & (shared >= pages * short)).select("lesson_id", "a", "b", shared.alias("shared"))
+
+
+def _share_objects(pairs: DataFrame, s: DataFrame, objects: float) -> DataFrame:
+    """pairs with la, lb, ta, tb (objects and titles of both) that share enough objects of the one with fewer."""
+    of = lambda side: s.select(F.col("section_id").alias(side), F.col("los").alias(f"l{side}"), F.col("title").alias(f"t{side}"))
+    low = F.least(F.size(F.array_distinct("la")), F.size(F.array_distinct("lb")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where((low > 0) & (F.size(F.array_intersect("la", "lb")) >= objects * low))
+
+
+def overlap_pairs(sections: DataFrame, pages: float = 0.5, objects: float = 0.6) -> DataFrame:
+    """sections (section_id, lesson_id, start_page, end_page, title, los): (a, b, shared), pairs of a lesson that share enough pages and object titles of the smaller one."""
+    s = sections if "title" in sections.columns else sections.withColumn("title", F.lit(""))
+    return _share_objects(_share_pages(s, pages), s, objects).select("a", "b", "shared")
 
 
 def dedup_overlapping(sections: DataFrame, pages: float = 0.5, objects: float = 0.6) -> DataFrame:
-    """sections (section_id, lesson_id, start_page, end_page, title, los): (section_id, lesson_id, los) of those that stay. In order of ids, of two that overlap the one with
-    more objects stays, then the one with the shorter title, then the first, and absorbs the other's objects. An ordered fold in each lesson, over its
-    sections alone; lessons without an overlapping pair skip it."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("section_id")
-        ids, title, start, end = (rows[c].tolist() for c in ("section_id", "title", "start_page", "end_page"))
-        los, gone = [list(x) for x in rows["los"]], set()
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                if i in gone:
-                    break
-                small = min(end[i] - start[i], end[j] - start[j]) + 1
-                if j in gone or min(end[i], end[j]) - max(start[i], start[j]) + 1 < pages * small or not los[i] or not los[j]:
-                    continue
-                if len(set(los[i]) & set(los[j])) < objects * min(len(set(los[i])), len(set(los[j]))):
-                    continue
-                loser, winner = (i, j) if (len(los[j]), -len(title[j])) > (len(los[i]), -len(title[i])) else (j, i)
-                los[winner] += [x for x in dict.fromkeys(los[loser]) if x not in los[winner]]
-                gone.add(loser)
-        stay = [i for i in range(len(ids)) if i not in gone]
-        return pd.DataFrame({"section_id": [ids[i] for i in stay], "lesson_id": rows["lesson_id"].iloc[0], "los": [los[i] for i in stay]})
-
-    some = saved(overlap_pairs(sections, pages, objects).join(sections.select(F.col("section_id").alias("a"), "lesson_id"), "a").select("lesson_id").distinct(), "overlapping-lessons")
-    rest = sections.join(some, "lesson_id", "left_anti").select("section_id", "lesson_id", "los")
-    return rest.unionByName(sections.join(some, "lesson_id", "left_semi").groupBy("lesson_id").applyInPandas(fold, "section_id long, lesson_id long, los array<string>"))
+    """sections (section_id, lesson_id, start_page, end_page, title, los): (section_id, lesson_id, los) of those that stay. Pairs of a lesson that share pages are taken in order; of one that
+    shares objects too, the section with more objects stays, then the one with the shorter title, then the first, and takes the other's objects over.
+
+    What a section has taken over counts for the pairs behind it, so each round settles one pair of every lesson that has one left: the first behind the last settled pair whose
+    sections both stay and share enough by now. As many rounds as a lesson loses sections; each is written down."""
+    pairs = saved(_share_pages(sections, pages).drop("shared"), "overlap-pairs")
+    state = saved(sections.select("section_id", "lesson_id", "title", "los"), "overlap-state")
+    settled = saved(pairs.select("lesson_id", F.lit(None).cast("struct<a: long, b: long>").alias("last")).limit(0), "overlap-settled")
+    while True:
+        ahead = pairs.join(settled, "lesson_id", "left").where(F.col("last").isNull() | (F.struct("a", "b") > F.col("last"))).drop("last")
+        first = _share_objects(ahead, state, objects).groupBy("lesson_id").agg(F.min_by(F.struct("a", "b", "la", "lb", "ta", "tb"), F.struct("a", "b")).alias("p"))
+        first = saved(first.select("lesson_id", "p.*"), "overlap-first")
+        if first.isEmpty():
+            return state.select("section_id", "lesson_id", "los")
+        second = F.struct(F.size("lb"), -F.length("tb")) > F.struct(F.size("la"), -F.length("ta"))
+        pick = lambda x, y: F.when(second, F.col(x)).otherwise(F.col(y))
+        change = first.select(pick("a", "b").alias("goes"), pick("b", "a").alias("stays"), F.concat(pick("lb", "la"), F.array_except(pick("la", "lb"), pick("lb", "la"))).alias("more"))
+        rest = state.join(change.select(F.col("goes").alias("section_id")), "section_id", "left_anti").join(change.select(F.col("stays").alias("section_id"), "more"), "section_id", "left")
+        state = saved(rest.select("section_id", "lesson_id", "title", F.coalesce("more", "los").alias("los")), "overlap-state")
+        now = first.select("lesson_id", F.struct("a", "b").alias("now"))
+        settled = saved(settled.join(now, "lesson_id", "full").select("lesson_id", F.coalesce("now", "last").alias("last")), "overlap-settled")

@@ -139,9 +139,9 @@ def flags(q: DataFrame) -> Column:
 ERRORS = ["H14_NO_STEM", "H_BLANK", "H19_NO_KEY", "H19_KEY_OUT_OF_RANGE", "H19_KEY_MISMATCH", "H_DISTRACTOR_EQUALS_KEY"]
 
 
-def lint(q: DataFrame, key: str = "question_id") -> DataFrame:
-    """(key, flags sorted, errors, warnings, score) of each row."""
-    out = q.select(q[key], F.sort_array(flags(q)).alias("flags"))
+def lint(q: DataFrame, key: str = "question_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, flags sorted, errors, warnings, score) of each row."""
+    out = q.select(q[key], *[q[c] for c in keep], F.sort_array(flags(q)).alias("flags"))
     out = out.withColumn("errors", F.size(F.filter("flags", lambda c: c.isin(ERRORS))))
     out = out.withColumn("warnings", F.size("flags") - F.col("errors"))
     return out.withColumn("score", F.greatest(F.lit(0), 100 - 15 * F.col("errors") - 5 * F.col("warnings")))

@@ -9,6 +9,7 @@ from gradus.functions.text import tokens
 from gradus.operators import concepts as C
 from gradus.operators import graph as G
 from gradus.operators import ontology as K
+from gradus.operators import sampling as P
 from gradus.operators import vocabulary as V
 from gradus.sources import io
 from gradus.sources.fixture_sql import TOK
@@ -61,6 +62,19 @@ def concept_coverage(fx):
     return records(fx).agg(F.count("*").alias("total"), F.count_if(hit).alias("covered"), F.round(100.0 * F.coalesce(F.sum(F.when(hit, F.col("weight"))), F.lit(0)) / F.sum("weight"), 2).alias("weighted_pct"))
 
 
+@query("A10_coverage_levels", f"""WITH o AS (SELECT lo_id, lo_id AS lesson_id, norm FROM (SELECT DISTINCT lo_id, norm FROM {OK})),
+  q AS (SELECT b.blob, b.words, unnest(list_distinct([q.primary_lesson_id, q.secondary_lesson_id])) AS lesson_id FROM {BLOB} b JOIN questions q USING (question_id)),
+  r AS (SELECT o.lesson_id, o.norm, 1 + coalesce(max(d.degree), 0)::BIGINT AS weight,
+      count(q.blob) FILTER (CASE WHEN contains(o.norm, ' ') THEN contains(q.blob, o.norm) ELSE len([w for w in q.words if starts_with(w, o.norm)]) > 0 END) > 0 AS hit
+    FROM o LEFT JOIN {DEG} d ON d.lo_id = o.lo_id LEFT JOIN q ON q.lesson_id = o.lesson_id GROUP BY 1, 2)
+  SELECT CASE WHEN GROUPING(l.course_id) = 1 THEN 'corpus' WHEN GROUPING(r.lesson_id) = 1 THEN 'course' ELSE 'lesson' END AS level, l.course_id, r.lesson_id, count(*) AS total, count(*) FILTER (hit) AS covered,
+    round(100.0 * coalesce(sum(weight) FILTER (hit), 0) / sum(weight), 2)::DOUBLE AS weighted_pct FROM r JOIN lessons l USING (lesson_id) GROUP BY GROUPING SETS ((l.course_id, r.lesson_id), (l.course_id), ())""")
+def coverage_levels(fx):
+    """Concepts of each lesson that its own questions mention, for lessons, courses and the corpus in one pass; an object belongs to the lesson of its number."""
+    q = fx.questions.withColumn("lesson_id", F.explode(F.array_distinct(F.array("primary_lesson_id", "secondary_lesson_id"))))
+    return C.coverage(fx.learning_objects.withColumn("lesson_id", F.col("lo_id")), fx.edges, q, fx.lessons.select("lesson_id", "course_id"))
+
+
 @query("A10_uncovered_concepts", f"SELECT norm, weight FROM {REC} WHERE n = 0 ORDER BY weight DESC, norm LIMIT 20")
 def uncovered_concepts(fx):
     return records(fx).where("n = 0").orderBy(F.desc("weight"), "norm").limit(20).select("norm", "weight")
@@ -347,19 +361,17 @@ def grouped_lists(fx):
     return g.select("course_id", F.concat(F.array_join(F.transform("t", lambda x: x["title"]), "|"), more).alias("titles"))
 
 
-@query("T9_stratified_sample", "SELECT book, item_id FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY md5(item_id || '-7'), item_id) AS r, count(*) OVER (PARTITION BY book) AS g, count(*) OVER () AS n FROM bank) WHERE r <= greatest(1, round(200 * g / n))")
+@query("T9_stratified_sample", """SELECT book, item_id FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY md5(item_id || '-7'), item_id) AS r, count(*) OVER (PARTITION BY book) AS g, count(*) OVER () AS n FROM bank)
+  WHERE r <= greatest(1, round(200 * g / n)) ORDER BY md5(item_id || '-7-trim'), item_id LIMIT 200""")
 def stratified_sample(fx):
-    total = fx.bank.agg(F.count("*").alias("n"))
-    sizes = fx.bank.groupBy("book").agg(F.count("*").alias("g")).join(F.broadcast(total)).select("book", F.greatest(F.lit(1), F.round(200 * F.col("g") / F.col("n"))).alias("take"))
-    r = F.row_number().over(Window.partitionBy("book").orderBy(F.md5(F.concat(F.col("item_id").cast("string"), F.lit("-7"))), "item_id"))
-    return fx.bank.withColumn("r", r).join(sizes, "book").where("r <= take").select("book", "item_id")
+    return P.proportional(fx.bank, "book", 200, "item_id", "7").select("book", "item_id")
 
 
 @query("T10_quiz_autoselect", "SELECT solo_level, question_id FROM (SELECT *, row_number() OVER (PARTITION BY solo_level ORDER BY md5(question_id || '-3'), question_id) AS r FROM questions) WHERE r <= CASE solo_level WHEN 'unistructural' THEN 5 WHEN 'multistructural' THEN 4 WHEN 'relational' THEN 3 ELSE 2 END")
 def quiz_autoselect(fx):
-    quota = F.create_map(*[F.lit(x) for kv in (("unistructural", 5), ("multistructural", 4), ("relational", 3), ("extended_abstract", 2)) for x in kv])
-    r = F.row_number().over(Window.partitionBy("solo_level").orderBy(F.md5(F.concat(F.col("question_id").cast("string"), F.lit("-3"))), "question_id"))
-    return fx.questions.withColumn("r", r).where(F.col("r") <= quota[F.col("solo_level")]).select("solo_level", "question_id")
+    quotas = [("unistructural", 5), ("multistructural", 4), ("relational", 3), ("extended_abstract", 2)]
+    take = fx.spark.createDataFrame(quotas, "solo_level string, take long")
+    return P.lowest(fx.questions, "solo_level", take, "question_id", "3").select("solo_level", "question_id")
 
 
 @query("T11_shuffle_options", "SELECT question_id, array_to_string(list(o ORDER BY md5(question_id || '-' || pos), pos), '|') AS shuffled, list_position(list(pos ORDER BY md5(question_id || '-' || pos), pos), any_value(k)) - 1 AS new_key FROM (SELECT question_id, correct_option_index AS k, unnest(range(len(options))) AS pos, unnest(options) AS o FROM questions) GROUP BY question_id")

@@ -164,17 +164,20 @@ def option_count_4(fx):
 @query("A17_failure_rates", f"""SELECT key_kind, key, count(*) AS total, count(*) FILTER (errors > 0) AS with_error, count(*) FILTER (list_contains(flags, 'H16_LONG_STEM')) AS long_stem, count(*) FILTER (list_contains(flags, 'H17_NEGATIVE_STEM')) AS negative,
   round(100 * count(*) FILTER (errors > 0) / count(*), 2) AS error_rate FROM (SELECT 'level' AS key_kind, solo_level AS key, * FROM {LINTED} UNION ALL SELECT 'lesson', 'Lesson ' || primary_lesson_id, * FROM {LINTED}) GROUP BY 1, 2""")
 def failure_rates(fx):
-    q = L.lint(fx.questions).join(fx.questions.select("question_id", "solo_level", F.concat(F.lit("Lesson "), F.col("primary_lesson_id").cast("string")).alias("lesson")), "question_id")
-    q = q.select("flags", "errors", F.explode(F.array(F.struct(F.lit("level").alias("key_kind"), F.col("solo_level").alias("key")), F.struct(F.lit("lesson").alias("key_kind"), F.col("lesson").alias("key")))).alias("k")).select("k.*", "flags", "errors")
+    q = L.lint(fx.questions, keep=("solo_level", "primary_lesson_id")).withColumn("lesson", F.concat(F.lit("Lesson "), F.col("primary_lesson_id").cast("string")))
     has = lambda code: F.count_if(F.array_contains("flags", code))
     bad = F.count_if(F.col("errors") > 0)
-    return q.groupBy("key_kind", "key").agg(F.count("*").alias("total"), bad.alias("with_error"), has("H16_LONG_STEM").alias("long_stem"), has("H17_NEGATIVE_STEM").alias("negative"), F.round(100 * bad / F.count("*"), 2).alias("error_rate"))
+    out = q.groupingSets([["solo_level"], ["lesson"]], "solo_level", "lesson").agg(
+        F.grouping("solo_level").alias("by_lesson"), F.count("*").alias("total"), bad.alias("with_error"), has("H16_LONG_STEM").alias("long_stem"), has("H17_NEGATIVE_STEM").alias("negative"), F.round(100 * bad / F.count("*"), 2).alias("error_rate")
+    )
+    by_lesson = F.col("by_lesson") == 1
+    return out.select(F.when(by_lesson, "lesson").otherwise("level").alias("key_kind"), F.when(by_lesson, F.col("lesson")).otherwise(F.col("solo_level")).alias("key"), "total", "with_error", "long_stem", "negative", "error_rate")
 
 
 @query("A18_lo_clusters", f"""SELECT learning_object_id, count(*) AS total, count(*) FILTER (len(flags) > 0) AS flagged, substr(arg_min(question_text, question_id) FILTER (len(flags) > 0), 1, 80) AS first_stem
   FROM {LINTED} WHERE learning_object_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (len(flags) > 0) > 0 ORDER BY flagged DESC, learning_object_id LIMIT 10""")
 def lo_clusters(fx):
-    q = L.lint(fx.questions).join(fx.questions.select("question_id", "learning_object_id", "question_text"), "question_id").where("learning_object_id IS NOT NULL")
+    q = L.lint(fx.questions, keep=("learning_object_id", "question_text")).where("learning_object_id IS NOT NULL")
     hit = F.size("flags") > 0
     out = q.groupBy("learning_object_id").agg(F.count("*").alias("total"), F.count_if(hit).alias("flagged"), F.substring(F.min_by("question_text", F.when(hit, F.col("question_id"))), 1, 80).alias("first_stem"))
     return out.where("flagged > 0").orderBy(F.desc("flagged"), "learning_object_id").limit(10)

@@ -1,5 +1,6 @@
 """Boundaries of the rules and of the order-dependent operators, on tiny rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from gradus.functions import text as T
 from gradus.operators import dedup as D
 from gradus.operators import lint as L
 from gradus.operators import metrics as M
+from gradus.operators import sampling as P
 from gradus.operators import sequences as Q
 from gradus.operators import structure as S
 from gradus.sources import io
@@ -132,6 +134,84 @@ def test_overlapping_sections_fold_in_order(spark):
     assert got == {3: ["a", "b", "c", "d", "e"], 4: ["a", "b", "c"], 5: ["a", "b", "c"], 6: []}
 
 
+def fold(rows):
+    """One section after the other against those behind it."""
+    out = {}
+    for lesson in {r[1] for r in rows}:
+        alive = {r[0]: [*r[2:5], list(r[5])] for r in sorted(rows) if r[1] == lesson}
+        for a in sorted(alive):
+            for b in sorted(alive):
+                if b <= a or a not in alive or b not in alive:
+                    continue
+                (s1, e1, t1, l1), (s2, e2, t2, l2) = alive[a], alive[b]
+                if min(e1, e2) - max(s1, s2) + 1 < 0.5 * (min(e1 - s1, e2 - s2) + 1) or not l1 or not l2 or len(set(l1) & set(l2)) < 0.6 * min(len(set(l1)), len(set(l2))):
+                    continue
+                if (len(l2), -len(t2)) > (len(l1), -len(t1)):
+                    alive[b][3] = l2 + [x for x in dict.fromkeys(l1) if x not in l2]
+                    del alive[a]
+                else:
+                    alive[a][3] = l1 + [x for x in dict.fromkeys(l2) if x not in l1]
+                    del alive[b]
+        out |= {k: v[3] for k, v in alive.items()}
+    return out
+
+
+def test_overlapping_sections_are_the_loop(spark):
+    rng = random.Random(8)
+    shape = "section_id long, lesson_id long, start_page int, end_page int, title string, los array<string>"
+    rows = [(i, rng.randint(1, 4), a := rng.randint(1, 6), a + rng.randint(0, 4), "t" * rng.randint(1, 4), rng.sample("abcdef", rng.randint(0, 4))) for i in range(48)]
+    got = {r["section_id"]: r["los"] for r in D.dedup_overlapping(spark.createDataFrame(rows, shape)).collect()}
+    assert got == fold(rows) and len(got) < 40
+
+
+def test_section_batches(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for lesson in range(12):
+        sizes = [rng.choice([0, 1, 5, 12, 29, 31, 45]) for _ in range(rng.randint(0, 9))]
+        rows += [(lesson, lesson * 100 + i, i, n) for i, n in enumerate(sizes)] + [(lesson, None, 0, n) for n in [3] * (lesson % 3)]
+        batches, now = [], []
+        for i, n in [(i, n) for i, n in enumerate(sizes) if n]:
+            if now and sum(sizes[x] for x in now) + n > 30:
+                batches.append(now)
+                now = now[-1:]
+            now = [*now, i]
+        batches += [now] if now else []
+        want[lesson] = [(b, lesson * 100 + i) for b, part in enumerate(batches) for i in part] + ([(len(batches), None)] if lesson % 3 else [])
+    got = {k: [] for k in want}
+    df = spark.createDataFrame(rows, "lesson_id long, section_id long, order_index int, n int")
+    for r in Q.section_batches(df).collect():
+        got[r["lesson_id"]].append((r["batch"], r["section_id"]))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+    df.createOrReplaceTempView("some_sections")
+    sql = spark.sql("SELECT count(*) AS n FROM section_batches(TABLE(some_sections) PARTITION BY lesson_id ORDER BY (order_index, section_id))")
+    assert sql.first()["n"] == sum(map(len, want.values()))
+    found = Q.chunk_text(spark.createDataFrame([(1, "a" * 25), (2, ""), (3, None)], "k long, t string"), "k", "t", 10, 2).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 0, 0, 10), (1, 1, 8, 18), (1, 2, 16, 25)]
+
+
+def test_samples_are_those_of_a_full_sort(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaaaaaaabbc")) for i in range(3000)] + [(9000, "d"), (9001, None), (0, "b")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    key = lambda r, seed: (hashlib.md5(f"{r[0]}-{seed}".encode()).hexdigest(), r[0])
+    take = {"a": 40, "b": 5000, "c": 1, "d": 3, "e": 2}
+    got = P.lowest(df, "s", spark.createDataFrame(list(take.items()), "s string, take long"), "id", "x").collect()
+    want = [r for s, k in take.items() for r in sorted((r for r in rows if r[1] == s), key=lambda r: key(r, "x"))[:k]]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    part = [tuple(r) for r in P.proportional(df.where("s IS NOT NULL"), "s", 100, "id", "y").collect()]
+    some = [r for r in rows if r[1]]
+    picked = [r for s in "abcd" for r in sorted((r for r in some if r[1] == s), key=lambda r: key(r, "y"))[: max(1, round(100 * sum(x[1] == s for x in some) / len(some)))]]
+    assert sorted(part) == sorted(sorted(picked, key=lambda r: key(r, "y-trim"))[:100])
+
+
+def test_a_stratum_with_too_few_low_hashes_is_ranked_whole(spark, monkeypatch):
+    monkeypatch.setattr(P, "order", lambda c, seed: F.concat(F.lit("ff"), F.lpad(c.cast("string"), 30, "0")))  # nothing lies below a cut-off
+    df = spark.range(500).select("id", F.lit("a").alias("s"))
+    got = P.lowest(df, "s", spark.createDataFrame([("a", 3)], "s string, take long"), "id", "x")
+    assert sorted(r["id"] for r in got.collect()) == [0, 1, 2]
+
+
 def test_cues_have_their_places(spark):
     text = "X. Česta greška je to; students often think. Umesto sile, neki misle so. Precesta greška"
     got = [(r["offset"], r["cue"]) for r in S.cue_hits(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "k long, raw string"), "k").orderBy("offset").collect()]
