@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_embeddings(df: DataFrame, key: str, text: str, stored: DataFrame | None = None, fn: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
@@ -25,4 +26,4 @@ def with_responses(df: DataFrame, key: str, prompt: str, stored: DataFrame | Non
         for rows in batches:
             yield rows.assign(response=fn(rows[prompt].tolist()))
 
-    return df.mapInPandas(ask, df.schema.add("response", "string"))
+    return df.mapInPandas(ask, T.StructType([*df.schema.fields, T.StructField("response", T.StringType())]))

@@ -374,12 +374,20 @@ def quiz_autoselect(fx):
     return P.lowest(fx.questions, "solo_level", take, "question_id", "3").select("solo_level", "question_id")
 
 
-@query("T11_shuffle_options", "SELECT question_id, array_to_string(list(o ORDER BY md5(question_id || '-' || pos), pos), '|') AS shuffled, list_position(list(pos ORDER BY md5(question_id || '-' || pos), pos), any_value(k)) - 1 AS new_key FROM (SELECT question_id, correct_option_index AS k, unnest(range(len(options))) AS pos, unnest(options) AS o FROM questions) GROUP BY question_id")
+BARE = r"trim(regexp_replace({}, '^[A-Da-d]\)\s*', ''))"
+
+
+@query("T11_shuffle_options", f"""SELECT question_id, array_to_string([chr(64 + i::INT) || ') ' || t[i] for i in range(1, len(t) + 1)], '|') AS shuffled, chr(64 + k::INT) || ') ' || t[k] AS new_answer, k - 1 AS new_key, array_to_string(inverse, ',') AS inverse
+  FROM (SELECT *, greatest(1, coalesce(list_position(t, {BARE.format("coalesce(a, '')")}), 1)) AS k FROM (SELECT question_id, any_value(correct_answer) AS a, list({BARE.format('o')} ORDER BY md5(question_id || '-' || pos), pos) AS t, list(pos ORDER BY md5(question_id || '-' || pos), pos) AS inverse
+  FROM (SELECT question_id, correct_answer, unnest(range(len(options))) AS pos, unnest(options) AS o FROM questions WHERE len(options) >= 2) GROUP BY question_id))""")
 def shuffle_options(fx):
-    order = F.sort_array(F.transform("options", lambda o, i: F.struct(F.md5(F.concat_ws("-", F.col("question_id").cast("string"), i.cast("string"))).alias("h"), i.alias("i"), o.alias("o"))))
-    q = fx.questions.where("size(options) > 0").withColumn("s", order)
-    at = F.array_position(F.transform("s", lambda x: x["i"]), F.col("correct_option_index"))
-    return q.select("question_id", F.array_join(F.transform("s", lambda x: x["o"]), "|").alias("shuffled"), (F.nullif(at, F.lit(0)) - 1).alias("new_key"))
+    """Options without their letters, permuted and lettered anew; `inverse` leads from the new places back to the old ones."""
+    bare = lambda c: F.trim(F.regexp_replace(c, r"^[A-Da-d]\)\s*", ""))
+    order = F.sort_array(F.transform("options", lambda o, i: F.struct(F.md5(F.concat_ws("-", F.col("question_id").cast("string"), i.cast("string"))).alias("h"), i.alias("i"), bare(o).alias("o"))))
+    q = fx.questions.where("size(options) > 1").withColumn("s", order).withColumn("t", F.transform("s", lambda x: x["o"]))
+    q = q.withColumn("k", F.greatest(F.lit(1), F.array_position("t", bare(F.coalesce("correct_answer", F.lit(""))))))
+    q = q.withColumn("new", F.transform("t", lambda o, i: F.concat(F.char(F.lit(65) + i), F.lit(") "), o)))
+    return q.select("question_id", F.array_join("new", "|").alias("shuffled"), F.element_at("new", F.col("k").cast("int")).alias("new_answer"), (F.col("k") - 1).alias("new_key"), F.array_join(F.transform("s", lambda x: x["i"].cast("string")), ",").alias("inverse"))
 
 
 @query("T12_find_correct_index", "SELECT question_id, coalesce(nullif(list_position(options, correct_answer), 0) - 1, 0) AS i FROM questions")
@@ -389,11 +397,12 @@ def find_correct_index(fx):
     return fx.questions.select("question_id", F.coalesce(exact, F.when(letter.between(0, F.size("options") - 1), letter), F.lit(0)).alias("i"))
 
 
-@query("T13_lesson_context", "SELECT lesson_id, md5(string_agg(substr(content, 1, 500), chr(10) ORDER BY order_index)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY order_index) AS r FROM sections) WHERE r <= 3 GROUP BY 1")
+@query("T13_lesson_context", "SELECT lesson_id, any_value(title) AS title, md5(any_value(title) || chr(10) || string_agg(substr(content, 1, 500), chr(10) ORDER BY order_index)) AS context FROM (SELECT s.lesson_id, l.title, content, order_index, row_number() OVER (PARTITION BY s.lesson_id ORDER BY order_index) AS r FROM sections s JOIN lessons l ON l.lesson_id = s.lesson_id) WHERE r <= 3 GROUP BY 1")
 def lesson_context(fx):
-    r = F.row_number().over(Window.partitionBy("lesson_id").orderBy("order_index"))
-    s = fx.sections.withColumn("r", r).where("r <= 3").groupBy("lesson_id").agg(F.sort_array(F.collect_list(F.struct("r", F.substring("content", 1, 500).alias("c")))).alias("s"))
-    return s.select("lesson_id", F.md5(F.array_join(F.transform("s", lambda x: x["c"]), "\n")).alias("context"))
+    """A lesson's title and the beginnings of its first three sections."""
+    first = F.slice(F.sort_array(F.collect_list(F.struct("order_index", F.substring("content", 1, 500).alias("c")))), 1, 3)
+    s = fx.sections.groupBy("lesson_id").agg(first.alias("s")).join(fx.lessons.select("lesson_id", "title"), "lesson_id")
+    return s.select("lesson_id", "title", F.md5(F.concat_ws("\n", F.col("title"), F.array_join(F.transform("s", lambda x: x["c"]), "\n"))).alias("context"))
 
 
 @query("T14_section_structure", "SELECT lo_section, array_to_string(list(title ORDER BY lo_id)[1:10], ', ') || CASE WHEN count(*) > 10 THEN ' (+' || (count(*) - 10) || ' more)' ELSE '' END AS line FROM learning_objects GROUP BY 1")

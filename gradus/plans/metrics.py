@@ -206,9 +206,9 @@ def cohen_kappa(fx):
     return M.kappa(fx.judge_pairs)
 
 
-@query("U5_cohen_kappa", f"WITH g AS (SELECT *, doc_id % 3 AS fold FROM judge_pairs) SELECT fold, count(*) AS n, count(*) FILTER (intended = classified) AS agree FROM g GROUP BY fold")
+@query("U5_cohen_kappa", KAPPA.replace("SELECT n,", "SELECT fold, n,").replace("(SELECT count(*) AS n", "(SELECT fold, count(*) AS n").replace("FROM judge_pairs)", "FROM (SELECT *, doc_id % 3 AS fold FROM judge_pairs) GROUP BY fold)"))
 def kappa_by_fold(fx):
-    return M.kappa(fx.judge_pairs.withColumn("fold", F.col("doc_id") % 3), ["fold"]).select("fold", "n", "agree")
+    return M.kappa(fx.judge_pairs.withColumn("fold", F.col("doc_id") % 3), ["fold"])
 
 
 @query("A16_judge_report", f"SELECT count(*) AS total, count(*) FILTER (l IS NULL) AS parse_failures, count(*) FILTER (l = i) AS agreements, round(count(*) FILTER (l = i) / count(l), 4) AS accuracy FROM (SELECT {LEVELP} AS l, {LVL}[question_id % 3 + 1] AS i FROM raw_responses)")

@@ -125,6 +125,27 @@ def with_embeddings(fx):
     return U.with_embeddings(fx.documents.select("doc_id", "text"), "doc_id", "text", vectors).select("doc_id", F.col("vector").isNotNull().alias("found"))
 
 
+def sizes(texts):
+    """A function of the caller in place of a model: a text's length and its number of blanks."""
+    return texts.map(lambda t: [float(len(t)), float(t.count(" "))] if t is not None else None)
+
+
+@query("U1_with_function", "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents")
+def with_function(fx):
+    v = U.with_embeddings(fx.documents.select("doc_id", "text"), "doc_id", "text", fn=sizes)
+    return v.select("doc_id", F.get("vector", F.lit(0)).cast("double").alias("chars"), F.get("vector", F.lit(1)).cast("double").alias("blanks"))
+
+
+def echo(prompts):
+    """A function of the caller in place of a model: the last ten characters."""
+    return [None if p is None else p[-10:] for p in prompts]
+
+
+@query("U2_with_asked", "SELECT doc_id, right(text, 10) AS response FROM documents")
+def with_asked(fx):
+    return U.with_responses(fx.documents.select("doc_id", F.col("text").alias("prompt")), "doc_id", "prompt", fn=echo).select("doc_id", "response")
+
+
 @query("U2_with_responses", "SELECT d.doc_id, r.question_id IS NOT NULL AS found FROM documents d LEFT JOIN raw_responses r ON r.question_id = d.doc_id")
 def with_responses(fx):
     stored = fx.raw_responses.select(F.col("question_id").alias("doc_id"), "response")

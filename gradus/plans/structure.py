@@ -125,13 +125,13 @@ def hydrate_store(fx):
     return store.current().select("metric_key", "scope_id", F.md5("payload").alias("payload"))
 
 
-BANKROWS = "(SELECT c_mktsegment AS book, CASE WHEN o_custkey % 5 = 0 THEN 'App ' || o_custkey % 3 ELSE (o_custkey % 12)::VARCHAR END AS chapter, o_orderkey AS pos, (o_custkey % 50) || '|' || o_orderpriority AS context FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')"
+BANKROWS = "(SELECT c_mktsegment AS book, CASE WHEN o_custkey % 5 = 0 THEN 'App ' || o_custkey % 3 ELSE (o_custkey % 12)::VARCHAR END AS chapter, o_orderkey AS pos, (o_custkey % 50) || '|' || o_orderpriority AS context FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 @query("S13_source_passages", f"""SELECT book, chapter, row_number() OVER (PARTITION BY book ORDER BY try_cast(chapter AS INT) IS NULL, try_cast(chapter AS INT), chapter) - 1 AS chapter_rank, count(*) AS passages, min(pos) AS first_item
   FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY pos) AS r FROM {BANKROWS}) WHERE r = 1 GROUP BY book, chapter""")
 def source_passages(fx):
-    o = fx.orders.where("o_orderstatus = 'F'").join(fx.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("book")), "o_custkey")
+    o = fx.orders.join(fx.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("book")), "o_custkey")
     chapter = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("App "), (F.col("o_custkey") % 3).cast("string"))).otherwise((F.col("o_custkey") % 12).cast("string"))
     return S.passages(o.select("book", chapter.alias("chapter"), F.col("o_orderkey").alias("pos"), F.concat_ws("|", F.col("o_custkey") % 50, "o_orderpriority").alias("context")))
 
@@ -171,19 +171,27 @@ def lo_title_shape(fx):
     return fx.learning_objects.select("lo_id", (F.length(t).between(1, 80) & (F.size(F.split(t, r"\s+")) <= 10)).alias("shaped"))
 
 
-@query("F7_lo_grounded", "SELECT lo_id, s.doc_id, coalesce((length(title) >= 4 AND contains(lower(s.text), lower(title))) OR len([k for k in keywords if length(k) >= 4 AND contains(lower(s.text), lower(k))]) > 0, false) AS grounded FROM learning_objects LEFT JOIN documents s ON s.doc_id % (SELECT count(*) FROM benchmark) = lo_id")
+@query("F7_lo_grounded", "SELECT lo_id, coalesce((length(title) >= 4 AND contains(lower(s.text), lower(title))) OR len([k for k in keywords if length(k) >= 4 AND contains(lower(s.text), lower(k))]) > 0, false) AS grounded FROM learning_objects LEFT JOIN documents s ON s.doc_id = lo_id")
 def lo_grounded(fx):
-    items = fx.benchmark.agg(F.count("*").alias("items"))  # one row
-    s = fx.documents.join(F.broadcast(items)).select("doc_id", (F.col("doc_id") % F.col("items")).alias("lo_id"), F.lower("text").alias("t"))
+    """Each object against the text of its own lesson, the one of its number."""
+    s = fx.documents.select(F.col("doc_id").alias("lo_id"), F.lower("text").alias("t"))
     hit = ((F.length("title") >= 4) & F.contains("t", F.lower("title"))) | F.exists("keywords", lambda k: (F.length(k) >= 4) & F.contains(F.col("t"), F.lower(k)))
-    return fx.learning_objects.join(s, "lo_id", "left").select("lo_id", "doc_id", F.coalesce(hit, F.lit(False)).alias("grounded"))
+    return fx.learning_objects.join(s, "lo_id", "left").select("lo_id", F.coalesce(hit, F.lit(False)).alias("grounded"))
 
 
-@query("F9_bad_translations", "SELECT t.doc_id, t.question_id FROM translations t JOIN (SELECT doc_id AS question_id, text AS original FROM documents) d ON d.question_id = t.question_id WHERE t.doc_id <> t.question_id AND (lower(trim(translated)) = lower(trim(original)) OR starts_with(translated, substr(original, 1, 10)))")
+COPIED = "lower(trim(translated)) = lower(trim(original)) OR (original <> '' AND starts_with(translated, substr(original, 1, {n})))"
+
+
+@query("F9_bad_translations", f"SELECT * FROM (SELECT t.doc_id, t.question_id, {COPIED.format(n=50)} AS stored_bad, {COPIED.format(n=30)} AS refused FROM translations t JOIN (SELECT doc_id AS question_id, text AS original FROM documents) d ON d.question_id = t.question_id WHERE t.doc_id <> t.question_id) WHERE refused")
 def bad_translations(fx):
+    """Translations that repeat their original: 50 characters of it where one is stored, 30 where one is written."""
     o = fx.documents.select(F.col("doc_id").alias("question_id"), F.col("text").alias("original"))
-    bad = (F.lower(F.trim("translated")) == F.lower(F.trim("original"))) | F.col("translated").startswith(F.substring("original", 1, 10))
-    return fx.translations.join(o, "question_id").where("doc_id <> question_id").where(bad).select("doc_id", "question_id")
+    t = fx.translations.join(o, "question_id").where("doc_id <> question_id")
+    return t.select("doc_id", "question_id", copied(50).alias("stored_bad"), copied(30).alias("refused")).where("refused")
+
+
+def copied(n):
+    return (F.lower(F.trim("translated")) == F.lower(F.trim("original"))) | ((F.col("original") != "") & F.col("translated").startswith(F.substring("original", 1, n)))
 
 
 @query("F10_relationship_evidence", "SELECT e.source_id, e.target_id, length(trim(s.title)) >= 15 AND contains(lower(t.content), lower(trim(s.title))) AS grounded FROM edges e JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id")

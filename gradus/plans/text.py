@@ -130,14 +130,25 @@ def case_sql(column: str, mapping: dict, default: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + f" ELSE {default} END"
 
 
+#: Types of questions by their number of options, and names of Bloom levels, some unknown.
+ASKED_AS = ["open", "short_answer", "True_False", "riddle", " MCQ ", "multiple_choice", "Essay"]
+BLOOMS = ["remember", "Understand ", "apply", "analyse", "evaluate", "create", "guess"]
+
+
 @query("X21_vocabulary_maps", f"""SELECT kind, value, mapped, count(*) AS n FROM (
   SELECT 'relation' AS kind, relationship_type AS value, {case_sql("replace(lower(trim(relationship_type)), ' ', '_')", V.RELATIONS, "'relatedTo'")} AS mapped FROM edges UNION ALL
   SELECT 'object', object_type, {case_sql("lower(trim(object_type))", V.OBJECT_CLASSES, "'LearningObject'")} FROM learning_objects UNION ALL
-  SELECT 'level', solo_level, {case_sql("replace(lower(trim(solo_level)), ' ', '_')", V.SOLO, "'Unistructural'")} FROM questions) GROUP BY ALL""")
+  SELECT 'level', solo_level, {case_sql("replace(lower(trim(solo_level)), ' ', '_')", V.SOLO, "'Unistructural'")} FROM questions UNION ALL
+  SELECT 'question', t, {case_sql("lower(trim(t))", V.QUESTION_CLASSES, "'Question'")} FROM (SELECT {ASKED_AS}[len(options) + 1] AS t FROM questions) UNION ALL
+  SELECT 'bloom', b, {case_sql("lower(trim(b))", V.BLOOM, "NULL")} FROM (SELECT {BLOOMS}[question_id % {len(BLOOMS)} + 1] AS b FROM questions)) GROUP BY ALL""")
 def vocabulary_maps(fx):
     rows = fx.edges.select(F.lit("relation").alias("kind"), F.col("relationship_type").alias("value"), V.relation(F.col("relationship_type")).alias("mapped"))
     rows = rows.unionByName(fx.learning_objects.select(F.lit("object").alias("kind"), F.col("object_type").alias("value"), V.object_class(F.col("object_type")).alias("mapped")))
     rows = rows.unionByName(fx.questions.select(F.lit("level").alias("kind"), F.col("solo_level").alias("value"), V.solo(F.col("solo_level")).alias("mapped")))
+    asked = F.get(F.array(*[F.lit(x) for x in ASKED_AS]), F.size("options"))
+    bloom = F.get(F.array(*[F.lit(x) for x in BLOOMS]), (F.col("question_id") % len(BLOOMS)).cast("int"))
+    rows = rows.unionByName(fx.questions.select(F.lit("question").alias("kind"), asked.alias("value"), V.question_class(asked).alias("mapped")))
+    rows = rows.unionByName(fx.questions.select(F.lit("bloom").alias("kind"), bloom.alias("value"), V.bloom(bloom).alias("mapped")))
     return rows.groupBy("kind", "value", "mapped").agg(F.count("*").alias("n"))
 
 

@@ -36,7 +36,7 @@ FIXTURE_SQL = {
     "edges": """SELECT source_id, target_id, CASE min(f) WHEN 'A' THEN 'part_of' WHEN 'N' THEN 'prerequisite' ELSE 'relates_to' END AS relationship_type
         FROM (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS f FROM lineitem) WHERE source_id <> target_id GROUP BY 1, 2""",
     "questions": f"""SELECT question_id, (CASE WHEN question_id % 5 = 0 THEN 'Which is not ' ELSE '' END) || text || (CASE WHEN question_id % 3 <> 0 THEN '?' ELSE '' END) AS question_text, options,
-        k AS correct_option_index, options[k + 1] AS correct_answer, {LEVEL}[conv_id % 4 + 1] AS solo_level, conv_id % 40 AS learning_object_id, conv_id AS primary_lesson_id, conv_id + 1 AS secondary_lesson_id,
+        k AS correct_option_index, options[k + 1] AS correct_answer, {LEVEL}[conv_id % 4 + 1] AS solo_level, conv_id % (SELECT count(*) FROM benchmark) AS learning_object_id, conv_id AS primary_lesson_id, conv_id + 1 AS secondary_lesson_id,
         conv_id // 10 AS quiz_id, conv_id % 7 AS question_section_id
         FROM (SELECT *, CASE WHEN conv_id % 17 = 0 OR len(options) = 0 THEN NULL ELSE (conv_id % greatest(len(options), 1))::INT END AS k
           FROM (SELECT u.conv_id, u.conv_id * 1000 + u.turn AS question_id, u.text, [y for y in [trim(x) for x in string_split_regex(a.text, '[.\\n]+')] if y <> ''][1:(u.conv_id % 5 + 2)] AS options
@@ -53,7 +53,8 @@ FIXTURE_SQL = {
     "call_log": "SELECT event_id, ts, event_type AS provider, floor(value * 10)::BIGINT AS input_tokens, event_id % 100 AS output_tokens FROM events",
     "attempts": "SELECT event_id, ts, user_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 40 AS item, (event_id % 4)::INT AS answer FROM events",
     "metric_payloads": "SELECT event_type AS metric_key, user_id AS scope_id, props AS payload, ts AS created_at, event_id, value FROM events",
-    "translations": "SELECT doc_id % 200 AS question_id, lang AS language_code, (doc_id % 200) % 10 AS quiz_id, text AS translated, doc_id FROM documents",
+    "translations": rf"""SELECT question_id, lang AS language_code, question_id // 20 AS quiz_id, text AS translated, doc_id FROM
+        (SELECT *, min(doc_id) OVER (PARTITION BY array_to_string(regexp_extract_all(text, '{TOK}')[1:3], ' ')) AS question_id FROM documents)""",
     "cue_lessons": f"SELECT lesson_id, {_replaced('raw_content')} AS raw FROM lessons",
     "section_objects": """SELECT section_id, lesson_id, start_page, end_page, CASE WHEN section_id % 3 = 0 THEN title ELSE 'qq ' || section_id END AS lo_title,
         CASE WHEN section_id % 3 < 2 THEN key_topics ELSE []::VARCHAR[] END AS keywords FROM sections""",

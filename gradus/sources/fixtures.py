@@ -90,11 +90,12 @@ class Fixtures:
         q = user.join(reply, ["conv_id", "turn"]).withColumn("question_id", F.col("conv_id") * 1000 + F.col("turn"))
         stem = F.concat(F.when(F.col("question_id") % 5 == 0, "Which is not ").otherwise(""), F.col("text"), F.when(F.col("question_id") % 3 != 0, "?").otherwise(""))
         pieces = F.filter(F.transform(F.split("reply", r"[.\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+        q = q.crossJoin(F.broadcast(self.benchmark.agg(F.count("*").alias("objects"))))  # one row
         q = q.withColumn("options", F.slice(pieces, F.lit(1), (F.col("conv_id") % 5 + 2).cast("int"))).withColumn("n", F.size("options"))
         q = q.withColumn("key", F.when((F.col("conv_id") % 17 == 0) | (F.col("n") == 0), None).otherwise((F.col("conv_id") % F.greatest("n", F.lit(1))).cast("int")))
         return q.select(
             "question_id", stem.alias("question_text"), "options", F.col("key").alias("correct_option_index"), F.get("options", F.col("key")).alias("correct_answer"), level_at((F.col("conv_id") % 4).cast("int")).alias("solo_level"),
-            (F.col("conv_id") % 40).alias("learning_object_id"), F.col("conv_id").alias("primary_lesson_id"), (F.col("conv_id") + 1).alias("secondary_lesson_id"), F.expr("conv_id div 10").alias("quiz_id"), (F.col("conv_id") % 7).alias("question_section_id"),
+            F.try_mod(F.col("conv_id"), F.col("objects")).alias("learning_object_id"), F.col("conv_id").alias("primary_lesson_id"), (F.col("conv_id") + 1).alias("secondary_lesson_id"), F.expr("conv_id div 10").alias("quiz_id"), (F.col("conv_id") % 7).alias("question_section_id"),
         )
 
     @cached_property
@@ -139,7 +140,11 @@ class Fixtures:
 
     @cached_property
     def translations(self) -> DataFrame:
-        return self.documents.select((F.col("doc_id") % 200).alias("question_id"), F.col("lang").alias("language_code"), ((F.col("doc_id") % 200) % 10).alias("quiz_id"), F.col("text").alias("translated"), "doc_id")
+        """Documents that begin alike are translations of the first of them."""
+        title = F.concat_ws(" ", F.slice(tokens(F.col("text"), lower=False), 1, 3)).alias("title")
+        d = self.documents.select("doc_id", "lang", "text", title)
+        first = d.groupBy("title").agg(F.min("doc_id").alias("question_id"))
+        return d.join(first, "title").select("question_id", F.col("lang").alias("language_code"), F.expr("question_id div 20").alias("quiz_id"), F.col("text").alias("translated"), "doc_id")
 
     @cached_property
     def cue_lessons(self) -> DataFrame:
