@@ -42,6 +42,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Empty the folders of tables that `saved` gave, once all that was computed from them is written down."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a saved table is counted at no more than rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, digest, saved
+from .common import broadcast_if_small, digest, forget, saved
 
 #: Ids up to which the documents to be changed are found by a broadcast (16 bytes each).
 BROADCAST_IDS = 300_000
@@ -145,8 +145,8 @@ def _wanted(rows: np.ndarray, first: np.ndarray, starts: np.ndarray, flat: np.nd
 STATE = ["class", "source", "doc", "alt", "anchor", "a", "b", "name"]
 
 
-def _settled(rows: DataFrame, within: bool, shared_ids: bool, step: str) -> tuple[DataFrame, DataFrame]:
-    """rows of STATE: (leading rows of each class, (doc, alt, start, n) runs of windows that have occurred)."""
+def _settled(rows: DataFrame, within: bool, shared_ids: bool, step: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows of STATE: (leading rows of each class, (doc, alt, start, n) runs of windows that have occurred, the written table from which, with rows, the former come)."""
     lead = F.min(F.struct("doc", "alt", "anchor", "source")).alias("l")
     leads = saved(rows.groupBy("class").agg(lead, F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("a", "b", "name")]), f"{step}-leads")
     copied = leads.where("copies > 1").select("class", F.col("l.doc").alias("ldoc"), F.col("l.alt").alias("lalt"), F.col("l.anchor").alias("lanchor"))
@@ -165,14 +165,17 @@ def _settled(rows: DataFrame, within: bool, shared_ids: bool, step: str) -> tupl
             found = found.unionByName(least.where("anchor > least").select(run))
             also = least.where("anchor = least")
         out = out.unionByName(also.select(STATE))
-    return out, saved(found, f"{step}-found")
+    return out, saved(found, f"{step}-found"), leads
 
 
 def _shared(rows: DataFrame, kind: Kind, settled: bool, step: str) -> DataFrame:
     """rows of STATE without those whose name stands in one row alone or, where classes are settled, in one class alone."""
     counts = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), F.min("doc").alias("p"), F.max("doc").alias("q"))
     several = counts.where(("x < y" if settled else "n > 1") + ("" if kind.within else " AND p < q"))
-    return saved(rows.join(saved(several.select("name"), f"{step}-names"), "name").select(STATE), f"{step}-shared")
+    names = saved(several.select("name"), f"{step}-names")
+    shared = saved(rows.join(names, "name").select(STATE), f"{step}-shared")
+    forget(names)
+    return shared
 
 
 def _families(rows: DataFrame, units: DataFrame, kind: Kind, width: int) -> DataFrame:
@@ -205,7 +208,7 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
 
 def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """docs (doc, text), neither null: ((doc, alt, runs), runs an array of (start, n) runs of windows that occur earlier; documents without any and copies
-    are left out; odd as distinct_texts gives it)."""
+    are left out; odd as distinct_texts gives it). A step's table is emptied as soon as what follows from it is written."""
     each, odd, shared_ids = distinct_texts(docs)
     keys = each.mapInArrow(_keys(kind), "key long, doc long, alt int, first int")
     several = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("p"), F.max("doc").alias("q"))
@@ -214,24 +217,35 @@ def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     places = saved(keys.join(several, "key").groupBy("doc", "alt").agg(F.collect_list("first").alias("firsts")), "repeat-places")
     shape = "key long, class binary, doc long, alt int, anchor int, a int, b int, units binary"
     met = saved(each.join(places, ["doc", "alt"]).select("doc", "alt", "text", "firsts").mapInArrow(_occurrences(kind), shape), "repeat-occurrences")
-    found = [met.where("class IS NULL").select("doc", "alt", F.col("anchor").alias("start"), F.col("b").alias("n"))]
+    forget(several, places)
+    found = [saved(met.where("class IS NULL").select("doc", "alt", F.col("anchor").alias("start"), F.col("b").alias("n")), "repeat-within")]
     rows = met.where("class IS NOT NULL").select("class", F.col("class").alias("source"), "doc", "alt", "anchor", "a", "b", F.col("key").alias("name"))
-    rows, more = _settled(rows, kind.within, shared_ids, "repeat-0")
+    rows, more, leads = _settled(rows, kind.within, shared_ids, "repeat-0")
     found.append(more)
     rows = _shared(rows, kind, True, "repeat-0")
     # from here on rows are names and numbers; what they stand for is looked up in the units of the classes that are still open
     units = met.where("units IS NOT NULL").join(rows.select("class").distinct(), "class", "left_semi").groupBy(F.col("class").alias("source")).agg(F.max("units").alias("units"), F.max("b").alias("top"))
     units = saved(units, "repeat-units")
+    forget(met, leads)
     for step, width in enumerate(kind.widths, 1):
-        rows = saved(_families(rows, units, kind, width), f"repeat-{step}")
-        rows = _shared(rows, kind, False, f"repeat-{step}") if width > 1 else rows
-        rows, more = _settled(rows, kind.within, shared_ids, f"repeat-{step}")
+        families = saved(_families(rows, units, kind, width), f"repeat-{step}")
+        forget(rows)
+        if width > 1:
+            rows = _shared(families, kind, False, f"repeat-{step}")
+            forget(families)
+            families = rows
+        rows, more, leads = _settled(families, kind.within, shared_ids, f"repeat-{step}")
         found.append(more)
-        rows = _shared(rows, kind, True, f"repeat-{step}") if width > 1 else rows
+        if width > 1:
+            rows = _shared(rows, kind, True, f"repeat-{step}")
+        forget(families, leads)
+    forget(units)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return saved(every.groupBy("doc", "alt").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "repeat-runs"), odd
+    runs = saved(every.groupBy("doc", "alt").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "repeat-runs")
+    forget(*found)
+    return runs, odd
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, odd: DataFrame) -> DataFrame:
