@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # Vowels (Latin and Cyrillic), sentence ends, and the grade range of each cognitive level.
 VOWELS = "[aeiouAEIOUyYаеиоуАЕИОУ]+"
 GRADE_TARGETS = {"unistructural": (4, 10), "multistructural": (6, 12), "relational": (8, 14), "extended_abstract": (10, 16)}
@@ -40,9 +41,9 @@ def count_words(c: Column) -> Column:
 
 
 def count_syllables(c: Column) -> Column:
-    """Vowel groups of each word, one at least."""
-    per_word = F.transform(tokens(c, lower=False), lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit(VOWELS))))
-    return F.coalesce(F.aggregate(per_word, F.lit(0), lambda a, x: a + x), F.lit(0))
+    """Vowel groups of each word, one at least. No group reaches beyond its word, so these are the groups of the text and the words without a vowel."""
+    bare = rf"{WORD_START}[\p{{L}}\p{{N}}_&&[^{VOWELS[1:-2]}]]++{WORD_END}"
+    return F.coalesce(F.regexp_count(c, F.lit(VOWELS)) + F.regexp_count(c, F.lit(bare)), F.lit(0))
 
 
 def flesch_ease(sentences: Column, words: Column, syllables: Column) -> Column:
@@ -69,8 +70,7 @@ def grade_fit(grade: Column, level: Column) -> Column:
 def detect_language(c: Column) -> Column:
     """'sr' or 'en' from the first 5,000 characters: letters, then common words."""
     sample = F.substring(c, 1, 5000)
-    words = tokens(sample)
-    hits = lambda listed: F.size(F.filter(words, lambda w: w.isin(listed)))
+    hits = lambda listed: F.regexp_count(F.lower(sample), F.lit(f"{WORD_START}(?:{'|'.join(listed)}){WORD_END}"))
     letters = F.regexp_count(sample, F.lit(SR_LETTERS))
     serbian = letters + hits(SR_WORDS)
     yes = sample.rlike(CYRILLIC) | (letters >= 2) | ((serbian > hits(EN_WORDS)) & (serbian >= 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import normalize_concept, tokens
@@ -75,10 +75,11 @@ def search(rows: DataFrame, asks: list[str], stop: list[str], more: int = 3) ->
     terms = [[w for w in q.lower().split() if w not in stop and len(w) > 2] for q in asks]
     score = lambda ts: sum((F.contains("low", F.lit(t)).cast("int") + F.col("boost") * F.contains(F.lower("title"), F.lit(t)).cast("int") for t in ts), F.lit(0))
     every = rows.select("rank", "kind", "id", "title", F.explode(F.array(*[F.struct(F.lit(i).alias("ask"), score(ts).alias("score")) for i, ts in enumerate(terms)])).alias("a")).select("rank", "kind", "id", "title", "a.*").where("score > 0")
-    key = F.struct((-F.col("score")).alias("s"), "rank", "id", "kind", "title", "score")
-    # the best of each partition, then of all: no question's matches meet in one task
-    part = every.groupBy("ask", F.spark_partition_id().alias("p")).agg(F.slice(F.sort_array(F.collect_list(key)), 1, more + 1).alias("top"))
-    top = part.groupBy("ask").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, more + 1).alias("top"))
+    # a rank with a fixed limit: each task hands on its own first rows alone
+    key = ["rank", "id", "kind", "title", "score"]
+    r = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), *key))
+    first = every.withColumn("r", r).where(F.col("r") <= more + 1)
+    top = first.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("r", *key))).alias("top"))
     best = F.get("top", F.lit(0))
     related = F.filter(F.transform(F.slice("top", 2, more), lambda x: x["title"]), lambda t: t != best["title"])
     return top.select("ask", best["kind"].alias("kind"), best["id"].alias("id"), best["title"].alias("title"), best["score"].alias("score"), F.nullif(F.array_join(related, ", "), F.lit("")).alias("related"))
