@@ -99,3 +99,17 @@ def quality_map(payloads: DataFrame, metrics: list[str]) -> DataFrame:
     parsed = F.from_json("payload", "reports array<struct<at: long, question_id: long, verdict: long>>")["reports"]
     rows = payloads.where("metric_key <> 'lint'").select("lesson_id", "metric_key", F.posexplode(parsed).alias("i", "r")).where("r.question_id IS NOT NULL")
     return rows.groupBy(F.col("r.question_id").alias("question_id")).pivot("metric_key", metrics).agg(F.max_by("r.verdict", F.struct("lesson_id", "i")))
+
+
+def quiz_scores(answers: DataFrame, questions: DataFrame, quizzes: DataFrame, mark: int = 70) -> DataFrame:
+    """(quiz_id, attempt, total, correct, percent, passed) from answers (quiz_id, attempt, question_id, answer as text), questions (quiz_id, question_id, correct_option_index, correct_answer) and
+    quizzes (quiz_id, passing_score; null: `mark`). A question with a key is right if the answer is its number, one without if it is its text in any case; what isn't answered is
+    wrong, and percents are of all questions of the quiz."""
+    q = questions.select("quiz_id", "question_id", "correct_option_index", "correct_answer")
+    size = q.groupBy("quiz_id").agg(F.count("*").alias("total"))
+    number = F.regexp_extract("answer", r"^\s*([+-]?\d{1,9})", 1).try_cast("int")
+    right = F.when(F.col("correct_option_index").isNotNull(), number == F.col("correct_option_index")).otherwise((F.col("correct_answer") != "") & (F.lower("answer") == F.lower("correct_answer")))
+    a = answers.join(q, ["quiz_id", "question_id"]).groupBy("quiz_id", "attempt").agg(F.count_if(F.coalesce(right, F.lit(False))).alias("correct"))
+    percent = 100.0 * F.col("correct") / F.col("total")
+    out = a.join(size, "quiz_id").join(quizzes.select("quiz_id", "passing_score"), "quiz_id", "left")
+    return out.select("quiz_id", "attempt", "total", "correct", F.round(percent, 2).alias("percent"), (percent >= F.coalesce("passing_score", F.lit(mark))).alias("passed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions.text import tokens
 from gradus.operators import concepts as C
+from gradus.operators import context as X
 from gradus.operators import graph as G
 from gradus.operators import ontology as K
 from gradus.operators import sampling as P
@@ -15,6 +16,7 @@ from gradus.sources import io
 from gradus.sources.fixture_sql import TOK
 
 from .registry import query
+from .structure import ANCHORS, cross_lesson_edges
 
 STOP = "[" + ", ".join(f"'{w}'" for w in C.STOPWORDS) + "]"
 NORM = r"regexp_replace(trim(lower({})), '\s+', ' ', 'g')"
@@ -89,16 +91,19 @@ def fallback_edges(fx):
     return G.fallback_edges(fx.learning_objects, "lo_lesson")
 
 
-@query("G4_clean_edges", f"""WITH k AS (SELECT DISTINCT e.source_id, e.target_id, relationship_type AS type FROM edges e JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id
-  WHERE (length(trim(s.title)) >= 15 AND contains(lower(t.content), lower(trim(s.title)))) OR (relationship_type IN ('relates_to', 'prerequisite', 'defines') AND abs(s.lo_section - t.lo_section) <= 1))
-  SELECT * FROM k UNION ALL SELECT source_id, target_id, type FROM {FALL} WHERE lo_lesson NOT IN (SELECT source_id % 3 FROM k)""")
+BOUND = "(SELECT l.lo_id, m.bound FROM learning_objects l JOIN (SELECT lower(trim(title)) AS k, min(lo_id) AS bound FROM learning_objects GROUP BY 1) m ON m.k = lower(trim(l.title)))"
+
+
+@query("G4_clean_edges", f"""WITH b AS (SELECT DISTINCT s.bound AS source_id, t.bound AS target_id, relationship_type AS type FROM edges e JOIN {BOUND} s ON s.lo_id = source_id JOIN {BOUND} t ON t.lo_id = target_id WHERE s.bound <> t.bound),
+  k AS (SELECT DISTINCT s.lo_lesson, CASE WHEN swap THEN target_id ELSE source_id END AS source_id, CASE WHEN swap THEN source_id ELSE target_id END AS target_id, type FROM
+    (SELECT b.*, type = 'part_of' AND contains(lower(t.title), lower(s.title)) AND s.title <> t.title AS swap, (length(trim(s.title)) >= 15 AND contains(lower(t.content), lower(trim(s.title)))) OR (type IN ('relates_to', 'prerequisite', 'defines') AND abs(s.lo_section - t.lo_section) <= 1) AS good
+      FROM b JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id) x JOIN learning_objects s ON s.lo_id = x.source_id WHERE good)
+  SELECT source_id, target_id, type FROM k UNION ALL SELECT source_id, target_id, type FROM {FALL} WHERE lo_lesson NOT IN (SELECT lo_lesson FROM k)""")
 def clean_edges(fx):
-    lo = fx.learning_objects
-    e = fx.edges.join(lo.select(F.col("lo_id").alias("source_id"), F.trim("title").alias("ev"), F.col("lo_section").alias("a"), "lo_lesson"), "source_id").join(lo.select(F.col("lo_id").alias("target_id"), F.lower("content").alias("c"), F.col("lo_section").alias("b")), "target_id")
-    good = ((F.length("ev") >= 15) & F.contains("c", F.lower("ev"))) | (F.col("relationship_type").isin("relates_to", "prerequisite", "defines") & (F.abs(F.col("a") - F.col("b")) <= 1))
-    kept = e.where(good).select("lo_lesson", "source_id", "target_id", F.col("relationship_type").alias("type")).distinct()
-    rest = G.fallback_edges(lo, "lo_lesson").join(kept.select("lo_lesson").distinct(), "lo_lesson", "left_anti")
-    return kept.unionByName(rest).select("source_id", "target_id", "type")
+    """Ends bound to the first object of their title, edges without evidence dropped, directions mended, repeats dropped; lessons that have none left get the fallback."""
+    kept = G.clean(fx.edges, fx.learning_objects.withColumnsRenamed({"lo_lesson": "lesson", "lo_section": "section"}))
+    rest = G.fallback_edges(fx.learning_objects, "lo_lesson").join(kept.select(F.col("lesson").alias("lo_lesson")).distinct(), "lo_lesson", "left_anti")
+    return kept.select("source_id", "target_id", "type").unionByName(rest.select("source_id", "target_id", "type"))
 
 
 @query("G5_ontology_context", """SELECT lesson, relationship_type, source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY lesson, relationship_type ORDER BY source_id, target_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY lesson ORDER BY source_id, target_id) AS k FROM
@@ -312,10 +317,16 @@ def search_content(fx):
     return C.search(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), ASKS, STOP)
 
 
-@query("T3_rag_context", f"""SELECT id, title, score FROM (({scored_sql('learning_objects', 'lo', 'lo_id', 'title', 'content', 3)} ORDER BY score DESC, id LIMIT 5) UNION ALL ({scored_sql('sections', 's', 'section_id', 'title', 'content', 0)} ORDER BY score DESC, id LIMIT 3))""")
+def rag_sql(kind: str, table: str, key: str, text: str, boost: int, most: int, chars: int, head: str) -> str:
+    return f"""SELECT '{kind}' AS kind, r AS rank, id, score, '**{head}' || title || '**: ' || substr(t, 1, {chars}) AS part FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT {key} AS id, title, {text} AS t,
+      len([x for x in terms if contains(lower(coalesce(title, '')) || ' ' || lower(coalesce({text}, '')), x)]) + {boost} * len([x for x in terms if contains(lower(coalesce(title, '')), x)]) AS score FROM {table}, (SELECT ['inanin', 'tion', 'ouwhea'] AS terms)) WHERE score > 0) WHERE r <= {most} AND t <> ''"""
+
+
+@query("T3_rag_context", f"SELECT kind, rank, id, score, md5(part) AS part FROM ({rag_sql('object', 'learning_objects', 'lo_id', 'nullif(content, title)', 3, 5, 500, '')} UNION ALL {rag_sql('section', 'sections', 'section_id', 'content', 0, 3, 400, 'Section - ')})")
 def rag_context(fx):
-    top = lambda df, n: df.orderBy(F.desc("score"), "id").limit(n)
-    return top(scored(fx.learning_objects, "lo", "lo_id", "title", "content", 3), 5).unionByName(top(scored(fx.sections, "s", "section_id", "title", "content", 0), 3)).select("id", "title", "score")
+    objects = fx.learning_objects.select(F.col("lo_id").alias("id"), "title", F.nullif("content", "title").alias("description"))
+    sections = fx.sections.select(F.col("section_id").alias("id"), "title", "content")
+    return X.rag_context(objects, sections, "What is the inanin tion? tell me about ouwhea".replace("?", ""), [*STOP, "the"]).withColumn("part", F.md5("part"))
 
 
 MSG = "'tell me about ouwhea the of and Zu und lessons'"
@@ -343,10 +354,10 @@ def key_concepts(fx):
     return fx.learning_objects.withColumn("r", r).where("r <= 25").select("lo_lesson", "lo_id", "title")
 
 
-@query("T7_lesson_outline", "SELECT lesson_id, row_number() OVER (PARTITION BY lesson_id ORDER BY order_index) || '. ' || title || ' (' || coalesce(n, 0) || ')' AS line FROM sections s LEFT JOIN (SELECT lo_section, count(*) AS n FROM learning_objects GROUP BY 1) l ON l.lo_section = s.section_id % 10")
+@query("T7_lesson_outline", "SELECT lesson_id, row_number() OVER (PARTITION BY lesson_id ORDER BY order_index) || '. ' || title || ' (' || coalesce(n, 0) || ')' AS line FROM sections s LEFT JOIN (SELECT lo_section, count(*) AS n FROM learning_objects GROUP BY 1) l ON l.lo_section = s.lesson_id")
 def lesson_outline(fx):
     n = fx.learning_objects.groupBy("lo_section").agg(F.count("*").alias("n"))
-    s = fx.sections.withColumn("lo_section", F.col("section_id") % 10).join(n, "lo_section", "left")
+    s = fx.sections.withColumn("lo_section", F.col("lesson_id")).join(n, "lo_section", "left")
     i = F.row_number().over(Window.partitionBy("lesson_id").orderBy("order_index"))
     return s.select("lesson_id", F.concat(i.cast("string"), F.lit(". "), "title", F.lit(" ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")")).alias("line"))
 
@@ -412,10 +423,19 @@ def section_structure(fx):
     return g.select("lo_section", F.concat(F.array_join(F.transform(F.slice("t", 1, 10), lambda x: x["title"]), ", "), more).alias("line"))
 
 
-@query("T15_focus_context", "SELECT lo_section, lo_id FROM (SELECT *, row_number() OVER (PARTITION BY lo_section ORDER BY lo_id) AS r FROM learning_objects WHERE lo_section = 4 OR lo_section IN (SELECT target_id % 10 FROM edges WHERE source_id % 10 = 4)) WHERE r <= 5 ORDER BY lo_section <> 4, lo_section, lo_id LIMIT 15")
+@query("T15_focus_context", f"""WITH anchor AS (SELECT lesson, "offset" AS o, source_id, target_id FROM ({ANCHORS}) WHERE second_lesson IS NULL),
+  sec AS (SELECT lo_lesson AS lesson, lo_section AS section, arg_min(content, lo_id) AS content, row_number() OVER (PARTITION BY lo_lesson ORDER BY lo_section) - 1 AS i, count(*) OVER (PARTITION BY lo_lesson) AS n FROM learning_objects GROUP BY 1, 2),
+  pick AS (SELECT a.lesson, a.o, s.section, CASE WHEN s.i = a.o % s.n THEN 0 ELSE 10 + s.i END AS p FROM anchor a JOIN sec s USING (lesson)
+    UNION ALL SELECT a.lesson, a.o, l.lo_section, 1 FROM anchor a JOIN learning_objects l ON l.lo_id = a.source_id UNION ALL SELECT a.lesson, a.o, l.lo_section, 2 FROM anchor a JOIN learning_objects l ON l.lo_id = a.target_id),
+  chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lesson, o ORDER BY p, section) AS r FROM (SELECT lesson, o, section, min(p) AS p FROM pick GROUP BY 1, 2, 3)) WHERE p < 10 OR r <= 2),
+  few AS (SELECT lo_section AS section, '- ' || title || ': ' || substr(content, 1, 150) AS line, row_number() OVER (PARTITION BY lo_section ORDER BY lo_id) AS k FROM learning_objects)
+  SELECT a.lesson, a.o AS "offset", md5(c.concepts) AS concepts, md5(x.excerpts) AS excerpts FROM anchor a
+  JOIN (SELECT lesson, o, array_to_string(list(line ORDER BY r, k)[1:15], chr(10)) AS concepts FROM chosen JOIN few USING (section) WHERE k <= 5 GROUP BY 1, 2) c ON c.lesson = a.lesson AND c.o = a.o
+  JOIN (SELECT lesson, o, substr(string_agg(substr(content, 1, 600), chr(10) || chr(10) ORDER BY r), 1, 2000) AS excerpts FROM (SELECT c.lesson, c.o, c.r, s.content FROM chosen c JOIN sec s ON s.section = c.section) GROUP BY 1, 2) x ON x.lesson = a.lesson AND x.o = a.o""")
 def focus_context(fx):
-    lo = fx.learning_objects
-    ends = fx.edges.where("source_id % 10 = 4").select((F.col("target_id") % 10).alias("lo_section")).distinct()
-    mine = lo.where("lo_section = 4").unionByName(lo.where("lo_section <> 4").join(ends, "lo_section", "left_semi").select(lo.columns))
-    r = F.row_number().over(Window.partitionBy("lo_section").orderBy("lo_id"))
-    return mine.withColumn("r", r).where("r <= 5").orderBy(F.col("lo_section") != 4, "lo_section", "lo_id").limit(15).select("lo_section", "lo_id")
+    """What each lesson's anchored requests build on, a section's text being its first object's."""
+    lo = fx.learning_objects.select("lo_id", F.col("lo_lesson").alias("lesson"), F.col("lo_section").alias("section"), "title", F.col("content").alias("description"))
+    sections = lo.groupBy("lesson", "section").agg(F.min_by("description", "lo_id").alias("content"))
+    out = X.focus_context(cross_lesson_edges(fx).where("second_lesson IS NULL"), lo, sections)
+    return out.select("lesson", "offset", F.md5("concepts").alias("concepts"), F.md5("excerpts").alias("excerpts"))
+

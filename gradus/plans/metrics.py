@@ -321,6 +321,22 @@ def quota_plan(fx):
     return q.select("lesson_id", "u", "m", "r", (F.col("u") + F.col("m") + F.col("r")).alias("target"), F.when(following.isNotNull(), 5).otherwise(0).alias("ea"))
 
 
+ANSWERED = "(SELECT quiz_id, question_id, unnest(range(3)) AS attempt, correct_option_index AS k, correct_answer AS a, unnest([correct_option_index::VARCHAR, upper(correct_answer), CASE WHEN question_id % 2 = 0 THEN coalesce(correct_option_index::VARCHAR || 'th', lower(correct_answer)) END]) AS answer FROM questions)"
+
+
+@query("A31_quiz_scores", f"""SELECT a.quiz_id, attempt, any_value(total) AS total, count(*) FILTER (hit) AS correct, round(100.0 * count(*) FILTER (hit) / any_value(total), 2)::DOUBLE AS percent, 100.0 * count(*) FILTER (hit) / any_value(total) >= coalesce(any_value(mark), 70) AS passed
+  FROM (SELECT quiz_id, attempt, CASE WHEN k IS NOT NULL THEN try_cast(nullif(regexp_extract(answer, '^\\s*([+-]?\\d{{1,9}})', 1), '') AS INT) = k ELSE a <> '' AND lower(answer) = lower(a) END AS hit FROM {ANSWERED}) a
+  JOIN (SELECT quiz_id, count(*) AS total, CASE WHEN quiz_id % 3 = 0 THEN 40 END AS mark FROM questions GROUP BY 1) s ON s.quiz_id = a.quiz_id GROUP BY 1, 2""")
+def quiz_scores(fx):
+    """Three attempts at every quiz: by number, by text, and half of the questions."""
+    q = fx.questions.select("quiz_id", "question_id", "correct_option_index", "correct_answer")
+    number = F.col("correct_option_index").cast("string")
+    half = F.when(F.col("question_id") % 2 == 0, F.coalesce(F.concat(number, F.lit("th")), F.lower("correct_answer")))
+    answers = q.select("quiz_id", "question_id", F.posexplode(F.array(number, F.upper("correct_answer"), half)).alias("attempt", "answer"))
+    quizzes = q.select("quiz_id").distinct().withColumn("passing_score", F.when(F.col("quiz_id") % 3 == 0, 40))
+    return M.quiz_scores(answers, q, quizzes)
+
+
 @query("A32_question_quality_map", """SELECT question_id, max(v) FILTER (event_type = 'click') AS click, max(v) FILTER (event_type = 'view') AS view, max(v) FILTER (event_type = 'signup') AS signup FROM (SELECT event_id % 500 AS question_id, event_type, arg_max(event_id % 7, user_id * 1000000000 + event_id) AS v
   FROM events WHERE event_type <> 'error' AND event_id % 11 <> 0 GROUP BY 1, 2) GROUP BY 1""")
 def question_quality_map(fx):

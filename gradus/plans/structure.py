@@ -223,7 +223,7 @@ def lesson_tree(fx):
     return fx.lessons.select("lesson_id", "title").join(s, "lesson_id", "left").select("lesson_id", "title", F.coalesce(F.array_join(F.transform("s", lambda x: x["title"]), "|"), F.lit("")).alias("section_titles"), F.coalesce(F.size("s"), F.lit(0)).alias("n"))
 
 
-@query("J2_edges_for_lesson", "SELECT l.lesson AS lesson, e.source_id, e.target_id, s.title AS source_title, t.title AS target_title FROM (SELECT DISTINCT lo_lesson AS lesson FROM learning_objects) l JOIN edges e ON e.source_id % 3 = l.lesson OR e.target_id % 3 = l.lesson JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id")
+@query("J2_edges_for_lesson", "SELECT l.lesson AS lesson, e.source_id, e.target_id, s.title AS source_title, t.title AS target_title FROM (SELECT DISTINCT lo_lesson AS lesson FROM learning_objects) l JOIN edges e ON e.source_id // 28 = l.lesson OR e.target_id // 28 = l.lesson JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id")
 def edges_for_lesson(fx):
     lo = fx.learning_objects
     of = lambda side: fx.edges.join(lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias("lesson")), side).select("lesson", "source_id", "target_id")
@@ -442,23 +442,26 @@ def study_guide(fx):
 
 
 EL = "(SELECT e.source_id, e.target_id, s.lo_lesson AS ls, t.lo_lesson AS lt, s.lo_section AS ss, t.lo_section AS st FROM edges e JOIN learning_objects s ON s.lo_id = e.source_id JOIN learning_objects t ON t.lo_id = e.target_id)"
-ASKED = "(SELECT a, b, o FROM (SELECT DISTINCT lo_lesson AS a FROM learning_objects) CROSS JOIN (SELECT DISTINCT lo_lesson AS b FROM learning_objects UNION ALL SELECT NULL) CROSS JOIN (SELECT unnest(range(7)) AS o) WHERE b IS NULL OR a <> b)"
+ASKED = "(SELECT a, b, unnest(range(7)) AS o FROM (SELECT a, unnest([a + 1, NULL]) AS b FROM (SELECT DISTINCT lo_lesson AS a FROM learning_objects)))"
 FOCUS = "(SELECT lo_lesson AS a, list_sort(list_distinct(list(lo_section))) AS f FROM learning_objects GROUP BY 1)"
 POOL = "SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a, k) AS n FROM ({x}) WINDOW w AS (PARTITION BY a, k ORDER BY source_id, target_id)"
 
 
-@query("J12_cross_lesson_edges", f"""WITH e AS {EL}, c AS ({POOL.format(x='SELECT ls AS a, lt AS k, source_id, target_id FROM e WHERE ls <> lt UNION ALL SELECT lt, ls, source_id, target_id FROM e WHERE ls <> lt')}),
+ANCHORS = f"""WITH e AS {EL}, c AS ({POOL.format(x='SELECT ls AS a, lt AS k, source_id, target_id FROM e WHERE ls <> lt UNION ALL SELECT lt, ls, source_id, target_id FROM e WHERE ls <> lt')}),
   w AS ({POOL.format(x='SELECT ls AS a, 0 AS k, source_id, target_id FROM e WHERE ls = lt')}), f AS ({POOL.format(x='SELECT DISTINCT a, k, source_id, target_id FROM (SELECT ls AS a, ss AS k, source_id, target_id FROM e WHERE ls = lt UNION ALL SELECT ls, st, source_id, target_id FROM e WHERE ls = lt)')}),
   q AS (SELECT ASKED.*, FOCUS.f[o % len(FOCUS.f) + 1] AS s FROM {ASKED} ASKED JOIN {FOCUS} FOCUS USING (a))
   SELECT q.a AS lesson, q.b AS second_lesson, q.o AS "offset", c.a IS NOT NULL AS spans_lessons, coalesce(c.source_id, f.source_id, w.source_id) AS source_id, coalesce(c.target_id, f.target_id, w.target_id) AS target_id
-  FROM q LEFT JOIN c ON c.a = q.a AND c.k = q.b AND c.i = q.o % c.n LEFT JOIN f ON f.a = q.a AND f.k = q.s AND f.i = q.o % f.n LEFT JOIN w ON w.a = q.a AND w.i = q.o % w.n""")
+  FROM q LEFT JOIN c ON c.a = q.a AND c.k = q.b AND c.i = q.o % c.n LEFT JOIN f ON f.a = q.a AND f.k = q.s AND f.i = q.o % f.n LEFT JOIN w ON w.a = q.a AND w.i = q.o % w.n"""
+
+
+@query("J12_cross_lesson_edges", ANCHORS)
 def cross_lesson_edges(fx):
+    """Each lesson with the next one and alone, at seven offsets."""
     lo = fx.learning_objects
     ends = lambda side, x: lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias(f"l{x}"), F.col("lo_section").alias(f"s{x}"))
     e = fx.edges.join(ends("source_id", "s"), "source_id").join(ends("target_id", "t"), "target_id")
     lessons = lo.select(F.col("lo_lesson").alias("lesson")).distinct()
-    second = lessons.select(F.col("lesson").alias("second_lesson"))
-    pairs = lessons.join(second, F.col("lesson") != F.col("second_lesson")).unionByName(lessons.withColumn("second_lesson", F.lit(None).cast("long")))
+    pairs = lessons.withColumn("second_lesson", F.explode(F.array(F.col("lesson") + 1, F.lit(None).cast("long"))))
     asked = pairs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(6))))
     return S.anchor_edges(e, asked, lo.select(F.col("lo_lesson").alias("lesson"), F.col("lo_section").alias("section")))
 

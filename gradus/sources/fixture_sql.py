@@ -28,7 +28,7 @@ FIXTURE_SQL = {
     "lesson_pages": "SELECT lesson_id, unnest(range(1, len(x) + 1)) AS page, unnest(x) AS page_text FROM (SELECT lesson_id, string_split(raw_content, chr(10)) AS x FROM lessons)",
     "sections": """SELECT lesson_id * 1000 + page AS section_id, lesson_id, array_to_string(string_split(page_text, ' ')[1:3], ' ') AS title, string_split(page_text, ' ')[4:5] AS key_topics,
         page AS start_page, page + 4 AS end_page, page // 5 AS order_index, page_text AS content FROM lesson_pages WHERE page % 5 = 1""",
-    "learning_objects": rf"""SELECT item_id AS lo_id, item_id % 10 AS lo_section, item_id % 3 AS lo_lesson, array_to_string(w[1:3], ' ') AS title,
+    "learning_objects": rf"""SELECT item_id AS lo_id, item_id // 14 AS lo_section, item_id // 28 AS lo_lesson, array_to_string(w[1:3], ' ') AS title,
         [x.w for x in list_sort([{{'i': list_position(w, y), 'w': y}} for y in list_distinct([z for z in w if length(z) >= 8])])][1:6] AS keywords, text AS content,
         ['concept', 'procedure', 'example', 'law'][item_id % 4 + 1] AS object_type,
         CASE WHEN item_id % 5 = 0 THEN []::INT[] ELSE [(item_id % 7 + 1)::INT, (item_id % 7 + 3)::INT] END AS source_pages

@@ -70,7 +70,7 @@ class Fixtures:
     def learning_objects(self) -> DataFrame:
         words = tokens(F.col("text"), lower=False)
         return self.benchmark.select(
-            F.col("item_id").alias("lo_id"), (F.col("item_id") % 10).alias("lo_section"), (F.col("item_id") % 3).alias("lo_lesson"), F.concat_ws(" ", F.slice(words, 1, 3)).alias("title"),
+            F.col("item_id").alias("lo_id"), F.expr("item_id div 14").alias("lo_section"), F.expr("item_id div 28").alias("lo_lesson"), F.concat_ws(" ", F.slice(words, 1, 3)).alias("title"),
             F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 8)), 1, 6).alias("keywords"), F.col("text").alias("content"),
             F.element_at(F.array(*[F.lit(x) for x in ("concept", "procedure", "example", "law")]), (F.col("item_id") % 4 + 1).cast("int")).alias("object_type"),
             F.when(F.col("item_id") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("item_id") % 7 + 1).cast("int"), (F.col("item_id") % 7 + 3).cast("int"))).alias("source_pages"),
