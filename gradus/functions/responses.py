@@ -50,8 +50,17 @@ def ioc_label(mean: Column) -> Column:
     return F.when(mean >= 0.75, "excellent").when(mean >= 0.5, "acceptable").when(mean >= 0, "weak").when(mean.isNotNull(), "misaligned")
 
 
-def stem_verdict(similarity: Column, answered: Column) -> Column:
-    return F.when(~answered, "unable").when(similarity >= STEM_PASS, "pass").when(similarity >= STEM_PARTIAL, "partial").when(similarity.isNotNull(), "fail")
+def stem_verdict(similarity: Column, answered: Column, judged: Column | None = None) -> Column:
+    """The verdict of a free answer: unable without one, by similarity where there are vectors, else by a judge's response that tells whether both mean the same; null if that says nothing."""
+    by_vector = F.when(~answered, "unable").when(similarity >= STEM_PASS, "pass").when(similarity >= STEM_PARTIAL, "partial").when(similarity.isNotNull(), "fail")
+    return by_vector if judged is None else by_vector.when(equivalent(judged), "pass").when(equivalent(judged).isNotNull(), "fail")
+
+
+def equivalent(response: Column) -> Column:
+    """Whether the object in a response says that two answers are equivalent; null where there is no object or no such entry. Whatever isn't empty, zero, false or null says so."""
+    value = F.get_json_object(F.regexp_extract(response, r"(?s)(\{.*\})", 1), "$.equivalent")
+    said = F.regexp_extract(response, r"(?s)(\{.*\})", 1).rlike(r'"equivalent"\s*:\s*null')
+    return F.when(value.isNotNull(), ~value.isin("", "false", "0", "0.0", "[]", "{}")).when(said, False)
 
 
 def response_key(model: Column, prompt: Column, temperature: Column, json_mode: Column) -> Column:

@@ -147,6 +147,17 @@ def lint(q: DataFrame, key: str = "question_id", keep: tuple[str, ...] = ()) ->
     return out.withColumn("score", F.greatest(F.lit(0), 100 - 15 * F.col("errors") - 5 * F.col("warnings")))
 
 
+def report(linted: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row of linted (question_id, errors, warnings, score) and scored (question_id, plausibility, diversity; a row for each question that has vectors): mean score, offences, and
+    the means of the vectors' scores with the share of questions, in percent, that have any."""
+    j = linted.join(scored.select("question_id", "plausibility", "diversity", F.lit(True).alias("has")), "question_id", "left")
+    return j.agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("average_score"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"),
+        F.round(F.avg(F.col("plausibility").cast("decimal(20,6)")).cast("double"), 3).alias("mean_plausibility"), F.round(F.avg(F.col("diversity").cast("decimal(20,6)")).cast("double"), 3).alias("mean_diversity"),
+        F.round(100.0 * F.count("has") / F.count("*"), 1).alias("coverage"),
+    )
+
+
 def wrong_key(q: DataFrame) -> DataFrame:
     """The bank with each key moved to the first other option."""
     moved = F.when(q["correct_option_index"] == 0, 1).otherwise(0)

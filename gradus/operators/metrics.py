@@ -101,6 +101,44 @@ def quality_map(payloads: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.groupBy(F.col("r.question_id").alias("question_id")).pivot("metric_key", metrics).agg(F.max_by("r.verdict", F.struct("lesson_id", "i")))
 
 
+#: Metric, direction (higher is better), and the values from which it is good and from which it is a warning. Fixed values.
+LIGHTS = [
+    ("coverage", True, 70.0, 50.0), ("lint", True, 85.0, 65.0), ("solo_kappa", True, 0.61, 0.41), ("cove_supported", True, 80.0, 60.0), ("stem_only", True, 70.0, 50.0), ("ioc", True, 0.5, 0.0),
+    ("ambiguity", False, 10.0, 25.0), ("grammar", True, 80.0, 60.0), ("face", True, 4.0, 3.0),
+]
+
+
+def lights(values: DataFrame) -> DataFrame:
+    """values (metric, value, ...) with `tone`: good, warn or bad by the metric's limits; a mean difficulty (solvability) is good from 0.5 to 0.9 and else a warning; other metrics
+    (readability) have no colour: info. A null value has no tone."""
+    v = F.col("value")
+    tone = F.when(F.col("metric") == "solvability", F.when(v.between(0.5, 0.9), "good").otherwise("warn"))
+    for metric, up, good, warn in LIGHTS:
+        reach = (lambda limit, up=up: v >= limit if up else v <= limit)
+        tone = tone.when(F.col("metric") == metric, F.when(reach(good), "good").when(reach(warn), "warn").otherwise("bad"))
+    return values.withColumn("tone", F.when(v.isNotNull(), tone.otherwise("info")))
+
+
+def badges(judged: DataFrame) -> DataFrame:
+    """(question_id, metric, tone) of a question's judgements: judged (question_id, intended_level, classified_level, cove_verdict, ioc_rating, ambiguous, grammar, key_outlier, stem_passes, fit, grade, p_value, label,
+    face_score), any of which may lack or be null. A metric without a judgement has no badge."""
+    c = lambda name, kind="string": F.col(name) if name in judged.columns else F.lit(None).cast(kind)
+    cove, rating, verdict, label, face = c("cove_verdict"), c("ioc_rating", "int"), c("grammar"), c("label"), c("face_score", "double")
+    of = {
+        "solo_judge": F.when(c("intended_level").isNotNull() | c("classified_level").isNotNull(), F.when(F.coalesce(c("intended_level") == c("classified_level"), F.lit(False)), "good").otherwise("bad")),
+        "cove": F.when(cove == "SUPPORTED", "good").when(cove == "CONTRADICTED", "bad").when(cove.isNotNull(), "warn"),
+        "ioc": F.when(rating > 0, "good").when(rating < 0, "bad").when(rating.isNotNull(), "warn"),
+        "ambiguity": F.when(c("ambiguous", "boolean"), "bad").when(c("ambiguous", "boolean").isNotNull(), "good"),
+        "grammar_homogeneity": F.when(verdict.isNotNull(), F.when(c("key_outlier", "boolean"), "bad").when(verdict == "homogeneous", "good").when(verdict == "single_outlier", "warn").otherwise("bad")),
+        "stem_only": F.when(c("stem_passes", "boolean"), "good").when(c("stem_passes", "boolean").isNotNull(), "warn"),
+        "readability": F.when(c("grade", "double").isNotNull(), F.when(c("fit") == "in_range", "good").when(c("fit") == "unknown", "info").otherwise("warn")),
+        "solvability": F.when(c("p_value", "double").isNotNull(), F.when(label == "trivially_easy", "warn").otherwise("info")),
+        "face_validity": F.when(face >= 4, "good").when(face >= 3, "info").when(face.isNotNull(), "warn"),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), t.alias("tone")) for m, t in of.items()])).alias("b")
+    return judged.select("question_id", rows).select("question_id", "b.*").where("tone IS NOT NULL")
+
+
 def quiz_scores(answers: DataFrame, questions: DataFrame, quizzes: DataFrame, mark: int = 70) -> DataFrame:
     """(quiz_id, attempt, total, correct, percent, passed) from answers (quiz_id, attempt, question_id, answer as text), questions (quiz_id, question_id, correct_option_index, correct_answer) and
     quizzes (quiz_id, passing_score; null: `mark`). A question with a key is right if the answer is its number, one without if it is its text in any case; what isn't answered is

@@ -235,6 +235,19 @@ def benchmark_overview(fx):
     return M.overview(M.headlines(fx.lesson_payloads, OVERVIEW), OVERVIEW)
 
 
+LIGHT_SQL = "CASE WHEN value IS NULL THEN NULL WHEN metric = 'solvability' THEN CASE WHEN value BETWEEN 0.5 AND 0.9 THEN 'good' ELSE 'warn' END " + " ".join(
+    f"WHEN metric = '{m}' THEN CASE WHEN value {'>=' if up else '<='} {good} THEN 'good' WHEN value {'>=' if up else '<='} {warn} THEN 'warn' ELSE 'bad' END" for m, up, good, warn in M.LIGHTS
+) + " ELSE 'info' END"
+
+
+@query("L20_overview_lights", f"SELECT scope, m AS metric, {LIGHT_SQL} AS tone FROM (SELECT scope, metric AS m, CASE metric WHEN 'grammar_outlier' THEN 'grammar' ELSE metric END AS metric, value FROM {LIVE})")
+def overview_lights(fx):
+    """Each headline of each course with its colour."""
+    v = M.headlines(fx.lesson_payloads, OVERVIEW).withColumnRenamed("metric", "m")
+    v = v.withColumn("metric", F.when(F.col("m") == "grammar_outlier", "grammar").otherwise(F.col("m")))
+    return M.lights(v).select("scope", F.col("m").alias("metric"), "tone")
+
+
 @query("C8_provider_reports", f"SELECT scope, metric, value FROM {LIVE}")
 def provider_reports(fx):
     """One headline number for each stored payload, by the path or the rate of its metric."""
@@ -255,11 +268,23 @@ JUDGED = "(SELECT doc_id AS k, quality = 1 AS ambiguous, doc_id % 5 = 0 AS key_o
   FROM {LINTED} l LEFT JOIN {JUDGED} j ON j.k = l.question_id // 1000)""")
 def corpus_flags(fx):
     """Flags of lint and of four judgements, which are null where a response is missing."""
+    q = L.lint(fx.questions).withColumn("k", F.expr("question_id div 1000")).join(judgements(fx), "k", "left")
+    return L.corpus_flags(q).select("question_id", F.array_join("corpus_flags", ",").alias("flags"), "has_length_clue", "flag_count", "ambiguous", "grammar", "ioc_rating", "cove_verdict")
+
+
+@query("L20_question_badges", f"""SELECT question_id, unnest(['cove', 'ioc', 'ambiguity', 'grammar_homogeneity']) AS metric, unnest([CASE cove WHEN 'SUPPORTED' THEN 'good' WHEN 'CONTRADICTED' THEN 'bad' ELSE 'warn' END,
+  CASE WHEN ioc > 0 THEN 'good' WHEN ioc < 0 THEN 'bad' ELSE 'warn' END, CASE WHEN ambiguous THEN 'bad' ELSE 'good' END, CASE WHEN key_outlier THEN 'bad' WHEN grammar = 'homogeneous' THEN 'good' ELSE 'bad' END]) AS tone FROM questions q JOIN {JUDGED} j ON j.k = q.question_id // 1000
+  UNION ALL SELECT question_id, 'solvability', CASE WHEN p >= 0.9 THEN 'warn' ELSE 'info' END FROM (SELECT question_id, count(*) FILTER (correct AND NOT parse_failure) / nullif(count(*) FILTER (NOT parse_failure), 0) AS p FROM trials GROUP BY 1) WHERE p IS NOT NULL AND question_id IN (SELECT question_id FROM questions)""")
+def question_badges(fx):
+    """Colours of each question's judgements and difficulty."""
+    q = fx.questions.select("question_id", F.expr("question_id div 1000").alias("k")).join(judgements(fx), "k", "left")
+    return M.badges(q.join(M.item_difficulty(fx.trials).select("question_id", "p_value", "label"), "question_id", "left"))
+
+
+def judgements(fx):
     grammar = F.when(F.col("doc_id") % 5 == 1, "mixed").otherwise("homogeneous")
     cove = F.when(F.col("toxic") == 1, "CONTRADICTED").when(F.col("doc_id") % 7 == 0, "UNDERDETERMINED").otherwise("SUPPORTED")
-    judged = fx.labels.select(F.col("doc_id").alias("k"), (F.col("quality") == 1).alias("ambiguous"), (F.col("doc_id") % 5 == 0).alias("key_outlier"), grammar.alias("grammar"), (F.col("quality") - F.col("toxic")).alias("ioc_rating"), cove.alias("cove_verdict"))
-    q = L.lint(fx.questions).withColumn("k", F.expr("question_id div 1000")).join(judged, "k", "left")
-    return L.corpus_flags(q).select("question_id", F.array_join("corpus_flags", ",").alias("flags"), "has_length_clue", "flag_count", "ambiguous", "grammar", "ioc_rating", "cove_verdict")
+    return fx.labels.select(F.col("doc_id").alias("k"), (F.col("quality") == 1).alias("ambiguous"), (F.col("doc_id") % 5 == 0).alias("key_outlier"), grammar.alias("grammar"), (F.col("quality") - F.col("toxic")).alias("ioc_rating"), cove.alias("cove_verdict"))
 
 
 @query("R10_parse_pairs", "SELECT doc_id, 'm' || i AS misconception, 'c' || i AS correction FROM (SELECT doc_id, unnest(range(doc_id % 4)) AS i FROM labels) WHERE i <> 1")

@@ -136,6 +136,14 @@ def plausibility_diversity(fx):
     return p.groupBy("question_id").agg(F.round(F.avg(F.when(F.col("i") == 0, F.col("cosine"))), 6).alias("plausibility"), F.round(1 - F.avg(F.when(F.col("i") > 0, F.col("cosine"))), 6).alias("diversity"))
 
 
+@query("A2_lint_report_vectors", f"""SELECT count(*) AS n, round(avg(score), 1) AS average_score, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, round(avg(p::DECIMAL(20, 6)), 3)::DOUBLE AS mean_plausibility, round(avg(d::DECIMAL(20, 6)), 3)::DOUBLE AS mean_diversity, round(100.0 * count(p) / count(*), 1)::DOUBLE AS coverage
+  FROM {LINTED} l LEFT JOIN (SELECT question_id * 1000 AS q, avg(cosine) FILTER (i = 0) AS p, 1 - avg(cosine) FILTER (i > 0) AS d FROM {COS} WHERE question_id IN (SELECT question_id FROM option_vectors GROUP BY 1 HAVING count(*) = 4) GROUP BY 1) v ON v.q = l.question_id""")
+def lint_report_vectors(fx):
+    """The first question of a conversation has the vectors of its number."""
+    v = plausibility_diversity(fx)
+    return L.report(L.lint(fx.questions), v.withColumn("question_id", F.col("question_id") * 1000))
+
+
 @query("E2_best_match", f"SELECT question_id, j AS target, round(max(cosine), 9) AS best FROM (SELECT * FROM {COS} UNION ALL SELECT question_id, j, i, cosine FROM {COS}) GROUP BY 1, 2")
 def best_match(fx):
     p = L.option_pairs(fx.option_vectors)

@@ -84,6 +84,18 @@ def stem_verdict(fx):
     return stem_rows(fx).select("question_id", "pos", "verdict")
 
 
+EQUAL = """CASE doc_id % 5 WHEN 0 THEN 'Yes: {"equivalent": true, "reasoning": "same"}' WHEN 1 THEN '{"equivalent": false}' WHEN 2 THEN '{"equivalent": null}' WHEN 3 THEN '{"reasoning": "none"}' ELSE 'no object' END"""
+
+
+@query("R9_judged_verdict", f"SELECT doc_id AS question_id, CASE WHEN doc_id % 7 = 0 THEN 'unable' WHEN s >= 0.55 THEN 'pass' WHEN s >= 0.35 THEN 'partial' WHEN s IS NOT NULL THEN 'fail' WHEN doc_id % 5 = 0 THEN 'pass' WHEN doc_id % 5 IN (1, 2) THEN 'fail' END AS verdict FROM labels l LEFT JOIN (SELECT * FROM {SIM} WHERE pos = 3) v ON v.question_id = l.doc_id")
+def judged_verdict(fx):
+    """Free answers with a vector by similarity, the others by a judge's response."""
+    from gradus.operators.lint import option_pairs
+
+    s = option_pairs(fx.option_vectors).where("i = 0 AND j = 3").select(F.col("question_id").alias("doc_id"), F.col("cosine").alias("s"))
+    return fx.labels.join(s, "doc_id", "left").select(F.col("doc_id").alias("question_id"), R.stem_verdict(F.col("s"), F.col("doc_id") % 7 != 0, F.expr(EQUAL)).alias("verdict"))
+
+
 @query("A6_stem_only_report", f"SELECT round(100.0 * count(*) FILTER (v = 'pass') / count(*) FILTER (v <> 'unable'), 2) AS pass_rate, {exact_mean_sql('s', 4, " FILTER (v <> 'unable')")} AS mean_similarity, count(*) FILTER (v = 'pass') AS passed, count(*) FILTER (v = 'partial') AS partly, count(*) FILTER (v = 'fail') AS failed, count(*) FILTER (v = 'unable') AS unable FROM (SELECT s, {VERDICT} AS v FROM {SIM})")
 def stem_only_report(fx):
     v, is_ = F.col("verdict"), lambda x, n: F.count_if(F.col("verdict") == x).alias(n)
