@@ -42,6 +42,30 @@ def similar_pairs(sets: DataFrame, threshold: float, least: int = 1) -> DataFram
     return full.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def best_across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left (id, tokens), right (tokens): (id, best, exact) of each left row, best the highest Jaccard similarity of threshold or more with any right row (else null), exact whether one
+    has the same tokens in the same order. Right rows are taken once for each different list, and left rows for each different set, so copies cost nothing; a pair is compared only if it shares a rare token (the prefix
+    filter of `similar_pairs`), and what comes back is a row a left row."""
+    l = left.select("id", "tokens", F.array_sort(F.array_distinct("tokens")).alias("set"))
+    lists = right.select("tokens").where("size(tokens) > 0").distinct()
+    sets = saved(lists.select(F.array_sort(F.array_distinct("tokens")).alias("set")).distinct(), "across-right")
+    asked = saved(l.select("set").where("size(set) > 0").distinct(), "across-left")
+    df = asked.unionByName(sets).select(F.explode("set").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def posts(x: DataFrame, name: str) -> DataFrame:
+        n = F.size("set")
+        rows = x.select("set", F.explode("set").alias("t")).join(df, "t").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+        first = F.slice("r", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))
+        return rows.select(F.col("set").alias(name), n.alias(f"n_{name}"), F.explode(first).alias("r")).select(name, f"n_{name}", F.col("r.t").alias("t"))
+
+    a, b = posts(asked, "a"), posts(sets, "b")
+    met = a.join(b, "t").where((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
+    best = met.groupBy(F.col("a").alias("set")).agg(F.max(jaccard(F.col("a"), F.col("b"))).alias("best")).where(F.col("best") >= threshold)
+    same = l.select("tokens").distinct().join(lists, "tokens", "left_semi").withColumn("exact", F.lit(True))
+    out = l.join(best, "set", "left").join(same, "tokens", "left")
+    return out.select("id", "best", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 def keep_first_greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, kept): what a loop in id order keeps that drops an id alike to one kept earlier.
 

@@ -103,6 +103,17 @@ def distractor_match(fx):
     return matched(fx).select("item_id", "pos", "exact", F.round("best", 9).alias("best"), (F.col("best") >= 0.5).alias("fuzzy"))
 
 
+@query("D6_best_over_all", f"""WITH g AS {GOLD}, o AS (SELECT DISTINCT list_distinct(o) AS o FROM {OURS} WHERE len(o) > 0), w AS (SELECT DISTINCT list_distinct(g) AS g FROM g WHERE len(g) > 0),
+  b AS (SELECT w.g, max(len(list_intersect(w.g, o.o)) / len(list_distinct(list_concat(w.g, o.o)))) AS best FROM w JOIN o ON len(o.o) >= 0.5 * len(w.g) AND len(w.g) >= 0.5 * len(o.o) GROUP BY 1)
+  SELECT g.item_id, g.pos, round(CASE WHEN b.best >= 0.5 THEN b.best END, 9) AS best, len(g.g) > 0 AND g.g IN (SELECT o FROM {OURS}) AS exact FROM g LEFT JOIN b ON b.g = list_distinct(g.g)""")
+def best_over_all(fx):
+    """Each sentence of an item against the sentences of all documents; no match below 0.5."""
+    parts = lambda c: F.filter(F.transform(F.split(c, r"\."), lambda x: F.trim(x)), lambda x: x != "")
+    gold = fx.benchmark.select("item_id", F.posexplode(parts("text")).alias("pos", "s")).select(F.struct("item_id", "pos").alias("id"), stemmed(F.col("s")).alias("tokens"))
+    ours = fx.documents.select(F.explode(parts("text")).alias("s")).select(stemmed(F.col("s")).alias("tokens"))
+    return D.best_across(gold, ours, 0.5).select("id.item_id", "id.pos", F.round("best", 9).alias("best"), "exact")
+
+
 SEC = "(SELECT section_id, lesson_id, start_page, list_distinct(string_split(lower(title), ' ')) AS t, list_distinct([lower(x) for x in key_topics]) AS k FROM sections)"
 
 

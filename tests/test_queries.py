@@ -16,7 +16,7 @@ SOME = [
     "ST1_stream_item_difficulty", "ST5_stream_attempt_sessions", "T2_search_content", "T9_stratified_sample", "T11_shuffle_options", "W2_best_cluster", "W6_merge_windows", "W7_chapter_ranges", "X6_detect_language", "X13_detect_outline",
     "A5_solvability_report", "A6_stem_only_report", "A23_distractor_recovery", "A32_question_quality_map", "C3_coverage_delta", "C4_flag_delta", "C6_question_transitions", "C7_benchmark_overview", "C8_provider_reports", "D6_distractor_match",
     "D8_section_overlap_pairs", "F7_lo_grounded", "F9_bad_translations", "F12_drop_phantom_sections", "G5_ontology_context", "J12_cross_lesson_edges", "L18_corpus_flags", "R11_parse_objects", "R11_parse_relations", "R11_parse_sections",
-    "A2_lint_report_vectors", "L20_overview_lights", "L20_question_badges", "R9_judged_verdict", "A31_quiz_scores", "G4_clean_edges", "J2_edges_for_lesson", "R11_parse_objects", "T3_rag_context", "T15_focus_context", "A24_complete_languages", "J3_resolve_objective", "J5_question_pages", "D2_question_dedup_answer", "T13_lesson_context", "X21_vocabulary_maps", "U5_cohen_kappa", "U1_with_function", "U2_with_asked", "A10_coverage_levels", "A18_lo_clusters", "T10_quiz_autoselect", "G6_knowledge_base", "G11_kb_sections", "G12_kb_objects", "G13_infer_all", "S8_write_snapshot", "S9_read_snapshot", "S9_read_metrics", "S10_hydrate_metrics", "S10_hydrate_store", "D11_store_invalidated", "E2_best_match_all", "ST1_progress_report", "ST2_stream_spend", "ST2_stream_spend_sliding", "ST3_stream_metric_upsert", "S3_load_nested_bank", "S11_export_triples", "S13_source_passages", "W5_uncovered_runs", "X12_find_cues", "X15_outline_sample", "X19_assign_lo_pages",
+    "D6_best_over_all", "A2_lint_report_vectors", "L20_overview_lights", "L20_question_badges", "R9_judged_verdict", "A31_quiz_scores", "G4_clean_edges", "J2_edges_for_lesson", "R11_parse_objects", "T3_rag_context", "T15_focus_context", "A24_complete_languages", "J3_resolve_objective", "J5_question_pages", "D2_question_dedup_answer", "T13_lesson_context", "X21_vocabulary_maps", "U5_cohen_kappa", "U1_with_function", "U2_with_asked", "A10_coverage_levels", "A18_lo_clusters", "T10_quiz_autoselect", "G6_knowledge_base", "G11_kb_sections", "G12_kb_objects", "G13_infer_all", "S8_write_snapshot", "S9_read_snapshot", "S9_read_metrics", "S10_hydrate_metrics", "S10_hydrate_store", "D11_store_invalidated", "E2_best_match_all", "ST1_progress_report", "ST2_stream_spend", "ST2_stream_spend_sliding", "ST3_stream_metric_upsert", "S3_load_nested_bank", "S11_export_triples", "S13_source_passages", "W5_uncovered_runs", "X12_find_cues", "X15_outline_sample", "X19_assign_lo_pages",
 ]
 
 

@@ -74,6 +74,18 @@ def test_greedy_dedup_is_the_loop(spark):
     assert sorted(r["id"] for r in D.keep_first_greedy(df.select("id"), pairs).where("kept").collect()) == kept
 
 
+def test_best_across_is_the_best_of_all(spark):
+    rng = random.Random(12)
+    some = lambda n: [[rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 7))] for _ in range(n)]
+    left, right = some(60), some(150)
+    left += right[:5] + [list(reversed(right[6]))]
+    right += [right[0]] * 50
+    got = {r["id"]: (r["best"], r["exact"]) for r in D.best_across(spark.createDataFrame(list(enumerate(left)), "id long, tokens array<string>"), spark.createDataFrame([(r,) for r in right], "tokens array<string>"), 0.5).collect()}
+    for i, x in enumerate(left):
+        best = max((len(set(x) & set(y)) / len(set(x) | set(y)) for y in right if set(x) | set(y)), default=0)
+        assert got[i] == (pytest.approx(best) if best >= 0.5 else None, bool(x) and x in right)
+
+
 def test_runs_and_pages(spark):
     df = spark.createDataFrame([(1, p) for p in (1, 2, 3, 7, 9, 10)], "lesson_id long, page int")
     assert {(r["start"], r["end"]) for r in S.runs(df, ["lesson_id"]).collect()} == {(1, 3), (7, 7), (9, 10)}
