@@ -140,3 +140,21 @@ def test_foreign_reports_are_hydrated(spark, tmp_path):
     assert snapshots.hydrate(store, reports, at(3)) == (1, 4)  # an empty report counts as none
     assert snapshots.hydrate(store, reports, at(4), overwrite=True) == (5, 0)
     assert squeezed(store.current().collect()) == want
+
+
+def test_edges_are_cleaned_in_order(spark):
+    objects = [
+        (1, 1, 1, "Gravitational pull", "..."), (2, 1, 1, "gravitational pull ", "a copy of the first"), (3, 1, 2, "Orbit", "the Gravitational Pull keeps it"), (4, 1, 9, "Far away", "nothing"), (5, 2, 1, "Cell wall of a plant", "x"), (6, 2, 1, "Cell", "the cell wall of a plant, told"),
+        (7, 2, 1, "Wall of a plant", "x"), (8, 2, 5, "The wall of a plant cell", "the wall of a plant is here"),
+    ]
+    edges = [
+        (2, 3, "uses"), (1, 3, "uses"),  # one edge, after its end is bound to the first of its title
+        (1, 2, "relates_to"),  # both ends are one object
+        (4, 3, "relates_to"), (3, 1, "relates_to"),  # soft: far sections, neighbouring sections
+        (3, 4, "uses"),  # no evidence
+        (7, 8, "part_of"),  # a title within the other: turned round
+        (5, 6, "part_of"),
+    ]
+    lo = spark.createDataFrame(objects, "lo_id long, lesson long, section long, title string, content string")
+    got = {tuple(r) for r in G.clean(spark.createDataFrame(edges, EDGE), lo).collect()}
+    assert got == {(1, 1, 3, "uses"), (1, 3, 1, "relates_to"), (2, 8, 7, "part_of"), (2, 5, 6, "part_of")}
