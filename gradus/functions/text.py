@@ -46,14 +46,19 @@ def count_syllables(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(VOWELS)) + F.regexp_count(c, F.lit(bare)), F.lit(0))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does it: the nearest whole number of units, halves away from zero. (Spark's `round` looks at the decimal digits instead, and near a half the two differ.)"""
+    return F.round(c * 10.0**digits, 0) / 10.0**digits
+
+
 def flesch_ease(sentences: Column, words: Column, syllables: Column) -> Column:
     value = 206.835 - 1.015 * (words / F.nullif(sentences, F.lit(0))) - 84.6 * (syllables / F.nullif(words, F.lit(0)))
-    return F.round(value, 1)
+    return rounded(value, 1)
 
 
 def kincaid_grade(sentences: Column, words: Column, syllables: Column) -> Column:
     value = 0.39 * (words / F.nullif(sentences, F.lit(0))) + 11.8 * (syllables / F.nullif(words, F.lit(0))) - 15.59
-    return F.round(value, 1)
+    return rounded(value, 1)
 
 
 def grade_bucket(grade: Column) -> Column:

@@ -249,3 +249,13 @@ def test_means_do_not_depend_on_the_order(spark):
     one = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(T.exact_mean(F.col("x"), 2)).first()[0]
     assert one(values) == one(values[::-1]) == round(sum(values) / len(values), 2)
     assert one([]) is None
+
+
+def test_readability_near_a_half_is_rounded_as_in_sql(spark):
+    import duckdb
+
+    counts = [(s, w, y) for s in (1, 3, 7, 20) for w in range(40, 140, 3) for y in range(w, w + 160, 1)]
+    df = spark.createDataFrame(counts, "s long, w long, y long").select(T.flesch_ease(F.col("s"), F.col("w"), F.col("y")).alias("e"), T.kincaid_grade(F.col("s"), F.col("w"), F.col("y")).alias("g"))
+    sql = "SELECT round(206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (y / w), 1), round(0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (y / w) - 15.59::DOUBLE, 1)"
+    want = duckdb.execute(f"{sql} FROM (SELECT unnest(?) AS s, unnest(?) AS w, unnest(?) AS y)", [list(c) for c in zip(*counts, strict=True)]).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
