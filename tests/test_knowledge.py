@@ -46,6 +46,20 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     assert pairs.where("a >= b").count() == 0
 
 
+def test_cycles_are_one_node_in_the_closure(spark, monkeypatch):
+    """Groups on cycles of branching edges, each pair still once; groups that are found in parts, or in no bounded search, change nothing."""
+    rng = random.Random(8)
+    edges = {(rng.randrange(40) + 100 * g, rng.randrange(15) + 100 * g) for g in range(3) for _ in range(160)} | {(105, 5), (5, 203), (14, 1000), (1000, 1001)}
+    df = spark.createDataFrame([(k, *e) for e in sorted(edges) for k in (1, 2) if k == 1 or e[0] < 100], "k int, a long, b long")
+    want = [(k, *p) for k in (1, 2) for p in plain_closure(e for e in edges if k == 1 or e[0] < 100)]
+    monkeypatch.setattr(G, "FAN", 1)
+    assert G._groups(df, ["k"]) is not None
+    assert sorted(map(tuple, G.closure(df, ["k"]).select("k", "a", "b").collect())) == sorted(want)
+    monkeypatch.setattr(G, "STEPS", 1)
+    monkeypatch.setattr(G, "BROADCAST", 0)
+    assert sorted(map(tuple, G.closure(df, ["k"]).select("k", "a", "b").collect())) == sorted(want)
+
+
 def kb(spark):
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
     return K.knowledge_base(
