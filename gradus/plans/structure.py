@@ -171,12 +171,13 @@ def lo_title_shape(fx):
     return fx.learning_objects.select("lo_id", (F.length(t).between(1, 80) & (F.size(F.split(t, r"\s+")) <= 10)).alias("shaped"))
 
 
-@query("F7_lo_grounded", "SELECT lo_id, coalesce((length(title) >= 4 AND contains(lower(s.text), lower(title))) OR len([k for k in keywords if length(k) >= 4 AND contains(lower(s.text), lower(k))]) > 0, false) AS grounded FROM learning_objects LEFT JOIN documents s ON s.doc_id = lo_id")
+@query("F7_lo_grounded", "SELECT lo_id, s.doc_id, coalesce((length(title) >= 4 AND contains(lower(s.text), lower(title))) OR len([k for k in keywords if length(k) >= 4 AND contains(lower(s.text), lower(k))]) > 0, false) AS grounded FROM learning_objects LEFT JOIN documents s ON s.doc_id % (SELECT count(*) FROM benchmark) = lo_id")
 def lo_grounded(fx):
-    """Each object against the text of its own lesson, the one of its number."""
-    s = fx.documents.select(F.col("doc_id").alias("lo_id"), F.lower("text").alias("t"))
+    """Each object against the text of every document that falls to its number."""
+    items = fx.benchmark.agg(F.count("*").alias("items"))  # one row
+    s = fx.documents.join(F.broadcast(items)).select("doc_id", F.try_mod(F.col("doc_id"), F.col("items")).alias("lo_id"), F.lower("text").alias("t"))
     hit = ((F.length("title") >= 4) & F.contains("t", F.lower("title"))) | F.exists("keywords", lambda k: (F.length(k) >= 4) & F.contains(F.col("t"), F.lower(k)))
-    return fx.learning_objects.join(s, "lo_id", "left").select("lo_id", F.coalesce(hit, F.lit(False)).alias("grounded"))
+    return fx.learning_objects.join(s, "lo_id", "left").select("lo_id", "doc_id", F.coalesce(hit, F.lit(False)).alias("grounded"))
 
 
 COPIED = "lower(trim(translated)) = lower(trim(original)) OR (original <> '' AND starts_with(translated, substr(original, 1, {n})))"

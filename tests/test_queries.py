@@ -55,3 +55,9 @@ def test_entry_imports():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_objects_are_grounded_in_every_document(spark):
+    """Documents are dealt out to the objects by their number; none is left unread."""
+    got = {r["doc_id"] for r in QUERIES["F7_lo_grounded"](spark, DIR).collect()} - {None}
+    assert got == {r["doc_id"] for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id").collect()}
