@@ -55,13 +55,13 @@ def question_dedup_near(fx):
     return D.keep_first_greedy(fx.questions.select(F.col("question_id").alias("id")), D.similar_pairs(stems(fx), 0.7, 12))
 
 
-LS = f"(SELECT * FROM (SELECT section_id AS id, list_distinct([lesson_id || '|' || w for w in string_split_regex(lower(lo_title), '\\s+') if length(w) >= 3]) AS t FROM section_objects) WHERE len(t) >= 1)"
+LS = f"(SELECT * FROM (SELECT section_id AS id, list_distinct([w for w in string_split_regex(lower(title), '\\s+') if length(w) >= 3]) AS t FROM sections) WHERE len(t) >= 1)"
 
 
 def titles(fx):
-    """Titles of learning objects as words that carry their lesson, so that only objects of one lesson are alike."""
-    words = F.filter(F.split(F.lower("lo_title"), r"\s+"), lambda w: F.length(w) >= 3)
-    return fx.section_objects.select(F.col("section_id").alias("id"), F.transform(words, lambda w: F.concat_ws("|", F.col("lesson_id").cast("string"), w)).alias("tokens"))
+    """Titles of all sections as words; sections of different lessons are compared too."""
+    words = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) >= 3)
+    return fx.sections.select(F.col("section_id").alias("id"), words.alias("tokens"))
 
 
 @query("D4_lo_near_pairs", f"SELECT a, b, round(j, 9) AS similarity FROM {pair_sql(LS, 0.6)}")

@@ -61,3 +61,8 @@ def test_objects_are_grounded_in_every_document(spark):
     """Documents are dealt out to the objects by their number; none is left unread."""
     got = {r["doc_id"] for r in QUERIES["F7_lo_grounded"](spark, DIR).collect()} - {None}
     assert got == {r["doc_id"] for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id").collect()}
+
+
+def test_near_titles_of_different_lessons_are_pairs(spark):
+    pairs = QUERIES["D4_lo_near_pairs"](spark, DIR).collect()
+    assert any(r["a"] // 1000 != r["b"] // 1000 for r in pairs) and any(r["a"] % 3 for r in pairs)
