@@ -227,7 +227,7 @@ def lesson_tree(fx):
 @query("J2_edges_for_lesson", "SELECT l.lesson AS lesson, e.source_id, e.target_id, s.title AS source_title, t.title AS target_title FROM (SELECT DISTINCT lo_lesson AS lesson FROM learning_objects) l JOIN edges e ON e.source_id // 28 = l.lesson OR e.target_id // 28 = l.lesson JOIN learning_objects s ON s.lo_id = source_id JOIN learning_objects t ON t.lo_id = target_id")
 def edges_for_lesson(fx):
     lo = fx.learning_objects
-    of = lambda side: fx.edges.join(lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias("lesson")), side).select("lesson", "source_id", "target_id")
+    of = lambda side: fx.object_edges.join(lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias("lesson")), side).select("lesson", "source_id", "target_id")
     e = of("source_id").unionByName(of("target_id")).distinct()
     return e.join(lo.select(F.col("lo_id").alias("source_id"), F.col("title").alias("source_title")), "source_id").join(lo.select(F.col("lo_id").alias("target_id"), F.col("title").alias("target_title")), "target_id")
 
@@ -460,7 +460,7 @@ def cross_lesson_edges(fx):
     """Each lesson with the next one and alone, at seven offsets."""
     lo = fx.learning_objects
     ends = lambda side, x: lo.select(F.col("lo_id").alias(side), F.col("lo_lesson").alias(f"l{x}"), F.col("lo_section").alias(f"s{x}"))
-    e = fx.edges.join(ends("source_id", "s"), "source_id").join(ends("target_id", "t"), "target_id")
+    e = fx.object_edges.join(ends("source_id", "s"), "source_id").join(ends("target_id", "t"), "target_id")
     lessons = lo.select(F.col("lo_lesson").alias("lesson")).distinct()
     pairs = lessons.withColumn("second_lesson", F.explode(F.array(F.col("lesson") + 1, F.lit(None).cast("long"))))
     asked = pairs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(6))))

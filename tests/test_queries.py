@@ -66,3 +66,14 @@ def test_objects_are_grounded_in_every_document(spark):
 def test_near_titles_of_different_lessons_are_pairs(spark):
     pairs = QUERIES["D4_lo_near_pairs"](spark, DIR).collect()
     assert any(r["a"] // 1000 != r["b"] // 1000 for r in pairs) and any(r["a"] % 3 for r in pairs)
+
+
+def test_edges_of_objects_are_cut_before_they_are_grouped(spark):
+    from gradus.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, DIR)
+    lo = {r["item_id"] for r in fx.benchmark.collect()}
+    want = {tuple(r) for r in fx.edges.collect() if r["source_id"] in lo and r["target_id"] in lo}
+    assert {tuple(r) for r in fx.object_edges.collect()} == want and want
+    plan = fx.object_edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
