@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.sources.io import saved
+
 #: Hexadecimal digits of the hash that a cut-off looks at.
 DIGITS = 12
+#: Strata up to which their cut-offs are broadcast. (Joined by a shuffle, few strata would each be one task's.)
+BROADCAST = 100_000
 
 
 def order(id_: Column, seed: str) -> Column:
@@ -24,10 +28,13 @@ def lowest(df: DataFrame, stratum: str, take: DataFrame, id_: str, seed: str) ->
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_g")).join(take.where("take > 0").select(stratum, F.col("take").cast("long").alias("_take")), stratum)
     share = (F.col("_take") + 4 * F.sqrt("_take") + 8) / F.col("_g")
     cut = F.lpad(F.lower(F.hex(F.floor(share * 16**DIGITS).cast("long"))), DIGITS, "0")
-    cuts = sizes.select(stratum, "_take", F.when(share < 1, cut).alias("_cut"))
+    cuts = saved(sizes.select(stratum, "_take", F.when(share < 1, cut).alias("_cut")), "cuts")
+    few = F.broadcast if cuts.count() <= BROADCAST else lambda x: x
+    cuts = few(cuts)
     below = hashed.join(cuts, stratum).where(F.col("_cut").isNull() | (F.substring("_h", 1, DIGITS) < F.col("_cut")))
     seen = below.groupBy(stratum).agg(F.count("*").alias("_n"))
     short = cuts.where("_cut IS NOT NULL").join(seen, stratum, "left").where(F.coalesce("_n", F.lit(0)) < F.col("_take")).select(stratum, "_take")
+    short = few(saved(short, "short"))
     rows = below.join(short, stratum, "left_anti").drop("_cut").unionByName(hashed.join(short, stratum))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", id_))
     return rows.withColumn("_r", rank).where("_r <= _take").select(*df.columns)

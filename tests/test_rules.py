@@ -280,3 +280,10 @@ def test_keyword_listed_twice_is_one_keyword(spark):
     pages = spark.createDataFrame([(1, 1, "that " * 17), (1, 2, "none"), (1, 3, "that that"), (1, 4, "that")], "lesson_id long, page int, page_text string")
     objects = spark.createDataFrame([(7, 1, 2, 4, "qq 7", ["that", "that"]), (8, 1, 2, 4, "qq 8", ["that"])], "section_id long, lesson_id long, start_page int, end_page int, lo_title string, keywords array<string>")
     assert {r["section_id"]: r["pages"] for r in S.assign_pages(objects, pages).collect()} == {7: [2], 8: [3]}
+
+
+def test_strata_of_a_sample_are_not_shuffled_whole(spark):
+    """Rows meet the cut-offs of their strata where they are read."""
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("book"))
+    plan = P.proportional(df, "book", 40, "id", "7")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
