@@ -1,6 +1,7 @@
 """Contexts, colours and scores on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.functions import responses as R
 from gradus.operators import context as X
@@ -58,3 +59,12 @@ def test_equivalence(spark):
     assert [r[0] for r in rows.select(R.equivalent(F.col("r"))).collect()] == [True, True, False, False, False, False, None, None, None]
     verdicts = rows.select(R.stem_verdict(F.lit(None).cast("double"), F.lit(True), F.col("r"))).collect()
     assert [r[0] for r in verdicts] == ["pass", "pass", "fail", "fail", "fail", "fail", None, None, None]
+
+
+def test_prompts_come_in_bounded_numbers(spark):
+    from gradus.operators import injected as U
+
+    df = spark.range(2 * U.PROMPTS + 7).coalesce(1).select("id", F.col("id").cast("string").alias("p"), F.array("id").alias("kept"))
+    got = U.with_responses(df, "id", "p", fn=lambda prompts: [f"{len(prompts)}:{p}" for p in prompts]).collect()
+    assert {int(r["response"].split(":")[0]) for r in got} <= set(range(1, U.PROMPTS + 1)) and len(got) == 2 * U.PROMPTS + 7
+    assert all(r["response"].split(":")[1] == r["p"] and r["kept"] == [r["id"]] for r in got)
