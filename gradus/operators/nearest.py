@@ -23,6 +23,8 @@ from gradus.sources.io import saved
 
 #: Candidates that a bucket should hold, and rows of a chunk of a bucket that holds more.
 BUCKET, CHUNK = 64, 2_048
+#: Rows that a task posts at a time.
+POSTS = 8_192
 #: Rows up to which the list of large buckets is broadcast.
 BROADCAST = 100_000
 
@@ -41,6 +43,11 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def at_once(times: int) -> int:
+    """Vectors that are posted at a time, each under so many buckets: with more tables, fewer."""
+    return max(POSTS // times, 1)
+
+
 def coded(vectors: DataFrame, dims: int, bits: int, tables: int, seed: int, flips: bool) -> DataFrame:
     """(id, vector of length 1, bucket): a row for each table, or with flips also for each bucket that is one sign away."""
     planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
@@ -48,9 +55,10 @@ def coded(vectors: DataFrame, dims: int, bits: int, tables: int, seed: int, flip
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(bits, dtype=np.int64)
+        rows = at_once(tables * len(masks))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 unit = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, dims)
                 unit /= np.abs(unit).max(axis=1, keepdims=True)
                 unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
@@ -58,9 +66,9 @@ def coded(vectors: DataFrame, dims: int, bits: int, tables: int, seed: int, flip
                 codes = (signs @ powers) + (np.arange(tables, dtype=np.int64) << 32)
                 codes = (codes[:, :, None] ^ masks).reshape(part.num_rows, -1)
                 times = codes.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(0).to_numpy(), times)), pa.array(list(np.repeat(unit, times, axis=0)), pa.list_(pa.float64())), pa.array(codes.ravel())], names=["id", "vector", "bucket"]
-                )
+                ends = pa.array(np.arange(0, codes.size * dims + 1, dims, dtype=np.int32))
+                copies = pa.ListArray.from_arrays(ends, pa.array(np.repeat(unit, times, axis=0).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), times)), copies, pa.array(codes.ravel())], names=["id", "vector", "bucket"])
 
     return vectors.mapInArrow(task, "id long, vector array<double>, bucket long")
 

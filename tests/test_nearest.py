@@ -44,3 +44,10 @@ def test_copies_ties_and_vectors_without_direction(spark, monkeypatch):
     assert N.best_matches(frame(spark, targets), empty).count() == 0 and N.best_matches(empty, frame(spark, candidates)).count() == 0
     sizes = {n: N.plan(n, 0.75, 0.01) for n in (0, 1, 10**4, 10**8)}
     assert sizes[0] == sizes[1] and sizes[10**8][0] > sizes[10**4][0]
+
+
+def test_what_a_task_posts_at_a_time_does_not_grow_with_the_tables():
+    for n in (10**3, 10**6, 10**8):
+        bits, tables = N.plan(n, 0.75, 1e-9)
+        times = tables * (bits + 1)
+        assert N.at_once(times) >= 1 and N.at_once(times) * times <= max(N.POSTS, times)
