@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hits that are handed back at a time.
 ROWS = 50_000
+#: Texts whose lists are searched at a time.
+TEXTS = 500
 
 
 def places(text: str, phrases: list[str], automaton: ahocorasick.Automaton, most: int | None) -> dict[str, list[int]]:
@@ -60,3 +63,27 @@ def occurrences(texts: DataFrame, phrases: DataFrame, key: str = "lesson_id", mo
             yield batch()
 
     return held.join(sought, "key").select("key", "texts", "phrases").mapInArrow(task, "key long, part long, phrase string, nth long, offset long").withColumnRenamed("key", key)
+
+
+def coming_again(texts: DataFrame) -> DataFrame:
+    """texts (lesson_id, raw, tried: page, end, listed, low): (lesson_id, page, items, hits, listed), a row a list that was tried; hits are the entries of `low` that stand in the text from
+    the offset `end` on. An entry is sought from there until it is found, which most are soon; empty and null ones have no hits."""
+    out = ["lesson_id", "page", "items", "hits", "listed"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                lesson, raw, tried = whole.slice(at, TEXTS).columns
+                page, end, listed, low = tried.flatten().flatten()
+                parents = [i for i, n in enumerate(pc.list_value_length(tried).to_pylist()) for _ in range(n)]
+                asked = low.to_pylist()
+                text, held, hits = "", -1, []
+                for i, e, entries in zip(parents, end.to_pylist(), asked, strict=True):
+                    if i != held:
+                        text, held = raw[i].as_py(), i
+                    hits.append(sum(1 for w in entries if w and text.find(w, e) >= 0))
+                items = pa.array([len(x) for x in asked], pa.int64())
+                yield pa.RecordBatch.from_arrays([lesson.take(pa.array(parents, pa.int64())), page, items, pa.array(hits, pa.int64()), listed], out)
+
+    rows = texts.select(F.col("lesson_id").cast("long"), "raw", "tried")
+    return rows.mapInArrow(task, "lesson_id long, page long, items long, hits long, listed array<string>")

@@ -56,6 +56,14 @@ def test_outline(spark):
     assert got == {1: (2, 4, 3, ["Mass", "Force", "Energy", "Nowhere"]), 4: (2, 4, 3, ["Mass", "Force", "Energy", "Nowhere"]), 6: (1, 4, 4, ["MASS", "Mass", "mass", "force"])} or got[4][0] == 1
 
 
+def test_outline_shuffles_pages_once(spark):
+    """Entries are counted where a lesson's text is; one shuffle brings its pages together, one its candidates."""
+    lessons = {1: ["x", "alpha\nbeta one\ngamma two\ndelta three and more", "beta one", "gamma two", "DELTA three and more"], 2: ["nothing"] * 3}
+    out = S.outline(paged(spark, lessons), S.outline_lines(F.col("page_text")), 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 3, 3, ["beta one", "gamma two", "delta three and more"])]
+
+
 def test_missing_outline(spark):
     toc = "Contents\nMass and weight.\nForce\nEnergy\nHeat\nHeat transfer\nNowhere at all\nPlanned"
     pages = [toc, f"Mass and weight {BODY}", f"The force {BODY}", f"Energy {BODY}", f"Heat {BODY}. Heat transfer {BODY}", "Planned " + BODY, "end"]
