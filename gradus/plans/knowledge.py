@@ -149,7 +149,7 @@ def export_triples(fx):
         G.facts(fx.learning_objects, node("lo", "lo_id"), {"type": F.col("object_type"), "label": F.col("title"), "hasContent": F.substring("content", 1, 500)}, {}),
         G.facts(fx.learning_objects.withColumn("k", F.explode("keywords")), node("lo", "lo_id"), {"hasKeyword": F.col("k")}, {}),
         G.facts(fx.questions, node("question", "question_id"), {"type": F.lit("Question"), "questionText": F.col("question_text"), "soloLevel": F.col("solo_level"), "correctAnswer": F.col("correct_answer")}, {"assesses": node("lo", "learning_object_id")}),
-        fx.edges.select(node("lo", "source_id").alias("s"), F.col("relationship_type").alias("p"), node("lo", "target_id").alias("o"), F.lit(True).alias("node")).distinct(),
+        fx.edges.select(node("lo", "source_id").alias("s"), F.col("relationship_type").alias("p"), node("lo", "target_id").alias("o"), F.lit(True).alias("node")),  # an edge a pair, so all differ
     ]
     every = parts[0]
     for more in parts[1:]:

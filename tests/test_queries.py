@@ -77,3 +77,15 @@ def test_edges_of_objects_are_cut_before_they_are_grouped(spark):
     assert {tuple(r) for r in fx.object_edges.collect()} == want and want
     plan = fx.object_edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_edges_are_dealt_to_more_tasks_as_the_table_grows(spark, monkeypatch):
+    from gradus.sources import fixtures
+
+    plain = fixtures.Fixtures(spark, DIR).edges
+    want = sorted(tuple(r) for r in plain.collect())
+    monkeypatch.setattr(fixtures, "EDGE_ROWS", 500)
+    dealt = fixtures.Fixtures(spark, DIR).edges
+    rows = dealt.sparkSession.read.parquet(f"{DIR}/lineitem.parquet").count()
+    assert dealt.rdd.getNumPartitions() == rows // 500 + 1 > 4 and sorted(tuple(r) for r in dealt.collect()) == want
+    assert "SortAggregate" not in plain._jdf.queryExecution().executedPlan().toString()
