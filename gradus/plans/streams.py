@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradus.operators import injected as U
 from gradus.operators import sequences as Q
 from gradus.sources.fixtures import Fixtures
-from gradus.sources.io import fresh
+from gradus.sources.io import fresh, saved
 from gradus.streaming import jobs as J
 from gradus.streaming.keyed import MetricStore
 from gradus.streaming.questions import QuestionIndex, keep_unique
@@ -88,7 +88,7 @@ def stream_question_dedup(fx):
 def stream_question_unique(fx):
     """The bank's questions in three deliveries, each taken up by a run that resumes the last. Rounds of decisions can't be written as SQL; tests hold it against a loop."""
     spark, root = fx.spark, fresh(fx.spark, "st4")
-    q = fx.questions.select("question_id", "question_text", "correct_answer", "learning_object_id", "question_section_id")
+    q = saved(fx.questions.select("question_id", "question_text", "correct_answer", "learning_object_id", "question_section_id"), "st4-questions")
     cuts = q.approxQuantile("question_id", [1 / 3, 2 / 3], 0.01)
     index = QuestionIndex(spark, f"{root}/index")
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):

@@ -24,6 +24,11 @@ from gradus.streaming.jobs import StreamingQuery, finish
 GROUPS = ("text", "answer", "stem")
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: each round of each batch would send what is still small enough through the driver."""
+    return side.hint("merge")
+
+
 def described(questions: DataFrame, least: int) -> DataFrame:
     """questions (question_id, question_text, correct_answer, learning_object_id, question_section_id): (id, text, answer, stem, words). Null where a group has no say: a question without text
     is no question, one without an answer repeats none, a stem of fewer than `least` different words is too short to compare."""
@@ -34,7 +39,7 @@ def described(questions: DataFrame, least: int) -> DataFrame:
 
 def posted(stems: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
     """stems (stem, words): (stem, n, word) for the first words of each by (rank, word); words without a rank come first."""
-    rows = stems.select("stem", F.size("words").alias("n"), F.explode("words").alias("word")).join(ranks, "word", "left")
+    rows = stems.select("stem", F.size("words").alias("n"), F.explode("words").alias("word")).join(shuffled(ranks), "word", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(0).cast("long")).alias("rank"), "word")))
     firsts = rows.groupBy("stem", "n").agg(order.alias("w"))
     return firsts.select("stem", "n", F.explode(F.slice("w", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n")) + 1).cast("int"))).alias("w")).select("stem", "n", F.col("w.word").alias("word"))
@@ -43,7 +48,7 @@ def posted(stems: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
 def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of different stems of two postings whose words' Jaccard similarity is threshold or more."""
     a, b = left.select(F.col("stem").alias("a"), F.col("n").alias("na"), "word"), right.select(F.col("stem").alias("b"), F.col("n").alias("nb"), "word")
-    met = a.join(b, "word").where((F.col("a") != F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
+    met = a.join(shuffled(b), "word").where((F.col("a") != F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
     return met.where(jaccard(F.split("a", " "), F.split("b", " ")) >= threshold)
 
 
@@ -56,9 +61,9 @@ def decide(q: DataFrame, near: DataFrame) -> DataFrame:
         out = state
         beaten, waits = F.lit(False), F.lit(False)
         groups = {g: state.where(F.col(g).isNotNull()).groupBy(g).agg(first(kept).alias(f"{g}_kept"), first(open_).alias(f"{g}_open")) for g in GROUPS}
-        others = near.join(groups["stem"], near["b"] == groups["stem"]["stem"]).groupBy(F.col("a").alias("stem")).agg(F.min("stem_kept").alias("near_kept"), F.min("stem_open").alias("near_open"))
+        others = near.join(shuffled(groups["stem"]), near["b"] == groups["stem"]["stem"]).groupBy(F.col("a").alias("stem")).agg(F.min("stem_kept").alias("near_kept"), F.min("stem_open").alias("near_open"))
         for g, rows in [*groups.items(), ("near", others)]:
-            out = out.join(rows, "stem" if g == "near" else g, "left")
+            out = out.join(shuffled(rows), "stem" if g == "near" else g, "left")
             beaten = beaten | F.coalesce(F.col(f"{g}_kept") < F.col("id"), F.lit(False))
             waits = waits | F.coalesce(F.col(f"{g}_open") < F.col("id"), F.lit(False))
         state = saved(out.select("id", *GROUPS, F.when(~open_, F.col("kept")).when(beaten, False).when(~waits, True).alias("kept")), "unique-state")
@@ -98,12 +103,12 @@ class QuestionIndex:
         old = self._before("kept", "id long, text string, answer string, stem string", batch)
         repeats = alike(stems, self._before("postings", "stem string, n int, word string", batch), self.threshold).select(F.col("a").alias("stem"))
         for g in ("text", "answer"):
-            q = q.join(old.where(F.col(g).isNotNull()).select(g).distinct(), g, "left_anti")
-        q = saved(q.join(old.select("stem").where("stem IS NOT NULL").unionByName(repeats).distinct(), "stem", "left_anti"), "unique-new")
-        left = stems.join(q.where("stem IS NOT NULL").select("stem").distinct(), "stem", "left_semi")
-        keeps = q.join(decide(q, saved(alike(left, left, self.threshold), "unique-near")).where("kept").select("id"), "id", "left_semi")
+            q = q.join(shuffled(old.where(F.col(g).isNotNull()).select(g).distinct()), g, "left_anti")
+        q = saved(q.join(shuffled(old.select("stem").where("stem IS NOT NULL").unionByName(repeats).distinct()), "stem", "left_anti"), "unique-new")
+        left = stems.join(shuffled(q.where("stem IS NOT NULL").select("stem").distinct()), "stem", "left_semi")
+        keeps = q.join(shuffled(decide(q, saved(alike(left, left, self.threshold), "unique-near")).where("kept").select("id")), "id", "left_semi")
         kept = self._append(keeps.select("id", *GROUPS), "kept", batch)
-        self._append(left.join(kept.where("stem IS NOT NULL").select("stem").distinct(), "stem", "left_semi"), "postings", batch)
+        self._append(left.join(shuffled(kept.where("stem IS NOT NULL").select("stem").distinct()), "stem", "left_semi"), "postings", batch)
 
 
 def keep_unique(questions: DataFrame, index: QuestionIndex, state: str) -> StreamingQuery:

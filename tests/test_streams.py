@@ -229,3 +229,14 @@ def test_copies_make_no_pairs(spark, tmp_path):
     index.add(spark.createDataFrame(rows, QUESTION), 0)
     assert [r["id"] for r in index.kept().collect()] == [0]
     assert spark.read.parquet(f"{tmp_path}/index/postings").select("stem").distinct().count() == 1
+
+
+def test_stems_meet_without_a_broadcast(spark):
+    """Small sides don't go through the driver either: there is a join for each round of each batch."""
+    from gradus.streaming.questions import alike, posted
+
+    words = spark.createDataFrame([("a b c", ["a", "b", "c"]), ("a b c d", ["a", "b", "c", "d"]), ("x", ["x"])], "stem string, words array<string>")
+    posts = posted(words, spark.createDataFrame([("a", 2), ("b", 2)], "word string, rank long"), 0.7)
+    met = alike(posts, posts, 0.7)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in met.collect()) == [("a b c", "a b c d"), ("a b c d", "a b c")]
