@@ -127,8 +127,8 @@ ESC = r"""replace(replace(replace(replace(replace({x}, '\', '\\'), '"', '\"'), c
 NODE = "'<urn:x:' || {x} || '>'"
 FACTS = {  # predicate: (subject, object, rows, whether the object is a node)
     "lesson": [("type", "'Lesson'", 0), ("label", "title", 0), ("belongsTo", "'course_' || regexp_extract(course_id, '[0-9]+$')", 1)],
-    "section": [("type", "'Section'", 0), ("label", "title", 0), ("hasContent", "substr(content, 1, 500)", 0), ("startPage", "start_page", 0), ("endPage", "end_page", 0), ("orderIndex", "order_index", 0), ("inLesson", "'lesson_' || lesson_id", 1)],
-    "lo": [("type", "object_type", 0), ("label", "title", 0), ("hasContent", "substr(content, 1, 500)", 0), ("hasKeyword", "unnest(keywords)", 0)],
+    "section": [("type", "'Section'", 0), ("label", "title", 0), ("hasContent", "content", 0), ("startPage", "start_page", 0), ("endPage", "end_page", 0), ("orderIndex", "order_index", 0), ("inLesson", "'lesson_' || lesson_id", 1)],
+    "lo": [("type", "object_type", 0), ("label", "title", 0), ("hasContent", "content", 0), ("hasKeyword", "unnest(keywords)", 0)],
     "question": [("type", "'Question'", 0), ("questionText", "question_text", 0), ("soloLevel", "solo_level", 0), ("correctAnswer", "correct_answer", 0), ("assesses", "'lo_' || learning_object_id", 1)],
 }
 TABLE_OF = {"lesson": ("lessons", "lesson_id"), "section": ("sections", "section_id"), "lo": ("learning_objects", "lo_id"), "question": ("questions", "question_id")}
@@ -145,8 +145,8 @@ def export_triples(fx):
     node = lambda kind, c: F.concat(F.lit(f"{kind}_"), text(c))
     parts = [
         G.facts(fx.lessons, node("lesson", "lesson_id"), {"type": F.lit("Lesson"), "label": F.col("title")}, {"belongsTo": F.concat(F.lit("course_"), F.regexp_extract("course_id", "[0-9]+$", 0))}),
-        G.facts(fx.sections, node("section", "section_id"), {"type": F.lit("Section"), "label": F.col("title"), "hasContent": F.substring("content", 1, 500), "startPage": text("start_page"), "endPage": text("end_page"), "orderIndex": text("order_index")}, {"inLesson": node("lesson", "lesson_id")}),
-        G.facts(fx.learning_objects, node("lo", "lo_id"), {"type": F.col("object_type"), "label": F.col("title"), "hasContent": F.substring("content", 1, 500)}, {}),
+        G.facts(fx.sections, node("section", "section_id"), {"type": F.lit("Section"), "label": F.col("title"), "hasContent": F.col("content"), "startPage": text("start_page"), "endPage": text("end_page"), "orderIndex": text("order_index")}, {"inLesson": node("lesson", "lesson_id")}),
+        G.facts(fx.learning_objects, node("lo", "lo_id"), {"type": F.col("object_type"), "label": F.col("title"), "hasContent": F.col("content")}, {}),
         G.facts(fx.learning_objects.withColumn("k", F.explode("keywords")), node("lo", "lo_id"), {"hasKeyword": F.col("k")}, {}),
         G.facts(fx.questions, node("question", "question_id"), {"type": F.lit("Question"), "questionText": F.col("question_text"), "soloLevel": F.col("solo_level"), "correctAnswer": F.col("correct_answer")}, {"assesses": node("lo", "learning_object_id")}),
         fx.edges.select(node("lo", "source_id").alias("s"), F.col("relationship_type").alias("p"), node("lo", "target_id").alias("o"), F.lit(True).alias("node")),  # an edge a pair, so all differ

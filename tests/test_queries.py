@@ -89,3 +89,13 @@ def test_edges_are_dealt_to_more_tasks_as_the_table_grows(spark, monkeypatch):
     rows = dealt.sparkSession.read.parquet(f"{DIR}/lineitem.parquet").count()
     assert dealt.rdd.getNumPartitions() == rows // 500 + 1 > 4 and sorted(tuple(r) for r in dealt.collect()) == want
     assert "SortAggregate" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_triples_hold_whole_contents(spark):
+    from gradus.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, DIR)
+    plain = lambda x: x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
+    want = {plain(r["content"]) for r in fx.sections.select("content").union(fx.learning_objects.select("content")).collect()}
+    lines = [r["line"] for r in QUERIES["S11_export_triples"](spark, DIR).where("contains(line, '<urn:x:hasContent>')").collect()]
+    assert {x.split('> "', 1)[1].removesuffix('" .') for x in lines} == want and max(map(len, want)) > 500
