@@ -46,13 +46,13 @@ def stems(fx):
 
 @query("D3_question_near_pairs", f"SELECT a, b, round(j, 9) AS similarity FROM {pair_sql(QS, 0.7)}")
 def question_near_pairs(fx):
-    return D.similar_pairs(stems(fx), 0.7, 12).withColumn("similarity", F.round("similarity", 9))
+    return D.similar_pairs(stems(fx), 0.7, 12, digits=9)
 
 
 @query("D3_question_dedup_near")
 def question_dedup_near(fx):
     """Greedy keep-first over the near pairs; rounds can't be written as one SQL query, so tests hold it against a loop."""
-    return D.keep_first_greedy(fx.questions.select(F.col("question_id").alias("id")), D.similar_pairs(stems(fx), 0.7, 12))
+    return D.keep_first_near(stems(fx), 0.7, 12)
 
 
 LS = f"(SELECT * FROM (SELECT section_id AS id, list_distinct([w for w in string_split_regex(lower(title), '\\s+') if length(w) >= 3]) AS t FROM sections) WHERE len(t) >= 1)"
@@ -66,13 +66,13 @@ def titles(fx):
 
 @query("D4_lo_near_pairs", f"SELECT a, b, round(j, 9) AS similarity FROM {pair_sql(LS, 0.6)}")
 def lo_near_pairs(fx):
-    return D.similar_pairs(titles(fx), 0.6).withColumn("similarity", F.round("similarity", 9))
+    return D.similar_pairs(titles(fx), 0.6, digits=9)
 
 
 @query("D4_lo_dedup")
 def lo_dedup(fx):
     some = titles(fx).where("size(tokens) > 0")
-    return D.keep_first_greedy(some.select("id"), D.similar_pairs(some, 0.6))
+    return D.keep_first_near(some, 0.6)
 
 
 @query("D5_edge_dedup", "SELECT l_partkey % 40 AS source_id, l_suppkey % 40 AS target_id, l_returnflag AS type, min(l_orderkey * 10 + l_linenumber) AS first_edge FROM lineitem GROUP BY 1, 2, 3")

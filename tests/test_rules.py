@@ -74,6 +74,29 @@ def test_greedy_dedup_is_the_loop(spark):
     assert sorted(r["id"] for r in D.keep_first_greedy(df.select("id"), pairs).where("kept").collect()) == kept
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.7])
+def test_copies_are_compared_once(spark, monkeypatch, threshold):
+    """Rows with equal sets make every pair of the result, but neither pairs to compare nor pairs for the greedy loop; also where they fill several blocks."""
+    rng = random.Random(7)
+    different = [rng.sample("abcdefghij", rng.randint(0, 6)) for _ in range(70)]
+    sets = {i: rng.choice(different) for i in range(100, 300)} | {i: list("abc") for i in range(0, 90, 3)}
+    alike = lambda x, y: bool(x and y) and len(set(x) & set(y)) / len(set(x) | set(y)) >= threshold
+    want = {(a, b): round(len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])), 9) for a in sets for b in sets if a < b and alike(sets[a], sets[b])}
+    kept = []
+    for i in sorted(sets):
+        if not any(alike(sets[i], sets[j]) for j in kept):
+            kept.append(i)
+    written, real = {}, D.saved
+    monkeypatch.setattr(D, "saved", lambda df, name: written.setdefault(name, []).append(real(df, name)) or written[name][-1])
+    monkeypatch.setattr(D, "MEMBERS", 7, raising=False)
+    df = spark.createDataFrame([(i, [*s, *s[:1]]) for i, s in sets.items()], "id long, tokens array<string>")
+    got = [tuple(r) for r in D.similar_pairs(df, threshold, digits=9).collect()]
+    assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want
+    assert sorted(r["id"] for r in D.keep_first_near(df, threshold).where("kept").collect()) == kept
+    once = {frozenset(x) for x in sets.values()}
+    assert written["similar-blocks"][0].where("blocks > 1").count() > 2 and written["greedy-pairs"][0].count() * 2 == sum(alike(x, y) for x in once for y in once if x != y)
+
+
 def test_best_across_is_the_best_of_all(spark):
     rng = random.Random(12)
     some = lambda n: [[rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 7))] for _ in range(n)]
