@@ -8,6 +8,8 @@ from gradus.operators import lint as L
 from gradus.operators import nearest as N
 from gradus.sources.fixture_sql import TOK
 
+from gradus.sources.io import saved
+
 from .registry import query
 
 O = "[trim(coalesce(o, '')) for o in options]"
@@ -158,7 +160,7 @@ OPTIONS = "(SELECT question_id * 4 + pos AS id, pos, vector, sqrt(list_dot_produ
   FROM {OPTIONS} t JOIN {OPTIONS} c ON t.pos % 2 = 0 AND c.pos % 2 = 1 GROUP BY t.id""")
 def best_match_all(fx):
     """Keys and second distractors as targets, first and third distractors of all questions as candidates; no match below 0.75."""
-    v = fx.option_vectors.select((F.col("question_id") * 4 + F.col("pos")).alias("id"), "pos", "vector")
+    v = saved(fx.option_vectors.select((F.col("question_id") * 4 + F.col("pos")).alias("id"), "pos", "vector"), "options")
     targets = v.where("pos IN (0, 2)").select("id", "vector")
     best = N.best_matches(targets, v.where("pos IN (1, 3)").select("id", "vector"), 0.75, 1e-9)
     return targets.select(F.col("id").alias("target")).join(best, "target", "left").select("target", F.round("cosine", 9).alias("best"))

@@ -31,6 +31,21 @@ def test_best_matches(spark, miss, recall):
     assert all(got[t][1] == pytest.approx(want[t][1], abs=1e-12) for t in same)
 
 
+def test_buckets_where_they_cost_less(spark, monkeypatch):
+    """Buckets and the grid of all pairs find the same; which one is taken follows from their costs, and the grid posts nothing."""
+    rng = np.random.default_rng(9)
+    candidates = rng.standard_normal((700, 12))
+    targets = candidates[rng.integers(0, 700, 150)] + rng.uniform(0, 1.2, (150, 1)) * rng.standard_normal((150, 12))
+    want = {i: (c, round(v, 9)) for i, (c, v) in plain(targets, candidates, 0.75).items()}
+    posted, real = [], N.coded
+    monkeypatch.setattr(N, "coded", lambda *a, **k: posted.append(1) or real(*a, **k))
+    monkeypatch.setattr(N, "ROW_BYTES", 8 * 12 * 50, raising=False)
+    got = lambda: {r["target"]: (r["candidate"], round(r["cosine"], 9)) for r in N.best_matches(frame(spark, targets), frame(spark, candidates), 0.75, 1e-9).collect()}
+    assert got() == want and not posted
+    monkeypatch.setattr(N, "POST", -(10**9), raising=False)
+    assert got() == want and posted
+
+
 def test_copies_ties_and_vectors_without_direction(spark, monkeypatch):
     monkeypatch.setattr(N, "CHUNK", 8)
     rng = np.random.default_rng(6)
