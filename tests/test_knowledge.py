@@ -60,6 +60,19 @@ def test_cycles_are_one_node_in_the_closure(spark, monkeypatch):
     assert sorted(map(tuple, G.closure(df, ["k"]).select("k", "a", "b").collect())) == sorted(want)
 
 
+def test_cycles_behind_other_nodes_are_found(spark, monkeypatch):
+    """Nodes with more edges lead to a cycle, and a cycle to the next one: labels from before must not hide it, or each of its pairs is found once for each of its nodes."""
+    cycle = lambda at: {(at + i, at + (i + k) % 12) for i in range(12) for k in (1, 2, 5)}
+    edges = cycle(0) | cycle(100) | {(1000 + i, i) for i in range(12)} | {(2000 + i, 1000 + i % 12) for i in range(90)} | {(1000 + i, 50 + i) for i in range(40)} | {(3, 105), (110, 300)}
+    monkeypatch.setattr(G, "FAN", 1)
+    assert (found := G._groups(spark.createDataFrame(sorted(edges), "a long, b long"), [])) is not None and found.groupBy("c").count().where("count = 12").count() >= 1
+    joined, real = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df, name: joined.append((name, real(df, name))) or joined[-1][1])
+    got = [tuple(r) for r in G.closure(spark.createDataFrame(sorted(edges), "a long, b long")).select("a", "b").collect()]
+    assert sorted(got) == sorted(plain_closure(edges)) and len(got) == len(set(got))
+    assert [df.count() for name, df in joined if name == "groups"][-1] == 24
+
+
 def kb(spark):
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
     return K.knowledge_base(
